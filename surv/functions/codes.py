@@ -113,3 +113,46 @@ RISK_VOLUME_WEIGHT = 0.6
 RISK_GROWTH_WEIGHT = 0.4
 RISK_BANDS = ((0.75, "Critico"), (0.55, "Alto"), (0.35, "Moderado"))
 RISK_BAND_DEFAULT = "Baixo"
+
+# ---- fixed values: exam labels (by exam key of the role map) ---------------
+EXAM_LABELS = {
+    "chik_s1": "Chikungunya IgM Soro 1",
+    "chik_s2": "Chikungunya IgM Soro 2",
+    "prnt": "PRNT",
+    "soro": "Dengue IgM",
+    "ns1": "NS1",
+    "viral": "Isolamento viral",
+    "pcr": "RT-PCR",
+    "histopa": "Histopatologia",
+    "imunoh": "Imunohistoquimica",
+}
+# exams the evaluation panel counts (trap T11)
+EVALUATION_EXAMS = ("soro", "ns1", "viral", "pcr")
+EXAM_DONE_CLINICAL = ("1", "2", "3")
+EXAM_DONE_EVALUATION = ("1", "2", "3", "4")
+SEROTYPE_LABELS = {"1": "DEN 1", "2": "DEN 2", "3": "DEN 3", "4": "DEN 4"}
+NO_PATTERN_LABEL = "Sem padrão clínico"
+STATUS_CONFIRMED = "Confirmados"
+STATUS_DISCARDED = "Descartados"
+EXAM_METRICS = ("Realizados", "Positivos", "Negativos", "Não realizados")
+EXAM_INCONCLUSIVE_METRIC = "Inconclusivos"
+SEVERITY_METRICS = {"hosp": "Internações", "death": "Óbitos"}
+TESTED_LABELS = ("Com exame", "Sem exame")
+CLOSED_LABELS = ("Encerrados", "Em investigação")
+MISSING_TOKENS = ("", "NI", "NULL", "NONE")
+DELAY_BANDS = (("0-3", 3), ("4-7", 7), ("8-15", 15), ("+15", None))
+ONSET_DELAY_MAX = 180
+CLOSURE_DELAY_MAX = 365
+# field labels of the evaluation completeness report, by role
+QUALITY_FIELD_LABELS = {
+    "hosp_raw": "Hospitalização",
+    "outcome_raw": "Evolução do caso",
+    "closed_on": "Data de encerramento",
+    "class_raw": "Classificação final",
+    "school_raw": "Escolaridade",
+    "onset_on": "Data dos primeiros sintomas",
+    "race_raw": "Raça/Cor",
+    "sex_raw": "Sexo",
+}
+QUALITY_FIELDS = ("onset_on", "closed_on", "class_raw", "outcome_raw", "hosp_raw", "sex_raw",
+                  "race_raw", "school_raw")
