@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surv.plans import q_counts, q_profile  # noqa: F401
+from surv.plans import q_clinical, q_counts, q_profile  # noqa: F401
 from surv.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
