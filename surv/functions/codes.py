@@ -156,3 +156,37 @@ QUALITY_FIELD_LABELS = {
 }
 QUALITY_FIELDS = ("onset_on", "closed_on", "class_raw", "outcome_raw", "hosp_raw", "sex_raw",
                   "race_raw", "school_raw")
+
+# ---- fixed values: field-validity report (E35/E36) --------------------------
+VALIDITY_STATUS_NO_ROWS = "SEM_REGISTROS_NO_RECORTE"
+VALIDITY_STATUS_NO_COLUMN = "COLUNA_AUSENTE"
+VALIDITY_STATUS_NO_DATA = "SEM_DADO_INFORMADO"
+VALIDITY_STATUS_INVALID = "PREENCHIDO_INVALIDO"
+VALIDITY_STATUS_OK = "OK"
+YES_NO = ("SIM", "NAO")
+YES_NO_SET = ("1", "2")
+EXAM_RESULT_SET = ("1", "2", "3", "4")
+SEX_SET = ("M", "F", "I")
+AGE_CODE_PATTERN = r"^[1-4][0-9]+\z"
+PREGNANCY_SET = ("1", "2", "3", "4", "5", "6", "9")
+RACE_SET = ("1", "2", "3", "4", "5", "9")
+SCHOOL_SET = ("0", "00", "1", "01", "2", "02", "3", "03", "4", "04", "5", "05", "6", "06",
+              "7", "07", "8", "08", "9", "09", "10", "99")
+
+# ---- fixed values: reconciliation statuses (J09) ----------------------------
+RECON_NO_LOG = "SEM_LOG"
+RECON_FULL = "OK_FULL"
+RECON_TOLERANCE = "OK_COM_TOLERANCIA"
+RECON_DATE_ONLY = "OK_DATA_NOTIFICACAO"
+RECON_YEAR_ONLY = "OK_NU_ANO"
+RECON_DIVERGENT = "DIVERGENTE"
+RECON_TOLERANCE_ABS = 7000
+RECON_TOLERANCE_PCT = 0.5
+
+# ---- fixed values: schema-coverage audit (K07) -----------------------------
+AUDIT_SOURCE_UNMAPPED = "JSON_NAO_MAPEADO_NO_TRANSFORMADOR"
+AUDIT_MAPPER_MISSING = "MAPPER_REFERENCIA_CAMPO_AUSENTE_NO_JSON"
+AUDIT_OUTPUT_NO_COLUMN = "SAIDA_TRANSFORMADOR_SEM_COLUNA_NA_FATO"
+AUDIT_COLUMN_NO_OUTPUT = "COLUNA_FATO_SEM_SAIDA_DO_TRANSFORMADOR"
+AUDIT_OK = "OK"
+AUDIT_TECHNICAL_COLUMNS = ("id", "data_carga")
