@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surv.plans import q_clinical, q_counts, q_cubes, q_profile, q_territory  # noqa: F401
+from surv.plans import q_clinical, q_counts, q_cubes, q_misc, q_profile, q_territory  # noqa: F401
 from surv.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
