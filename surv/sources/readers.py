@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---- fixed values: dialect candidates and file-name patterns ----------------
-CSV_DIALECTS = ((";", "latin1"), (";", "utf-8"), (",", "latin1"), (",", "utf-8"))
+CSV_DIALECTS = ((";", "iso-8859-1"), (";", "utf-8"), (",", "iso-8859-1"), (",", "utf-8"))  # latin1 = iso-8859-1
 LOAD_LOG_PATTERN = r"Arquivo concluido:\s*(\d+)\s*linhas carregadas \(DENGBR(\d{2})\.json\)"
 RESOURCE_YEAR_PATTERN = r"(?i)dengue[^\d]*(\d{4})"
 FACILITY_FILE_PATTERN = r"(?i)BASE_DE_DADOS_CNES_(\d{6})\.ZIP$"

@@ -39,16 +39,18 @@ def sync_new_files(spark: SparkSession, landing: str, schema: T.StructType | str
 
 
 def stream_window_replace(spark: SparkSession, landing: str, schema: T.StructType | str, table_path: str,
-                          date_col: str, overlap_days: int = 2, fmt: str = "parquet",
+                          date_col: str, fmt: str = "parquet",
                           name: str = "window-replace", part_col: str = "year") -> None:
-    """Each micro-batch replaces the window [min date - overlap, +inf)
-    of the table with the batch's rows (A13 inside ``foreachBatch``)."""
+    """Each micro-batch is a re-delivery of everything since its first
+    date (the loader fetched from ``mark - overlap``), so it replaces the
+    window [min batch date, +inf) of the table (A13 inside ``foreachBatch``).
+    Late records inside the window replace earlier copies; older ones wait
+    for a full reload, as in the reference."""
     def body(batch: DataFrame, epoch_id: int) -> None:
         lo = batch.select(F.min(date_col)).first()[0]   # one value per micro-batch
         if lo is None:
             return
-        start = INC.overlap_start(lo, overlap_days)
-        INC.replace_date_window(batch.sparkSession, batch, table_path, date_col, start.isoformat(),
+        INC.replace_date_window(batch.sparkSession, batch, table_path, date_col, lo.isoformat(),
                                 part_col=part_col)
 
     src = spark.readStream.format(fmt).schema(schema).load(landing)
