@@ -205,3 +205,8 @@ def since_valid(f: DataFrame, col: str, since: str) -> DataFrame:
     """Keep rows whose text/date column parses and is on/after ``since``;
     unparseable or missing dates are dropped."""
     return f.filter(F.col(col).cast("string").try_cast("date") >= F.lit(since).cast("date"))
+
+
+def sort_by_key(f: DataFrame, key: str) -> DataFrame:
+    """Sort a batch by its incremental key (nulls last, as PostgreSQL)."""
+    return f.orderBy(F.col(key).asc_nulls_last())

@@ -149,8 +149,10 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
         path = os.path.join(checkpoint_dir(spark).rstrip("/"), "facts", f"cases-{digest}")
         from surv.operators.cubes import path_exists
         if not path_exists(spark, path + "/_SUCCESS"):
-            (cases_plan(spark, sf_dir).repartitionByRange("notified_on")
-             .sortWithinPartitions("notified_on")
+            # range on (date, id): rows without a date spread by id instead of
+            # piling into one partition
+            (cases_plan(spark, sf_dir).repartitionByRange("notified_on", "case_id")
+             .sortWithinPartitions("notified_on", "case_id")
              .write.mode("overwrite").parquet(path))
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)

@@ -401,3 +401,15 @@ def j12(spark, sf):
     return run_daily_event_counts(spark, sf, staging_path(spark, "daily-events-out"),
                                   name=f"daily-events-{uuid.uuid4().hex}",
                                   file_glob="events.parquet")
+
+
+@register("k07_schema_coverage")
+def k07(spark, sf):
+    """Which source fields the fact projection maps, produces and
+    stores, with the stored table's non-null counts (rows-only check)."""
+    import re as _re
+    c = ctx(spark, sf)
+    src_cols = [B.snake_name(x) for t in ("orders", "customer", "nation") for x in FX.table(spark, sf, t).columns]
+    used = sorted({w for e in FX.CASES_COLUMNS.values() for w in _re.findall(r"[a-z_]+", e) if w in src_cols})
+    return Q.schema_coverage(spark, src_cols, used, list(FX.CASES_COLUMNS), c.f,
+                             aliases={"o_orderdate": ["o_orderdate"]})
