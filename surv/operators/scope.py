@@ -44,8 +44,15 @@ def class_in(f: DataFrame, r: Roles, cls: Sequence[str] | None) -> DataFrame:
 
 
 def since_date(f: DataFrame, r: Roles, since: str | None, role: str = "notified_on") -> DataFrame:
-    """Optional lower bound on a date column."""
-    return f.filter(r.c(role) >= F.lit(since).cast("date")) if since else f
+    """Optional lower bound on a date column.  When the fact is
+    partitioned by notification year, the implied bound on the partition
+    column is added too, so whole year directories are skipped."""
+    if not since:
+        return f
+    out = f.filter(r.c(role) >= F.lit(since).cast("date"))
+    if role == "notified_on" and r.year_part and r.year_part in f.columns:
+        out = out.filter(F.col(r.year_part) >= F.year(F.lit(since).cast("date")))
+    return out
 
 
 def base(f: DataFrame, r: Roles, cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:

@@ -136,13 +136,15 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
 
     Built once per session and source version as a Parquet table in the
     shared checkpoint folder (a lineage cut, like the reference's loaded fact
-    table), sorted by notification date within files so date predicates prune
-    row groups.  ``materialize=False`` returns the lazy plan instead."""
+    table), partitioned by notification year and sorted by notification date
+    within files, so date windows prune directories and row groups.  The range
+    partitioning is on (date, id): rows without a date spread by id.
+    ``materialize=False`` returns the lazy plan instead."""
     if not materialize:
         return cases_plan(spark, sf_dir)
     import hashlib
     from surv.session import checkpoint_dir
-    key = (sf_dir, _source_key(sf_dir), hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
+    key = (sf_dir, _source_key(sf_dir), "by-year-v2", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
     path = _MATERIALIZED.get(key)
     if path is None:
         digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
@@ -151,9 +153,10 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
         if not path_exists(spark, path + "/_SUCCESS"):
             # range on (date, id): rows without a date spread by id instead of
             # piling into one partition
-            (cases_plan(spark, sf_dir).repartitionByRange("notified_on", "case_id")
+            (cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
+             .repartitionByRange("notified_on", "case_id")
              .sortWithinPartitions("notified_on", "case_id")
-             .write.mode("overwrite").parquet(path))
+             .write.mode("overwrite").partitionBy("notified_year").parquet(path))
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
