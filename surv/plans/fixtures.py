@@ -164,7 +164,7 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
 def territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).selectExpr(*_typed(TERRITORY_COLUMNS))
+    return n.join(broadcast_if_bounded(r, 100_000), n.n_regionkey == r.r_regionkey).selectExpr(*_typed(TERRITORY_COLUMNS))
 
 
 def facility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,3 +182,30 @@ def oracle_prelude() -> str:
         "\nFROM nation JOIN region ON n_regionkey = r_regionkey),\n"
         "facility AS (SELECT\n  " + body(FACILITY_COLUMNS) + "\nFROM supplier)\n"
     )
+
+
+# fixture column -> raw source field name of the notification extract
+NATIVE_RAW_FIELDS = {
+    "notified_on": "DT_NOTIFIC", "onset_on": "DT_SIN_PRI", "closed_on": "DT_ENCERRA",
+    "place_raw": "MUNICIPIO", "state_raw": "SG_UF_NOT", "class_raw": "CLASSI_FIN",
+    "outcome_raw": "EVOLUCAO", "hosp_raw": "HOSPITALIZ", "sex_raw": "CS_SEXO", "age_raw": "NU_IDADE_N",
+    "race_raw": "CS_RACA", "school_raw": "CS_ESCOL_N", "pregnant_raw": "CS_GESTANT", "week_raw": "SEM_NOT",
+    "facility_raw": "ID_UNIDADE", "fever": "FEBRE", "headache": "CEFALEIA", "myalgia": "MIALGIA",
+    "diabetes": "DIABETES", "hypertension": "HIPERTENSA", "renal": "RENAL", "ns1_result": "RESUL_NS1",
+    "ns1_on": "DT_NS1", "pcr_result": "RESUL_PCR_", "pcr_on": "DT_PCR", "serotype_raw": "SOROTIPO",
+    "year_text": "NU_ANO",
+}
+
+
+def native_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact projection re-shaped as a raw notification extract: every
+    field as text under its upper-case source name (dates as ISO text), as
+    the JSON/CSV/XML readers deliver it."""
+    f = cases(spark, sf_dir)
+    cols = []
+    for src, raw in NATIVE_RAW_FIELDS.items():
+        c = F.col(src)
+        if dict(f.dtypes)[src] == "date":
+            c = F.date_format(c, "yyyy-MM-dd")
+        cols.append(c.cast("string").alias(raw))
+    return f.select(*cols)

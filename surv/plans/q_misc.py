@@ -244,7 +244,7 @@ SELECT c_nationkey, c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITI
 FROM customer) WHERE rn = 1""")
 def b26(spark, sf):
     cu = FX.table(spark, sf, "customer")
-    return B.keep_first(cu, ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "c_name")
+    return B.keep_first(cu, ["c_nationkey"], [-F.col("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "c_name")
 
 
 @register("b27_territory_projection", """
