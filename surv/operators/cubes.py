@@ -200,3 +200,80 @@ def route_month_state(spark: SparkSession, f: DataFrame, r: Roles, cls: Sequence
         return C.cases_month_state(f, r, cls, since)
     c = cube_filter(cube, cls, since)
     return rollup_cube(c, ["year", "month_start", "state"]).orderBy("month_start", "state")
+
+
+# ---- K08 cube routes of the place loaders (E07, E09, E12, E13, E16) ----------------
+def _pick(spark: SparkSession, cube: DataFrame | str | None) -> DataFrame | None:
+    if isinstance(cube, str):
+        return spark.read.parquet(cube) if path_exists(spark, cube) else None
+    return cube
+
+
+def route_focus_monthly(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame, place: str,
+                        cls: Sequence[str] | None = None, since: str | None = None,
+                        cube: DataFrame | str | None = None) -> DataFrame:
+    """K08 for E07: E26 cube filtered by resolved name (T14) and month >= since."""
+    from surv.operators import counts as C
+    c = _pick(spark, cube)
+    if c is None:
+        return C.focus_monthly(f, r, territory, place, cls, since)
+    return rollup_cube(cube_filter(c, cls, since, place), ["year", "month_start"]).orderBy("month_start")
+
+
+def route_focus_status(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame, place: str,
+                       cls: Sequence[str] | None = None, since: str | None = None,
+                       cube: DataFrame | str | None = None) -> DataFrame:
+    """K08 for E09 (month x classification x outcome) from the E26 cube."""
+    from surv.operators import counts as C
+    c = _pick(spark, cube)
+    if c is None:
+        return C.focus_status(f, r, territory, place, cls, since)
+    return rollup_cube(cube_filter(c, cls, since, place),
+                       ["year", "month_start", "classification", "outcome"]).orderBy("month_start")
+
+
+def route_top_facilities(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
+                         facility: DataFrame | None, place: str, cls: Sequence[str] | None = None,
+                         top_n: int = 10, since: str | None = None,
+                         cube: DataFrame | str | None = None) -> DataFrame:
+    """K08 for E12 from the E27 cube: roll up by facility, then attach names."""
+    from surv.operators import counts as C
+    c = _pick(spark, cube)
+    if c is None:
+        return C.top_facilities(f, r, territory, facility, place, cls, top_n, since)
+    agg = rollup_cube(cube_filter(c, cls, since, place), ["facility"])
+    named = S.join_facility_name(agg, F.col("facility"), facility) if facility is not None else \
+        agg.withColumn("facility_name", F.lit(""))
+    out = named.groupBy("facility", "facility_name").agg(F.sum("cases").cast("bigint").alias("cases"))
+    return out.orderBy(F.desc("cases"), F.asc("facility")).limit(top_n)
+
+
+def route_facilities_monthly(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
+                             facility: DataFrame | None, place: str, cls: Sequence[str] | None = None,
+                             since: str | None = None, cube: DataFrame | str | None = None) -> DataFrame:
+    """K08 for E13 from the E27 cube."""
+    from surv.operators import counts as C
+    c = _pick(spark, cube)
+    if c is None:
+        return C.facilities_monthly(f, r, territory, facility, place, cls, since)
+    agg = rollup_cube(cube_filter(c, cls, since, place), ["year", "month_start", "facility"])
+    named = S.join_facility_name(agg, F.col("facility"), facility) if facility is not None else \
+        agg.withColumn("facility_name", F.lit(""))
+    out = (named.groupBy("year", "month_start", "facility", "facility_name")
+           .agg(F.sum("cases").cast("bigint").alias("cases")))
+    return out.orderBy("month_start", F.desc("cases"), "facility")
+
+
+def route_state_places(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
+                       cls: Sequence[str] | None = None, since: str | None = None,
+                       cube: DataFrame | str | None = None) -> DataFrame:
+    """K08 for E16 from the E26 cube: SUM of cases, MAX of population/area."""
+    from surv.operators import counts as C
+    from surv.functions import codes as KK
+    c = _pick(spark, cube)
+    if c is None:
+        return C.state_places_enriched(f, r, territory, cls, since)
+    g = rollup_cube(cube_filter(c, cls, since), ["year", "month_start", "state", "place_code", "place_name"],
+                    maxes=["population", "area_km2"])
+    return g.select("year", "month_start", "state", "place_code", "place_name", "cases", "population", "area_km2",
+                    X.guarded_ratio("cases", "population", KK.PER_100K).alias("incidence_100k"))

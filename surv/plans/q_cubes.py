@@ -193,3 +193,53 @@ def e40(spark, sf):
     f"CAST(count(*) AS DOUBLE) * 100.0 END AS null_pct FROM x" for c in _DOC_COLS), raw_sql=True)
 def e65r(spark, sf):
     return Q.null_rates(_docs(spark, sf), list(_DOC_COLS))
+
+
+# ---- K08: the place loaders answered from the cubes (oracle = fact route) ----------
+from surv.plans.registry import CLS, ORACLE  # noqa: E402
+
+
+def _cube26(c):
+    return CU.cube_month_place_class_outcome(c.f, c.r, c.t)
+
+
+def _cube27(c):
+    return CU.cube_month_place_class_facility(c.f, c.r, c.t)
+
+
+@register("k08_route_e07_cube", ORACLE["e07_focus_monthly"], raw_sql=True)
+def k08_e07(spark, sf):
+    c = ctx(spark, sf)
+    return CU.route_focus_monthly(spark, c.f, c.r, c.t, PLACE, since=SINCE, cube=_cube26(c))
+
+
+@register("k08_route_e09_cube", ORACLE["e09_focus_status"], raw_sql=True)
+def k08_e09(spark, sf):
+    c = ctx(spark, sf)
+    return CU.route_focus_status(spark, c.f, c.r, c.t, PLACE, CLS, cube=_cube26(c))
+
+
+@register("k08_route_e12_cube", ORACLE["e12_top_facilities"], raw_sql=True)
+def k08_e12(spark, sf):
+    c = ctx(spark, sf)
+    return CU.route_top_facilities(spark, c.f, c.r, c.t, c.fac, PLACE, CLS, top_n=10, cube=_cube27(c))
+
+
+@register("k08_route_e13_cube", ORACLE["e13_facilities_monthly"], raw_sql=True)
+def k08_e13(spark, sf):
+    c = ctx(spark, sf)
+    return CU.route_facilities_monthly(spark, c.f, c.r, c.t, c.fac, PLACE, since=SINCE, cube=_cube27(c))
+
+
+# The cube labels a blank place 'Municipio nao informado' while the fact route
+# says 'Município não informado' (both as in the source system), so the cube
+# route of E16 is checked against cube semantics, not the fact route.
+@register("k08_route_e16_cube", _as_cte(_cube_sql(NI('f.outcome_raw'), "outcome", True), "cube") + f"""
+SELECT year, month_start, state, place_code, place_name, CAST(sum(cases) AS BIGINT) AS cases,
+   max(population) AS population, max(area_km2) AS area_km2,
+   CASE WHEN max(population) > 0 THEN CAST(sum(cases) AS DOUBLE) / CAST(max(population) AS DOUBLE) * 100000.0 END
+     AS incidence_100k
+FROM cube WHERE classification IN {IN(CLS)} GROUP BY 1, 2, 3, 4, 5""")
+def k08_e16(spark, sf):
+    c = ctx(spark, sf)
+    return CU.route_state_places(spark, c.f, c.r, c.t, CLS, cube=_cube26(c))
