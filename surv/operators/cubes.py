@@ -167,15 +167,88 @@ def refresh_cubes(f: DataFrame, r: Roles, territory: DataFrame, base_path: str)
     }
 
 
+def analytics_base(f: DataFrame, r: Roles) -> DataFrame:
+    """One aggregate of the fact at the finest grain the derived tables need
+    (month x state x place text x raw-place code x classification x outcome x
+    facility x hospitalised).  The three cubes and the indicator table are all
+    roll-ups of it, so the build scans the fact once instead of four times."""
+    d = r.c("notified_on")
+    hp = X.yes_flag(r.c("hosp_raw")) if r.has("hosp_raw") else F.lit(False)
+    return (S.notified(f, r)
+            .groupBy(X.year_of(d).alias("year"), X.month_of(d).alias("month"),
+                     X.month_start(d).alias("month_start"),
+                     X.ni(r.c("state_raw")).alias("state"),
+                     X.ni(r.c("place_raw"), K.PLACE_NOT_INFORMED_VIEW).alias("place_code"),
+                     X.place_code6(r.c("place_raw")).alias("code6_fact"),
+                     X.ni(r.c("class_raw")).alias("classification"),
+                     (X.ni(r.c("outcome_raw")) if r.has("outcome_raw") else F.lit(K.NI)).alias("outcome"),
+                     (X.ni(r.c("facility_raw")) if r.has("facility_raw") else F.lit(K.NI)).alias("facility"),
+                     hp.alias("hospitalised"))
+            .agg(F.count(F.lit(1)).alias("cases")))
+
+
+def indicators_from_base(base: DataFrame, territory: DataFrame) -> DataFrame:
+    """E24 from the shared base aggregate (same rows as ``monthly_indicators``)."""
+    cl, n = F.col("classification"), F.col("cases")
+    cond = lambda p: F.sum(F.when(p, n).otherwise(0)).cast("bigint")
+    agg1 = (base.groupBy("year", "month", "state", F.col("place_code").alias("place_raw"),
+                         F.col("code6_fact").alias("code6"))
+            .agg(F.sum(n).cast("bigint").alias("cases_total"),
+                 cond(cl.isin(*K.CONFIRMED_CODES)).alias("confirmed"),
+                 cond(cl.isin(*K.DISCARDED_CODES)).alias("discarded"),
+                 cond(cl.isin(*K.INVESTIGATION_CODES)).alias("investigating"),
+                 cond(F.col("outcome").isin(*K.DEATH_CODES_CARDS)).alias("deaths"),
+                 cond(F.col("hospitalised")).alias("hospitalisations")))
+    j = S.join_territory(agg1, territory, cols=("place_name", "region_name", "population"))
+    sums = [F.sum(c).cast("bigint").alias(c) for c in
+            ("cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations")]
+    g = (j.groupBy("year", "month", "state", F.coalesce("place_name", "place_raw").alias("place"),
+                   "code6", "region_name", "population").agg(*sums))
+    return g.select(
+        "year", "month", "state", "place", "code6", "region_name", "population",
+        "cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations",
+        X.guarded_ratio("confirmed", "population", K.PER_100K).alias("incidence_100k"),
+        X.guarded_ratio("deaths", "confirmed", K.PER_100).alias("lethality_pct"),
+        X.guarded_ratio("hospitalisations", "confirmed", K.PER_100).alias("hosp_rate_pct"))
+
+
+def cubes_from_base(base: DataFrame, territory: DataFrame) -> dict[str, DataFrame]:
+    """E25-E27 as roll-ups of the shared base aggregate."""
+    n = F.sum("cases").cast("bigint").alias("cases")
+    e25 = base.groupBy("year", "month_start", "state", "classification").agg(n)
+    rj = base.filter(F.col("state").isin(*K.FOCUS_STATE_CODES))
+
+    def placed(keys, attrs):
+        a = rj.groupBy("year", "month_start", "state", "place_code", "classification", *keys).agg(n)
+        a = a.withColumn("code6", X.place_code6("place_code"))
+        j = S.join_territory(a, territory, cols=("place_name",) + attrs)
+        return j.withColumn("place_name", F.coalesce("place_name", "place_code"))
+
+    e26 = placed(["outcome"], ("population", "area_km2")).select(
+        "year", "month_start", "state", "place_code", "place_name", "code6", "population", "area_km2",
+        "classification", "outcome", "cases")
+    e27 = placed(["facility"], ()).select(
+        "year", "month_start", "state", "place_code", "place_name", "code6", "classification", "facility",
+        "cases")
+    return {"month_state_class": e25, "month_place_class_outcome": e26, "month_place_class_facility": e27}
+
+
 def build_analytics(f: DataFrame, r: Roles, territory: DataFrame, base_path: str) -> dict[str, object]:
-    """Rebuild all derived tables in order; the indicator table may fail
-    without blocking the cubes."""
+    """Rebuild all derived tables.  The fact is scanned once into the
+    shared base aggregate, written under ``base_path`` (a lineage cut that
+    survives executor loss); the indicator table (allowed to fail without
+    blocking the cubes) and the three cubes are roll-ups of it."""
+    bpath = f"{base_path}/base"
+    analytics_base(f, r).write.mode("overwrite").partitionBy("year").parquet(bpath)
+    base = f.sparkSession.read.parquet(bpath)
     out: dict[str, object] = {}
     try:
-        out["monthly_indicators"] = refresh_monthly_indicators(f, r, territory, f"{base_path}/monthly_indicators")
+        out["monthly_indicators"] = write_table(indicators_from_base(base, territory),
+                                                f"{base_path}/monthly_indicators")
     except Exception as e:  # noqa: BLE001 - tolerated, reported
         out["monthly_indicators"] = f"failed: {e}"
-    out.update(refresh_cubes(f, r, territory, f"{base_path}/cubes"))
+    for name, df in cubes_from_base(base, territory).items():
+        out[name] = write_table(df, f"{base_path}/cubes/{name}")
     return out
 
 

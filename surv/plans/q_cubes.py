@@ -243,3 +243,32 @@ FROM cube WHERE classification IN {IN(CLS)} GROUP BY 1, 2, 3, 4, 5""")
 def k08_e16(spark, sf):
     c = ctx(spark, sf)
     return CU.route_state_places(spark, c.f, c.r, c.t, CLS, cube=_cube26(c))
+
+
+# ---- J08: the derived tables as roll-ups of the one-scan base aggregate --------------
+def _base(c):
+    return CU.analytics_base(c.f, c.r)
+
+
+@register("j08_base_e24_monthly_indicators", ORACLE["e24_monthly_indicators"], raw_sql=True)
+def j08_e24(spark, sf):
+    c = ctx(spark, sf)
+    return CU.indicators_from_base(_base(c), c.t)
+
+
+@register("j08_base_e25_cube", ORACLE["e25_cube_month_state_class"], raw_sql=True)
+def j08_e25(spark, sf):
+    c = ctx(spark, sf)
+    return CU.cubes_from_base(_base(c), c.t)["month_state_class"]
+
+
+@register("j08_base_e26_cube", ORACLE["e26_cube_month_place_class_outcome"], raw_sql=True)
+def j08_e26(spark, sf):
+    c = ctx(spark, sf)
+    return CU.cubes_from_base(_base(c), c.t)["month_place_class_outcome"]
+
+
+@register("j08_base_e27_cube", ORACLE["e27_cube_month_place_class_facility"], raw_sql=True)
+def j08_e27(spark, sf):
+    c = ctx(spark, sf)
+    return CU.cubes_from_base(_base(c), c.t)["month_place_class_facility"]

@@ -19,7 +19,7 @@ def data(spark):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_cube_route_equals_fact_route(spark, tmp):
@@ -67,3 +67,14 @@ def test_build_analytics_job(spark, tmp):
     f, t = data(spark)
     out = CU.build_analytics(f, R, t, f"{tmp}/analytics")
     assert out["monthly_indicators"] > 0 and out["month_place_class_outcome"] > 0
+    assert spark.read.parquet(f"{tmp}/analytics/cubes/month_state_class").count() == out["month_state_class"]
+
+
+def test_build_from_base_equals_direct_operators(spark, tmp):
+    f, t = data(spark)
+    base = CU.analytics_base(f, R)
+    assert rows(CU.indicators_from_base(base, t)) == rows(CU.monthly_indicators(f, R, t))
+    cubes = CU.cubes_from_base(base, t)
+    assert rows(cubes["month_state_class"]) == rows(CU.cube_month_state_class(f, R))
+    assert rows(cubes["month_place_class_outcome"]) == rows(CU.cube_month_place_class_outcome(f, R, t))
+    assert rows(cubes["month_place_class_facility"]) == rows(CU.cube_month_place_class_facility(f, R, t))
