@@ -120,6 +120,7 @@ def cases_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATERIALIZED: dict[tuple, str] = {}
+_LOCK = __import__("threading").RLock()
 
 
 def _source_key(sf_dir: str) -> tuple:
@@ -143,21 +144,35 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     if not materialize:
         return cases_plan(spark, sf_dir)
     import hashlib
+    import uuid
     from surv.session import checkpoint_dir
     key = (sf_dir, _source_key(sf_dir), "by-year-v2", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
-    path = _MATERIALIZED.get(key)
-    if path is None:
-        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        path = os.path.join(checkpoint_dir(spark).rstrip("/"), "facts", f"cases-{digest}")
-        from surv.operators.cubes import path_exists
-        if not path_exists(spark, path + "/_SUCCESS"):
-            # range on (date, id): rows without a date spread by id instead of
-            # piling into one partition
-            (cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
-             .repartitionByRange("notified_on", "case_id")
-             .sortWithinPartitions("notified_on", "case_id")
-             .write.mode("overwrite").partitionBy("notified_year").parquet(path))
-        _MATERIALIZED[key] = path
+    with _LOCK:
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+            path = os.path.join(checkpoint_dir(spark).rstrip("/"), "facts", f"cases-{digest}")
+            from surv.operators.cubes import path_exists
+            if not path_exists(spark, path + "/_SUCCESS"):
+                # write under a unique name, then rename into place: concurrent
+                # builders (threads or processes) never write the same files,
+                # and a half-written table is never visible
+                tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+                # range on (date, id): rows without a date spread by id instead
+                # of piling into one partition
+                (cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
+                 .repartitionByRange("notified_on", "case_id")
+                 .sortWithinPartitions("notified_on", "case_id")
+                 .write.mode("overwrite").partitionBy("notified_year").parquet(tmp))
+                jvm = spark.sparkContext._jvm
+                src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+                fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+                done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+                if fs.exists(dst) and not fs.exists(done):
+                    fs.delete(dst, True)      # leftover of a crashed writer
+                if fs.exists(dst) or not fs.rename(src, dst):
+                    fs.delete(src, True)      # another builder won: use its table
+            _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 
