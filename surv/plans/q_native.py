@@ -18,7 +18,7 @@ _NATIVE: dict = {}
 
 
 def native_fact(spark, sf):
-    key = (id(spark._jsparkSession), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _NATIVE:
         _NATIVE[key] = B.conform_fact(B.default_clean(FX.native_raw(spark, sf)))
     return _NATIVE[key]

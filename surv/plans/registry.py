@@ -50,14 +50,14 @@ class Ctx:
     r = FIXTURE_ROLES
 
 
-_CTX: dict[tuple[int, str], Ctx] = {}
+_CTX: dict[tuple[str, str], Ctx] = {}
 
 
 def ctx(spark: SparkSession, sf: str) -> Ctx:
     """Base frames of a data directory, built once per session: DataFrames
     are immutable plans, so reusing them skips re-listing files and
     re-reading footers on every query."""
-    key = (id(spark._jsparkSession), sf)
+    key = (spark.sparkContext.applicationId, sf)
     c = _CTX.get(key)
     if c is None:
         c = Ctx(FX.cases(spark, sf), FX.territory(spark, sf), FX.facility(spark, sf), spark, sf)
