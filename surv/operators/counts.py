@@ -228,20 +228,20 @@ def compare_periods(current: DataFrame, reference: DataFrame) -> DataFrame:
 def three_scope_series(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                        cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
     """Monthly cases for country, focus state and focus place, with
-    incidence per 100k of each scope's population (all notified, T29)."""
+    incidence per 100k of each scope's population (all notified, T29).
+
+    One scan: each row is tagged with the scopes it belongs to and exploded
+    before the (partial) aggregate; populations are scalar subqueries."""
     pops = population_refs(territory, place)
-    ms = cases_month_state(f, r, cls, since)
-    br = ms.groupBy("month_start").agg(F.sum("cases").cast("bigint").alias("cases")) \
-        .withColumn("scope", F.lit("BR")).withColumn("_pop", pops.select("pop_country").scalar())
-    rj = ms.filter(S.state_mask(F.col("state"))).groupBy("month_start") \
-        .agg(F.sum("cases").cast("bigint").alias("cases")) \
-        .withColumn("scope", F.lit("RJ")).withColumn("_pop", pops.select("pop_state").scalar())
-    mun = focus_monthly(f, r, territory, place, cls, since).groupBy("month_start") \
-        .agg(F.sum("cases").cast("bigint").alias("cases")) \
-        .withColumn("scope", F.lit("MUN")).withColumn("_pop", pops.select("pop_place").scalar())
-    u = br.unionByName(rj).unionByName(mun)  # H01
+    g = S.with_place_flag(S.base(f, r, cls, since), r, territory, place)
+    u = (g.select(X.month_start(r.c("notified_on")).alias("month_start"),
+                  F.explode(S.scope_labels(g, r, territory, place)).alias("scope"))
+         .groupBy("scope", "month_start").agg(F.count(F.lit(1)).alias("cases")))
+    pop = (F.when(F.col("scope") == "BR", pops.select("pop_country").scalar())
+            .when(F.col("scope") == "RJ", pops.select("pop_state").scalar())
+            .otherwise(pops.select("pop_place").scalar()))
     return u.select("scope", "month_start", "cases",
-                    X.guarded_ratio("cases", "_pop", K.PER_100K).alias("incidence_100k"))
+                    X.guarded_ratio("cases", pop, K.PER_100K).alias("incidence_100k"))
 
 
 def _status_frame(f, r, territory, place, cls, since):

@@ -97,6 +97,37 @@ def demographic_monthly_scope(f: DataFrame, r: Roles, scope: str,
     return _demographic(S.scope_switch(S.base(f, r, cls, since), r, scope), r).orderBy("month_start")
 
 
+def demographic_scopes(f: DataFrame, r: Roles, territory: DataFrame, place: str,
+                       cls: Sequence[str] | None = None, since: str | None = None,
+                       scopes: Sequence[str] = ("MUN", "RJ", "BR")) -> DataFrame:
+    """E19 + E21 in one scan: the demographic series of the focus place, the
+    focus state and the country, keyed by ``scope``.  The state scope here is
+    C04 (the loader's), not the C05 mask of the series panel."""
+    g = S.with_place_flag(S.base(f, r, cls, since), r, territory, place)
+    parts = []
+    if "BR" in scopes:
+        parts.append(F.lit("BR"))
+    if "RJ" in scopes:
+        parts.append(F.when(X.state_in_focus(r.c("state_raw")), F.lit("RJ")))
+    if "MUN" in scopes:
+        parts.append(F.when(F.col("_in_place"), F.lit("MUN")))
+    d = r.c("notified_on")
+    rows = g.select(F.explode(F.array_compact(F.array(*parts))).alias("scope"),
+                    X.year_of(d).alias("year"), X.month_start(d).alias("month_start"),
+                    *demographic_columns(r))
+    return (rows.groupBy("scope", "year", "month_start", "age_band", "sex", "race")
+            .agg(F.count(F.lit(1)).alias("cases"),
+                 F.sum("_hosp").cast("bigint").alias("hospitalisations"),
+                 F.sum("_death").cast("bigint").alias("deaths")))
+
+
+def scope_shares_one_scan(demo_scopes: DataFrame, key: Column, key_name: str) -> DataFrame:
+    """E49/F05 over ``demographic_scopes`` output."""
+    x = demo_scopes.groupBy("scope", key.alias(key_name)).agg(F.sum("cases").cast("bigint").alias("cases"))
+    tot = F.sum("cases").over(Window.partitionBy("scope"))
+    return x.withColumn("pct", F.when(tot > 0, F.col("cases") / tot * 100.0).otherwise(F.lit(0.0)))
+
+
 # ---- E20 comorbidities -------------------------------------------------------
 def comorbidities_monthly(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                           cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:

@@ -116,6 +116,38 @@ def place_scope(f: DataFrame, r: Roles, territory: DataFrame, place: str,
     return j.filter(hit).drop("_fact_code6", "_scope_code6")
 
 
+def with_place_flag(f: DataFrame, r: Roles, territory: DataFrame, place: str, name: str = "_in_place",
+                    state_codes: Sequence[str] | None = K.FOCUS_STATE_CODES) -> DataFrame:
+    """D02 + C04 + C06 as a boolean column instead of a filter, so one scan
+    can feed several scopes (country, state, place) at once."""
+    keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
+            .select(F.col("code6").alias("_scope_code6")).distinct())
+    fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
+    j = fk.join(broadcast_if_bounded(keys, TERRITORY_BROADCAST_ROWS),
+                F.col("_fact_code6") == F.col("_scope_code6"), "left")
+    hit = F.col("_scope_code6").isNotNull() | F.coalesce(
+        F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)), F.lit(False))
+    if state_codes:
+        hit = hit & X.state_in_focus(r.c("state_raw"), state_codes)
+    return j.withColumn(name, hit).drop("_fact_code6", "_scope_code6")
+
+
+def scope_labels(f: DataFrame, r: Roles, territory: DataFrame, place: str,
+                 scopes: Sequence[str] = ("BR", "RJ", "MUN")) -> Column:
+    """Array of the scopes a row belongs to: 'BR' always, 'RJ' for the focus
+    state (trimmed upper-case text, C05), 'MUN' for the focus place (C04+C06;
+    needs ``with_place_flag``).  ``explode`` it to count every scope in one
+    pass."""
+    parts = []
+    if "BR" in scopes:
+        parts.append(F.lit("BR"))
+    if "RJ" in scopes:
+        parts.append(F.when(state_mask(X.ni(r.c("state_raw"))), F.lit("RJ")))
+    if "MUN" in scopes:
+        parts.append(F.when(F.col("_in_place"), F.lit("MUN")))
+    return F.array_compact(F.array(*parts))
+
+
 def place_by_code(f: DataFrame, r: Roles, code7: str, name: str) -> DataFrame:
     """E06/E08 route: focus state + C07 code mask."""
     return state_scope(f, r).filter(place_code_mask(r.c("place_raw"), code7, name))

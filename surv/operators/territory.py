@@ -68,8 +68,9 @@ def growth_table(monthly: DataFrame, key: str, value: str = "cases") -> DataFram
 
     The first/last months are scalar subqueries; the three-way join of the
     dashboard becomes conditional sums of a single aggregate."""
-    m0 = monthly.select(F.min("month_start")).scalar()
-    m1 = monthly.select(F.max("month_start")).scalar()
+    # one scalar subquery for both ends (reused, evaluated once)
+    mm = monthly.select(F.struct(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))).scalar()
+    m0, m1 = mm.getField("lo"), mm.getField("hi")
     m = F.col("month_start")
     t = monthly.groupBy(key).agg(
         F.sum(value).cast("bigint").alias("period_cases"),
