@@ -238,6 +238,8 @@ def build_analytics(f: DataFrame, r: Roles, territory: DataFrame, base_path: str
     shared base aggregate, written under ``base_path`` (a lineage cut that
     survives executor loss); the indicator table (allowed to fail without
     blocking the cubes) and the three cubes are roll-ups of it."""
+    from surv.operators.quality import assert_unique
+    assert_unique(territory, ["code6"])   # T17: a repeated 6-digit code would fan the joins out
     bpath = f"{base_path}/base"
     analytics_base(f, r).write.mode("overwrite").partitionBy("year").parquet(bpath)
     base = f.sparkSession.read.parquet(bpath)

@@ -60,15 +60,19 @@ def stream_window_replace(spark: SparkSession, landing: str, schema: T.StructTyp
 
 def daily_event_counts(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """J12 body: events per day x type with an event-time watermark (works on
-    a batch or a streaming frame).  Event time must be a zoned TIMESTAMP for
-    the watermark, so wall-clock (NTZ) input is read in the session zone and
-    the day start is returned as wall-clock again."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    a batch or a streaming frame).
+
+    The watermark needs a zoned TIMESTAMP, so wall-clock (NTZ) event time is
+    read as UTC (``unix_timestamp`` of NTZ is zone-free); the day start is
+    rebuilt from the epoch day, so the result does not depend on the
+    session time zone."""
+    e = events.withColumn("_t", F.timestamp_seconds(F.unix_timestamp("ts")))
     if e.isStreaming:
-        e = e.withWatermark("ts", watermark)
-    return (e.groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+        e = e.withWatermark("_t", watermark)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return (e.groupBy(F.window("_t", "1 day").alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "events", "value_sum"))
+            .select(day.cast("timestamp_ntz").alias("day"), "event_type", "events", "value_sum"))
 
 
 def run_daily_event_counts(spark: SparkSession, source_dir: str, out_path: str, name: str = "daily-events",
