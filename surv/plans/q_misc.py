@@ -331,13 +331,16 @@ def d13(spark, sf):
 
 
 @register("h02_yearly_batches_tagged", """
-SELECT CAST(year(o_orderdate) AS INTEGER) AS collection_year, COUNT(*) AS n, CAST(sum(o_totalprice) AS DOUBLE) AS total
+SELECT CAST(year(o_orderdate) AS INTEGER) AS collection_year, COUNT(*) AS n,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
 FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1""", raw_sql=True)
 def h02(spark, sf):
     o = FX.table(spark, sf, "orders")
     parts = [o.filter(F.year("o_orderdate") == y).withColumn("collection_year", F.lit(y)) for y in (1996, 1997, 1998)]
     u = B.union_widening(parts)
-    return u.groupBy("collection_year").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return u.groupBy("collection_year").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @register("h03_union_of_name_sets", """
@@ -392,7 +395,8 @@ def j09(spark, sf):
 
 
 @register("j12_daily_event_counts", """
-SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, COUNT(*) AS events, sum(value) AS value_sum
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, COUNT(*) AS events,
+  CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value_sum
 FROM events GROUP BY 1, 2""", raw_sql=True)
 def j12(spark, sf):
     from surv.sources.writers import staging_path

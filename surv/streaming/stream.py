@@ -71,7 +71,9 @@ def daily_event_counts(events: DataFrame, watermark: str = "1 day") -> DataFrame
         e = e.withWatermark("_t", watermark)
     day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return (e.groupBy(F.window("_t", "1 day").alias("w"), "event_type")
-            .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"))
+            # exact decimal sum: the total does not depend on summation order
+            .agg(F.count(F.lit(1)).alias("events"),
+                 F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value_sum"))
             .select(day.cast("timestamp_ntz").alias("day"), "event_type", "events", "value_sum"))
 
 
