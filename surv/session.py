@@ -42,19 +42,23 @@ def get_spark(master: str | None = None, app: str = "surv",
     return spark
 
 
+_FALLBACK_DIR: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged writes.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared location).  Only
-    when it is unset -- local tests -- a fresh scratch folder is created.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    Read from ``spark.checkpoint.dir`` (the cluster's shared location), or
+    the context's checkpoint directory.  Only when neither is set -- local
+    tests -- a scratch folder is created (once per application)."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="surv-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        app = spark.sparkContext.applicationId
+        d = _FALLBACK_DIR.get(app)
+        if d is None:
+            d = tempfile.mkdtemp(prefix="surv-ckpt-")
+            _FALLBACK_DIR[app] = d
+            spark.sparkContext.setCheckpointDir(d)
     return d
 
 
