@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from surv.functions import codes as K
 from surv.functions import expr as X
 from surv.roles import Roles
-from surv.session import broadcast_if_bounded
+from surv.session import bounded_join, broadcast_if_bounded
 
 # Dimensions are bounded by the number of municipalities / facilities; past
 # these row counts they are joined by shuffle instead of broadcast.
@@ -162,7 +162,7 @@ def join_territory(f: DataFrame, territory: DataFrame, key: str = "code6",
     unique-constrained (T17); ``surv.operators.quality.assert_unique`` checks it.
     """
     d = territory.select(F.col("code6").alias("_t_code6"), *cols)
-    j = f.join(broadcast_if_bounded(d, TERRITORY_BROADCAST_ROWS), F.col(key) == F.col("_t_code6"), "left")
+    j = bounded_join(f, d, key, "_t_code6", "left", TERRITORY_BROADCAST_ROWS)
     return j.drop("_t_code6")
 
 
@@ -185,8 +185,7 @@ def join_facility_name(f: DataFrame, fact_col: Column, facility: DataFrame,
     unmatched rows get '' (I06 default)."""
     dim = collapsed_facilities(facility)
     fk = f.withColumn("_fkey", X.facility_key(fact_col))
-    j = fk.join(broadcast_if_bounded(dim, FACILITY_BROADCAST_ROWS),
-                F.col("_fkey") == F.col("facility_key"), "left")
+    j = bounded_join(fk, dim, "_fkey", "facility_key", "left", FACILITY_BROADCAST_ROWS)
     return (j.withColumn(out, F.coalesce(F.col("facility_name"), F.lit("")))
              .drop("_fkey", "facility_key", *([] if out == "facility_name" else ["facility_name"])))
 

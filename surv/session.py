@@ -91,3 +91,26 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     from real shuffle statistics, or split skewed partitions.
     """
     return F.broadcast(df) if within_rows(df, max_rows) else df
+
+
+SALT_BUCKETS = 32
+
+
+def bounded_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key: str, how: str = "left",
+                 max_rows: int = 200_000, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Join a (possibly huge, possibly skewed) fact to a dimension.
+
+    * dimension within ``max_rows`` (checked): broadcast hash join, no shuffle;
+    * otherwise: a salted shuffle join.  Fact rows get a salt from a
+      deterministic hash of the row (stable across task retries), the
+      dimension is replicated once per salt value, and the join is on
+      (key, salt): a key holding a third of all rows is split over
+      ``salt_buckets`` reducers instead of landing in one task."""
+    fk = F.col(fact_key) if isinstance(fact_key, str) else fact_key
+    if within_rows(dim, max_rows):
+        return fact.join(F.broadcast(dim), fk == F.col(dim_key), how)
+    cols = [F.col(f"`{c}`") for c in fact.columns]
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)))
+    reps = dim.withColumn("_dsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt_buckets - 1).cast("bigint"))))
+    j = salted.join(reps, (fk == F.col(dim_key)) & (F.col("_salt") == F.col("_dsalt")), how)
+    return j.drop("_salt", "_dsalt")

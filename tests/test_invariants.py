@@ -78,3 +78,19 @@ def test_build_from_base_equals_direct_operators(spark, tmp):
     assert rows(cubes["month_state_class"]) == rows(CU.cube_month_state_class(f, R))
     assert rows(cubes["month_place_class_outcome"]) == rows(CU.cube_month_place_class_outcome(f, R, t))
     assert rows(cubes["month_place_class_facility"]) == rows(CU.cube_month_place_class_facility(f, R, t))
+
+
+def test_salted_join_equals_broadcast_join(spark):
+    """Past the broadcast bound the salted shuffle join returns the same rows,
+    also when one key holds most of the fact."""
+    from surv import session as SS
+    f, t = data(spark)
+    hot = f.withColumn("k", F.when(F.col("case_id") % 3 != 0, F.lit("000000")).otherwise(F.col("place_raw")))
+    dim = t.select(F.col("code6"), "place_name").union(spark.createDataFrame([("000000", "HOT")], "code6 string, place_name string"))
+    b = SS.bounded_join(hot, dim, "k", "code6", "left", max_rows=10_000)
+    s = SS.bounded_join(hot, dim, "k", "code6", "left", max_rows=0, salt_buckets=8)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_dsalt" in plan
+    cols = ["case_id", "k", "place_name"]
+    assert rows(b.select(*cols)) == rows(s.select(*cols))
+    assert s.count() == hot.count()
