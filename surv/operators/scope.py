@@ -110,8 +110,7 @@ def place_scope(f: DataFrame, r: Roles, territory: DataFrame, place: str,
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = fk.join(broadcast_if_bounded(keys, TERRITORY_BROADCAST_ROWS),
-                F.col("_fact_code6") == F.col("_scope_code6"), "left")
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS)
     hit = F.col("_scope_code6").isNotNull() | (F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)))
     return j.filter(hit).drop("_fact_code6", "_scope_code6")
 
@@ -123,8 +122,7 @@ def with_place_flag(f: DataFrame, r: Roles, territory: DataFrame, place: str, na
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = fk.join(broadcast_if_bounded(keys, TERRITORY_BROADCAST_ROWS),
-                F.col("_fact_code6") == F.col("_scope_code6"), "left")
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS)
     hit = F.col("_scope_code6").isNotNull() | F.coalesce(
         F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)), F.lit(False))
     if state_codes:
