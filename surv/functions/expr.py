@@ -20,10 +20,6 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def lit_str(v: str) -> Column:
-    return F.lit(v)
-
-
 # ---- I01 / I02 / I17 date parts -------------------------------------------
 def year_of(d: ColumnOrName) -> Column:
     """Calendar year as int."""

@@ -205,12 +205,15 @@ def comorbidity_rate(comorb: DataFrame, demo: DataFrame) -> DataFrame:
 def top_k_with_others(df: DataFrame, cat: str, val: str, k: int = 5, more_than: int = 6,
                       others: str = "Outras") -> DataFrame:
     """Total per category; when there are more than ``more_than``
-    categories keep the top ``k`` and fold the rest into ``others``."""
+    categories keep the top ``k`` (ties by name) and fold the rest into
+    ``others``.  The top ``k`` is a distributed top-k (``orderBy.limit``) and
+    the category count a scalar subquery -- no global window."""
     t = df.groupBy(cat).agg(F.sum(val).cast("bigint").alias(val))
-    w = Window.orderBy(F.desc(val), F.asc(cat))  # over category totals: bounded by the domain
-    t = t.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    lab = F.when((F.col("_n") > more_than) & (F.col("_rn") > k), F.lit(others)).otherwise(F.col(cat))
-    return t.groupBy(lab.alias(cat)).agg(F.sum(val).cast("bigint").alias(val))
+    n_cat = t.select(F.count(F.lit(1))).scalar()
+    top = t.orderBy(F.desc(val), F.asc(cat)).limit(k).select(F.col(cat).alias("_top"))
+    j = t.join(F.broadcast(top), F.col(cat).eqNullSafe(F.col("_top")), "left")   # k rows: bounded
+    lab = F.when((n_cat > more_than) & F.col("_top").isNull(), F.lit(others)).otherwise(F.col(cat))
+    return j.groupBy(lab.alias(cat)).agg(F.sum(val).cast("bigint").alias(val))
 
 
 def top_band_series(demo: DataFrame, n: int = 4) -> DataFrame:

@@ -1,9 +1,9 @@
 """Territory and risk panel.
 
-Inputs are already aggregated to municipality/facility x month grain, so the
-rank windows here run over at most one row per municipality or facility.
-Only F01-F03 need a global order; they are applied after aggregation as the
-build plan prescribes, never on case rows.
+Inputs are already aggregated to municipality/facility x month grain.  The
+global ranks (F01-F03) are computed by ``surv.operators.ranking`` without a
+single-partition window; the window-function forms below are kept for
+reference and for callers that rank small in-memory results.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def risk_band(score: Column) -> Column:
 def risk_score(growth: DataFrame, key: str) -> DataFrame:
     """0.6 x volume percentile + 0.4 x growth percentile (growth floored
     at 0), rounded to 3 decimals (half-even), banded; sorted score then volume."""
+    from surv.operators.ranking import with_pct_rank_average
     g = growth.withColumn("_g0", F.greatest(F.col("growth_pct"), F.lit(0.0)))
-    g = g.withColumn("_vr", pct_rank_average("period_cases")).withColumn("_gr", pct_rank_average("_g0"))
+    g = with_pct_rank_average(with_pct_rank_average(g, "period_cases", "_vr"), "_g0", "_gr")
     score = F.bround(F.lit(K.RISK_VOLUME_WEIGHT) * F.col("_vr") + F.lit(K.RISK_GROWTH_WEIGHT) * F.col("_gr"), 3)
     g = g.withColumn("risk_score", score).withColumn("risk_band", risk_band(F.col("risk_score")))
     return g.drop("_g0", "_vr", "_gr").orderBy(F.desc("risk_score"), F.desc("period_cases"), F.asc(key))
@@ -174,15 +175,19 @@ def two_place_summary(enriched: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def place_positions(enriched: DataFrame) -> DataFrame:
-    """F03 context ranking: municipalities by total cases with their position."""
+    """F03 context ranking: municipalities by total cases with their position
+    (ties by name)."""
+    from surv.operators.ranking import with_position
     t = enriched.groupBy("place_name").agg(F.sum("cases").cast("bigint").alias("cases"))
-    return t.withColumn("position", position("cases", "place_name"))
+    return with_position(t, [(F.col("cases"), True), (F.col("place_name"), False)], "position") \
+        .withColumn("position", F.col("position").cast("int"))
 
 
 def place_ranks(enriched: DataFrame) -> DataFrame:
     """competition rank of municipalities by total cases (descending)."""
+    from surv.operators.ranking import with_rank
     t = enriched.groupBy("place_name").agg(F.sum("cases").cast("bigint").alias("cases"))
-    return t.withColumn("rank", competition_rank_desc("cases"))
+    return with_rank(t, "cases", descending=True, name="rank")
 
 
 def place_share_of_state(enriched: DataFrame) -> DataFrame:

@@ -110,8 +110,9 @@ SELECT place_name, cases, {PRANK('cases')} AS pct_rank FROM t""")
 def f01(spark, sf):
     c = ctx(spark, sf)
     from pyspark.sql import functions as F
+    from surv.operators.ranking import with_pct_rank_average
     t = _en(c).groupBy("place_name").agg(F.sum("cases").cast("bigint").alias("cases"))
-    return t.withColumn("pct_rank", T.pct_rank_average("cases"))
+    return with_pct_rank_average(t, "cases")
 
 
 @register("f02_place_ranks", EN + """

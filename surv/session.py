@@ -62,10 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), f"{name}-{os.getpid()}-{id(object())}")
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
+    folder and continue from the written copy (computed once; survives
+    executor loss).  Used before operators that read their input several
+    times."""
+    import uuid
+    path = os.path.join(checkpoint_dir(df.sparkSession).rstrip("/"), "cuts", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 _BOUND_CACHE: dict[tuple[int, int], bool] = {}

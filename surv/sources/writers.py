@@ -57,7 +57,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
 
 def replace_path(spark: SparkSession, df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Truncate-then-load without reading and writing the same path:
-    write to a fresh sibling, then swap it in by renames."""
+    write to a fresh sibling, then swap it in by renames.  A driver lost
+    between the two renames leaves ``<path>.__old_*``; the next call restores
+    it before doing anything else."""
+    recover_path(spark, path)
     staging = f"{path.rstrip('/')}.__staging_{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     if partition_by:
@@ -75,6 +78,21 @@ def replace_path(spark: SparkSession, df: DataFrame, path: str, partition_by: Se
     return path
 
 
+def recover_path(spark: SparkSession, path: str) -> None:
+    """Undo a swap interrupted between its renames: if ``path`` is missing
+    and a ``.__old_*`` sibling exists, move it back."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        return
+    parent = p.getParent()
+    if parent is None or not fs.exists(parent):
+        return
+    prefix = p.getName() + ".__old_"
+    olds = [st.getPath() for st in fs.listStatus(parent) if st.getPath().getName().startswith(prefix)]
+    if olds:
+        fs.rename(olds[0], p)
+
+
 def refresh_dimension(spark: SparkSession, df: DataFrame, path: str) -> int:
     """Full refresh of a dimension; returns its row count."""
     replace_path(spark, df, path)

@@ -94,3 +94,15 @@ def test_salted_join_equals_broadcast_join(spark):
     cols = ["case_id", "k", "place_name"]
     assert rows(b.select(*cols)) == rows(s.select(*cols))
     assert s.count() == hot.count()
+
+
+def test_distributed_ranks_equal_window_ranks(spark):
+    from surv.operators import ranking as RK
+    f, t = data(spark)
+    g = f.groupBy("place_raw").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n") % 7)
+    for fn, kw in [(RK.with_pct_rank_average, {"value": "n"}), (RK.with_rank, {"value": "n", "descending": True})]:
+        small = fn(g, **kw, name="r")
+        big = fn(g, **kw, name="r", max_window_rows=0)
+        assert rows(small) == rows(big)
+    order = [(F.col("n"), True), (F.col("place_raw"), False)]
+    assert rows(RK.with_position(g, order, "p")) == rows(RK.with_position(g, order, "p", max_window_rows=0))

@@ -97,3 +97,14 @@ def test_parameterized_sql_and_existence(spark):
     assert got == 5
     assert R.table_exists(spark, "nation_t") and not R.table_exists(spark, "nope_t")
     assert R.column_set(df) == set(df.columns)
+
+
+def test_replace_path_recovers_interrupted_swap(spark, tmp):
+    df = spark.read.parquet(f"{SF_SMALL}/region.parquet")
+    t = f"{tmp}/tbl"
+    W.replace_path(spark, df, t)
+    os.rename(t, f"{t}.__old_deadbeef")          # driver died after the first rename
+    W.recover_path(spark, t)
+    assert spark.read.parquet(t).count() == 5
+    W.replace_path(spark, df.limit(2), t)
+    assert spark.read.parquet(t).count() == 2
