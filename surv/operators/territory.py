@@ -1,9 +1,8 @@
 """Territory and risk panel.
 
 Inputs are already aggregated to municipality/facility x month grain.  The
-global ranks (F01-F03) are computed by ``surv.operators.ranking`` without a
-single-partition window; the window-function forms below are kept for
-reference and for callers that rank small in-memory results.
+global ranks (F01-F03) come from ``surv.operators.ranking``: a single-task
+window only behind a checked size bound, a distributed rank beyond it.
 """
 
 from __future__ import annotations
@@ -17,25 +16,7 @@ from surv.functions import codes as K
 from surv.functions import expr as X
 
 
-# ---- F01 / F02 / F03 ranks ---------------------------------------------------
-def pct_rank_average(v: str) -> Column:
-    """pandas ``rank(pct=True, method='average')``: the mean of the tied
-    positions over the row count.  (Not ``percent_rank`` nor ``cume_dist``.)"""
-    w_all = Window.partitionBy()
-    lo = F.rank().over(Window.orderBy(F.col(v)))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(F.col(v)))
-    n = F.count(F.lit(1)).over(w_all)
-    return (lo + (ties - 1) / 2.0) / n
-
-
-def competition_rank_desc(v: str) -> Column:
-    """``rank(method='min', ascending=False)``."""
-    return F.rank().over(Window.orderBy(F.desc(v)))
-
-
-def position(v: str, tie: str) -> Column:
-    """1..n after sorting ``v`` descending, ties by ``tie``."""
-    return F.row_number().over(Window.orderBy(F.desc(v), F.asc(tie)))
+# ---- F01 / F02 / F03 ranks: see surv.operators.ranking ----------------------------
 
 
 # ---- E41 rollup ---------------------------------------------------------------
