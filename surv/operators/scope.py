@@ -110,7 +110,8 @@ def place_scope(f: DataFrame, r: Roles, territory: DataFrame, place: str,
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS)
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS,
+                     size_of=territory)
     hit = F.col("_scope_code6").isNotNull() | (F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)))
     return j.filter(hit).drop("_fact_code6", "_scope_code6")
 
@@ -122,7 +123,8 @@ def with_place_flag(f: DataFrame, r: Roles, territory: DataFrame, place: str, na
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS)
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS,
+                     size_of=territory)
     hit = F.col("_scope_code6").isNotNull() | F.coalesce(
         F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)), F.lit(False))
     if state_codes:
@@ -160,7 +162,7 @@ def join_territory(f: DataFrame, territory: DataFrame, key: str = "code6",
     unique-constrained (T17); ``surv.operators.quality.assert_unique`` checks it.
     """
     d = territory.select(F.col("code6").alias("_t_code6"), *cols)
-    j = bounded_join(f, d, key, "_t_code6", "left", TERRITORY_BROADCAST_ROWS)
+    j = bounded_join(f, d, key, "_t_code6", "left", TERRITORY_BROADCAST_ROWS, size_of=territory)
     return j.drop("_t_code6")
 
 
@@ -183,7 +185,7 @@ def join_facility_name(f: DataFrame, fact_col: Column, facility: DataFrame,
     unmatched rows get '' (I06 default)."""
     dim = collapsed_facilities(facility)
     fk = f.withColumn("_fkey", X.facility_key(fact_col))
-    j = bounded_join(fk, dim, "_fkey", "facility_key", "left", FACILITY_BROADCAST_ROWS)
+    j = bounded_join(fk, dim, "_fkey", "facility_key", "left", FACILITY_BROADCAST_ROWS, size_of=facility)
     return (j.withColumn(out, F.coalesce(F.col("facility_name"), F.lit("")))
              .drop("_fkey", "facility_key", *([] if out == "facility_name" else ["facility_name"])))
 

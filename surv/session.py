@@ -102,7 +102,8 @@ SALT_BUCKETS = 32
 
 
 def bounded_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key: str, how: str = "left",
-                 max_rows: int = 200_000, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                 max_rows: int = 200_000, salt_buckets: int = SALT_BUCKETS,
+                 size_of: DataFrame | None = None) -> DataFrame:
     """Join a (possibly huge, possibly skewed) fact to a dimension.
 
     * dimension within ``max_rows`` (checked): broadcast hash join, no shuffle;
@@ -110,9 +111,13 @@ def bounded_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key: str, how: s
       deterministic hash of the row (stable across task retries), the
       dimension is replicated once per salt value, and the join is on
       (key, salt): a key holding a third of all rows is split over
-      ``salt_buckets`` reducers instead of landing in one task."""
+      ``salt_buckets`` reducers instead of landing in one task.
+
+    ``size_of`` is a frame whose row count bounds ``dim``'s (the dimension a
+    projection, filter or aggregate was taken from): checking it once serves
+    every derived shape."""
     fk = F.col(fact_key) if isinstance(fact_key, str) else fact_key
-    if within_rows(dim, max_rows):
+    if within_rows(size_of if size_of is not None else dim, max_rows):
         return fact.join(F.broadcast(dim), fk == F.col(dim_key), how)
     cols = [F.col(f"`{c}`") for c in fact.columns]
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)))
