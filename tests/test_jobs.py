@@ -51,3 +51,16 @@ def test_incremental_runs_overlap_and_marks(spark, tmp):
     assert runs.filter("status = 'success'").count() == 2
     assert spark.read.parquet(f"{wh}/_state").first().last_success_date == r2["max_date"]
     assert os.path.isdir(f"{wh}/_raw/json")
+
+
+def test_incremental_failure_keeps_mark(spark, tmp):
+    import pytest
+    wh = f"{tmp}/wh3"
+    p1 = _extract(spark, tmp, "f1", F.col("DT_NOTIFIC") < "1995-06-01")
+    r1 = J.incremental_run(spark, "json", p1, wh, fallback_year=1990, multiline=False, normalize=False)
+    with pytest.raises(RuntimeError):
+        J.incremental_run(spark, "xml-ish", p1, wh)          # unknown source kind -> failed run
+    runs = spark.read.parquet(f"{wh}/_runs")
+    assert runs.filter("status = 'failed'").count() == 1
+    assert spark.read.parquet(f"{wh}/_state").first().last_success_date == r1["max_date"]
+    assert spark.read.parquet(f"{wh}/fact").count() == r1["rows"]
