@@ -19,6 +19,15 @@ from surv.operators import scope as S
 from surv.roles import Roles
 
 
+def empty(f: DataFrame, schema: str) -> DataFrame:
+    """A typed empty result (the reference returns an empty frame when an
+    optional source column is absent).  Built from ``f`` with LIMIT 0, so it
+    reads nothing."""
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    return f.limit(0).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in st.fields])
+
+
 def _ym(r: Roles) -> list[Column]:
     d = r.c("notified_on")
     return [X.year_of(d).alias("year"), X.month_start(d).alias("month_start")]
@@ -115,7 +124,11 @@ def _focus(f, r, territory, place, cls, since):
 
 def cases_by_sex(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                  cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
-    """Cases by normalised sex, most frequent first."""
+    """Cases by normalised sex, most frequent first (empty when the fact
+    has no sex column)."""
+    r = r.bind(f)
+    if not r.has("sex_raw"):
+        return empty(f, "sex string, cases bigint")
     return (_focus(f, r, territory, place, cls, since)
             .groupBy(X.ni(r.c("sex_raw")).alias("sex"))
             .agg(F.count(F.lit(1)).alias("cases"))
@@ -139,7 +152,11 @@ def top_facilities(f: DataFrame, r: Roles, territory: DataFrame, facility: DataF
     """Top-N notifying facilities with their best name.
 
     Ties are broken by facility code (T19) so the cut is deterministic.
+    Empty when the fact has no facility column.
     """
+    r = r.bind(f)
+    if not r.has("facility_raw"):
+        return empty(f, "facility string, facility_name string, cases bigint")
     agg = _facility_counts(_focus(f, r, territory, place, cls, since), r, facility, [])
     agg = agg.groupBy("facility", "facility_name").agg(F.sum("cases").cast("bigint").alias("cases"))
     return agg.orderBy(F.desc("cases"), F.asc("facility")).limit(top_n)
@@ -149,6 +166,9 @@ def facilities_monthly(f: DataFrame, r: Roles, territory: DataFrame, facility: D
                        place: str, cls: Sequence[str] | None = None,
                        since: str | None = None) -> DataFrame:
     """Facilities by month (month ascending, cases descending)."""
+    r = r.bind(f)
+    if not r.has("facility_raw"):
+        return empty(f, "year int, month_start date, facility string, facility_name string, cases bigint")
     agg = _facility_counts(_focus(f, r, territory, place, cls, since), r, facility, _ym(r))
     agg = (agg.groupBy("year", "month_start", "facility", "facility_name")
               .agg(F.sum("cases").cast("bigint").alias("cases")))
@@ -157,7 +177,11 @@ def facilities_monthly(f: DataFrame, r: Roles, territory: DataFrame, facility: D
 
 def mean_epi_week(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                   cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
-    """Mean epidemiological week in 1..53, rounded half-up to int."""
+    """Mean epidemiological week in 1..53, rounded half-up to int
+    (empty when the fact has no week column)."""
+    r = r.bind(f)
+    if not r.has("week_raw"):
+        return empty(f, "week_mean int")
     wk = X.epi_week(r.c("week_raw"))
     return (_focus(f, r, territory, place, cls, since)
             .select(wk.alias("week")).filter(F.col("week").between(1, 53))  # C15
@@ -166,7 +190,11 @@ def mean_epi_week(f: DataFrame, r: Roles, territory: DataFrame, place: str,
 
 def hospitalisations_monthly(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                              cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
-    """Hospitalisations per month; months with zero are kept."""
+    """Hospitalisations per month; months with zero are kept (empty when
+    the fact has no hospitalisation column)."""
+    r = r.bind(f)
+    if not r.has("hosp_raw"):
+        return empty(f, "month_start date, hospitalisations bigint")
     return (_focus(f, r, territory, place, cls, since)
             .groupBy(X.month_start(r.c("notified_on")).alias("month_start"))
             .agg(F.count_if(X.yes_flag(r.c("hosp_raw"))).alias("hospitalisations"))
@@ -246,11 +274,14 @@ def three_scope_series(f: DataFrame, r: Roles, territory: DataFrame, place: str,
 
 def _status_frame(f, r, territory, place, cls, since):
     """Case-level columns behind the period and last-month cards."""
+    r = r.bind(f)
     g = _focus(f, r, territory, place, cls, since)
+    # no hospitalisation column: the card is NULL, not 0 (count_if of NULL)
+    hosp = X.yes_flag(r.c("hosp_raw")) if r.has("hosp_raw") else F.lit(None).cast("boolean")
+    outcome = X.ni(r.c("outcome_raw")) if r.has("outcome_raw") else F.lit(None).cast("string")
     return g.select(X.month_start(r.c("notified_on")).alias("month_start"),
                     X.ni(r.c("class_raw")).alias("classification"),
-                    X.ni(r.c("outcome_raw")).alias("outcome"),
-                    X.yes_flag(r.c("hosp_raw")).alias("hosp"))
+                    outcome.alias("outcome"), hosp.alias("hosp"))
 
 
 def period_cards(f: DataFrame, r: Roles, territory: DataFrame, place: str,
@@ -268,7 +299,7 @@ def period_cards(f: DataFrame, r: Roles, territory: DataFrame, place: str,
               F.count_if(cls_c.isin(*K.DISCARDED_CODES)).alias("discarded"),
               F.count_if(cls_c.isin(*K.INCONCLUSIVE_CODES)).alias("inconclusive"),
               F.count_if(F.col("outcome").isin(*K.DEATH_CODES_CARDS)).alias("deaths"),
-              F.count_if("hosp").alias("hospitalisations"))
+              F.when(F.count("hosp") > 0, F.count_if("hosp")).alias("hospitalisations"))
     return a.select(
         "confirmed", "notified", "deaths", "hospitalisations",
         X.guarded_ratio("confirmed", pop, K.PER_100K).alias("incidence_100k"),

@@ -132,7 +132,12 @@ def scope_shares_one_scan(demo_scopes: DataFrame, key: Column, key_name: str) ->
 def comorbidities_monthly(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                           cls: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
     """Per-month comorbidity counts, computed wide in one aggregate and
-    returned long (month, comorbidity, cases)."""
+    returned long (month, comorbidity, cases); empty without any comorbidity
+    column."""
+    r = r.bind(f)
+    if not r.comorbidities:
+        from surv.operators.counts import empty
+        return empty(f, "year int, month_start date, comorbidity string, cases bigint")
     g = _focus(f, r, territory, place, cls, since)
     d = r.c("notified_on")
     sums = [F.sum(X.as_int_flag(X.yes_flag(F.col(c)))).cast("bigint").alias(f"_c{i}")
