@@ -20,17 +20,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surv.session import bounded_join, materialize, within_rows
+from surv.session import bounded_join, materialize, target_partitions, within_rows
 
 _LOW33 = (1 << 33) - 1
 GLOBAL_WINDOW_MAX_ROWS = 1_000_000
 TIE_TABLE_BROADCAST_ROWS = 1_000_000
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _sorted(order: Sequence[tuple[Column, bool]]) -> list[Column]:
     return [c.desc() if d else c.asc() for c, d in order]
 
@@ -46,7 +42,7 @@ def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str
     keys = [c.alias(f"_rk{i}") for i, (c, _) in enumerate(order)]
     sort = [F.col(f"_rk{i}").desc() if d else F.col(f"_rk{i}").asc() for i, (_, d) in enumerate(order)]
     kn = [f"_rk{i}" for i in range(len(order))]
-    x = (df.select("*", *keys).repartitionByRange(_partitions(df), *sort).sortWithinPartitions(*sort)
+    x = (df.select("*", *keys).repartitionByRange(target_partitions(df), *sort).sortWithinPartitions(*sort)
          .withColumn("_mid", F.monotonically_increasing_id()))
     # monotonically_increasing_id = partition id << 33 | row index in the partition
     x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_lrn", F.col("_mid").bitwiseAND(_LOW33) + 1)

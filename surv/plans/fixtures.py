@@ -160,8 +160,9 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
                 tmp = f"{path}.tmp-{uuid.uuid4().hex}"
                 # range on (date, id): rows without a date spread by id instead
                 # of piling into one partition
-                (cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
-                 .repartitionByRange("notified_on", "case_id")
+                from surv.session import target_partitions
+                plan = cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
+                (plan.repartitionByRange(target_partitions(plan), "notified_on", "case_id")
                  .sortWithinPartitions("notified_on", "case_id")
                  .write.mode("overwrite").partitionBy("notified_year").parquet(tmp))
                 jvm = spark.sparkContext._jvm

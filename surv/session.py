@@ -14,6 +14,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE coalesces/splits shuffle partitions towards this size
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
@@ -73,6 +75,22 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES,
+                      max_partitions: int = 200_000) -> int:
+    """Partition count for an explicit repartition, from Catalyst's size
+    estimate of ``df`` (no job runs): about ``bytes_per_partition`` each,
+    never fewer than ``spark.sql.shuffle.partitions``."""
+    floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: keep the session setting
+        return floor_n
+    return max(floor_n, min(max_partitions, -(-est // bytes_per_partition)))
+
+
 _BOUND_CACHE: dict[tuple[int, int], bool] = {}
 
 
