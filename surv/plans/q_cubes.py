@@ -272,3 +272,13 @@ def j08_e26(spark, sf):
 def j08_e27(spark, sf):
     c = ctx(spark, sf)
     return CU.cubes_from_base(_base(c), c.t)["month_place_class_facility"]
+
+
+# The analytic view carries a NULL hospitalisation column, so the
+# reference's table always reports 0 hospitalisations; real_hosp=False mimics it.
+@register("e24_monthly_indicators_null_hosp", ORACLE["e24_monthly_indicators"]
+          .replace(f"COUNT(*) FILTER (WHERE {NI('hosp_raw')} = '1') AS hospitalisations",
+                   "CAST(0 AS BIGINT) AS hospitalisations"), raw_sql=True)
+def e24_null_hosp(spark, sf):
+    c = ctx(spark, sf)
+    return CU.monthly_indicators(c.f, c.r, c.t, real_hosp=False)
