@@ -80,22 +80,23 @@ def a09(spark, sf):
 
 _WIN_SQL = """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INTEGER) AS year,
-  CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-01-01' AND o_orderkey % 3 <> 0 THEN o_totalprice + 1
+  CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-01-01' AND o_orderstatus <> 'F' THEN o_totalprice + 1
        ELSE o_totalprice END AS price
-FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01' OR o_orderkey % 3 <> 0"""
+FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01' OR o_orderstatus <> 'F'"""
 
 
 @register("a13_window_replace", _WIN_SQL, raw_sql=True)
 def a13(spark, sf):
     """Load all orders, then re-deliver the window from 1998-01-01 with new
-    prices and without the cancelled keys (key % 3 = 0): the window is
-    replaced, everything before it is kept."""
+    prices and without the orders of status 'F' (withdrawn in the new
+    extract): the window is replaced, everything before it is kept."""
     t = W.staging_path(spark, "a13-table")
     o = FX.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"),
-                                             F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price"))
-    INC.replace_date_window(spark, o, t, "d", "1900-01-01")
-    new = o.filter((F.col("d") >= "1998-01-01") & (F.col("o_orderkey") % 3 != 0)) \
-           .withColumn("price", F.col("price") + 1)
+                                             F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price"),
+                                             "o_orderstatus")
+    INC.replace_date_window(spark, o.drop("o_orderstatus"), t, "d", "1900-01-01")
+    new = o.filter((F.col("d") >= "1998-01-01") & (F.col("o_orderstatus") != "F")) \
+           .withColumn("price", F.col("price") + 1).drop("o_orderstatus")
     INC.replace_date_window(spark, new, t, "d", "1998-01-01")
     return spark.read.parquet(t).select("o_orderkey", "d", "year", "price")
 
@@ -103,14 +104,16 @@ def a13(spark, sf):
 @register("j07_reload_years", """
 SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year,
   CASE WHEN year(o_orderdate) = 1997 THEN o_totalprice * 2 ELSE o_totalprice END AS price
-FROM orders WHERE year(o_orderdate) <> 1997 OR o_orderkey % 2 = 0""", raw_sql=True)
+FROM orders WHERE year(o_orderdate) <> 1997 OR o_orderpriority IN ('1-URGENT', '2-HIGH')""", raw_sql=True)
 def j07(spark, sf):
-    """Load every year, then reload 1997 from a corrected extract (even keys,
-    doubled prices): only that year's partition changes."""
+    """Load every year, then reload 1997 from a corrected extract (urgent and
+    high-priority orders only, doubled prices): only that year's partition
+    changes."""
     t = W.staging_path(spark, "j07-table")
     o = FX.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"),
-                                             F.col("o_totalprice").alias("price"))
-    INC.reload_years(spark, o, t)
-    fix = o.filter((F.col("year") == 1997) & (F.col("o_orderkey") % 2 == 0)).withColumn("price", F.col("price") * 2)
+                                             F.col("o_totalprice").alias("price"), "o_orderpriority")
+    INC.reload_years(spark, o.drop("o_orderpriority"), t)
+    fix = (o.filter((F.col("year") == 1997) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+            .withColumn("price", F.col("price") * 2).drop("o_orderpriority"))
     INC.reload_years(spark, fix, t)
     return spark.read.parquet(t).select("o_orderkey", "year", "price")

@@ -292,16 +292,19 @@ def a18(spark, sf):
 
 
 # ---- 2D / 2H joins and set operations -------------------------------------------------------------
-_OLD = "SELECT * FROM customer WHERE c_custkey % 10 <> 0"
-_NEW = ("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END "
-        "AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0")
+# Two snapshots of the customer table: the old one lacks the MACHINERY
+# segment (those rows are new later), the new one lacks HOUSEHOLD (removed)
+# and carries updated balances for BUILDING (changed).
+_OLD = "SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY'"
+_NEW = ("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 "
+        "ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'")
 
 
 def _old_new(spark, sf):
     cu = FX.table(spark, sf, "customer")
-    old = cu.filter(F.col("c_custkey") % 10 != 0)
-    new = cu.filter(F.col("c_custkey") % 7 != 0).withColumn(
-        "c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    old = cu.filter(F.col("c_mktsegment") != "MACHINERY")
+    new = cu.filter(F.col("c_mktsegment") != "HOUSEHOLD").withColumn(
+        "c_acctbal", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
     return old, new
 
 
@@ -317,16 +320,18 @@ def d10(spark, sf):
 
 @register("d13_upsert_keep_old", f"""
 WITH o AS ({_OLD}), n0 AS ({_NEW}),
-n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey, c_acctbal,
-      CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM n0)
+n AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN NULL ELSE c_name END AS c_name, c_nationkey,
+      c_acctbal, CASE WHEN c_mktsegment = 'FURNITURE' THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM n0)
 SELECT COALESCE(n.c_custkey, o.c_custkey) AS c_custkey, COALESCE(n.c_name, o.c_name) AS c_name,
   COALESCE(n.c_nationkey, o.c_nationkey) AS c_nationkey, COALESCE(n.c_acctbal, o.c_acctbal) AS c_acctbal,
   COALESCE(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment
 FROM o FULL OUTER JOIN n ON o.c_custkey = n.c_custkey""", raw_sql=True)
 def d13(spark, sf):
     old, new = _old_new(spark, sf)
-    new = (new.withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(F.col("c_name")))
-              .withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))))
+    # the new extract misses some fields (NULL): the old values must survive
+    new = (new.withColumn("c_name", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(None)).otherwise(F.col("c_name")))
+              .withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "FURNITURE", F.lit(None))
+                          .otherwise(F.col("c_mktsegment"))))
     return INC.upsert_keep_old(old, new, ["c_custkey"])
 
 
