@@ -113,3 +113,58 @@ def backfill_years(spark: SparkSession, files: Sequence[tuple[int, str]], kind:
     out["reconciliation"] = Q.reconcile_years(log_rows, C.rows_per_year_by_date(fact, roles),
                                               C.rows_per_year_by_text(fact, roles), y0, y1)
     return out
+
+
+# ---- maintenance jobs (dimension loads and reports) ---------------------------------
+def load_municipality_dimension(spark: SparkSession, csv_path: str, out_path: str) -> int:
+    """A01 + B23 + A14: census CSV -> municipality dimension, full refresh."""
+    dim = B.conform_municipalities(R.read_csv(spark, csv_path))
+    return W.refresh_dimension(spark, dim, out_path)
+
+
+def load_facility_dimension(spark: SparkSession, snapshots_base: str, out_path: str) -> int:
+    """A09 + A02 + B24 + A14: latest period's facility file -> dimension.
+    The period folder is chosen on the listing (metadata), then the file is
+    read with the dialect fallback."""
+    periods = sorted(W.partition_dirs(spark, snapshots_base, "period"))
+    if not periods:
+        raise ValueError(f"no period=... folders under {snapshots_base}")
+    raw = R.read_csv_dialect(spark, f"{snapshots_base.rstrip('/')}/period={periods[-1]}",
+                             B.FACILITY_ALIASES["cnes"])
+    return W.refresh_dimension(spark, B.conform_facilities(raw), out_path)
+
+
+def field_validity_report(spark: SparkSession, fact: DataFrame, territory: DataFrame, place: str,
+                          out_csv: str, roles: Roles = NATIVE_ROLES, state_codes=None) -> DataFrame:
+    """E35-E37 + A15: field validity of the place scope, written as CSV."""
+    from surv.functions import codes as K
+    from surv.operators import scope as S
+    g = S.place_scope(S.notified(fact, roles), roles, territory, place, state_codes or K.FOCUS_STATE_CODES)
+    rep = Q.field_validity(g, roles.bind(fact)).orderBy("group", "field")
+    W.write_report_csv(rep, out_csv)
+    return rep
+
+
+def reconciliation_report(spark: SparkSession, fact: DataFrame, load_log: str, y0: int, y1: int,
+                          out_csv: str, roles: Roles = NATIVE_ROLES,
+                          tolerance_abs: int = 7000, tolerance_pct: float = 0.5) -> DataFrame:
+    """A16 + D11 + J09 + A15: loaded rows from the load log vs the table."""
+    rep = Q.reconcile_years(R.read_load_log(spark, load_log), C.rows_per_year_by_date(fact, roles, y0, y1),
+                            C.rows_per_year_by_text(fact, roles, y0, y1), y0, y1,
+                            tolerance_abs, tolerance_pct).orderBy("year")
+    W.write_report_csv(rep, out_csv)
+    return rep
+
+
+def schema_audit_report(spark: SparkSession, raw: DataFrame, table: DataFrame, out_csv: str) -> DataFrame:
+    """K07 + A15: source fields (after B09) vs the conform spec's inputs vs
+    its outputs vs the stored table."""
+    cleaned = B.default_clean(raw)
+    mapper_inputs = sorted({s for _, srcs, _, _ in B.FACT_TYPED for s in srcs}
+                           | set(B.RAW_DATE_COLUMNS) | set(B.RAW_TEXT_COLUMNS) | {"municipio", "id_municip",
+                                                                                   "sg_uf_not", "sg_uf"})
+    out_cols = B.conform_fact(cleaned).columns
+    rep = Q.schema_coverage(spark, cleaned.columns, mapper_inputs, out_cols, table,
+                            aliases={"resul_pcr_": ["resul_pcr"]}).orderBy("name")
+    W.write_report_csv(rep, out_csv)
+    return rep

@@ -64,3 +64,52 @@ def test_incremental_failure_keeps_mark(spark, tmp):
     assert runs.filter("status = 'failed'").count() == 1
     assert spark.read.parquet(f"{wh}/_state").first().last_success_date == r1["max_date"]
     assert spark.read.parquet(f"{wh}/fact").count() == r1["rows"]
+
+
+def test_panels_facade_routes_to_cubes(spark, tmp):
+    from surv.operators import cubes as CU
+    from surv.plans.panels import Panels
+    f, t, fac = FX.cases(spark, SF_SMALL), FX.territory(spark, SF_SMALL), FX.facility(spark, SF_SMALL)
+    plain = Panels(f, FIXTURE_ROLES, t, fac)
+    CU.refresh_cubes(f, FIXTURE_ROLES, t, f"{tmp}/cubes")
+    cubed = Panels(f, FIXTURE_ROLES, t, fac, cube_base=f"{tmp}/cubes")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert rows(plain.cases_month_state(since="1996-01-01")) == rows(cubed.cases_month_state(since="1996-01-01"))
+    assert rows(plain.focus_monthly(FX.FOCUS_PLACE)) == rows(cubed.focus_monthly(FX.FOCUS_PLACE))
+    assert rows(plain.top_facilities(FX.FOCUS_PLACE)) == rows(cubed.top_facilities(FX.FOCUS_PLACE))
+    assert plain.facility_risk(FX.FOCUS_PLACE).count() > 0
+    assert plain.clinical_extract(FX.FOCUS_PLACE).count() == plain.evaluation_extract(FX.FOCUS_PLACE).count()
+
+
+def test_maintenance_reports(spark, tmp):
+    p = _extract(spark, tmp, "rep", F.col("DT_NOTIFIC") < "1997-01-01")
+    raw = spark.read.json(p)
+    fact = J.conform_batch(raw)
+    t = FX.territory(spark, SF_SMALL)
+    v = J.field_validity_report(spark, fact, t, FX.FOCUS_PLACE, f"{tmp}/validity.csv")
+    assert v.filter("status = 'COLUNA_AUSENTE'").count() == 0 and v.count() > 10
+    log = f"{tmp}/load.log"
+    n95 = fact.filter(F.year("data_notificacao") == 1995).count()
+    open(log, "w").write(f"Arquivo concluido: {n95} linhas carregadas (DENGBR95.json)\n")
+    rec = {r.year: r.status for r in J.reconciliation_report(spark, fact, log, 2095, 2095, f"{tmp}/rec.csv",
+                                                             tolerance_abs=0, tolerance_pct=0).collect()}
+    assert rec == {2095: "DIVERGENTE"}   # the log's 2-digit year maps to 20yy
+    a = J.schema_audit_report(spark, raw, fact, f"{tmp}/audit.csv")
+    st = {r.name: r.status for r in a.collect()}
+    assert st["dt_notific"] == "OK" and st["data_notificacao"] == "OK"
+
+
+def test_dimension_load_jobs(spark, tmp):
+    csv = f"{tmp}/mun.csv"
+    open(csv, "w", encoding="utf-8").write(
+        "Código do Município,Nome do Município,Código do Estado,Nome do Estado,Total de pessoas\n"
+        "3300159,Vila Nova,33,Rio de Janeiro,\"1.234\"\n3300209,Outra,33,Rio de Janeiro,10\n")
+    assert J.load_municipality_dimension(spark, csv, f"{tmp}/dim_mun") == 2
+    base = f"{tmp}/cnes"
+    os.makedirs(f"{base}/period=202401")
+    os.makedirs(f"{base}/period=202403")
+    open(f"{base}/period=202401/a.csv", "wb").write("CNES;NOME\n1;Old\n".encode("latin1"))
+    open(f"{base}/period=202403/b.csv", "wb").write("CO_CNES;NO_FANTASIA\n1;Nova Unidade\n2;Posto\n".encode("latin1"))
+    assert J.load_facility_dimension(spark, base, f"{tmp}/dim_fac") == 2
+    got = {r.cnes: r.nome_fantasia for r in spark.read.parquet(f"{tmp}/dim_fac").collect()}
+    assert got == {"0000001": "Nova Unidade", "0000002": "Posto"}
