@@ -59,8 +59,10 @@ def top_profile(f: DataFrame, r: Roles, territory: DataFrame, place: str,
     w = Window.partitionBy("field").orderBy(F.col("value_raw").isNull(), F.desc("cases"),
                                             F.asc("value_raw"))
     top = agg.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return top.select("field", "value_raw",
-                      F.when(F.col("value_raw").isNotNull(), F.col("cases")).alias("cases"))
+    top = top.select("field", "value_raw", F.when(F.col("value_raw").isNotNull(), F.col("cases")).alias("cases"))
+    # one row per field even when the scope is empty (field names: metadata)
+    names = f.sparkSession.createDataFrame([(n,) for n, _, _ in fields], "field string")
+    return names.join(F.broadcast(top), "field", "left")
 
 
 # ---- E19 / E21 demographic series ------------------------------------------
