@@ -10,4 +10,4 @@ from surv.plans.registry import ORACLE, QUERIES  # noqa: F401
 def flagship(spark, sf_dir):
     """E24, the monthly indicator table: scan, dirty-code normalisation,
     multi-metric aggregate, size-checked broadcast join, guarded ratios."""
-    return QUERIES["e24_monthly_indicators"](spark, sf_dir)
+    return QUERIES["e24_d05_monthly_indicators"](spark, sf_dir)

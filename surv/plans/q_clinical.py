@@ -128,7 +128,7 @@ def e56(spark, sf):
     return CL.tested_share_monthly(_clin(c), c.r)
 
 
-@register("e57_serotype_counts", _EXT + """
+@register("e57_c20_serotype_counts", _EXT + """
 SELECT 'DEN ' || trim(serotype_raw) AS serotype, COUNT(*) AS cases FROM ext
 WHERE trim(serotype_raw) IN ('1','2','3','4') GROUP BY 1""")
 def e57(spark, sf):
@@ -259,7 +259,7 @@ def e65(spark, sf):
     return EV.missing_rates(_eval(c), c.r)
 
 
-@register("e66_delay_bands", _EV + f"""
+@register("e66_g06_delay_bands", _EV + f"""
 , b AS (SELECT CASE WHEN {_CD} <= 3 THEN '0-3' WHEN {_CD} <= 7 THEN '4-7' WHEN {_CD} <= 15 THEN '8-15' ELSE '+15' END
    AS band FROM ev WHERE {_CD} BETWEEN 0 AND 365)
 SELECT band, COUNT(*) AS cases, CASE band WHEN '0-3' THEN 0 WHEN '4-7' THEN 1 WHEN '8-15' THEN 2 ELSE 3 END AS band_order

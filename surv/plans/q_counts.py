@@ -18,7 +18,7 @@ def e01(spark, sf):
     return C.cases_per_year(c.f, c.r, CLS)
 
 
-@register("e02_cases_month_state", f"""
+@register("e02_c01_c02_c03_g01_cases_month_state", f"""
 SELECT {YEAR('notified_on')} AS year, {MONTH('notified_on')} AS month_start,
        {NI('state_raw')} AS state, COUNT(*) AS cases
 FROM cases f WHERE {BASE(None, SINCE)} GROUP BY 1, 2, 3""")
@@ -57,7 +57,7 @@ _CODE_MASK = (f"(upper(trim(f.place_raw)) = '{PLACE_CODE7}' OR starts_with(upper
               f"'{PLACE_CODE7[:6]}') OR upper(trim(f.place_raw)) = upper('{PLACE}'))")
 
 
-@register("e06_focus_monthly_by_code", f"""
+@register("e06_c07_focus_monthly_by_code", f"""
 SELECT {YEAR('notified_on')} AS year, {MONTH('notified_on')} AS month_start, COUNT(*) AS cases
 FROM cases f WHERE {BASE(CLS)} AND {NI('f.state_raw')} IN ('RJ', '33') AND {_CODE_MASK}
 GROUP BY 1, 2""")
@@ -66,7 +66,7 @@ def e06(spark, sf):
     return C.focus_monthly_by_code(c.f, c.r, PLACE_CODE7, PLACE, CLS)
 
 
-@register("e07_focus_monthly", f"""
+@register("e07_c04_c06_d02_focus_monthly", f"""
 SELECT {YEAR('f.notified_on')} AS year, {MONTH('f.notified_on')} AS month_start, COUNT(*) AS cases
 {FOCUS_FROM(None, SINCE)} GROUP BY 1, 2""")
 def e07(spark, sf):
@@ -74,7 +74,7 @@ def e07(spark, sf):
     return C.focus_monthly(c.f, c.r, c.t, PLACE, since=SINCE)
 
 
-@register("e08_focus_status_by_code", f"""
+@register("e08_c07_focus_status_by_code", f"""
 SELECT {YEAR('notified_on')} AS year, {MONTH('notified_on')} AS month_start,
        {NI('class_raw')} AS classification, {NI('outcome_raw')} AS outcome, COUNT(*) AS cases
 FROM cases f WHERE {BASE()} AND {NI('f.state_raw')} IN ('RJ', '33') AND {_CODE_MASK}
@@ -103,7 +103,7 @@ def e10(spark, sf):
     return C.population_refs(c.t, PLACE)
 
 
-@register("e11_cases_by_sex", f"""
+@register("e11_g02_cases_by_sex", f"""
 SELECT {NI('f.sex_raw')} AS sex, COUNT(*) AS cases {FOCUS_FROM(None, SINCE)} GROUP BY 1""")
 def e11(spark, sf):
     c = ctx(spark, sf)
@@ -128,7 +128,7 @@ def _focus_from_fac(cls=None, since=None):
     return f"{frm} {_FAC_JOIN} WHERE {where}"
 
 
-@register("e12_top_facilities", _FAC_DIM + f"""
+@register("e12_d04_g04_top_facilities", _FAC_DIM + f"""
 , agg AS (
 SELECT {NI('f.facility_raw')} AS facility, {_FAC_NAME} AS facility_name, COUNT(*) AS cases
 {_focus_from_fac(CLS)} GROUP BY 1, 2)
@@ -138,7 +138,7 @@ def e12(spark, sf):
     return C.top_facilities(c.f, c.r, c.t, c.fac, PLACE, CLS, top_n=10)
 
 
-@register("e13_facilities_monthly", _FAC_DIM + f"""
+@register("e13_g03_facilities_monthly", _FAC_DIM + f"""
 SELECT {YEAR('f.notified_on')} AS year, {MONTH('f.notified_on')} AS month_start,
        {NI('f.facility_raw')} AS facility, {_FAC_NAME} AS facility_name, COUNT(*) AS cases
 {_focus_from_fac(None, SINCE)} GROUP BY 1, 2, 3, 4""")
@@ -147,7 +147,7 @@ def e13(spark, sf):
     return C.facilities_monthly(c.f, c.r, c.t, c.fac, PLACE, since=SINCE)
 
 
-@register("e14_mean_epi_week", f"""
+@register("e14_c15_i07_mean_epi_week", f"""
 , b AS (SELECT CASE WHEN f.week_raw IS NULL THEN NULL ELSE CAST(right(lpad(regexp_replace(
         CAST(f.week_raw AS VARCHAR), '[^0-9]', '', 'g'), 6, '0'), 2) AS INTEGER) END AS week
         {FOCUS_FROM(CLS)})
@@ -180,7 +180,7 @@ SELECT b.year, b.month_start, b.state, b.place_code, COALESCE(d.place_name, b.pl
 FROM b LEFT JOIN territory d ON ({CODE6('b.place_code')}) = d.code6"""
 
 
-@register("e16_state_places_enriched", _enriched_sql(CLS, None, True))
+@register("e16_d03_state_places_enriched", _enriched_sql(CLS, None, True))
 def e16(spark, sf):
     c = ctx(spark, sf)
     return C.state_places_enriched(c.f, c.r, c.t, CLS)
@@ -220,7 +220,7 @@ def e31(spark, sf):
 _POP = f"(SELECT sum(population) FROM territory WHERE upper(place_name) = upper('{PLACE}'))"
 
 
-@register("e32_three_scope_series", f"""
+@register("e32_h01_three_scope_series", f"""
 , ms AS (SELECT {MONTH('notified_on')} AS month_start, {NI('state_raw')} AS state, COUNT(*) AS cases
          FROM cases f WHERE {BASE(CLS)} GROUP BY 1, 2),
 mun AS (SELECT {MONTH('f.notified_on')} AS month_start, COUNT(*) AS cases {FOCUS_FROM(CLS)} GROUP BY 1),
@@ -294,7 +294,7 @@ def e34(spark, sf):
     return C.last_month_cards(c.f, c.r, c.t, PLACE, since=SINCE)
 
 
-@register("e37_rows_in_scope", f"""
+@register("e37_c06_rows_in_scope", f"""
 SELECT COUNT(*) AS total {FOCUS_FROM()}""")
 def e37(spark, sf):
     c = ctx(spark, sf)

@@ -22,7 +22,7 @@ def _ratio(n, d, k):
 
 # E24 oracle follows the reference plan: row-level analytic fact (join), then
 # aggregate, then join the dimension again -- it checks the reordered plan.
-@register("e24_monthly_indicators", f"""
+@register("e24_d05_monthly_indicators", f"""
 , af AS (SELECT {YEAR('f.notified_on')} AS year, CAST(month(f.notified_on) AS INTEGER) AS month,
    {NI('f.state_raw')} AS state, COALESCE(t.place_name, {NI('f.place_raw', 'Municipio nao informado')}) AS place,
    ({CODE6('f.place_raw')}) AS code6, f.class_raw, f.outcome_raw, f.hosp_raw
@@ -118,7 +118,7 @@ def k08b(spark, sf):
     return CU.route_month_state(spark, c.f, c.r, ("1", "2", "5"), SINCE, cube=None)
 
 
-@register("b28_analytic_fact_profile", f"""
+@register("b28_d01_l05_analytic_fact_profile", f"""
 , af AS (SELECT {BASE()} AS ok, f.* FROM cases f)
 SELECT CAST(year(notified_on) AS INTEGER) AS year,
   CASE WHEN age IS NULL THEN 'Não informado' WHEN age <= 9 THEN '0 a 9' WHEN age BETWEEN 10 AND 19 THEN '10 a 19'
@@ -165,7 +165,7 @@ SELECT *, CASE WHEN total > 0 THEN round_even(CAST(valid AS DOUBLE) / CAST(total
 FROM l"""
 
 
-@register("e35_field_validity", _validity_sql())
+@register("e35_e36_c14_field_validity", _validity_sql())
 def e35(spark, sf):
     c = ctx(spark, sf)
     g = S.place_scope(S.notified(c.f, c.r), c.r, c.t, PLACE)
@@ -207,7 +207,7 @@ def _cube27(c):
     return CU.cube_month_place_class_facility(c.f, c.r, c.t)
 
 
-@register("k08_route_e07_cube", ORACLE["e07_focus_monthly"], raw_sql=True)
+@register("k08_route_e07_cube", ORACLE["e07_c04_c06_d02_focus_monthly"], raw_sql=True)
 def k08_e07(spark, sf):
     c = ctx(spark, sf)
     return CU.route_focus_monthly(spark, c.f, c.r, c.t, PLACE, since=SINCE, cube=_cube26(c))
@@ -219,13 +219,13 @@ def k08_e09(spark, sf):
     return CU.route_focus_status(spark, c.f, c.r, c.t, PLACE, CLS, cube=_cube26(c))
 
 
-@register("k08_route_e12_cube", ORACLE["e12_top_facilities"], raw_sql=True)
+@register("k08_route_e12_cube", ORACLE["e12_d04_g04_top_facilities"], raw_sql=True)
 def k08_e12(spark, sf):
     c = ctx(spark, sf)
     return CU.route_top_facilities(spark, c.f, c.r, c.t, c.fac, PLACE, CLS, top_n=10, cube=_cube27(c))
 
 
-@register("k08_route_e13_cube", ORACLE["e13_facilities_monthly"], raw_sql=True)
+@register("k08_route_e13_cube", ORACLE["e13_g03_facilities_monthly"], raw_sql=True)
 def k08_e13(spark, sf):
     c = ctx(spark, sf)
     return CU.route_facilities_monthly(spark, c.f, c.r, c.t, c.fac, PLACE, since=SINCE, cube=_cube27(c))
@@ -250,7 +250,7 @@ def _base(c):
     return CU.analytics_base(c.f, c.r)
 
 
-@register("j08_base_e24_monthly_indicators", ORACLE["e24_monthly_indicators"], raw_sql=True)
+@register("j08_base_e24_monthly_indicators", ORACLE["e24_d05_monthly_indicators"], raw_sql=True)
 def j08_e24(spark, sf):
     c = ctx(spark, sf)
     return CU.indicators_from_base(_base(c), c.t)
@@ -276,7 +276,7 @@ def j08_e27(spark, sf):
 
 # The analytic view carries a NULL hospitalisation column, so the
 # reference's table always reports 0 hospitalisations; real_hosp=False mimics it.
-@register("e24_monthly_indicators_null_hosp", ORACLE["e24_monthly_indicators"]
+@register("e24_monthly_indicators_null_hosp", ORACLE["e24_d05_monthly_indicators"]
           .replace(f"COUNT(*) FILTER (WHERE {NI('hosp_raw')} = '1') AS hospitalisations",
                    "CAST(0 AS BIGINT) AS hospitalisations"), raw_sql=True)
 def e24_null_hosp(spark, sf):

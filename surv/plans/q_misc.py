@@ -18,7 +18,7 @@ from surv.streaming import incremental as INC
 
 
 # ---- 2I scalar functions (row level over the whole fact) -----------------------------
-@register("i01_i04_date_parts_and_codes", f"""
+@register("i01_i02_i03_i04_i16_i17_date_parts_and_codes", f"""
 SELECT case_id, {YEAR('notified_on')} AS year, CAST(month(notified_on) AS INTEGER) AS month,
   {MONTH('notified_on')} AS month_start, {NI('state_raw')} AS state, ({CODE6('place_raw')}) AS code6,
   CAST(notified_on - INTERVAL 3 MONTH AS DATE) AS minus_3_months,
@@ -34,18 +34,20 @@ def i01(spark, sf):
                       X.days_between(d, c.r.c("onset_on")).alias("onset_days"))
 
 
-@register("i05_i07_facility_key_and_week", """
+@register("i05_i06_i07_facility_key_and_week", """
 SELECT case_id, lpad(regexp_replace(COALESCE(NULLIF(trim(facility_raw), ''), '0'), '[^0-9]', '', 'g'), 7, '0') AS facility_key,
   CASE WHEN week_raw IS NULL THEN NULL ELSE CAST(right(lpad(regexp_replace(week_raw, '[^0-9]', '', 'g'), 6, '0'), 2) AS INTEGER) END
-    AS epi_week
+    AS epi_week,
+  COALESCE(NULLIF(trim(facility_raw), ''), NULLIF(trim(place_raw), ''), '') AS first_name
 FROM cases""")
 def i05(spark, sf):
     c = ctx(spark, sf)
     return c.f.select("case_id", X.facility_key(c.r.c("facility_raw")).alias("facility_key"),
-                      X.epi_week(c.r.c("week_raw")).alias("epi_week"))
+                      X.epi_week(c.r.c("week_raw")).alias("epi_week"),
+                      X.first_nonblank(c.r.c("facility_raw"), c.r.c("place_raw"), default="").alias("first_name"))
 
 
-@register("i08_i11_age_and_flags", """
+@register("i08_i09_i10_i11_age_and_flags", """
 , a AS (SELECT case_id, CASE WHEN NULLIF(trim(age_raw), '') IS NULL THEN NULL
         WHEN NOT regexp_matches(age_raw, '^[0-9]+$') THEN NULL
         WHEN left(age_raw, 1) = '4' THEN TRY_CAST(NULLIF(substring(age_raw, 2), '') AS INTEGER)
@@ -101,7 +103,7 @@ def _self_sql(col: str, mapping: dict) -> str:
     return f"COALESCE(CASE trim({col}) {whens} END, trim({col}))"
 
 
-@register("i21_i23_decoders", f"""
+@register("i21_i22_i23_decoders", f"""
 SELECT case_id, {_decode_sql('class_raw', K.CLASSIFICATION_LABELS)} AS class_label,
   {_decode_sql('outcome_raw', K.OUTCOME_LABELS)} AS outcome_label,
   {_self_sql('pregnant_raw', K.PREGNANCY_TEXT)} AS pregnancy_text,
@@ -130,12 +132,13 @@ def i21(spark, sf):
 _MONTHS = " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(K.MONTH_NAMES_PT))
 
 
-@register("i24_i26_labels_and_widths", f"""
+@register("i19_i20_i24_i25_i26_labels_and_widths", f"""
 SELECT case_id, (CASE month(notified_on) {_MONTHS} END) || '/' || CAST(year(notified_on) AS VARCHAR) AS month_label,
   concat_ws(' + ', CASE WHEN trim(fever) = '1' THEN 'fever' END, CASE WHEN trim(headache) = '1' THEN 'headache' END)
     AS labels,
   substring(place_raw, 1, 4) AS place_4,
-  CASE WHEN CAST(closed_on AS DATE) IS NULL THEN NULL ELSE upper(trim(state_raw)) = 'RJ' END AS state_rj
+  CASE WHEN CAST(closed_on AS DATE) IS NULL THEN NULL ELSE upper(trim(state_raw)) = 'RJ' END AS state_rj,
+  starts_with(place_raw, '0330') AS place_prefix
 FROM cases""")
 def i24(spark, sf):
     c = ctx(spark, sf)
@@ -144,15 +147,18 @@ def i24(spark, sf):
                       X.join_labels([(F.trim("fever") == "1", "fever"), (F.trim("headache") == "1", "headache")])
                       .alias("labels"),
                       X.cut(r.c("place_raw"), 4).alias("place_4"),
-                      F.when(r.c("closed_on").isNotNull(), X.ci_equals(F.trim(r.c("state_raw")), "rj")).alias("state_rj"))
+                      F.when(r.c("closed_on").isNotNull(), X.ci_equals(F.trim(r.c("state_raw")), "rj")).alias("state_rj"),
+                      X.starts_with(r.c("place_raw"), "0330").alias("place_prefix"))
 
 
-@register("i14_i18_ratios_and_rounding", """
+@register("i14_i15_i18_ratios_and_rounding", """
 , m AS (SELECT CAST(date_trunc('month', notified_on) AS DATE) AS month_start, COUNT(*) AS n,
    COUNT(*) FILTER (WHERE trim(outcome_raw) = '2') AS d FROM cases WHERE notified_on IS NOT NULL GROUP BY 1)
 SELECT month_start, CASE WHEN n > 0 THEN CAST(d AS DOUBLE) / CAST(n AS DOUBLE) * 100.0 END AS lethality_pct,
   CAST(COALESCE(round_even(CAST(d AS DOUBLE) / 2.0, 0), 0) AS BIGINT) AS half_even,
-  CAST(round(CAST(d AS DOUBLE) / 2.0, 0) AS INTEGER) AS half_up
+  CAST(round(CAST(d AS DOUBLE) / 2.0, 0) AS INTEGER) AS half_up,
+  CASE WHEN n IS NOT NULL AND n <> 0 THEN (CAST(d AS DOUBLE) - CAST(n AS DOUBLE)) / CAST(n AS DOUBLE) * 100.0 END
+    AS delta_pct
 FROM m""")
 def i14(spark, sf):
     c = ctx(spark, sf)
@@ -160,7 +166,8 @@ def i14(spark, sf):
          .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("outcome_raw") == "2").alias("d")))
     return m.select("month_start", X.guarded_ratio("d", "n", 100).alias("lethality_pct"),
                     X.round_half_even_int(F.col("d") / 2.0).alias("half_even"),
-                    X.round_half_up_int(F.col("d") / 2.0).alias("half_up"))
+                    X.round_half_up_int(F.col("d") / 2.0).alias("half_up"),
+                    X.pct_delta("d", "n").alias("delta_pct"))
 
 
 # ---- 2C filters --------------------------------------------------------------------------------
@@ -373,7 +380,7 @@ def d09(spark, sf):
 
 
 # ---- 2J reconciliation and streaming extension ---------------------------------------------------
-@register("j09_reconcile_years", f"""
+@register("j09_d11_reconcile_years", f"""
 , lg AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS loaded_rows FROM orders GROUP BY 1),
 bd AS (SELECT {YEAR('notified_on')} AS year, COUNT(*) AS rows_by_date FROM cases WHERE notified_on IS NOT NULL GROUP BY 1),
 bt AS (SELECT TRY_CAST(trim(year_text) AS INTEGER) AS year, COUNT(*) AS rows_by_text FROM cases
@@ -412,7 +419,7 @@ def j12(spark, sf):
                                   file_glob="events.parquet")
 
 
-@register("k07_schema_coverage")
+@register("k07_d12_schema_coverage")
 def k07(spark, sf):
     """Which source fields the fact projection maps, produces and
     stores, with the stored table's non-null counts (rows-only check)."""

@@ -91,14 +91,14 @@ def _risk_sql(key: str) -> str:
     return _risk_ctes(key) + "SELECT * FROM risk"
 
 
-@register("f06_facility_growth", _FM + _growth_sql("lab", "facility_label") + "SELECT * FROM gr")
+@register("f06_d06_facility_growth", _FM + _growth_sql("lab", "facility_label") + "SELECT * FROM gr")
 def f06(spark, sf):
     c = ctx(spark, sf)
     fm = T.facility_labels(C.facilities_monthly(c.f, c.r, c.t, c.fac, PLACE, since=SINCE))
     return T.growth_table(fm, "facility_label")
 
 
-@register("f07_facility_risk", _FM + _growth_sql("lab", "facility_label") + _risk_sql("facility_label"))
+@register("f07_g05_facility_risk", _FM + _growth_sql("lab", "facility_label") + _risk_sql("facility_label"))
 def f07(spark, sf):
     c = ctx(spark, sf)
     return T.facility_risk(C.facilities_monthly(c.f, c.r, c.t, c.fac, PLACE, since=SINCE))
@@ -145,7 +145,7 @@ def f04(spark, sf):
     return T.with_previous_month(s)
 
 
-@register("f05_place_share_of_state", EN + """
+@register("f05_d07_place_share_of_state", EN + """
 , t AS (SELECT state, place_name, CAST(sum(cases) AS BIGINT) AS cases FROM en GROUP BY 1, 2)
 SELECT *, cases / sum(cases) OVER (PARTITION BY state) * 100.0 AS share_pct FROM t""")
 def f05(spark, sf):
@@ -209,7 +209,7 @@ def e70b(spark, sf):
     return T.two_place_summary(_en(ctx(spark, sf)), PLACE, OTHER_PLACE)
 
 
-@register("d08_last_n_months", f"""
+@register("d08_f08_last_n_months", f"""
 , ms AS (SELECT {MONTH('notified_on')} AS month_start, {NI('state_raw')} AS state, COUNT(*) AS cases
          FROM cases f WHERE notified_on IS NOT NULL GROUP BY 1, 2),
 ser AS (SELECT CASE WHEN state IN ('RJ', '33') THEN 'RJ' ELSE 'OTHER' END AS scope, month_start, cases FROM ms),
