@@ -45,7 +45,7 @@ def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, da
         if not new.isEmpty():
             new.write.mode("overwrite").partitionBy(part_col).parquet(table_path)
         return {"rewritten_partitions": 0}
-    old = spark.read.parquet(table_path)
+    old = spark.read.option("mergeSchema", True).parquet(table_path)
     win = _window(date_col, d0, d1)
     affected = (old.filter(win).select(part_col).union(new.select(part_col)).distinct())
     # the affected partition values are a handful of years: metadata, not data
@@ -53,13 +53,15 @@ def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, da
     if not years:
         return {"rewritten_partitions": 0}
     keep = old.filter(F.col(part_col).isin(*years) & ~win)
-    merged = keep.unionByName(new.select(*old.columns))
+    # A delivery with extra fields widens the table; partitions written
+    # earlier keep their files and read the new columns as NULL (mergeSchema)
+    merged = keep.unionByName(new, allowMissingColumns=True)
     staging = W.staging_path(spark, "window-replace")
     merged.write.mode("errorifexists").partitionBy(part_col).parquet(staging)
     left = set(W.partition_dirs(spark, staging, part_col))
     if left:
-        (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part_col).parquet(table_path))
+        (spark.read.option("mergeSchema", True).parquet(staging).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(table_path))
     # partitions emptied by the delete (no surviving or new rows) are removed
     for y in years:
         if str(y) not in left:

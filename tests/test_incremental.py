@@ -137,3 +137,14 @@ def test_validators(spark):
     Q.assert_unique(df, ["r_regionkey"])
     with pytest.raises(Q.ValidationError):
         Q.assert_unique(df.union(df), ["r_regionkey"])
+
+
+def test_window_replace_widens_schema(spark, tmp):
+    t = f"{tmp}/wide"
+    INC.replace_date_window(spark, rows(spark, [(1, D("2023-01-01"), 2023, "a"), (2, D("2024-01-05"), 2024, "b")]),
+                            t, "d", "2000-01-01")
+    new = spark.createDataFrame([(3, D("2024-01-06"), 2024, "c", "extra")],
+                                "id int, d date, year int, v string, new_field string")
+    INC.replace_date_window(spark, new, t, "d", "2024-01-01")
+    got = {r.id: r.new_field for r in spark.read.option("mergeSchema", True).parquet(t).collect()}
+    assert got == {1: None, 3: "extra"}
