@@ -23,7 +23,7 @@ _EXT = f"""
 """
 
 
-@register("e22_clinical_extract", _EXT + "SELECT * FROM ext")
+@register("e22_b19_clinical_extract", _EXT + "SELECT * FROM ext")
 def e22(spark, sf):
     return _clin(ctx(spark, sf))
 
@@ -176,7 +176,7 @@ _OD = "date_diff('day', onset_on, notified_on)"
 _CD = "date_diff('day', notified_on, closed_on)"
 
 
-@register("e23_evaluation_extract", _EV + "SELECT * FROM ev")
+@register("e23_b18_b19_evaluation_extract", _EV + "SELECT * FROM ev")
 def e23(spark, sf):
     return _eval(ctx(spark, sf))
 

@@ -309,7 +309,7 @@ def e38(spark, sf):
     return C.rows_per_year_by_date(c.f, c.r, 1996, 2000)
 
 
-@register("e39_rows_per_year_by_text", """
+@register("e39_c17_rows_per_year_by_text", """
 SELECT TRY_CAST(trim(year_text) AS INTEGER) AS year, COUNT(*) AS rows_by_text FROM cases
 WHERE regexp_matches(trim(year_text), '^[0-9]{4}$')
   AND TRY_CAST(trim(year_text) AS INTEGER) BETWEEN 1996 AND 2000 GROUP BY 1""")

@@ -22,11 +22,11 @@ def _text_sql(table: str, cols) -> str:
     return "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols) + f" FROM {table}"
 
 
-@register("a01_csv_round_trip", _text_sql("customer", _CUST), raw_sql=True)
+@register("a01_a07_csv_round_trip", _text_sql("customer", _CUST), raw_sql=True)
 def a01(spark, sf):
     p = W.staging_path(spark, "a01-csv")
     FX.table(spark, sf, "customer").select(*_CUST).write.option("header", True).csv(p)
-    return R.read_csv(spark, p)
+    return R.read_source(spark, "csv", p)
 
 
 @register("a02_csv_dialect_fallback", _text_sql("nation", ("n_nationkey", "n_name", "n_regionkey")), raw_sql=True)
@@ -37,23 +37,23 @@ def a02(spark, sf):
     return R.read_csv_dialect(spark, p, ["n_nationkey"])
 
 
-@register("a03_json_round_trip", """
+@register("a03_a07_json_round_trip", """
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
           raw_sql=True)
 def a03(spark, sf):
     p = W.staging_path(spark, "a03-json")
     FX.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority") \
         .write.json(p)
-    return R.read_json(spark, p, multiline=False).select("o_orderkey", "o_orderstatus", "o_totalprice",
-                                                         "o_orderpriority")
+    return R.read_source(spark, "json", p, multiline=False).select("o_orderkey", "o_orderstatus", "o_totalprice",
+                                                                   "o_orderpriority")
 
 
-@register("a06_xml_round_trip", _text_sql("supplier", ("s_suppkey", "s_name", "s_nationkey")), raw_sql=True)
+@register("a06_a07_xml_round_trip", _text_sql("supplier", ("s_suppkey", "s_name", "s_nationkey")), raw_sql=True)
 def a06(spark, sf):
     p = W.staging_path(spark, "a06-xml")
     (FX.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
      .write.format("xml").option("rowTag", "s").option("rootTag", "suppliers").save(p))
-    return R.read_xml(spark, p, row_tag="s").select("s_suppkey", "s_name", "s_nationkey")
+    return R.read_source(spark, "xml", p, row_tag="s").select("s_suppkey", "s_name", "s_nationkey")
 
 
 @register("a10_year_range_pruned", """
@@ -117,3 +117,17 @@ def j07(spark, sf):
             .withColumn("price", F.col("price") * 2).drop("o_orderpriority"))
     INC.reload_years(spark, fix, t)
     return spark.read.parquet(t).select("o_orderkey", "year", "price")
+
+
+@register("a19_year_from_file_name", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS source_year, COUNT(*) AS n FROM orders GROUP BY 1""", raw_sql=True)
+def a19(spark, sf):
+    """Orders written as one folder per year named like a portal resource
+    ('dengue-<year>'); the year comes back from each row's file path."""
+    base = W.staging_path(spark, "a19-files")
+    o = FX.table(spark, sf, "orders").select("o_orderkey",
+                                             F.concat(F.lit("dengue-"), F.year("o_orderdate")).alias("resource"))
+    o.write.partitionBy("resource").parquet(base)          # folders resource=dengue-<year>
+    back = R.with_source_file(spark.read.parquet(base).drop("resource"))
+    return (back.groupBy(R.year_from_name(F.col("source_file")).alias("source_year"))
+            .agg(F.count(F.lit(1)).alias("n")))
