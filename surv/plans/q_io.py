@@ -131,3 +131,35 @@ def a19(spark, sf):
     back = R.with_source_file(spark.read.parquet(base).drop("resource"))
     return (back.groupBy(R.year_from_name(F.col("source_file")).alias("source_year"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("a08_raw_snapshot", "SELECT * FROM nation", raw_sql=True)
+def a08(spark, sf):
+    """A raw batch persisted under <base>/<kind>/<name>_<timestamp> and read back."""
+    base = W.staging_path(spark, "a08-raw")
+    path = W.save_raw_snapshot(FX.table(spark, sf, "nation"), base, "json", "nation")
+    return spark.read.parquet(path)
+
+
+@register("a11_write_modes", "SELECT * FROM region UNION ALL SELECT * FROM region UNION ALL SELECT * FROM region",
+          raw_sql=True)
+def a11(spark, sf):
+    """append twice on top of an initial replace; an empty frame is a no-op."""
+    t = W.staging_path(spark, "a11-table")
+    r = FX.table(spark, sf, "region")
+    W.write_table(r, t, if_exists="replace")
+    W.write_table(r, t, if_exists="append")
+    W.write_table(r.limit(0), t, if_exists="append")
+    W.write_table(r, t, if_exists="append")
+    return spark.read.parquet(t)
+
+
+@register("a12_a14_truncate_and_load", "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'", raw_sql=True)
+def a12(spark, sf):
+    """Full refresh of a table from a subset: the earlier rows are gone,
+    the path was never read and written by the same job."""
+    t = W.staging_path(spark, "a12-table")
+    cu = FX.table(spark, sf, "customer")
+    W.refresh_dimension(spark, cu, t)
+    W.refresh_dimension(spark, cu.filter(F.col("c_mktsegment") == "BUILDING"), t)
+    return spark.read.parquet(t)
