@@ -16,6 +16,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # AQE coalesces/splits shuffle partitions towards this size
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # coalesce by size, not by core count: small results become few tasks
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
