@@ -93,21 +93,25 @@ def field_validity(scope_rows: DataFrame, r: Roles) -> DataFrame:
     A field whose column is absent reports blank = total."""
     rules = validity_rules(r)
     present = [(g, n, resolve_column(scope_rows.columns, [c]) if c else None, p) for g, n, c, p in rules]
+    # normalise each field once (projection), then four counts per field
+    vals = scope_rows.select(*[X.ni(F.col(c).cast("string")).alias(f"_v{i}")
+                               for i, (_, _, c, _) in enumerate(present) if c is not None])
     aggs = [F.count(F.lit(1)).alias("_total")]
     for i, (_, _, c, p) in enumerate(present):
         if c is None:
             continue
-        v = X.ni(F.col(c).cast("string"))
+        v = F.col(f"_v{i}")
+        ok = p(v)
         aggs += [F.count_if(v != K.NI).alias(f"_f{i}"), F.count_if(v == K.NI).alias(f"_b{i}"),
-                 F.count_if(p(v)).alias(f"_v{i}"), F.count_if((v != K.NI) & ~p(v)).alias(f"_x{i}")]
-    a = scope_rows.agg(*aggs)
+                 F.count_if(ok).alias(f"_v{i}c"), F.count_if((v != K.NI) & ~ok).alias(f"_x{i}")]
+    a = vals.agg(*aggs)
     items = []
     for i, (g, n, c, _) in enumerate(present):
         if c is None:
             z = F.lit(0).cast("bigint")
             vals = (z, F.col("_total"), z, z)
         else:
-            vals = (F.col(f"_f{i}"), F.col(f"_b{i}"), F.col(f"_v{i}"), F.col(f"_x{i}"))
+            vals = (F.col(f"_f{i}"), F.col(f"_b{i}"), F.col(f"_v{i}c"), F.col(f"_x{i}"))
         items.append(F.struct(F.lit(g).alias("group"), F.lit(n).alias("field"),
                               F.lit(K.YES_NO[0] if c else K.YES_NO[1]).alias("column_exists"),
                               vals[0].alias("filled"), vals[1].alias("blank_ni"),
