@@ -326,8 +326,9 @@ def last_month_cards(f: DataFrame, r: Roles, territory: DataFrame, place: str,
         F.count_if(m == prev).alias("notified_prev"),
         F.count_if(death & (m == ref)).alias("deaths_cur"),
         F.count_if(death & (m == prev)).alias("deaths_prev"),
-        F.count_if(F.col("hosp") & (m == ref)).alias("hospitalisations_cur"),
-        F.count_if(F.col("hosp") & (m == prev)).alias("hospitalisations_prev"))
+        # no hospitalisation column: NULL, not 0 (as the period card)
+        F.when(F.count("hosp") > 0, F.count_if(F.col("hosp") & (m == ref))).alias("hospitalisations_cur"),
+        F.when(F.count("hosp") > 0, F.count_if(F.col("hosp") & (m == prev))).alias("hospitalisations_prev"))
     a = a.withColumn("open_cur", F.greatest(F.col("notified_cur") - F.col("confirmed_cur"), F.lit(0)).cast("bigint")) \
          .withColumn("open_prev", F.greatest(F.col("notified_prev") - F.col("confirmed_prev"), F.lit(0)).cast("bigint"))
     metrics = ["confirmed", "notified", "deaths", "hospitalisations", "open"]
