@@ -6,5 +6,6 @@ tiny metadata (column names, one-row size checks).
 """
 
 from surv.roles import FIXTURE_ROLES, NATIVE_ROLES, Roles, resolve_column
+from surv.session import get_spark
 
-__all__ = ["Roles", "FIXTURE_ROLES", "NATIVE_ROLES", "resolve_column"]
+__all__ = ["Roles", "FIXTURE_ROLES", "NATIVE_ROLES", "resolve_column", "get_spark"]
