@@ -5,8 +5,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surv.llm import ngram_join
+from surv.llm import langid, ngram_join, quality_nbsvm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part_of(k: int):
+    """crc32 of the id as text, modulo ``k`` (a null id: 0)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % k, F.lit(0))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt where the remainder by 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(part_of(4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (part_of(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: set size, class id, number of links."""
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt where the remainder by 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(part_of(3) != 1)
+    out = quality_nbsvm.classify(docs, quality_nbsvm.fit(docs, labels))
+    return out.select("doc_id", (part_of(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
