@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surv.llm import langid, ngram_join, quality_nbsvm
+from surv.llm import decontam, html_text, langid, licenses, ngram_join, packing, quality_nbsvm, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,17 @@ def part_of(k: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % k, F.lit(0))
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: the chain junk, toxic, toxic prose."""
+    labels = table(spark, sf_dir, "labels")
+    toxic, quality = F.col("toxic"), F.col("quality")
+    chain = toxicity.fit(table(spark, sf_dir, "documents"), labels,
+                         {"junk": quality == 0, "toxic": toxic == 1, "toxic_prose": (toxic == 1) & (quality == 1)})
+    out = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), chain)
+    return out.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_junk", "p_toxic_prose")
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt where the remainder by 4 is not 2."""
@@ -42,6 +53,27 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) match with its best window."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    out = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt where the remainder by 3 is not 1."""
@@ -49,3 +81,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(part_of(3) != 1)
     out = quality_nbsvm.classify(docs, quality_nbsvm.fit(docs, labels))
     return out.select("doc_id", (part_of(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with bucket, batch and position."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
