@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surv.llm import decontam, html_text, langid, licenses, ngram_join, packing, quality_nbsvm, quality_rules, toxicity
+from surv.llm import decontam, html_text, langid, licenses, lm_mix, ngram_join, packing, quality_nbsvm, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learnt where the remainder by 5 is not 1."""
+    out = lm_mix.score(table(spark, sf_dir, "documents"), part_of(5) != 1)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
