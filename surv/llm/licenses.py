@@ -4,8 +4,8 @@ Hashes of all rolling ``K``-word grams of every text are joined with the grams
 of the templates, which gives pairs of positions.  Pairs on one diagonal
 (position in the text minus position in the template) are counted together;
 neighbouring diagonals, which inserted or missing words cause, are merged into
-one span; a span counts when the grams it shares with the template, against all
-grams of both, reach ``SIMILARITY``.  A base phrase counts on a single diagonal
+one span; a span counts when the words that shared grams cover, against all
+words of span and template, reach ``SIMILARITY``.  A base phrase counts on a single diagonal
 that holds all of its grams, that is, where its words stand consecutively.
 
 The templates are a fixed table (some hundred grams) and broadcast; a caller's
@@ -78,9 +78,12 @@ def spans(docs: DataFrame, tmpl: DataFrame, id_col: str = "doc_id", text_col: st
     step = F.when((F.col("kind") == "notice") & (F.col("d") - F.lag("d").over(w) <= gap), 0).otherwise(1)
     run = diag.withColumn("step", step).withColumn("span", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = (run.groupBy("row", "id", "n_words", "tid", "label", "kind", "m", "span")
-              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("shared"), F.min("p0").alias("p0"), F.max("p1").alias("p1")))
-    seen = F.col("p1") - F.col("p0") + 1
-    return merged.withColumn("similarity", F.when(F.col("kind") == "marker", F.lit(None)).otherwise(F.col("shared") / (F.col("m") + seen - F.col("shared"))))
+              .agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
+              .withColumn("shared", F.size("qs")))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + (K - 1))))))
+    both = F.col("m") + F.col("p1") - F.col("p0") + (2 * K - 1)
+    return (merged.withColumn("covered", F.when(F.col("kind") == "marker", F.lit(None)).otherwise(covered))
+            .withColumn("similarity", F.col("covered") / (both - F.col("covered"))).drop("qs"))
 
 
 def scan(docs: DataFrame, tmpl: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
