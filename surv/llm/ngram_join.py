@@ -5,17 +5,25 @@
 2. A global order of shingles, rare ones first, comes from counts over the
    whole corpus in ``2**bucket_bits`` hash buckets (a table of fixed size).
 3. Two sets that reach the threshold share one of their first
-   ``n - ceil(t*n) + 1`` shingles in that order, so rows ``(shingle, class)``
-   of those prefixes, dealt by shingle, connect all sets that can link; the
+   ``n - ceil(t*n) + 1`` shingles in that order and their sizes differ by a
+   factor of at most ``1/t``.  Sizes fall into classes of that factor; a set
+   offers its prefix in its own class, and a shorter prefix (the overlap that a
+   larger set asks for is higher) in the next one.  Rows ``(shingle and class,
+   set)``, dealt by that key, bring together all sets that can link.
+4. A set's sketch counts its shingles in hash ranges (a quarter as many as
+   shingles).  The distance of two sketches never exceeds the number of
+   shingles that only one set has, so pairs further apart than the threshold
+   allows are no links.  Inside each key's group (one of those with equal
+   members; large ones in pairs of blocks) the other pairs are connected; the
    connected groups of this graph are closed under links.
-4. Each group, cut by hash into blocks when it is large, is joined by tasks
+5. Each group, cut by hash into blocks when it is large, is joined by tasks
    that hold one block, or a pair of blocks: the sets of a block are stored in
    a prefix tree in the global order, every set is matched against the whole
    tree level by level, nodes carry the overlap of their path, and a subtree
    is left as soon as the shingles that remain cannot lift any set in it to
    the threshold.  All links are found exactly; tasks return a spanning forest
    of them and each set's number of links, never all pairs.
-5. Components of the forests are components of the links.
+6. Components of the forests are components of the links.
 
 Nulls, empty texts and texts without a word have an empty set, linked with
 nothing.  Repeated ids: rows are told apart by their text class; a repeated
@@ -30,11 +38,12 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surv.llm.graph import ARRAY_SCHEMA, array_rows, components, sum_arrays
-from surv.llm.words import SHINGLE, shingle_sets
+from surv.llm.joins import with_ids
+from surv.llm.words import SHINGLE, mix, shingle_sets
 from surv.session import materialize
 
 THRESHOLD = 80                 # percent
@@ -53,6 +62,24 @@ def prefix_len(n: int, t: int = THRESHOLD) -> int:
     return n - -(-t * n // 100) + 1 if n else 0
 
 
+def size_class(n: int, t: int = THRESHOLD) -> int:
+    """Sizes within a factor of 100/t are in the same or in adjacent classes."""
+    return int(math.log(n) / math.log(100 / t + 1e-7))
+
+
+def _keys(h: np.ndarray, t: int) -> np.ndarray:
+    """Keys that a set (in the global order) offers."""
+    n = len(h)
+    if not n:
+        return h
+    g = size_class(n, t)
+    larger = max(n, math.ceil((100 / t + 1e-7) ** (g + 1) - 1e-6))
+    with np.errstate(over="ignore"):
+        own = mix(h[: prefix_len(n, t)] + np.uint64(g) * np.uint64(0x9E3779B97F4A7C15))
+        nxt = mix(h[: max(0, n - required(n, larger, t) + 1)] + np.uint64(g + 1) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([own, nxt])
+
+
 def _as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -202,6 +229,59 @@ def join_block(left: list, right: list | None, freq: np.ndarray, bits: int, t: i
     return forest, links
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Counts (at most 255) of a set's shingles in equal ranges of the hash."""
+    m = 1 << max(5, (max(len(h), 1) // 4 - 1).bit_length())
+    return np.minimum(np.bincount((h >> np.uint64(64 - m.bit_length() + 1)).astype(np.int64), minlength=m), 255).astype(np.uint8)
+
+
+def _folded(sk: np.ndarray, m: int) -> np.ndarray:
+    return np.minimum(sk.reshape(m, -1).sum(1, dtype=np.int64), 255) if len(sk) > m else sk
+
+
+def near_pairs(left: list, right: list | None, t: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sketches do not exclude a link.
+    Items are ``(node, n, sketch)``."""
+    rows = left + (right or [])
+    m = min(len(r[2]) for r in rows)
+    x = np.stack([_folded(r[2], m) for r in rows]).astype(np.int16)
+    n = np.array([r[1] for r in rows], np.int64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out, cut = [], len(left)
+    step = max(1, 4_000_000 // (len(rows) * m))
+    for a in range(0, cut if right is not None else len(rows), step):
+        z = min(a + step, cut if right is not None else len(rows))
+        lo = cut if right is not None else a
+        gap = np.abs(x[a:z, None, :] - x[None, lo:, :]).sum(2, dtype=np.int64)
+        # |A ^ B| <= (100 - t) / (100 + t) * (|A| + |B|) for a link
+        ok = (100 + t) * gap <= (100 - t) * (n[a:z, None] + n[None, lo:])
+        for i, j in zip(*np.nonzero(ok)):
+            i, j = int(i) + a, int(j) + lo
+            if right is not None or i < j:
+                p, q = find(i), find(j)
+                if p != q:
+                    root[q] = p
+                    out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _pairs_of_blocks(rows: DataFrame, keys: list[str], salt: str, payload: list) -> DataFrame:
+    """Rows of each group dealt to the pairs of its ``nb`` hash blocks, a row to
+    ``nb`` of them, sorted so that a pair's rows follow each other."""
+    b = rows.withColumn("blk", F.when(F.col("nb") > 1, F.pmod(F.xxhash64(salt, F.lit(7)), F.col("nb"))).otherwise(0).cast("int"))
+    d = (b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+         .select(*keys, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", *payload))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return d.repartition(parts, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]):
     """Consecutive rows with equal keys as ``(key, table)``; a run may span
     batches."""
@@ -258,54 +338,75 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = spark.sparkContext.broadcast(freq)
 
     def describe(batches):
+        seen: set[int] = set()   # classes this task has given prefixes for; only saves rows
         for b in batches:
-            n, s1, s2, pre = [], [], [], []
+            n, s1, s2, pre, sk = [], [], [], [], []
             for words, h in shingle_sets(b.column(1), shingle):
                 n.append(len(h))
                 x, y = signature(h)
                 s1.append(x), s2.append(y)
-                pre.append(_as_long(_ordered(h, table.value, bucket_bits)[: prefix_len(len(h), threshold)]))
+                if x in seen:
+                    pre.append(np.zeros(0, np.int64)), sk.append(None)
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(x)
+                pre.append(_as_long(_keys(_ordered(h, table.value, bucket_bits), threshold)))
+                sk.append(sketch(h).tobytes())
             cut = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
             flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int64()))], ["id", "n", "s1", "s2", "pre"])
+                                              pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int64())), pa.array(sk, pa.binary())], ["id", "n", "s1", "s2", "pre", "sk"])
 
-    sets = materialize(d.mapInArrow(describe, "id long, n long, s1 long, s2 long, pre array<long>"), "sets")
+    sets = materialize(d.mapInArrow(describe, "id long, n long, s1 long, s2 long, pre array<long>, sk binary"), "sets")
     sig = ["n", "s1", "s2"]
     real = sets.where("n > 0 AND id IS NOT NULL")
     classes = materialize(real.groupBy(*sig).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    # A class's prefix rows come from one of its rows; an id that is repeated
-    # with several texts represents several classes, told apart by signature.
-    key = F.xxhash64("rep", *sig)
-    reps = real.join(classes, [*sig], "inner").where("id = rep").select("id", *sig, "pre", key.alias("node"))
-    tokens = reps.dropDuplicates(["node"]).select(F.explode("pre").alias("token"), "node")
-    hub = tokens.select("node", F.min("node").over(_by("token")).alias("hub"))
-    cand = materialize(components(hub.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
-    known = classes.select(key.alias("node"), *sig, "rep", "copies")
-    group = known.join(cand, "node").select("node", *sig, "rep", "copies", "component")
+    # Half of the signature names a class in the candidate graph; where two
+    # classes should share it, their groups merge and the join tells them apart.
+    tokens = real.select(F.explode("pre").alias("token"), F.col("s1").alias("node"))
+    by_token = Window.partitionBy("token")
+    shared = tokens.select("token", "node", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
+    shared = materialize(shared.where("lo <> hi").select("token", "node").distinct(), "shared")
+    # keys with the same members say the same: one of them is enough
+    member_sig = shared.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = member_sig.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("k") / block_sets).cast("int").alias("nb"))
+    sketches = sets.where("sk IS NOT NULL").select(F.col("s1").alias("node"), F.col("n"), "sk").dropDuplicates(["node"])
+    grouped = _pairs_of_blocks(shared.join(one, "token").join(sketches, "node"), ["token"], "node", ["node", "n", "sk"])
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def refine(batches):
+        a, b = [], []
+        for (_, i, j), tab in _runs(batches, ["token", "i", "j"]):
+            rows = [(bl, (x, n, np.frombuffer(k, np.uint8))) for bl, x, n, k in zip(*(tab[c].to_pylist() for c in ("blk", "node", "n", "sk")))]
+            left, right = [r for bl, r in rows if bl == i], [r for bl, r in rows if bl == j]
+            if len(rows) > 1 and left and right:
+                for x, y in near_pairs(left, None if i == j else right, threshold):
+                    a.append(x), b.append(y)
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, pair_schema)
+                a, b = [], []
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, pair_schema)
+
+    cand = materialize(components(grouped.mapInArrow(refine, "a long, b long")), "groups")
+    group = classes.join(cand, classes.s1 == cand.node).drop("node")
     stat = group.groupBy("component").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n"))
     blocks = stat.select("component", F.greatest(F.ceil(F.col("_c") / block_sets), F.ceil(F.col("_n") / block_shingles)).cast("int").alias("nb"))
-    member = (group.join(blocks, "component")
-              .withColumn("blk", F.when(F.col("nb") > 1, F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("nb"))).otherwise(0).cast("int")))
-    member = member.select("node", "rep", *sig, "copies", "component", "nb", "blk")
-
-    # The texts of the sets in groups; their sets are made again where they are joined.
-    some = (sets.where("id IS NOT NULL").select("id", *sig).dropDuplicates(["id", *sig])
-            .join(member, sig).where("id = rep").select("id", "node", "copies", "component", "nb", "blk", "s1", "s2"))
-    texts = d.where("id IS NOT NULL").join(some, "id")
-    dealt = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .select("component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "copies", "s1", "s2", "text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    member = materialize(group.join(blocks, "component"), "members")
+
+    # The representatives' texts; their sets are made again where they are joined.
+    texts = with_ids(d.where("id IS NOT NULL"), member.select(F.col("rep").alias("id"), *sig, "copies", "component", "nb"))
+    dealt = _pairs_of_blocks(texts, ["component"], "id", ["id", "copies", "s1", "s2", "text"])
 
     def solve(batches):
         out = {"kind": [], "a": [], "b": []}
         for key_, tab in _runs(batches, ["component", "i", "j"]):
-            blk, node, copies, s1, s2 = (tab[c].to_pylist() for c in ("blk", "node", "copies", "s1", "s2"))
+            blk, node, copies, s1, s2 = (tab[c].to_pylist() for c in ("blk", "id", "copies", "s1", "s2"))
             got = {}
             for r, (_, h) in enumerate(shingle_sets(tab["text"], shingle)):
-                if node[r] not in got and signature(h) == (s1[r], s2[r]):
-                    got[node[r]] = (blk[r], (node[r], copies[r], h))
+                name = (node[r], s1[r], s2[r])
+                if name not in got and signature(h) == name[1:]:
+                    got[name] = (blk[r], (s1[r], copies[r], h))
             if len(got) < 2:
                 continue
             _, i, j = key_
@@ -321,9 +422,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_pydict(out, pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
 
     found = materialize(dealt.mapInArrow(solve, "kind int, a long, b long"), "links")
-    comp = components(found.where("kind = 0").select("a", "b")).withColumnRenamed("component", "root")
-    degree = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
-    whole = known.join(comp, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    comp = components(found.where("kind = 0").select("a", "b")).select(F.col("node").alias("s1"), F.col("component").alias("root"))
+    degree = found.where("kind = 1").groupBy(F.col("a").alias("s1")).agg(F.sum("b").alias("others"))
+    whole = classes.join(comp, "s1", "left").join(degree, "s1", "left").withColumn("root", F.coalesce("root", "s1"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = whole.join(least, "root").select(*sig, "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (sets.select("id", *sig).join(label, sig, "left")
@@ -332,11 +433,6 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")))
 
 
-def _by(col):
-    from pyspark.sql import Window
-    return Window.partitionBy(col)
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Rows of ``docs`` that represent their component (its smallest id);
     rows with a null id stay."""
