@@ -6,10 +6,11 @@ that have it), rounded down, at most 8; a shingle of no item weighs most.
 
 1. Shingle hashes of all texts are joined with those of the benchmark; places
    that meet none end there.  To reach weighted similarity 0.8 with an item, at
-   least 80 % of a window's shingles must be benchmark shingles, and sliding a
-   window to its first such shingle never lowers its similarity.  So for every
-   item length, windows of that many words from each met place, with enough met
-   places inside, are all that can match.
+   least 80 % of a window's shingles must be shingles of items of its length,
+   and sliding a window to its first such shingle never lowers its similarity.
+   So for every item length, windows of that many words from each place that
+   meets an item of the length, with enough such places inside, are all that
+   can match.
 2. Each window and each item of that length gets a 64-bit weighted SimHash.
 3. Fingerprints are cut into ``RADIUS + 1`` blocks; two within Hamming distance
    ``RADIUS`` agree in one block at least, so a join on (length, block, bits)
@@ -85,42 +86,33 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Rows ``(id, item, similarity, start, words, hamming)``, the best window
     of each text and item that reaches ``similarity``."""
     items = materialize(item_grams(benchmark, item_col, item_text), "items")
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"), F.collect_set("len").alias("lens")).first()
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).first()
     if (size.longest or 0) > LONGEST_ITEM:
         raise ValueError(f"items of more than {LONGEST_ITEM} words overflow the counters")
     small = F.broadcast if size.n <= BROADCAST_GRAMS else (lambda x: x)
     grams = items.groupBy("h").agg(F.max("weight").alias("weight"))
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
 
-    lens = sorted(size.lens)
     g = d.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     g = g.select("id", "th", F.size("w").alias("nw"), F.posexplode(kgrams(F.col("w"), SHINGLE, whole=True)).alias("p", "h"))
-    met = g.join(small(grams.select("h")), "h").select("id", "th", "nw", "p")
-    # places of one text; a text's places are bounded by its words
-    at = met.groupBy("id", "th", "nw").agg(F.sort_array(F.collect_set("p")).alias("ps")).where(F.size("ps") > 0)
-    need = {n: -(-int(round(similarity * 100)) * max(n - SHINGLE + 1, 1) // 100) for n in lens}
-
-    def enough(i: Column, n: int) -> Column:
-        """From the i-th met place, ``need`` of them lie in a window of n words."""
-        end = F.get(F.col("ps"), i + (need[n] - 1))
-        return (end - F.get(F.col("ps"), i) <= max(n - SHINGLE, 0)) & (F.col("nw") >= F.get(F.col("ps"), i) + n)
-
-    short = {n for n in lens if n < SHINGLE}
-    wins = None
-    if lens:
-        def from_places(n: int) -> Column:
-            fits = (F.col("nw") == n) if n in short else F.lit(True)
-            place = lambda i: F.when(fits & enough(i, n), F.struct(F.get(F.col("ps"), i).alias("p"), F.lit(n).alias("len")))
-            return F.filter(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), place), lambda x: x.isNotNull())
-
-        per = [from_places(n) for n in lens]
-        wins = at.select("id", "th", F.concat(*per).alias("wins")).where(F.size("wins") > 0)
-    else:
-        wins = at.select("id", "th", F.expr("cast(array() as array<struct<p: int, len: int>>)").alias("wins")).where("false")
-    wins = materialize(wins, "windows")
+    met = g.join(small(items.select("h", "len").distinct()), "h").where("len >= " + str(SHINGLE) + " OR nw = len").select("id", "th", "nw", "len", "p")
+    # met places of one text and item length; bounded by the text's words
+    at = met.groupBy("id", "th", "nw", "len").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    need = F.ceil(F.lit(int(round(similarity * 100))) * n_shingles(F.col("len")) / 100).cast("int")
+
+    def window(i: Column) -> Column:
+        """The window from the i-th met place, if enough met places lie in it."""
+        p = F.get(F.col("ps"), i)
+        end = F.get(F.col("ps"), i + need - 1)
+        return F.when((end - p < n_shingles(F.col("len"))) & (F.col("nw") >= p + F.col("len")), F.struct(p.alias("p"), F.col("len").alias("len")))
+
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), window), lambda x: x.isNotNull())
+    wins = at.where(F.size("ps") >= need).select("id", "th", starts.alias("wins")).where(F.size("wins") > 0)
+    wins = materialize(wins.groupBy("id", "th").agg(F.flatten(F.collect_list("wins")).alias("wins")), "windows")
 
     # shingles of the windows, made again from the few texts that have any
-    again = with_ids(d, wins).where(F.xxhash64("text") == F.col("th"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = with_ids(d, wins).where(F.xxhash64("text") == F.col("th")).repartition(parts, "id", "th")
     ws = (again.select("id", "th", "wins", kgrams(words(F.col("text")), SHINGLE, whole=True).alias("hs")).dropDuplicates(["id", "th"])
           .select("id", "th", "hs", F.explode("wins").alias("win"))
           .select("id", "th", "win.p", "win.len", F.array_distinct(F.slice("hs", F.col("win.p") + 1, n_shingles(F.col("win.len")))).alias("hs")))
