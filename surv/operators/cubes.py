@@ -21,6 +21,12 @@ from surv.operators import scope as S
 from surv.roles import Roles
 
 
+def territory_attributes(territory: DataFrame) -> tuple[str, ...]:
+    """Attributes that indicator rows take from the territory; a dimension
+    without the immediate or intermediate region leaves that one out."""
+    return ("region_name", *[c for c in ("rgi", "rgint") if c in territory.columns], "population")
+
+
 def analytic_fact(f: DataFrame, r: Roles, territory: DataFrame, real_hosp: bool = True) -> DataFrame:
     """B28 (+L05): the analytic fact -- date parts, normalised place code,
     territory enrichment, and the profile columns the reference left as typed
@@ -44,8 +50,13 @@ def analytic_fact(f: DataFrame, r: Roles, territory: DataFrame, real_hosp: bool
         (r.c("school_raw") if r.has("school_raw") else F.lit(None).cast("string")).alias("schooling"),
         (r.c("closed_on") if r.has("closed_on") else F.lit(None).cast("date")).alias("closed_on"),
         X.place_code6(r.c("place_raw")).alias("code6"),
+        *[F.col(c).alias(f"symptom_{c}") for c in r.symptoms.values() if c in f.columns],
+        *[F.col(c).alias(f"comorbidity_{c}") for c in r.comorbidities.values() if c in f.columns],
+        *[F.col(result).alias(f"exam_{label}") for label, (result, _) in r.exams.items() if result in f.columns],
+        *[F.col(on).alias(f"exam_{label}_on") for label, (_, on) in r.exams.items() if on and on in f.columns],
+        (F.col("dt_digita") if "dt_digita" in f.columns else F.lit(None).cast("date")).alias("entered_on"),
     ).withColumn("age_band", X.age_band("age"))
-    j = S.join_territory(g, territory, cols=("place_name", "region_name", "population"))
+    j = S.join_territory(g, territory, cols=("place_name", *territory_attributes(territory)))
     return j.withColumn("place", F.coalesce("place_name", "place_raw")).drop("place_name")
 
 
@@ -72,13 +83,14 @@ def monthly_indicators(f: DataFrame, r: Roles, territory: DataFrame, real_hosp:
                  F.count_if(cl.isin(*K.INVESTIGATION_CODES)).alias("investigating"),
                  F.count_if(oc.isin(*K.DEATH_CODES_CARDS)).alias("deaths"),
                  F.count_if(hp.isin(*K.YES_CODE)).alias("hospitalisations")))
-    j = S.join_territory(agg1, territory, cols=("place_name", "region_name", "population"))
+    attrs = territory_attributes(territory)
+    j = S.join_territory(agg1, territory, cols=("place_name", *attrs))
     sums = [F.sum(c).cast("bigint").alias(c) for c in
             ("cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations")]
     g = (j.groupBy("year", "month", "state", F.coalesce("place_name", "place_raw").alias("place"),
-                   "code6", "region_name", "population").agg(*sums))
+                   "code6", *attrs).agg(*sums))
     return g.select(
-        "year", "month", "state", "place", "code6", "region_name", "population",
+        "year", "month", "state", "place", "code6", *attrs,
         "cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations",
         X.guarded_ratio("confirmed", "population", K.PER_100K).alias("incidence_100k"),
         X.guarded_ratio("deaths", "confirmed", K.PER_100).alias("lethality_pct"),
@@ -199,13 +211,14 @@ def indicators_from_base(base: DataFrame, territory: DataFrame) -> DataFrame:
                  cond(cl.isin(*K.INVESTIGATION_CODES)).alias("investigating"),
                  cond(F.col("outcome").isin(*K.DEATH_CODES_CARDS)).alias("deaths"),
                  cond(F.col("hospitalised")).alias("hospitalisations")))
-    j = S.join_territory(agg1, territory, cols=("place_name", "region_name", "population"))
+    attrs = territory_attributes(territory)
+    j = S.join_territory(agg1, territory, cols=("place_name", *attrs))
     sums = [F.sum(c).cast("bigint").alias(c) for c in
             ("cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations")]
     g = (j.groupBy("year", "month", "state", F.coalesce("place_name", "place_raw").alias("place"),
-                   "code6", "region_name", "population").agg(*sums))
+                   "code6", *attrs).agg(*sums))
     return g.select(
-        "year", "month", "state", "place", "code6", "region_name", "population",
+        "year", "month", "state", "place", "code6", *attrs,
         "cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations",
         X.guarded_ratio("confirmed", "population", K.PER_100K).alias("incidence_100k"),
         X.guarded_ratio("deaths", "confirmed", K.PER_100).alias("lethality_pct"),

@@ -146,17 +146,17 @@ def missing_rates(ext: DataFrame, r: Roles, top_n: int = 10) -> DataFrame:
 
 
 def delay_bands(ext: DataFrame, r: Roles) -> DataFrame:
-    """Closure delay (0..365) in bands 0-3, 4-7, 8-15, +15."""
+    """Closure delay (0..365) in bands 0-3, 4-7, 8-15, +15; a band without
+    a case is a row with 0."""
     d = _closure_delay(r)
-    band = None
-    for i, (lbl, hi) in enumerate(K.DELAY_BANDS):
-        if hi is None:
-            band = band.otherwise(F.lit(lbl))
-        else:
-            band = F.when(d <= hi, F.lit(lbl)) if band is None else band.when(d <= hi, F.lit(lbl))
-    order = F.create_map(*[x for i, (lbl, _) in enumerate(K.DELAY_BANDS) for x in (F.lit(lbl), F.lit(i))])
-    g = ext.filter(d.between(0, K.CLOSURE_DELAY_MAX)).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("cases"))
-    return g.withColumn("band_order", order[F.col("band")]).orderBy("band_order")
+    low, per = 0, []
+    for label, high in K.DELAY_BANDS:
+        top = K.CLOSURE_DELAY_MAX if high is None else high
+        per.append((label, F.count_if(d.between(low, top))))
+        low = top + 1
+    a = ext.agg(*[c.alias(f"_b{i}") for i, (_, c) in enumerate(per)])
+    rows = F.array(*[F.struct(F.lit(label).alias("band"), F.col(f"_b{i}").alias("cases"), F.lit(i).alias("band_order")) for i, (label, _) in enumerate(per)])
+    return a.select(F.explode(rows).alias("x")).select("x.band", "x.cases", "x.band_order").orderBy("band_order")
 
 
 def tested_monthly(ext: DataFrame, r: Roles) -> DataFrame:

@@ -148,37 +148,53 @@ def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return a.select(F.explode(arr).alias("x")).select("x.*")
 
 
+# ---- H03 / H04 name sets ---------------------------------------------------------------
+def name_union(sets: Sequence[DataFrame]) -> DataFrame:
+    """The distinct values of one-column frames, as ``name``."""
+    out = sets[0].toDF("name")
+    for s in sets[1:]:
+        out = out.union(s.toDF("name"))
+    return out.distinct()
+
+
+def name_difference(required: DataFrame, present: DataFrame) -> DataFrame:
+    """Distinct values required but not present, as ``name``."""
+    return required.toDF("name").distinct().join(present.toDF("name").distinct(), "name", "left_anti")
+
+
 # ---- D11 / J09 reconciliation --------------------------------------------------------
 def reconcile_years(log_rows: DataFrame, by_date: DataFrame, by_text: DataFrame, y0: int, y1: int,
                     tolerance_abs: int = K.RECON_TOLERANCE_ABS,
                     tolerance_pct: float = K.RECON_TOLERANCE_PCT) -> DataFrame:
-    """D11 + J09: per year of a spine, loaded rows (log) vs rows by date vs
+    """D11 + J09: per year of ``y0..y1``, loaded rows (log) vs rows by date vs
     rows by year text, and the reconciliation status.
 
     Inputs are (year, loaded_rows), (year, rows_by_date), (year, rows_by_text);
-    the year spine is ``explode(sequence(y0, y1))`` from a one-row aggregate,
-    and all joins are full-outer on year."""
-    spine = by_date.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("year"))
-    j = (spine.join(log_rows, "year", "left").join(by_date, "year", "left").join(by_text, "year", "left"))
-    lr = F.col("loaded_rows")
-    dn = F.coalesce(F.col("rows_by_date"), F.lit(0)).cast("bigint")
-    nu = F.coalesce(F.col("rows_by_text"), F.lit(0)).cast("bigint")
-    j = j.select("year", lr.cast("bigint").alias("loaded_rows"), dn.alias("rows_by_date"), nu.alias("rows_by_text"))
-    lr, dn, nu = F.col("loaded_rows"), F.col("rows_by_date"), F.col("rows_by_text")
-    diff_dn, diff_nu = F.abs(dn - lr), F.abs(nu - lr)
-    pct_dn = F.when(lr > 0, diff_dn / lr * 100.0).otherwise(F.lit(0.0))
-    pct_nu = F.when(lr > 0, diff_nu / lr * 100.0).otherwise(F.lit(0.0))
-    within_abs = F.lit(tolerance_abs > 0) & (diff_dn <= tolerance_abs) & (diff_nu <= tolerance_abs)
-    within_pct = F.lit(tolerance_pct > 0) & (pct_dn <= tolerance_pct) & (pct_nu <= tolerance_pct)
-    status = (F.when(lr.isNull(), K.RECON_NO_LOG)
-               .when((dn == lr) & (nu == lr), K.RECON_FULL)
-               .when(within_abs | within_pct, K.RECON_TOLERANCE)
-               .when(dn == lr, K.RECON_DATE_ONLY)
-               .when(nu == lr, K.RECON_YEAR_ONLY)
-               .otherwise(K.RECON_DIVERGENT))
-    return j.select("year", "loaded_rows", "rows_by_date", (dn - lr).alias("diff_date_vs_log"),
-                    "rows_by_text", (nu - lr).alias("diff_text_vs_log"), status.alias("status"))
+    a year with several log rows counts their sum.  A count agrees when it
+    equals the log; the year is tolerated when the larger of both gaps is
+    within the absolute or the relative limit (0 switches a limit off)."""
+    log = log_rows.groupBy("year").agg(F.sum("loaded_rows").cast("bigint").alias("loaded_rows"))
+    years = log_rows.sparkSession.range(y0, y1 + 1).select(F.col("id").cast("int").alias("year"))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    t = (years.join(log, "year", "left").join(by_date, "year", "left").join(by_text, "year", "left")
+         .select("year", "loaded_rows", whole("rows_by_date"), whole("rows_by_text"))
+         .withColumn("diff_date_vs_log", F.col("rows_by_date") - F.col("loaded_rows"))
+         .withColumn("diff_text_vs_log", F.col("rows_by_text") - F.col("loaded_rows")))
+    gap = F.greatest(F.abs("diff_date_vs_log"), F.abs("diff_text_vs_log"))
+    limits = []
+    if tolerance_abs > 0:
+        limits.append(gap <= tolerance_abs)
+    if tolerance_pct > 0:   # an empty log year has no relative gap
+        limits.append((F.col("loaded_rows") <= 0) | (100.0 * gap <= tolerance_pct * F.col("loaded_rows")))
+    tolerated = F.lit(False)
+    for c in limits:
+        tolerated = tolerated | c
+    date_ok, text_ok = F.col("diff_date_vs_log") == 0, F.col("diff_text_vs_log") == 0
+    status = F.when(F.col("loaded_rows").isNull(), K.RECON_NO_LOG)
+    for cond, name in ((date_ok & text_ok, K.RECON_FULL), (tolerated, K.RECON_TOLERANCE), (date_ok, K.RECON_DATE_ONLY), (text_ok, K.RECON_YEAR_ONLY)):
+        status = status.when(cond, name)
+    return t.select("year", "loaded_rows", "rows_by_date", "diff_date_vs_log", "rows_by_text", "diff_text_vs_log",
+                    status.otherwise(K.RECON_DIVERGENT).alias("status"))
 
 
 # ---- D12 / H03 / K07 schema coverage -------------------------------------------------

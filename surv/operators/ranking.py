@@ -1,16 +1,15 @@
-"""Global ranks (F01-F03) with a size-checked single-task path.
-
-A window with ``orderBy`` and no ``partitionBy`` moves every row into one
-task.  The rankers here use it only behind a checked bound (the input is an
-aggregated unit table -- municipalities, facilities -- of at most
-``GLOBAL_WINDOW_MAX_ROWS`` rows).  Beyond the bound the rank is distributed:
-rows are range-partitioned on the sort key (equal keys land in the same
-partition), numbered inside their partition after a local sort, and shifted
-by the row count of all earlier partitions.  The offsets come from a prefix
-sum over one row per partition -- bounded by the partition count, not by the
-data.  Tie statistics (first position, size of the tie group) are a
-partial-aggregated ``groupBy`` on the value, joined back with the bounded /
-salted join.
+"""Global ranks (F01-F03) without a single-task sort of the rows.
+
+Rows are first reduced to their distinct sort keys with a count.  A key falls
+into a bucket by a function that keeps the order (a coarse logarithm of a
+number, the first characters of a text), so every bucket lies wholly before
+the next one.  Three plain steps then give each key its place: rows per bucket,
+a running sum over buckets (one row each), and a running sum inside each
+bucket.  The result is joined back null-safe, since NULL is a key like any
+other (first when ascending, last when descending).
+
+There is one path for every size, nothing depends on how Spark happens to lay
+out partitions, and no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -19,72 +18,78 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from surv.session import bounded_join, materialize, target_partitions, within_rows
-
-_LOW33 = (1 << 33) - 1
-GLOBAL_WINDOW_MAX_ROWS = 1_000_000
-TIE_TABLE_BROADCAST_ROWS = 1_000_000
-
-
-def _sorted(order: Sequence[tuple[Column, bool]]) -> list[Column]:
-    return [c.desc() if d else c.asc() for c, d in order]
-
-
-def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str = "position",
-                  max_window_rows: int = GLOBAL_WINDOW_MAX_ROWS) -> DataFrame:
-    """1-based position of each row in the total order ``order``, a list of
-    (key, descending) pairs (give a unique tie-break last for a deterministic
-    result)."""
-    if within_rows(df, max_window_rows):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*_sorted(order))).cast("bigint"))
-    df = materialize(df, "rank-input")   # read twice below (counts, rows): compute the input once
-    keys = [c.alias(f"_rk{i}") for i, (c, _) in enumerate(order)]
-    sort = [F.col(f"_rk{i}").desc() if d else F.col(f"_rk{i}").asc() for i, (_, d) in enumerate(order)]
-    kn = [f"_rk{i}" for i in range(len(order))]
-    x = (df.select("*", *keys).repartitionByRange(target_partitions(df), *sort).sortWithinPartitions(*sort)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = partition id << 33 | row index in the partition
-    x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_lrn", F.col("_mid").bitwiseAND(_LOW33) + 1)
-    counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_pid", F.coalesce(
-        F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))   # one row per partition
-    out = x.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_lrn")).cast("bigint")) \
-              .drop("_mid", "_pid", "_lrn", "_off", *kn)
-
-
-def _tie_stats(df: DataFrame, value: Column, pos: str) -> DataFrame:
-    v = value.alias("_tv")
-    return (df.withColumn("_tv", v).groupBy("_tv")
-            .agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_ties")))
-
-
-def with_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank",
-              max_window_rows: int = GLOBAL_WINDOW_MAX_ROWS) -> DataFrame:
+from pyspark.sql import types as T
+
+BUCKETS_PER_DOUBLING = 64
+
+
+def _coarse(df: DataFrame, name: str) -> Column:
+    """Order-keeping bucket of a column (equal values share it)."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.NumericType):
+        v = c.cast("double")
+        size = F.floor(F.log2(1 + F.abs(v)) * BUCKETS_PER_DOUBLING)
+        return F.when(F.isnan(v), F.lit(1 << 20)).otherwise(F.signum(v) * size).cast("long")
+    if isinstance(kind, T.StringType):
+        return F.substring(c, 1, 2)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(c)
+    return c
+
+
+def _direction(cols: Sequence[str], desc: Sequence[bool]) -> list[Column]:
+    return [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(cols, desc)]
+
+
+def _places(df: DataFrame, order: Sequence[tuple[Column, bool]]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``df`` with its keys as columns, and per distinct key: rows strictly
+    before it (``_before``), rows with it (``_same``), rows in all (``_all``)."""
+    keys, desc = [f"_rk{i}" for i in range(len(order))], [d for _, d in order]
+    x = df.select("*", *[c.alias(k) for k, (c, _) in zip(keys, order)])
+    g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same"))
+    buckets = [f"_rb{i}" for i in range(len(order))]
+    g = g.select("*", *[_coarse(x, k).alias(b) for k, b in zip(keys, buckets)])
+    per = g.groupBy(*buckets).agg(F.sum("_same").alias("_n"))
+    upto = Window.orderBy(*_direction(buckets, desc)).rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
+    per = per.select(*[F.col(b).alias(f"{b}p") for b in buckets], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"),
+                     F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    inside = Window.partitionBy(*buckets).orderBy(*_direction(keys, desc)).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_in", F.coalesce(F.sum("_same").over(inside), F.lit(0)))
+    cond = F.lit(True)
+    for b in buckets:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"{b}p"))
+    g = g.join(per, cond).select(*[F.col(k).alias(f"{k}p") for k in keys], "_same", (F.col("_off") + F.col("_in")).alias("_before"), "_all")
+    return x, g, keys
+
+
+def _joined(df: DataFrame, order: Sequence[tuple[Column, bool]]) -> tuple[DataFrame, list[str]]:
+    x, g, keys = _places(df, order)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}p"))
+    return x.join(g, cond), keys
+
+
+def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str = "position") -> DataFrame:
+    """1-based position of each row in the total order ``order``, a list
+    of (key, descending) pairs.  Rows with equal keys get consecutive
+    positions in no particular order; end the list with a unique key for a
+    deterministic result."""
+    j, keys = _joined(df, order)
+    nth = F.when(F.col("_same") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return j.withColumn(name, (F.col("_before") + nth).cast("bigint")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def with_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
     """competition rank (``method='min'``): 1 + rows strictly before."""
-    if within_rows(df, max_window_rows):
-        return df.withColumn(name, F.rank().over(Window.orderBy(*_sorted([(F.col(value), descending)]))))
-    p = materialize(with_position(df, [(F.col(value), descending)], "_pos", max_window_rows), "rank-pos")
-    ties = _tie_stats(p, F.col(value), "_pos")
-    j = bounded_join(p, ties, F.col(value), "_tv", "left", TIE_TABLE_BROADCAST_ROWS)
-    return j.withColumn(name, F.col("_first").cast("int")).drop("_pos", "_tv", "_first", "_ties")
-
-
-def with_pct_rank_average(df: DataFrame, value: str, name: str = "pct_rank",
-                          max_window_rows: int = GLOBAL_WINDOW_MAX_ROWS) -> DataFrame:
-    """pandas ``rank(pct=True, method='average')`` = (first position of
-    the tie group + (ties - 1) / 2) / row count.  (``percent_rank`` and
-    ``cume_dist`` give other numbers.)"""
-    if within_rows(df, max_window_rows):
-        lo = F.rank().over(Window.orderBy(F.col(value)))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(F.col(value)))
-        n = F.count(F.lit(1)).over(Window.partitionBy())
-        return df.withColumn(name, (lo + (ties - 1) / 2.0) / n)
-    p = materialize(with_position(df, [(F.col(value), False)], "_pos", max_window_rows), "rank-pos")
-    ties = _tie_stats(p, F.col(value), "_pos")
-    n = p.select(F.count(F.lit(1))).scalar()
-    j = bounded_join(p, ties, F.col(value), "_tv", "left", TIE_TABLE_BROADCAST_ROWS)
-    return (j.withColumn(name, (F.col("_first") + (F.col("_ties") - 1) / 2.0) / n)
-             .drop("_pos", "_tv", "_first", "_ties"))
+    j, _ = _joined(df, [(F.col(value), descending)])
+    return j.withColumn(name, (F.col("_before") + 1).cast("int")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def with_pct_rank_average(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
+    """pandas ``rank(pct=True, method='average')`` = (rows before the tie
+    group + (ties + 1) / 2) / row count.  (``percent_rank`` and ``cume_dist``
+    give other numbers.)"""
+    j, _ = _joined(df, [(F.col(value), False)])
+    return (j.withColumn(name, (F.col("_before") + (F.col("_same") + 1) / 2.0) / F.col("_all"))
+             .select(*[F.col(f"`{c}`") for c in df.columns], name))

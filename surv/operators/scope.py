@@ -21,8 +21,6 @@ from surv.session import bounded_join, broadcast_if_bounded
 
 # Dimensions are bounded by the number of municipalities / facilities; past
 # these row counts they are joined by shuffle instead of broadcast.
-TERRITORY_BROADCAST_ROWS = 1_000_000
-FACILITY_BROADCAST_ROWS = 2_000_000
 
 
 def norm_list(values: Iterable[str] | None) -> tuple[str, ...]:
@@ -110,8 +108,7 @@ def place_scope(f: DataFrame, r: Roles, territory: DataFrame, place: str,
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS,
-                     size_of=territory)
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", size_of=territory)
     hit = F.col("_scope_code6").isNotNull() | (F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)))
     return j.filter(hit).drop("_fact_code6", "_scope_code6")
 
@@ -123,8 +120,7 @@ def with_place_flag(f: DataFrame, r: Roles, territory: DataFrame, place: str, na
     keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
             .select(F.col("code6").alias("_scope_code6")).distinct())
     fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", TERRITORY_BROADCAST_ROWS,
-                     size_of=territory)
+    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", size_of=territory)
     hit = F.col("_scope_code6").isNotNull() | F.coalesce(
         F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)), F.lit(False))
     if state_codes:
@@ -162,7 +158,7 @@ def join_territory(f: DataFrame, territory: DataFrame, key: str = "code6",
     unique-constrained (T17); ``surv.operators.quality.assert_unique`` checks it.
     """
     d = territory.select(F.col("code6").alias("_t_code6"), *cols)
-    j = bounded_join(f, d, key, "_t_code6", "left", TERRITORY_BROADCAST_ROWS, size_of=territory)
+    j = bounded_join(f, d, key, "_t_code6", "left", size_of=territory)
     return j.drop("_t_code6")
 
 
@@ -185,7 +181,7 @@ def join_facility_name(f: DataFrame, fact_col: Column, facility: DataFrame,
     unmatched rows get '' (I06 default)."""
     dim = collapsed_facilities(facility)
     fk = f.withColumn("_fkey", X.facility_key(fact_col))
-    j = bounded_join(fk, dim, "_fkey", "facility_key", "left", FACILITY_BROADCAST_ROWS, size_of=facility)
+    j = bounded_join(fk, dim, "_fkey", "facility_key", "left", size_of=facility)
     return (j.withColumn(out, F.coalesce(F.col("facility_name"), F.lit("")))
              .drop("_fkey", "facility_key", *([] if out == "facility_name" else ["facility_name"])))
 
@@ -232,7 +228,7 @@ def window_start(mode: str, years: Sequence[int] | None = None, full_history: bo
     if mode == "custom":
         if years:
             return _dt.date(min(years), 1, 1).isoformat()
-        return None if full_history else _dt.date(ref_d.year - 5, 1, 1).isoformat()
+        return None if full_history else _dt.date(ref_d.year - 4, 1, 1).isoformat()
     if mode == "ytd":
         return _dt.date(ref_d.year, 1, 1).isoformat()
     n = int(mode)

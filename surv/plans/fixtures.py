@@ -75,6 +75,8 @@ TERRITORY_COLUMNS: dict[str, str] = {
     "place_name": "n_name",
     "state_name": "CASE WHEN n_regionkey = 0 THEN 'RIO DE JANEIRO' ELSE r_name END",
     "region_name": "r_name",
+    "rgi": "concat('RGI ', n_nationkey % 7)",
+    "rgint": "concat('RGINT ', n_regionkey)",
     "population": ("CASE WHEN n_nationkey = 7 THEN 0 WHEN n_nationkey = 8 THEN NULL "
                    "ELSE 50000 + 1777 * n_nationkey END"),
     "area_km2": "100.5 + n_nationkey",
@@ -115,7 +117,7 @@ def cases_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     j = (o.join(c, o.o_custkey == c.c_custkey)
-          .join(broadcast_if_bounded(n, 100_000), F.col("c_nationkey") == F.col("n_nationkey")))
+          .join(broadcast_if_bounded(n), F.col("c_nationkey") == F.col("n_nationkey")))
     return j.selectExpr(*_typed(CASES_COLUMNS))
 
 
@@ -123,12 +125,17 @@ _MATERIALIZED: dict[tuple, str] = {}
 _LOCK = __import__("threading").RLock()
 
 
-def _source_key(sf_dir: str) -> tuple:
+def source_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and modification time of the fact's source tables, from whatever
+    file system holds them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for t in ("orders", "customer", "nation"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        out.append((t, st.st_size if st else -1, int(st.st_mtime) if st else -1))
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{t}.parquet"))
+        fs = p.getFileSystem(conf)
+        sm = fs.getContentSummary(p)
+        newest = max([st.getModificationTime() for st in fs.listStatus(p)], default=0)
+        out.append((t, sm.getLength(), sm.getFileCount(), newest))
     return tuple(out)
 
 
@@ -146,7 +153,7 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     import hashlib
     import uuid
     from surv.session import checkpoint_dir
-    key = (sf_dir, _source_key(sf_dir), "by-year-v2", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
+    key = (sf_dir, source_key(spark, sf_dir), "by-year-v2", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
     with _LOCK:
         path = _MATERIALIZED.get(key)
         if path is None:
@@ -180,7 +187,7 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
 def territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    return n.join(broadcast_if_bounded(r, 100_000), n.n_regionkey == r.r_regionkey).selectExpr(*_typed(TERRITORY_COLUMNS))
+    return n.join(broadcast_if_bounded(r), n.n_regionkey == r.r_regionkey).selectExpr(*_typed(TERRITORY_COLUMNS))
 
 
 def facility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, p
         raw = R.read_source(spark, kind, path, **read_opts)                               # A07
         if kind == "json":
             raw = R.json_records(raw)                                                     # A05
-        W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, source)                       # A08
-        fact = conform_batch(raw)
+        snap = W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, f"{source}-{run_id}")  # A08
+        fact = conform_batch(spark.read.parquet(snap))       # the source is parsed once
         fact = fact.filter(F.col("data_notificacao") >= F.lit(start))                     # C13
         Q.require_columns(fact, REQUIRED_FACT_COLUMNS)                                    # K02
         if fact.isEmpty():                                                                # K01 (soft)
@@ -77,7 +77,7 @@ def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, p
         status = INC.RUN_SUCCESS
         msg = None
     except Exception as e:  # noqa: BLE001 - recorded in the run log, then re-raised
-        status, rows, max_date, msg = INC.RUN_FAILED, None, None, str(e)[:500]
+        status, rows, max_date, msg = INC.RUN_FAILED, None, None, str(e)
     INC.append_run_log(INC.run_log_row(spark, pipeline, source, status, run_id=run_id, rows=rows,
                                        max_date=max_date, message=msg, started_at=started), log_path)  # J04
     upd = spark.createDataFrame([(pipeline, source, status, max_date,
@@ -92,20 +92,39 @@ def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, p
 
 
 def backfill_years(spark: SparkSession, files: Sequence[tuple[int, str]], kind: str, warehouse: str,
-                   territory: DataFrame | None = None, roles: Roles = NATIVE_ROLES, **read_opts) -> dict:
+                   territory: DataFrame | None = None, roles: Roles = NATIVE_ROLES,
+                   continue_on_error: bool = False, **read_opts) -> dict:
     """SURVEY 3.2: reload each source year (J07), then rebuild the derived
-    tables (J08) and reconcile rows per year (J09) against the loaded counts."""
+    tables (J08) and reconcile rows per year (J09) against the loaded counts.
+
+    All files of a year are loaded together, so a year is replaced once.  Each
+    file is parsed once, into a raw snapshot (A08) that the rest reads.  With
+    ``continue_on_error`` a year that fails keeps its old rows and is listed
+    under ``failed``; otherwise the first failure is raised."""
     fact_path = f"{warehouse}/fact"
-    loaded = []
+    by_year: dict[int, list[str]] = {}
     for year, path in sorted(files):                                                      # A10 order
-        raw = R.read_source(spark, kind, path, **read_opts)
-        if kind == "json":
-            raw = R.json_records(raw)
-        batch = conform_batch(raw, source_year=year)
-        INC.reload_years(spark, batch, fact_path, required=REQUIRED_FACT_COLUMNS)
-        loaded.append((year, spark.read.parquet(fact_path).filter(F.col("year") == year).count()))
+        by_year.setdefault(year, []).append(path)
+    loaded, failed = [], {}
+    for year, paths in by_year.items():
+        try:
+            snaps = []
+            for path in paths:
+                raw = R.read_source(spark, kind, path, **read_opts)
+                if kind == "json":
+                    raw = R.json_records(raw)
+                snaps.append(spark.read.parquet(W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, f"{year}-{uuid.uuid4().hex}")))
+            batch = conform_batch(B.union_widening(snaps), source_year=year)
+            INC.reload_years(spark, batch, fact_path, required=REQUIRED_FACT_COLUMNS)
+            loaded.append((year, spark.read.parquet(fact_path).filter(F.col("year") == year).count()))
+        except Exception as e:  # noqa: BLE001 - listed for the caller, or raised
+            if not continue_on_error:
+                raise
+            failed[year] = str(e)
+    out: dict = {"years": [y for y, _ in loaded], "failed": failed}
+    if not loaded:
+        return out
     fact = spark.read.parquet(fact_path)
-    out: dict = {"years": [y for y, _ in loaded]}
     if territory is not None:
         out["analytics"] = CU.build_analytics(fact, roles, territory, f"{warehouse}/analytics")
     log_rows = spark.createDataFrame(loaded, "year int, loaded_rows bigint")
@@ -131,7 +150,7 @@ def load_facility_dimension(spark: SparkSession, snapshots_base: str, out_path:
         raise ValueError(f"no period=... folders under {snapshots_base}")
     raw = R.read_csv_dialect(spark, f"{snapshots_base.rstrip('/')}/period={periods[-1]}",
                              B.FACILITY_ALIASES["cnes"])
-    return W.refresh_dimension(spark, B.conform_facilities(raw), out_path)
+    return W.refresh_dimension(spark, B.conform_facilities(R.with_file_order(raw)), out_path)
 
 
 def field_validity_report(spark: SparkSession, fact: DataFrame, territory: DataFrame, place: str,

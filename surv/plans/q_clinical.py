@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from surv.functions import expr as X
 from surv.operators import clinical as CL
 from surv.operators import evaluation as EV
 from surv.plans.registry import CLS, FOCUS_FROM, MONTH, NI, PLACE, SINCE, ctx, register
@@ -259,11 +262,21 @@ def e65(spark, sf):
     return EV.missing_rates(_eval(c), c.r)
 
 
-@register("e66_g06_delay_bands", _EV + f"""
-, b AS (SELECT CASE WHEN {_CD} <= 3 THEN '0-3' WHEN {_CD} <= 7 THEN '4-7' WHEN {_CD} <= 15 THEN '8-15' ELSE '+15' END
-   AS band FROM ev WHERE {_CD} BETWEEN 0 AND 365)
-SELECT band, COUNT(*) AS cases, CASE band WHEN '0-3' THEN 0 WHEN '4-7' THEN 1 WHEN '8-15' THEN 2 ELSE 3 END AS band_order
-FROM b GROUP BY 1""")
+_BANDS_SQL = f"""
+, delay AS (SELECT {_CD} AS days FROM ev WHERE {_CD} BETWEEN 0 AND 365),
+band AS (SELECT unnest(['0-3', '4-7', '8-15', '+15']) AS band, unnest([0, 4, 8, 16]) AS lo, unnest([3, 7, 15, 365]) AS hi, unnest([0, 1, 2, 3]) AS band_order)
+SELECT band, COUNT(days) AS cases, CAST(band_order AS INTEGER) AS band_order FROM band LEFT JOIN delay ON days BETWEEN lo AND hi GROUP BY 1, 3"""
+
+
+@register("e66_v_band_without_a_case", _EV + _BANDS_SQL.replace("BETWEEN 0 AND 365)", "BETWEEN 0 AND 365 AND NOT " + f"{_CD} BETWEEN 4 AND 7)", 1))
+def e66v(spark, sf):
+    """A scope in which one band has no case: it is a row with 0."""
+    c = ctx(spark, sf)
+    ext = _eval(c)
+    return EV.delay_bands(ext.filter(~F.coalesce(X.days_between(c.r.c("closed_on"), c.r.c("notified_on")).between(4, 7), F.lit(False))), c.r)
+
+
+@register("e66_g06_delay_bands", _EV + _BANDS_SQL)
 def e66(spark, sf):
     c = ctx(spark, sf)
     return EV.delay_bands(_eval(c), c.r)

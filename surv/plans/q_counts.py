@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surv.operators import counts as C
 from surv.operators import scope as S
-from surv.plans.registry import (BASE, CLS, CODE6, FOCUS_FROM, IN, MONTH, NI, PLACE, PLACE_CODE7,
+from surv.plans.registry import (BASE, CLS, CODE6, FACILITY_KEY, FOCUS_FROM, IN, MONTH, NI, PLACE, PLACE_CODE7,
                                  SINCE, YEAR, ctx, register)
 
 
@@ -110,16 +110,15 @@ def e11(spark, sf):
     return C.cases_by_sex(c.f, c.r, c.t, PLACE, since=SINCE)
 
 
-_FAC_DIM = """
-, fac AS (
-  SELECT lpad(regexp_replace(COALESCE(NULLIF(trim(facility_id), ''), '0'), '[^0-9]', '', 'g'), 7, '0') AS fkey,
-         max(NULLIF(trim(trade_name), '')) AS tn, max(NULLIF(trim(company_name), '')) AS cn,
-         max(NULLIF(trim(legal_name), '')) AS ln
+_FAC_DIM = f"""
+, facility_labels AS (
+  SELECT {FACILITY_KEY('facility_id')} AS label_key,
+         COALESCE(list_extract([n FOR n IN [max(NULLIF(trim(trade_name), '')), max(NULLIF(trim(company_name), '')),
+                                    max(NULLIF(trim(legal_name), ''))] IF n IS NOT NULL], 1), '') AS label
   FROM facility GROUP BY 1)
 """
-_FAC_JOIN = ("LEFT JOIN fac cn ON lpad(regexp_replace(COALESCE(NULLIF(trim(f.facility_raw), ''), '0'), "
-             "'[^0-9]', '', 'g'), 7, '0') = cn.fkey")
-_FAC_NAME = ("COALESCE(NULLIF(trim(cn.tn), ''), NULLIF(trim(cn.cn), ''), NULLIF(trim(cn.ln), ''), '')")
+_FAC_JOIN = f"LEFT JOIN facility_labels ON label_key = {FACILITY_KEY('f.facility_raw')}"
+_FAC_NAME = "COALESCE(label, '')"
 
 
 def _focus_from_fac(cls=None, since=None):
@@ -167,17 +166,15 @@ def e18(spark, sf):
 
 
 def _enriched_sql(cls, since, state_scope):
-    st = f" AND {NI('f.state_raw')} IN ('RJ', '33')" if state_scope else ""
+    """Row by row first (place, code, month), then counted with its territory."""
+    scope = f" AND list_contains(['RJ', '33'], {NI('f.state_raw')})" if state_scope else ""
     return f"""
-, b AS (SELECT {YEAR('f.notified_on')} AS year, {MONTH('f.notified_on')} AS month_start,
-        {NI('f.state_raw')} AS state, {NI('f.place_raw', 'Município não informado')} AS place_code,
-        COUNT(*) AS cases
-        FROM cases f WHERE {BASE(cls, since)}{st} GROUP BY 1, 2, 3, 4)
-SELECT b.year, b.month_start, b.state, b.place_code, COALESCE(d.place_name, b.place_code) AS place_name,
-       b.cases, d.population, d.area_km2,
-       CASE WHEN d.population > 0 THEN CAST(b.cases AS DOUBLE) / CAST(d.population AS DOUBLE) * 100000.0 END
-         AS incidence_100k
-FROM b LEFT JOIN territory d ON ({CODE6('b.place_code')}) = d.code6"""
+, placed AS (SELECT f.notified_on AS day, {NI('f.state_raw')} AS state, {NI('f.place_raw', 'Município não informado')} AS place_code
+             FROM cases f WHERE {BASE(cls, since)}{scope})
+SELECT {YEAR('day')} AS year, {MONTH('day')} AS month_start, state, place_code, COALESCE(any_value(place_name), place_code) AS place_name,
+       COUNT(*) AS cases, any_value(population) AS population, any_value(area_km2) AS area_km2,
+       CAST(COUNT(*) AS DOUBLE) / NULLIF(greatest(any_value(population), 0), 0) * 100000.0 AS incidence_100k
+FROM placed LEFT JOIN territory ON code6 = {CODE6('place_code')} GROUP BY 1, 2, 3, 4"""
 
 
 @register("e16_d03_state_places_enriched", _enriched_sql(CLS, None, True))

@@ -10,7 +10,7 @@ from surv.operators import counts as C
 from surv.operators import cubes as CU
 from surv.operators import quality as Q
 from surv.operators import scope as S
-from surv.plans.registry import (BASE, CODE6, FOCUS_FROM, IN, MONTH, NI, PLACE, SINCE, YEAR, ctx,
+from surv.plans.registry import (AGE, BAND, BASE, CODE6, FOCUS_FROM, IN, MONTH, NI, PLACE, SINCE, YEAR, ctx,
                                  register)
 
 CONF = ("1", "3", "4", "5", "6", "10", "11", "12")
@@ -34,7 +34,7 @@ agg AS (SELECT year, month, state, place, code6, COUNT(*) AS cases_total,
    COUNT(*) FILTER (WHERE {NI('outcome_raw')} = '2') AS deaths,
    COUNT(*) FILTER (WHERE {NI('hosp_raw')} = '1') AS hospitalisations
    FROM af GROUP BY 1, 2, 3, 4, 5)
-SELECT a.year, a.month, a.state, a.place, a.code6, t.region_name, t.population, a.cases_total, a.confirmed,
+SELECT a.year, a.month, a.state, a.place, a.code6, t.region_name, t.rgi, t.rgint, t.population, a.cases_total, a.confirmed,
    a.discarded, a.investigating, a.deaths, a.hospitalisations,
    {_ratio('a.confirmed', 't.population', 100000)} AS incidence_100k,
    {_ratio('a.deaths', 'a.confirmed', 100)} AS lethality_pct,
@@ -118,22 +118,22 @@ def k08b(spark, sf):
     return CU.route_month_state(spark, c.f, c.r, ("1", "2", "5"), SINCE, cube=None)
 
 
-@register("b28_d01_l05_analytic_fact_profile", f"""
-, af AS (SELECT {BASE()} AS ok, f.* FROM cases f)
-SELECT CAST(year(notified_on) AS INTEGER) AS year,
-  CASE WHEN age IS NULL THEN 'Não informado' WHEN age <= 9 THEN '0 a 9' WHEN age BETWEEN 10 AND 19 THEN '10 a 19'
-       WHEN age BETWEEN 20 AND 39 THEN '20 a 39' WHEN age BETWEEN 40 AND 59 THEN '40 a 59' ELSE '60+' END AS age_band,
-  COUNT(*) AS cases
-FROM (SELECT notified_on, CASE WHEN NULLIF(trim(age_raw), '') IS NULL THEN NULL
-        WHEN NOT regexp_matches(age_raw, '^[0-9]+$') THEN NULL
-        WHEN left(age_raw, 1) = '4' THEN TRY_CAST(NULLIF(substring(age_raw, 2), '') AS INTEGER)
-        WHEN left(age_raw, 1) = '3' THEN CAST(floor(TRY_CAST(NULLIF(substring(age_raw, 2), '') AS DOUBLE) / 12) AS INTEGER)
-        WHEN left(age_raw, 1) IN ('1', '2') THEN 0 END AS age FROM cases) x
-GROUP BY 1, 2""")
+@register("b28_d01_l05_analytic_fact", f"""
+SELECT case_id, notified_on, onset_on, {YEAR('notified_on')} AS year, CAST(month(notified_on) AS INTEGER) AS month,
+  TRY_CAST(right(left(lpad(digits, CAST(greatest(6, length(digits)) AS INTEGER), '0'), 6), 2) AS INTEGER) AS epi_week,
+  {NI('place_raw', 'Municipio nao informado')} AS place_raw, {NI('state_raw')} AS state, class_raw AS classification, outcome_raw AS outcome,
+  hosp_raw AS hospitalisation, {AGE('age_raw')} AS age, sex_raw AS sex, race_raw AS race, school_raw AS schooling, closed_on,
+  c.code6, fever AS symptom_fever, headache AS symptom_headache, myalgia AS symptom_myalgia, diabetes AS comorbidity_diabetes,
+  hypertension AS comorbidity_hypertension, renal AS comorbidity_renal, ns1_result AS exam_ns1, pcr_result AS exam_pcr,
+  ns1_on AS exam_ns1_on, pcr_on AS exam_pcr_on, CAST(NULL AS DATE) AS entered_on, {BAND(AGE('age_raw'))} AS age_band,
+  region_name, rgi, rgint, population, COALESCE(place_name, {NI('place_raw', 'Municipio nao informado')}) AS place
+FROM (SELECT *, {CODE6('place_raw')} AS code6,
+        CASE WHEN week_raw IS NOT NULL THEN COALESCE(array_to_string(regexp_extract_all(week_raw, '[0-9]'), ''), '') END AS digits FROM cases) c
+LEFT JOIN territory t ON c.code6 = t.code6""")
 def b28(spark, sf):
+    """Every column of the analytic fact, row by row."""
     c = ctx(spark, sf)
-    af = CU.analytic_fact(c.f, c.r, c.t)
-    return af.groupBy("year", "age_band").agg(F.count(F.lit(1)).alias("cases"))
+    return CU.analytic_fact(c.f, c.r, c.t)
 
 
 # ---- quality -----------------------------------------------------------------------

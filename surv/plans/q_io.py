@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from surv.operators import conform as B
 from surv.plans import fixtures as FX
 from surv.plans.registry import register
 from surv.sources import readers as R
@@ -163,3 +164,151 @@ def a12(spark, sf):
     W.refresh_dimension(spark, cu, t)
     W.refresh_dimension(spark, cu.filter(F.col("c_mktsegment") == "BUILDING"), t)
     return spark.read.parquet(t)
+
+
+# ---- loads that must not lose rows -------------------------------------------------------
+@register("a13_null_partition_kept", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders
+WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) < DATE '1998-01-01' OR o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey + 100000000, NULL FROM orders WHERE o_orderstatus = 'P'""", raw_sql=True)
+def a13_null(spark, sf):
+    """A fifth of the rows has no date and so no partition value.  A window
+    replacement whose delivery also has such rows keeps the old ones."""
+    t = W.staging_path(spark, "a13-null")
+    day = F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate"))
+    o = FX.table(spark, sf, "orders").select("o_orderkey", day.alias("d"), F.year(day).alias("year"), "o_orderstatus")
+    INC.replace_date_window(spark, o.drop("o_orderstatus"), t, "d", "1900-01-01")
+    undated = (o.filter("o_orderstatus = 'P'").select((F.col("o_orderkey") + 100_000_000).alias("o_orderkey"),
+                                                       F.lit(None).cast("date").alias("d"), F.lit(None).cast("int").alias("year")))
+    new = o.filter((F.col("d") >= "1998-01-01") & (F.col("o_orderkey") % 2 == 0)).drop("o_orderstatus").unionByName(undated)
+    INC.replace_date_window(spark, new, t, "d", "1998-01-01")
+    return spark.read.parquet(t).select("o_orderkey", "d")
+
+
+@register("j03_late_file_keeps_newer", """
+SELECT event_id, CAST(ts AS DATE) AS d, CASE WHEN CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) + 1 FROM events) THEN 'late' ELSE event_type END AS kind
+FROM events""", raw_sql=True)
+def j03(spark, sf):
+    """All events arrive; later a file re-delivers the second day only.  That
+    day is replaced, the newer days stay."""
+    import uuid
+    from surv.streaming.stream import stream_window_replace
+    base = W.staging_path(spark, "j03")
+    ev = FX.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("d"), F.year("ts").alias("year"), F.col("event_type").alias("kind"))
+    second = ev.select(F.date_add(F.min("d"), 1)).scalar()
+    name = f"j03-{uuid.uuid4().hex}"
+    for k, batch in enumerate((ev, ev.filter(F.col("d") == second).withColumn("kind", F.lit("late")))):
+        batch.coalesce(1).write.parquet(f"{base}/land/{k}")
+        stream_window_replace(spark, f"{base}/land/*", ev.schema, f"{base}/table", "d", name=name)
+    return spark.read.parquet(f"{base}/table").select("event_id", "d", "kind")
+
+
+@register("j07_backfill_two_files_per_year", """
+SELECT year(CAST(o_orderdate AS DATE)) AS year, COUNT(*) AS n, 'OK_FULL' AS status FROM orders GROUP BY 1""", raw_sql=True)
+def j07_two_files(spark, sf):
+    """Each year comes as two extracts; both are in the table after the
+    backfill, and the reconciliation has one row per year."""
+    from surv.plans.jobs import backfill_years
+    base = W.staging_path(spark, "j07-two")
+    o = FX.table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("DT_NOTIFIC"), F.lit("330001").alias("MUNICIPIO"), F.lit("1").alias("CLASSI_FIN"),
+        F.year("o_orderdate").cast("string").alias("NU_ANO"), F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 2).alias("half"))
+    o.write.partitionBy("year", "half").json(f"{base}/in")
+    years = sorted(int(y) for y in W.partition_dirs(spark, f"{base}/in", "year"))
+    out = backfill_years(spark, [(y, f"{base}/in/year={y}/half={h}") for y in years for h in (0, 1)], "json", f"{base}/wh", multiline=False)
+    rec = out["reconciliation"].filter("loaded_rows IS NOT NULL")
+    n = spark.read.parquet(f"{base}/wh/fact").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(rec.select("year", "status"), "year").select(F.col("year").cast("bigint").alias("year"), "n", "status")
+
+
+@register("a04_schema_drift", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS "j.k",
+  CASE WHEN event_id % 7 = 1 AND event_id % 3 <> 0 THEN event_type END AS "j.late" FROM events""", raw_sql=True)
+def a04_drift(spark, sf):
+    """Fields that only some rows have: the schema comes from all of them."""
+    ev = FX.table(spark, sf, "events")
+    text = (F.when(F.col("event_id") % 3 == 0, F.col("props"))
+             .when(F.col("event_id") % 7 == 1, F.to_json(F.struct(F.col("event_type").alias("late")))))
+    return R.parse_json_column(ev.select("event_id", text.alias("j")), "j").select("event_id", F.col("`j.k`"), F.col("`j.late`"))
+
+
+@register("a16_log_file_encodings", """
+SELECT 2000 + CAST(year(o_orderdate) % 100 AS INTEGER) AS year, COUNT(*) AS loaded_rows FROM orders GROUP BY 1""", raw_sql=True)
+def a16_files(spark, sf):
+    """One log per year, UTF-16 with its mark for even years, UTF-8 for odd
+    ones; the last line of a file counts."""
+    base = W.staging_path(spark, "a16-logs")
+    per = FX.table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    said = lambda n: F.format_string("Arquivo concluido: %d linhas carregadas (DENGBR%02d.json)", n, F.col("y") % 100)
+    lines = per.select("y", F.posexplode(F.array(F.lit("Início"), said(F.col("n") - 1), said(F.col("n")))).alias("k", "value"))
+    for rest, enc in ((0, "UTF-16"), (1, "UTF-8")):
+        (lines.filter(F.col("y") % 2 == rest).repartition("y").sortWithinPartitions("y", "k").drop("k")
+         .write.partitionBy("y").option("encoding", enc).csv(f"{base}/{enc}"))
+    return R.read_load_log(spark, f"{base}/*/y=*/part-*")
+
+
+@register("b24_facility_dimension", """
+SELECT lpad(CAST(s_suppkey % 50 AS VARCHAR), 7, '0') AS cnes, min(s_name) AS nome_fantasia FROM supplier GROUP BY 1""", raw_sql=True)
+def b24(spark, sf):
+    """A facility file with repeated ids (unpadded and padded), read back from
+    CSV: the first row of the file per id stays."""
+    p = W.staging_path(spark, "b24-file")
+    s = FX.table(spark, sf, "supplier").select(
+        F.when(F.col("s_suppkey") % 2 == 0, F.lpad((F.col("s_suppkey") % 50).cast("string"), 7, "0")).otherwise((F.col("s_suppkey") % 50).cast("string")).alias("CO_CNES"),
+        F.concat(F.lit("  "), "s_name").alias("NO_FANTASIA"))
+    s.coalesce(1).sortWithinPartitions("NO_FANTASIA").write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).csv(p)
+    dim = B.conform_facilities(R.with_file_order(R.read_csv_dialect(spark, p, B.FACILITY_ALIASES["cnes"])))
+    return dim.select("cnes", "nome_fantasia")
+
+
+# ---- names and cleaning on the driver tables ----------------------------------------------
+@register("b02_b03_b04_b08_names_and_case", """
+SELECT c_custkey AS id, upper(c_name) AS nome_do_cliente, c_name AS nome_do_cliente_1, c_mktsegment AS segmento FROM customer""", raw_sql=True)
+def b02(spark, sf):
+    cu = FX.table(spark, sf, "customer").select("c_custkey", "c_name", "c_name", "c_mktsegment").toDF("Chave", "Nome do Cliente", " nome  do-cliente ", "Ségmento")
+    d = B.rename(B.ascii_names(B.normalize_names(cu)), {"chave": "id", "absent": "x"})
+    return d.withColumn("nome_do_cliente", F.upper("nome_do_cliente"))
+
+
+@register("a05_envelope_records", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation", raw_sql=True)
+def a05(spark, sf):
+    """Records inside a ``parametros`` array, as the portal wraps them."""
+    p = W.staging_path(spark, "a05-json")
+    n = FX.table(spark, sf, "nation").select(F.struct("n_nationkey", "n_name").alias("r"), "n_regionkey")
+    n.groupBy("n_regionkey").agg(F.collect_list("r").alias("parametros")).drop("n_regionkey").write.json(p)
+    return R.json_records(spark.read.json(p))
+
+
+@register("a15_report_with_mark", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation", raw_sql=True)
+def a15(spark, sf):
+    """A report written with its byte-order mark; the CSV reader takes it off."""
+    p = W.staging_path(spark, "a15-report")
+    W.write_report_csv(FX.table(spark, sf, "nation").select("n_nationkey", "n_name"), p)
+    d = R.read_csv(spark, p)
+    return d.toDF(*[c.lstrip("\ufeff") for c in d.columns])
+
+
+@register("j01_j02_j05_marks", """
+SELECT 'p' || CAST(c_custkey % 7 AS VARCHAR) AS pipeline, CAST(c_custkey AS VARCHAR) AS source,
+  CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 0 THEN DATE '2024-03-01' WHEN c_custkey % 2 = 0 THEN DATE '2024-01-10' END AS last_success_date
+FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""", raw_sql=True)
+def j05(spark, sf):
+    """Marks of many sources: a successful run with a date moves the mark, a
+    failed or empty one keeps it."""
+    cu = FX.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("p"), F.col("c_custkey") % 7).alias("pipeline"), F.col("c_custkey").cast("string").alias("source"))
+    ts = F.lit("2024-03-02 00:00:00").cast("timestamp")
+    state = cu.filter("c_custkey % 2 = 0").select("pipeline", "source", F.lit("2024-01-10").cast("date").alias("last_success_date"), ts.alias("updated_at"))
+    upd = cu.filter("c_custkey % 3 = 0").select("pipeline", "source", F.when(F.col("c_custkey") % 4 == 0, INC.RUN_FAILED).otherwise(INC.RUN_SUCCESS).alias("status"),
+                                                F.lit("2024-03-01").cast("date").alias("last_success_date"), ts.alias("updated_at"))
+    return INC.upsert_mark(state, upd).select("pipeline", "source", "last_success_date")
+
+
+@register("j06_historical_batches", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n FROM orders GROUP BY 1", raw_sql=True)
+def j06(spark, sf):
+    """The whole history in batches of three years on top of stale data."""
+    t = W.staging_path(spark, "j06-table")
+    o = FX.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    INC.historical_load(spark, [o.limit(5)], t)
+    lo, hi = o.agg(F.min("year"), F.max("year")).first()
+    INC.historical_load_years(spark, lambda a, b: o.filter(F.col("year").between(a, b)), t, lo, hi)
+    return spark.read.parquet(t).groupBy("year").agg(F.count(F.lit(1)).alias("n"))

@@ -12,8 +12,9 @@ from surv.operators import counts as C
 from surv.operators import quality as Q
 from surv.operators import scope as S
 from surv.plans import fixtures as FX
-from surv.plans.registry import CODE6, MONTH, NI, YEAR, ctx, register
+from surv.plans.registry import AGE, BAND, CODE6, MONTH, NI, YEAR, ctx, register
 from surv.sources import readers as R
+from surv.sources import writers as W
 from surv.streaming import incremental as INC
 
 
@@ -47,19 +48,10 @@ def i05(spark, sf):
                       X.first_nonblank(c.r.c("facility_raw"), c.r.c("place_raw"), default="").alias("first_name"))
 
 
-@register("i08_i09_i10_i11_age_and_flags", """
-, a AS (SELECT case_id, CASE WHEN NULLIF(trim(age_raw), '') IS NULL THEN NULL
-        WHEN NOT regexp_matches(age_raw, '^[0-9]+$') THEN NULL
-        WHEN left(age_raw, 1) = '4' THEN TRY_CAST(NULLIF(substring(age_raw, 2), '') AS INTEGER)
-        WHEN left(age_raw, 1) = '3' THEN CAST(floor(TRY_CAST(NULLIF(substring(age_raw, 2), '') AS DOUBLE) / 12) AS INTEGER)
-        WHEN left(age_raw, 1) IN ('1', '2') THEN 0 END AS age,
-   (COALESCE(NULLIF(trim(outcome_raw), ''), 'NI') IN ('2', '3', '4')
-     OR upper(COALESCE(NULLIF(trim(outcome_raw), ''), 'NI')) LIKE '%OBITO%') AS death,
-   COALESCE(NULLIF(trim(hosp_raw), ''), 'NI') = '1' AS hospitalised,
-   COALESCE(NULLIF(trim(headache), ''), 'NI') IN ('1', 'S', 'SIM') AS headache_yes FROM cases)
-SELECT case_id, age, CASE WHEN age IS NULL THEN 'Não informado' WHEN age <= 9 THEN '0 a 9'
-  WHEN age BETWEEN 10 AND 19 THEN '10 a 19' WHEN age BETWEEN 20 AND 39 THEN '20 a 39'
-  WHEN age BETWEEN 40 AND 59 THEN '40 a 59' ELSE '60+' END AS age_band, death, hospitalised, headache_yes FROM a""")
+@register("i08_i09_i10_i11_age_and_flags", f"""
+, coded AS (SELECT case_id, {AGE('age_raw')} AS age, {NI('outcome_raw')} AS outcome, {NI('hosp_raw')} AS hosp, {NI('headache')} AS head FROM cases)
+SELECT case_id, age, {BAND('age')} AS age_band, list_contains(['2', '3', '4'], outcome) OR contains(upper(outcome), 'OBITO') AS death,
+  hosp = '1' AS hospitalised, list_contains(['1', 'S', 'SIM'], head) AS headache_yes FROM coded""")
 def i08(spark, sf):
     c = ctx(spark, sf)
     age = X.age_years(c.r.c("age_raw"))
@@ -255,9 +247,12 @@ def b26(spark, sf):
 
 
 @register("b27_territory_projection", """
-SELECT code7, code6, place_name, state_name, region_name, population FROM territory""")
+SELECT code7, code6, place_name, '33' AS state_code, state_name, region_name, rgi, rgint, population, area_km2 FROM territory""")
 def b27(spark, sf):
-    return ctx(spark, sf).t.select("code7", "code6", "place_name", "state_name", "region_name", "population")
+    """The municipality dimension under its source names, projected back."""
+    names = {"code7": "cd_mun", "code6": "cd_mun6", "place_name": "nm_mun", "state_name": "nm_uf", "region_name": "nm_regiao",
+             "rgi": "nm_rgi", "rgint": "nm_rgint", "population": "total_pessoas"}
+    return B.territory_from_municipalities(ctx(spark, sf).t.withColumnsRenamed(names).withColumn("cd_uf", F.lit("33")))
 
 
 # ---- 2A sources over driver tables -----------------------------------------------------------------
@@ -344,32 +339,34 @@ def d13(spark, sf):
 
 @register("h02_yearly_batches_tagged", """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS collection_year, COUNT(*) AS n,
-  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
-FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1""", raw_sql=True)
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, COUNT(CASE WHEN year(o_orderdate) % 2 = 0 THEN 1 END) AS noted
+FROM orders GROUP BY 1""", raw_sql=True)
 def h02(spark, sf):
-    o = FX.table(spark, sf, "orders")
-    parts = [o.filter(F.year("o_orderdate") == y).withColumn("collection_year", F.lit(y)) for y in (1996, 1997, 1998)]
-    u = B.union_widening(parts)
+    """Batches of all years, each tagged with its year; even years carry one
+    more field.  Batches with equal columns are read together."""
+    base = W.staging_path(spark, "h02-batches")
+    o = FX.table(spark, sf, "orders").select("o_totalprice", F.year("o_orderdate").alias("collection_year"))
+    even = F.col("collection_year") % 2 == 0
+    o.filter(~even).write.partitionBy("collection_year").parquet(f"{base}/plain")
+    o.filter(even).withColumn("note", F.lit("x")).write.partitionBy("collection_year").parquet(f"{base}/noted")
+    u = B.union_widening([R.read_year_range(spark, f"{base}/{k}", 1900, 2100, year_col="collection_year") for k in ("plain", "noted")])
     return u.groupBy("collection_year").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count("note").alias("noted"))
 
 
 @register("h03_union_of_name_sets", """
 SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer""", raw_sql=True)
 def h03(spark, sf):
-    n = FX.table(spark, sf, "nation").select(F.col("n_name").alias("name"))
-    r = FX.table(spark, sf, "region").select(F.col("r_name").alias("name"))
-    c = FX.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("name"))
-    return n.union(r).union(c).distinct()
+    return Q.name_union([FX.table(spark, sf, "nation").select("n_name"), FX.table(spark, sf, "region").select("r_name"),
+                         FX.table(spark, sf, "customer").select("c_mktsegment")])
 
 
 @register("h04_set_difference", """
-SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders""", raw_sql=True)
+SELECT c_custkey AS name FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""", raw_sql=True)
 def h04(spark, sf):
-    cu = FX.table(spark, sf, "customer").select("c_custkey")
-    o = FX.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return cu.exceptAll(o)
+    o = FX.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_custkey")
+    return Q.name_difference(FX.table(spark, sf, "customer").select("c_custkey"), o)
 
 
 @register("d09_decode_counts", f"""
@@ -386,16 +383,12 @@ bd AS (SELECT {YEAR('notified_on')} AS year, COUNT(*) AS rows_by_date FROM cases
 bt AS (SELECT TRY_CAST(trim(year_text) AS INTEGER) AS year, COUNT(*) AS rows_by_text FROM cases
        WHERE regexp_matches(trim(year_text), '^[0-9]{{4}}$') GROUP BY 1),
 sp AS (SELECT CAST(unnest(generate_series(1994, 2002)) AS INTEGER) AS year),
-j AS (SELECT sp.year, lg.loaded_rows, COALESCE(bd.rows_by_date, 0) AS dn, COALESCE(bt.rows_by_text, 0) AS nu
+j AS (SELECT year, loaded_rows AS l, COALESCE(rows_by_date, 0) AS d, COALESCE(rows_by_text, 0) AS t,
+      greatest(abs(COALESCE(rows_by_date, 0) - loaded_rows), abs(COALESCE(rows_by_text, 0) - loaded_rows)) AS gap
       FROM sp LEFT JOIN lg USING (year) LEFT JOIN bd USING (year) LEFT JOIN bt USING (year))
-SELECT year, loaded_rows, dn AS rows_by_date, dn - loaded_rows AS diff_date_vs_log, nu AS rows_by_text,
-  nu - loaded_rows AS diff_text_vs_log,
-  CASE WHEN loaded_rows IS NULL THEN 'SEM_LOG' WHEN dn = loaded_rows AND nu = loaded_rows THEN 'OK_FULL'
-   WHEN (abs(dn - loaded_rows) <= 25 AND abs(nu - loaded_rows) <= 25)
-     OR ((CASE WHEN loaded_rows > 0 THEN abs(dn - loaded_rows) / loaded_rows * 100.0 ELSE 0.0 END) <= 1.0
-         AND (CASE WHEN loaded_rows > 0 THEN abs(nu - loaded_rows) / loaded_rows * 100.0 ELSE 0.0 END) <= 1.0)
-     THEN 'OK_COM_TOLERANCIA'
-   WHEN dn = loaded_rows THEN 'OK_DATA_NOTIFICACAO' WHEN nu = loaded_rows THEN 'OK_NU_ANO' ELSE 'DIVERGENTE' END AS status
+SELECT year, l AS loaded_rows, d AS rows_by_date, d - l AS diff_date_vs_log, t AS rows_by_text, t - l AS diff_text_vs_log,
+  CASE WHEN l IS NULL THEN 'SEM_LOG' WHEN gap = 0 THEN 'OK_FULL' WHEN gap <= greatest(25, l * 0.01) OR l = 0 THEN 'OK_COM_TOLERANCIA'
+   WHEN d = l THEN 'OK_DATA_NOTIFICACAO' WHEN t = l THEN 'OK_NU_ANO' ELSE 'DIVERGENTE' END AS status
 FROM j""")
 def j09(spark, sf):
     c = ctx(spark, sf)

@@ -14,14 +14,9 @@ from surv.plans import q_counts, q_cubes, q_profile
 from surv.plans.registry import ORACLE, PLACE, SINCE, ctx, register
 from surv.roles import NATIVE_ROLES
 
-_NATIVE: dict = {}
-
 
 def native_fact(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _NATIVE:
-        _NATIVE[key] = B.conform_fact(B.default_clean(FX.native_raw(spark, sf)))
-    return _NATIVE[key]
+    return B.conform_fact(B.default_clean(FX.native_raw(spark, sf)))
 
 
 @register("b10_native_e02_cases_month_state", ORACLE["e02_c01_c02_c03_g01_cases_month_state"], raw_sql=True)

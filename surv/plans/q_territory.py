@@ -12,7 +12,7 @@ OTHER_PLACE = "NATION_5"   # another municipality of the focus state
 
 def _en_cte(state_scope=True) -> str:
     text = _enriched_sql(None, SINCE, state_scope)
-    i = text.index("\nSELECT b.year")
+    i = text.index("\nSELECT ", text.index("placed AS"))
     return text[:i] + ",\nen AS (" + text[i + 1:] + ")\n"
 
 

@@ -50,19 +50,9 @@ class Ctx:
     r = FIXTURE_ROLES
 
 
-_CTX: dict[tuple[str, str], Ctx] = {}
-
-
 def ctx(spark: SparkSession, sf: str) -> Ctx:
-    """Base frames of a data directory, built once per session: DataFrames
-    are immutable plans, so reusing them skips re-listing files and
-    re-reading footers on every query."""
-    key = (spark.sparkContext.applicationId, sf)
-    c = _CTX.get(key)
-    if c is None:
-        c = Ctx(FX.cases(spark, sf), FX.territory(spark, sf), FX.facility(spark, sf), spark, sf)
-        _CTX[key] = c
-    return c
+    """Base frames of a data directory, as its files are now."""
+    return Ctx(FX.cases(spark, sf), FX.territory(spark, sf), FX.facility(spark, sf), spark, sf)
 
 
 # ---- shared oracle snippets (DuckDB dialect) --------------------------------
@@ -77,8 +67,35 @@ def NI(x: str, d: str = "NI") -> str:
 
 
 def CODE6(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, '^[0-9]+$') THEN CASE WHEN length({x}) >= 7 "
-            f"THEN substring({x}, 1, 6) WHEN length({x}) = 6 THEN {x} ELSE lpad({x}, 6, '0') END END")
+    """All-digit text padded to six or cut to six; other text has no code."""
+    digits = f"NULLIF(regexp_extract({x}, '^[0-9]+$'), '')"
+    return f"left(lpad({digits}, CAST(greatest(6, length({x})) AS INTEGER), '0'), 6)"
+
+
+# years per unit of a coded age (first digit 1 to 4), as a divisor; hours and
+# days are no year whatever the count says
+_AGE_DIVISOR = "[1e9, 1e9, 12.0, 1.0]"
+
+
+def AGE(x: str) -> str:
+    """Whole years of a coded age, NULL unless it is all digits and has a unit."""
+    code = f"NULLIF(regexp_extract({x}, '^[0-9]+$'), '')"
+    unit = f"TRY_CAST(left({code}, 1) AS INTEGER)"
+    amount = f"TRY_CAST(list_extract(['0', '0', '', ''], {unit}) || substring({code}, 2) AS DOUBLE)"
+    return f"TRY_CAST(floor({amount} / list_extract({_AGE_DIVISOR}, {unit})) AS INTEGER)"
+
+
+def BAND(age: str) -> str:
+    """Label of an age: its place among the lower ends of the bands."""
+    labels = ", ".join(f"'{b}'" for b in ("0 a 9", "10 a 19", "20 a 39", "40 a 59", "60+"))
+    place = f"1 + len([lo FOR lo IN [10, 20, 40, 60] IF lo <= ({age})])"
+    return f"COALESCE(list_extract([{labels}], CASE WHEN ({age}) IS NOT NULL THEN {place} END), 'Não informado')"
+
+
+def FACILITY_KEY(x: str) -> str:
+    """The digits of an id (a blank id is 0), padded or cut to seven."""
+    digits = f"array_to_string(regexp_extract_all(COALESCE(NULLIF(trim({x}), ''), '0'), '[0-9]'), '')"
+    return f"left(lpad({digits}, CAST(greatest(7, length({digits})) AS INTEGER), '0'), 7)"
 
 
 def YEAR(d: str) -> str:

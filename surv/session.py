@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,23 +47,19 @@ def get_spark(master: str | None = None, app: str = "surv",
     return spark
 
 
-_FALLBACK_DIR: dict[str, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and staged writes.
+    """Shared folder for lineage cuts and staged writes: the session's
+    ``spark.checkpoint.dir``, or the context's checkpoint directory.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared location), or
-    the context's checkpoint directory.  Only when neither is set -- local
-    tests -- a scratch folder is created (once per application)."""
+    Where neither is set, a local session (one machine, as in tests) gets a
+    scratch folder of its own; a cluster session is an error, since executors
+    could not see a folder of the driver's machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        app = spark.sparkContext.applicationId
-        d = _FALLBACK_DIR.get(app)
-        if d is None:
-            d = tempfile.mkdtemp(prefix="surv-ckpt-")
-            _FALLBACK_DIR[app] = d
-            spark.sparkContext.setCheckpointDir(d)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="surv-ckpt-")
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -80,67 +77,54 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES,
-                      max_partitions: int = 200_000) -> int:
-    """Partition count for an explicit repartition, from Catalyst's size
-    estimate of ``df`` (no job runs): about ``bytes_per_partition`` each,
-    never fewer than ``spark.sql.shuffle.partitions``."""
-    floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def size_in_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job runs).  For a table read from
+    files it is the size of the files listed now."""
     try:
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: keep the session setting
-        return floor_n
-    return max(floor_n, min(max_partitions, -(-est // bytes_per_partition)))
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate
+        return None
 
 
-_BOUND_CACHE: dict[tuple[int, int], bool] = {}
+def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for an explicit repartition: about
+    ``bytes_per_partition`` each, never fewer than
+    ``spark.sql.shuffle.partitions``."""
+    floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    est = size_in_bytes(df)
+    return floor_n if est is None else max(floor_n, -(-est // bytes_per_partition))
 
 
-def within_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-    Reads at most ``max_rows + 1`` rows (a LIMIT job), so the check itself is
-    bounded no matter how large ``df`` is.
-    """
-    key = (df.semanticHash(), max_rows)
-    if key not in _BOUND_CACHE:
-        _BOUND_CACHE[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _BOUND_CACHE[key]
 
+def within_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the source ``df`` is at most ``max_bytes`` large.  Asked anew
+    at every call: a table that has grown since is seen as it is."""
+    est = size_in_bytes(df)
+    return est is not None and est <= max_bytes
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast-hint ``df`` only when its row count is proven small.
+
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only when its size is bounded.
 
     Past the bound the frame is returned unhinted: the join shuffles on its
-    key (sort-merge), and AQE may still switch to a broadcast at run time
-    from real shuffle statistics, or split skewed partitions.
-    """
-    return F.broadcast(df) if within_rows(df, max_rows) else df
+    key, and AQE splits skewed partitions."""
+    return F.broadcast(df) if within_bytes(df, max_bytes) else df
 
 
-SALT_BUCKETS = 32
+def bounded_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key: str, how: str = "left",
+                 max_bytes: int = BROADCAST_BYTES, size_of: DataFrame | None = None) -> DataFrame:
+    """Join a (possibly huge, possibly skewed) fact to a dimension with one row
+    per key.
 
+    * dimension within ``max_bytes`` (checked): broadcast hash join, no shuffle;
+    * otherwise: a join by key.  A key with a third of all rows makes one large
+      partition of the fact, which AQE's skew-join rule splits (the
+      dimension's single row is read by every part).
 
-def bounded_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key: str, how: str = "left",
-                 max_rows: int = 200_000, salt_buckets: int = SALT_BUCKETS,
-                 size_of: DataFrame | None = None) -> DataFrame:
-    """Join a (possibly huge, possibly skewed) fact to a dimension.
-
-    * dimension within ``max_rows`` (checked): broadcast hash join, no shuffle;
-    * otherwise: a salted shuffle join.  Fact rows get a salt from a
-      deterministic hash of the row (stable across task retries), the
-      dimension is replicated once per salt value, and the join is on
-      (key, salt): a key holding a third of all rows is split over
-      ``salt_buckets`` reducers instead of landing in one task.
-
-    ``size_of`` is a frame whose row count bounds ``dim``'s (the dimension a
-    projection, filter or aggregate was taken from): checking it once serves
-    every derived shape."""
+    ``size_of`` is the source frame whose size bounds ``dim`` (a projection,
+    filter or aggregate of it)."""
     fk = F.col(fact_key) if isinstance(fact_key, str) else fact_key
-    if within_rows(size_of if size_of is not None else dim, max_rows):
-        return fact.join(F.broadcast(dim), fk == F.col(dim_key), how)
-    cols = [F.col(f"`{c}`") for c in fact.columns]
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)))
-    reps = dim.withColumn("_dsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt_buckets - 1).cast("bigint"))))
-    j = salted.join(reps, (fk == F.col(dim_key)) & (F.col("_salt") == F.col("_dsalt")), how)
-    return j.drop("_salt", "_dsalt")
+    small = within_bytes(size_of if size_of is not None else dim, max_bytes)
+    return fact.join(F.broadcast(dim) if small else dim, fk == F.col(dim_key), how)

@@ -8,6 +8,7 @@ driver-side parsing of data.  Raw notification extracts are read as text
 from __future__ import annotations
 
 import os
+import re
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,12 +98,13 @@ def read_json_records(spark: SparkSession, path: str | Sequence[str], envelope:
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType | str | None = None,
                       prefix: str | None = None) -> DataFrame:
     """A04 on a JSON text column: parse with ``from_json`` (schema given, or
-    inferred from the column with ``schema_of_json`` over the data) and
+    inferred over all rows: a field of any row counts) and
     flatten the fields into ``<prefix>.<field>`` columns."""
     if schema is None:
-        sample = df.select(F.col(col)).filter(F.col(col).isNotNull()).limit(1)
-        ddl = sample.select(F.schema_of_json(F.col(col))).first()
-        schema = ddl[0] if ddl else "struct<>"
+        ddl = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(col)))).first()[0]
+        # variant names to SQL types; a field that is null everywhere or mixed is text
+        schema = "struct<>" if not ddl or not ddl.startswith("OBJECT<") else re.sub(
+            r"\b(VOID|VARIANT)\b", "STRING", ddl.replace("OBJECT<", "STRUCT<"))
     p = prefix or col
     parsed = df.withColumn("_json", F.from_json(F.col(col), schema))
     st = parsed.schema["_json"].dataType
@@ -149,10 +151,10 @@ def read_year_range(spark: SparkSession, base: str, y0: int, y1: int, fmt: str =
     return df.filter(F.col(year_col).between(y0, y1))
 
 
-def parse_load_log(lines: DataFrame, line_col: str = "value", order_col: str | None = None) -> DataFrame:
+def parse_load_log(lines: DataFrame, line_col: str = "value", order_col: str | Column = "line_no") -> DataFrame:
     """(year, loaded rows) from load-log lines; the last line per year
-    wins, by ``order_col`` (file order when not given)."""
-    o = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    wins, by ``order_col``."""
+    o = F.col(order_col) if isinstance(order_col, str) else order_col
     x = lines.select(F.col(line_col).alias("line"), o.alias("_ord"))
     x = x.filter(F.col("line").rlike(LOAD_LOG_PATTERN))
     x = x.select(F.regexp_extract("line", LOAD_LOG_PATTERN, 1).cast("bigint").alias("rows"),
@@ -161,9 +163,28 @@ def parse_load_log(lines: DataFrame, line_col: str = "value", order_col: str | N
     return x.groupBy("year").agg(F.max_by("rows", "_ord").alias("loaded_rows"))
 
 
-def read_load_log(spark: SparkSession, path: str) -> DataFrame:
-    """A16 from a text file."""
-    return parse_load_log(spark.read.text(path))
+def decoded_text(content: Column) -> Column:
+    """Text of a small file: by its byte-order mark (UTF-16 either way, UTF-8),
+    else UTF-8 where it is valid, else Latin-1."""
+    mark = lambda n: F.hex(F.substring(content, 1, n))
+    return (F.when(mark(2) == "FFFE", F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE"))
+             .when(mark(2) == "FEFF", F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE"))
+             .when(mark(3) == "EFBBBF", F.decode(F.substring(content, 4, 1 << 30), "UTF-8"))
+             .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+             .otherwise(F.decode(content, "ISO-8859-1")))
+
+
+def read_log_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of load logs with their place: file (by modification time, then
+    name) and line number.  Logs are small; each is one row before the split."""
+    f = spark.read.format("binaryFile").load(path)
+    x = f.select("modificationTime", "path", F.posexplode(F.split(decoded_text(F.col("content")), "\r\n|\n|\r")).alias("n", "value"))
+    return x.select("value", F.struct("modificationTime", "path", "n").alias("line_no"))
+
+
+def read_load_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A16 from text files in any of the encodings a log may have."""
+    return parse_load_log(read_log_lines(spark, path))
 
 
 def year_from_name(name: Column, pattern: str = RESOURCE_YEAR_PATTERN) -> Column:
@@ -178,6 +199,14 @@ def with_source_file(df: DataFrame, out: str = "source_file") -> DataFrame:
     return df.withColumn(out, F.col("_metadata.file_path"))
 
 
+def with_file_order(df: DataFrame, out: str = "file_order") -> DataFrame:
+    """Place of each row of a file read: file name, start of its block, and
+    row inside the block (a block is read by one task, in order), as a value
+    that sorts in file order whatever partitions Spark packs together."""
+    return df.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                   F.monotonically_increasing_id().alias("row")).alias(out))
+
+
 def column_set(df: DataFrame) -> set[str]:
     """The frame's column names (metadata)."""
     return set(df.columns)

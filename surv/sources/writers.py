@@ -99,18 +99,14 @@ def refresh_dimension(spark: SparkSession, df: DataFrame, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-REPORT_SINGLE_FILE_ROWS = 1_000_000
-
-
-def write_report_csv(df: DataFrame, path: str) -> str:
+def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> str:
     """Report as CSV with a UTF-8 byte-order mark (the mark is written as
-    the first character of the header).  A report within the checked bound is
-    one file; a larger one keeps its partitioning (every part file starts
-    with the marked header) instead of being funnelled through one task."""
-    from surv.session import within_rows
+    the first character of the header).  Reports are aggregates of a few rows,
+    so they are one file unless ``single_file`` is False; then every part file
+    starts with the marked header."""
     first = df.columns[0]
     out = df.withColumnRenamed(first, "\ufeff" + first)
-    if within_rows(df, REPORT_SINGLE_FILE_ROWS):
+    if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     return path

@@ -26,6 +26,10 @@ RUN_RUNNING, RUN_SUCCESS, RUN_FAILED = "running", "success", "failed"
 
 
 # ---- A13 window replacement --------------------------------------------------------------
+JOURNAL = "_emptied_partitions"
+NULL_DIR = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _window(date_col: str, d0: str, d1: str | None) -> Column:
     c = F.col(date_col)
     cond = c >= F.lit(d0).cast("date")
@@ -34,40 +38,83 @@ def _window(date_col: str, d0: str, d1: str | None) -> Column:
     return F.coalesce(cond, F.lit(False))   # NULL dates are never in the window
 
 
-def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, date_col: str,
-                        d0: str, d1: str | None = None, part_col: str = "year") -> dict[str, int]:
-    """Delete rows whose ``date_col`` falls in [d0, d1] (open-ended when
-    ``d1`` is None), then append ``new``.  Rows with a NULL date are never
-    deleted (reference semantics, T27).  The table is partitioned by
-    ``part_col`` (the source year, T28)."""
+def _any_value(col: str, values: Sequence) -> Column:
+    """Null-safe membership: NULL is a partition value like any other."""
+    cond = F.lit(False)
+    for v in values:
+        cond = cond | F.col(col).eqNullSafe(F.lit(v))
+    return cond
+
+
+def finish_replace(spark: SparkSession, table_path: str, part_col: str = "year") -> list[str]:
+    """Remove the partitions that an interrupted replacement had emptied (they
+    are named in the table's journal); returns their values."""
+    journal = f"{table_path.rstrip('/')}/{JOURNAL}"
+    fs, p = W._fs(spark, journal)
+    if not fs.exists(p):
+        return []
+    gone = [r.value for r in spark.read.text(journal).collect()]   # a handful of partition values
+    for v in gone:
+        W.delete_path(spark, f"{table_path.rstrip('/')}/{part_col}={v}")
+    W.delete_path(spark, journal)
+    return gone
+
+
+def _replace_rows(spark: SparkSession, new: DataFrame, table_path: str, part_col: str, drop) -> dict[str, int]:
+    """Drop the rows of the table for which ``drop`` holds, then add ``new``.
+
+    The affected partitions are written once: dynamic partition overwrite
+    stages its files and moves them in at commit, so it may read the table it
+    writes, and a driver lost before the commit changes nothing.  Partitions
+    left without a row are named in a journal first; the next call removes
+    them if this one is cut short."""
+    finish_replace(spark, table_path, part_col)
     exists = W.partition_dirs(spark, table_path, part_col) or _has_data(spark, table_path)
     if not exists:
         if not new.isEmpty():
             new.write.mode("overwrite").partitionBy(part_col).parquet(table_path)
         return {"rewritten_partitions": 0}
     old = spark.read.option("mergeSchema", True).parquet(table_path)
-    win = _window(date_col, d0, d1)
-    affected = (old.filter(win).select(part_col).union(new.select(part_col)).distinct())
-    # the affected partition values are a handful of years: metadata, not data
-    years = [r[0] for r in affected.collect()]
-    if not years:
+    hit = drop(old)
+    # partition values are a handful of years: metadata, not data
+    state = (old.groupBy(part_col).agg(F.count_if(hit).alias("_out"), F.count_if(~hit).alias("_stay")).filter("_out > 0")
+             .unionByName(new.groupBy(part_col).agg(F.lit(0).cast("bigint").alias("_out"), F.count(F.lit(1)).alias("_stay"))))
+    rows = state.groupBy(part_col).agg(F.sum("_stay").alias("_stay")).collect()
+    if not rows:
         return {"rewritten_partitions": 0}
-    keep = old.filter(F.col(part_col).isin(*years) & ~win)
+    emptied = [NULL_DIR if r[0] is None else str(r[0]) for r in rows if r["_stay"] == 0]
+    if emptied:
+        (spark.createDataFrame([(v,) for v in emptied], "value string").coalesce(1)
+         .write.mode("overwrite").text(f"{table_path.rstrip('/')}/{JOURNAL}"))
     # A delivery with extra fields widens the table; partitions written
     # earlier keep their files and read the new columns as NULL (mergeSchema)
-    merged = keep.unionByName(new, allowMissingColumns=True)
-    staging = W.staging_path(spark, "window-replace")
-    merged.write.mode("errorifexists").partitionBy(part_col).parquet(staging)
-    left = set(W.partition_dirs(spark, staging, part_col))
-    if left:
-        (spark.read.option("mergeSchema", True).parquet(staging).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(table_path))
-    # partitions emptied by the delete (no surviving or new rows) are removed
-    for y in years:
-        if str(y) not in left:
-            W.delete_path(spark, f"{table_path.rstrip('/')}/{part_col}={y}")
-    W.delete_path(spark, staging)
-    return {"rewritten_partitions": len(years)}
+    keep = old.filter(_any_value(part_col, [r[0] for r in rows]) & ~hit)
+    (keep.unionByName(new, allowMissingColumns=True).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(table_path))
+    finish_replace(spark, table_path, part_col)
+    return {"rewritten_partitions": len(rows)}
+
+
+def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, date_col: str,
+                        d0: str, d1: str | None = None, part_col: str = "year") -> dict[str, int]:
+    """Delete rows whose ``date_col`` falls in [d0, d1] (open-ended when
+    ``d1`` is None), then append ``new``.  Rows with a NULL date are never
+    deleted (reference semantics, T27), whatever their partition.  The table
+    is partitioned by ``part_col`` (the source year, T28)."""
+    return _replace_rows(spark, new, table_path, part_col, lambda old: _window(date_col, d0, d1))
+
+
+def replace_days(spark: SparkSession, new: DataFrame, table_path: str, date_col: str,
+                 since: str | None = None, part_col: str = "year") -> dict[str, int]:
+    """A late delivery replaces exactly the days it carries (on or after
+    ``since``, the stored mark minus the overlap); other days stay, newer ones
+    too.  Rows of the delivery without a date are added."""
+    if since:
+        new = new.filter(F.col(date_col).isNull() | (F.col(date_col) >= F.lit(since).cast("date")))
+    days = [r[0] for r in new.select(F.col(date_col).cast("date")).distinct().collect() if r[0] is not None]
+    # the days of one delivery: bounded by the calendar, not by its rows
+    hit = (lambda old: F.coalesce(F.col(date_col).cast("date").isin(days), F.lit(False))) if days else (lambda old: F.lit(False))
+    return _replace_rows(spark, new, table_path, part_col, hit)
 
 
 def _has_data(spark: SparkSession, path: str) -> bool:
@@ -92,6 +139,13 @@ def reload_years(spark: SparkSession, new: DataFrame, table_path: str, part_col:
     return sorted(years)
 
 
+def year_batches(y0: int, y1: int, size: int = 3) -> list[tuple[int, int]]:
+    """Consecutive year ranges of at most ``size`` years, in order."""
+    if size < 1:
+        raise ValueError("a batch needs at least one year")
+    return [(y, min(y + size - 1, y1)) for y in range(y0, y1 + 1, size)]
+
+
 def historical_load(spark: SparkSession, batches: Sequence[DataFrame], table_path: str,
                     part_col: str = "year") -> int:
     """Historical load.  The table is replaced by the first non-empty
@@ -105,6 +159,13 @@ def historical_load(spark: SparkSession, batches: Sequence[DataFrame], table_pat
     return written
 
 
+def historical_load_years(spark: SparkSession, read_years, table_path: str, y0: int, y1: int, size: int = 3,
+                          part_col: str = "year") -> int:
+    """J06 with its planning: ``read_years(a, b)`` gives the frame of the years
+    a..b; batches of ``size`` years are loaded in order."""
+    return historical_load(spark, [read_years(a, b) for a, b in year_batches(y0, y1, size)], table_path, part_col)
+
+
 # ---- J01 / J02 / J05 / J11 high-water mark ----------------------------------------------------
 def read_mark(state: DataFrame, pipeline: str, source: str) -> DataFrame:
     """The mark row(s) of a (pipeline, source)."""

@@ -4,7 +4,7 @@
   with ``trigger(availableNow=True)``; the stream checkpoint replaces the
   downloader's manifest.
 * J03 -- late records inside the overlap window replace earlier ones: the
-  batch operator A13 runs as the body of ``foreachBatch``.
+  days of a delivery are replaced in the body of ``foreachBatch``.
 * J12 -- extension: events per day and type with an event-time watermark.
 
 Checkpoints go under the shared ``spark.checkpoint.dir`` so a restarted
@@ -39,19 +39,15 @@ def sync_new_files(spark: SparkSession, landing: str, schema: T.StructType | str
 
 
 def stream_window_replace(spark: SparkSession, landing: str, schema: T.StructType | str, table_path: str,
-                          date_col: str, fmt: str = "parquet",
-                          name: str = "window-replace", part_col: str = "year") -> None:
-    """Each micro-batch is a re-delivery of everything since its first
-    date (the loader fetched from ``mark - overlap``), so it replaces the
-    window [min batch date, +inf) of the table (A13 inside ``foreachBatch``).
-    Late records inside the window replace earlier copies; older ones wait
-    for a full reload, as in the reference."""
+                          date_col: str, fmt: str = "parquet", name: str = "window-replace",
+                          part_col: str = "year", since: str | None = None) -> None:
+    """Each micro-batch re-delivers whole days; those days (on or after
+    ``since``, the stored mark minus the overlap) are replaced inside
+    ``foreachBatch``, all other days stay.  A late file therefore never
+    removes newer rows; days before ``since`` wait for a full reload."""
     def body(batch: DataFrame, epoch_id: int) -> None:
-        lo = batch.select(F.min(date_col)).first()[0]   # one value per micro-batch
-        if lo is None:
-            return
-        INC.replace_date_window(batch.sparkSession, batch, table_path, date_col, lo.isoformat(),
-                                part_col=part_col)
+        if not batch.isEmpty():
+            INC.replace_days(batch.sparkSession, batch, table_path, date_col, since, part_col)
 
     src = spark.readStream.format(fmt).schema(schema).load(landing)
     (src.writeStream.foreachBatch(body).option("checkpointLocation", _ckpt(spark, name))

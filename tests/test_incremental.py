@@ -43,6 +43,38 @@ def test_window_replace_closed_window_and_emptied_partition(spark, tmp):
     assert not os.path.exists(f"{t}/year=2022")
 
 
+def test_window_replace_keeps_null_partitions(spark, tmp):
+    t = f"{tmp}/fact_null"
+    base = rows(spark, [(1, None, None, "keep"), (3, D("2024-01-01"), 2024, "a"), (4, D("2024-02-01"), 2024, "b")])
+    INC.replace_date_window(spark, base, t, "d", "2024-01-01")
+    INC.replace_date_window(spark, rows(spark, [(2, None, None, "new"), (5, D("2024-02-02"), 2024, "c")]), t, "d", "2024-02-01")
+    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 2, 3, 5]
+
+
+def test_interrupted_replacement_is_finished_by_the_next(spark, tmp):
+    t = f"{tmp}/fact_cut"
+    INC.replace_date_window(spark, rows(spark, [(1, D("2022-05-01"), 2022, "x"), (2, D("2023-05-01"), 2023, "y")]), t, "d", "2000-01-01")
+    # as if the driver was lost after the commit and before the empty partition went
+    spark.createDataFrame([("2022",)], "value string").coalesce(1).write.text(f"{t}/{INC.JOURNAL}")
+    INC.replace_date_window(spark, rows(spark, [(3, D("2023-06-01"), 2023, "z")]), t, "d", "2023-06-01")
+    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [2, 3] and not os.path.exists(f"{t}/{INC.JOURNAL}")
+
+
+def test_late_file_keeps_newer_rows(spark, tmp):
+    land, t = f"{tmp}/late_land", f"{tmp}/late_tbl"
+    schema = "id int, d date, year int, v string"
+    for k, data in enumerate(([(1, D("2024-01-01"), 2024, "a"), (2, D("2024-03-01"), 2024, "b")], [(3, D("2024-02-01"), 2024, "late")],
+                              [(4, D("2024-01-01"), 2024, "again"), (5, None, None, "no date"), (6, D("2020-01-01"), 2020, "too old")])):
+        rows(spark, data).write.parquet(f"{land}/{k}")
+        STR.stream_window_replace(spark, f"{land}/*", schema, t, "d", name=f"late-{os.getpid()}-{id(tmp)}", since="2023-12-30")
+    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [2, 3, 4, 5]
+
+
+def test_year_batches():
+    assert INC.year_batches(2015, 2021) == [(2015, 2017), (2018, 2020), (2021, 2021)]
+    assert INC.year_batches(2020, 2019) == [] and INC.year_batches(2020, 2021, 1) == [(2020, 2020), (2021, 2021)]
+
+
 def test_reload_years_validates_first(spark, tmp):
     t = f"{tmp}/fact3"
     INC.reload_years(spark, rows(spark, [(1, D("2022-01-01"), 2022, "a"), (2, D("2023-01-01"), 2023, "b")]), t)

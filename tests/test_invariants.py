@@ -2,6 +2,9 @@
 aggregate, filled + blank = total, valid + invalid = filled, shares sum to
 100, the indicator table keeps every notified row."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from surv.operators import counts as C
@@ -80,29 +83,70 @@ def test_build_from_base_equals_direct_operators(spark, tmp):
     assert rows(cubes["month_place_class_facility"]) == rows(CU.cube_month_place_class_facility(f, R, t))
 
 
-def test_salted_join_equals_broadcast_join(spark):
-    """Past the broadcast bound the salted shuffle join returns the same rows,
-    also when one key holds most of the fact."""
+def test_shuffle_join_equals_broadcast_join(spark):
+    """Past the broadcast bound the join by key returns the same rows, also
+    when one key holds most of the fact, and reads only the columns used."""
     from surv import session as SS
     f, t = data(spark)
     hot = f.withColumn("k", F.when(F.col("case_id") % 3 != 0, F.lit("000000")).otherwise(F.col("place_raw")))
     dim = t.select(F.col("code6"), "place_name").union(spark.createDataFrame([("000000", "HOT")], "code6 string, place_name string"))
-    b = SS.bounded_join(hot, dim, "k", "code6", "left", max_rows=10_000)
-    s = SS.bounded_join(hot, dim, "k", "code6", "left", max_rows=0, salt_buckets=8)
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "_dsalt" in plan
+    b = SS.bounded_join(hot, dim, "k", "code6", "left", max_bytes=1 << 40)
+    s = SS.bounded_join(hot, dim, "k", "code6", "left", max_bytes=0)
     cols = ["case_id", "k", "place_name"]
     assert rows(b.select(*cols)) == rows(s.select(*cols))
     assert s.count() == hot.count()
+    plan = SS.bounded_join(f, t, "place_raw", "code6", "left", max_bytes=0).groupBy("place_name").count()._jdf.queryExecution().executedPlan().toString()
+    assert all(len(x.split(",")) <= 4 for x in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+
+
+def test_size_bound_follows_a_growing_table(spark, tmp):
+    from surv import session as SS
+    spark.range(5).write.parquet(f"{tmp}/t")
+    small = SS.size_in_bytes(spark.read.parquet(f"{tmp}/t"))
+    assert SS.within_bytes(spark.read.parquet(f"{tmp}/t"), small)
+    spark.range(100_000).write.mode("append").parquet(f"{tmp}/t")
+    assert not SS.within_bytes(spark.read.parquet(f"{tmp}/t"), small)
+
+
+def test_missing_checkpoint_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from surv import session as SS
 
+    class Ctx:
+        master = "spark://host:7077"
 
-def test_distributed_ranks_equal_window_ranks(spark):
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        sparkContext, conf = Ctx(), Conf()
+
+    with pytest.raises(RuntimeError):
+        SS.checkpoint_dir(Session())
+
+
+def test_ranks_equal_windows_with_ties_nulls_and_payload(spark):
+    """Three million rows, many ties, NULLs, negative and huge values: the same
+    ranks as DuckDB's windows."""
+    import duckdb
     from surv.operators import ranking as RK
-    f, t = data(spark)
-    g = f.groupBy("place_raw").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n") % 7)
-    for fn, kw in [(RK.with_pct_rank_average, {"value": "n"}), (RK.with_rank, {"value": "n", "descending": True})]:
-        small = fn(g, **kw, name="r")
-        big = fn(g, **kw, name="r", max_window_rows=0)
-        assert rows(small) == rows(big)
-    order = [(F.col("n"), True), (F.col("place_raw"), False)]
-    assert rows(RK.with_position(g, order, "p")) == rows(RK.with_position(g, order, "p", max_window_rows=0))
+    n = 3_000_000
+    v = ("CASE WHEN id % 97 = 0 THEN NULL WHEN id % 3 = 0 THEN 5.0 WHEN id % 7 = 0 THEN -CAST((id * 31) % 1000 AS DOUBLE) "
+         "ELSE CAST((id * 7919) % 200003 AS DOUBLE) / 8 END")
+    df = spark.range(0, n, numPartitions=16).selectExpr("id", f"{v} AS v", "repeat('x', 20) AS payload")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    pos = RK.with_position(df, [(F.col("v"), True), (F.col("id"), False)], "p")
+    rk = RK.with_rank(df, "v", descending=True, name="r")
+    pct = RK.with_pct_rank_average(df, "v", "q")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before    # nothing runs while plans are built
+    got = (pos.agg(F.count(F.lit(1)), F.countDistinct("p"), F.max("p"), F.sum((F.col("p") * (F.col("id") % 1009)).cast("decimal(38,0)"))).first(),
+           rk.agg(F.sum((F.col("r").cast("long") * (F.col("id") % 1009)).cast("decimal(38,0)"))).first()[0], pct.agg(F.sum(F.col("q") * (F.col("id") % 1009))).first()[0])
+    sql = f"WITH t AS (SELECT id, {v} AS v FROM range({n}) r(id)), w AS (SELECT id, row_number() OVER (ORDER BY v DESC NULLS LAST, id) p, rank() OVER (ORDER BY v DESC NULLS LAST) r, " \
+          f"rank() OVER (ORDER BY v ASC NULLS FIRST) lo, count(*) OVER (PARTITION BY v) k FROM t) " \
+          f"SELECT sum(p::HUGEINT * (id % 1009)), sum(r::HUGEINT * (id % 1009)), sum((lo + (k - 1) / 2.0) / {n} * (id % 1009)) FROM w"
+    want = duckdb.sql(sql).fetchall()[0]
+    assert got[0][:3] == (n, n, n) and int(got[0][3]) == want[0] and int(got[1]) == want[1]
+    assert abs(got[2] - want[2]) < 1e-6 * want[2]

@@ -64,6 +64,26 @@ def test_load_log_last_line_wins(spark, tmp):
     assert got == {2023: 12, 2024: 5}
 
 
+def test_load_log_encodings_and_file_order(spark, tmp):
+    line = "Arquivo concluido: {} linhas carregadas (DENGBR{}.json)\n"
+    for name, enc, mark, year in (("a.log", "utf-16-le", b"\xff\xfe", 21), ("b.log", "utf-16-be", b"\xfe\xff", 22), ("c.log", "utf-8", b"\xef\xbb\xbf", 23),
+                                  ("d.log", "latin-1", b"", 24), ("e.log", "utf-8", b"", 25)):
+        open(f"{tmp}/{name}", "wb").write(mark + ("Início às 3\n" + line.format(1, year) + "x\r\n" + line.format(year, year)).encode(enc))
+        os.utime(f"{tmp}/{name}", (1_700_000_000, 1_700_000_000))
+    # a later file says it again
+    open(f"{tmp}/0.log", "w").write(line.format(99, 25))
+    os.utime(f"{tmp}/0.log", (1_700_000_100, 1_700_000_100))
+    got = {r.year: r.loaded_rows for r in R.read_load_log(spark, f"{tmp}/*.log").collect()}
+    assert got == {2021: 21, 2022: 22, 2023: 23, 2024: 24, 2025: 99}
+
+
+def test_json_column_schema_from_all_rows(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, None), (3, '{"a": 2, "b": "x"}'), (4, "no json"), (5, '{"c": {"d": true}, "e": null}')], "k int, j string")
+    got = {r.k: r for r in R.parse_json_column(df, "j").collect()}
+    assert got[1]["j.a"] == 1 and got[3]["j.b"] == "x" and got[5]["j.c"].d is True and got[5]["j.e"] is None and got[2]["j.a"] is None
+    assert R.parse_json_column(df.filter("k = 2"), "j").columns == ["k", "j"]
+
+
 def test_year_from_name(spark):
     df = spark.createDataFrame([("Dengue - 2023",), ("DENGBR24",), ("BASE_DE_DADOS_CNES_202401.ZIP",)], "n string")
     got = [r[0] for r in df.select(R.year_from_name(F.col("n"))).collect()]
