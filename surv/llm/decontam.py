@@ -113,7 +113,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # shingles of the windows, made again from the few texts that have any
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = with_ids(d, wins).where(F.xxhash64("text") == F.col("th")).repartition(parts, "id", "th")
-    ws = (again.select("id", "th", "wins", kgrams(words(F.col("text")), SHINGLE, whole=True).alias("hs")).dropDuplicates(["id", "th"])
+    # the words are a column of their own: inside a lambda an expression would be evaluated for every element
+    ws = (again.select("id", "th", "wins", words(F.col("text")).alias("w")).dropDuplicates(["id", "th"])
+          .select("id", "th", "wins", kgrams(F.col("w"), SHINGLE, whole=True).alias("hs"))
           .select("id", "th", "hs", F.explode("wins").alias("win"))
           .select("id", "th", "win.p", "win.len", F.array_distinct(F.slice("hs", F.col("win.p") + 1, n_shingles(F.col("win.len")))).alias("hs")))
     rows = ws.select("id", "th", "p", "len", F.explode("hs").alias("h"))
