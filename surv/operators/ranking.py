@@ -47,8 +47,10 @@ def _places(df: DataFrame, order: Sequence[tuple[Column, bool]]) -> tuple[DataFr
     keys, desc = [f"_rk{i}" for i in range(len(order))], [d for _, d in order]
     x = df.select("*", *[c.alias(k) for k, (c, _) in zip(keys, order)])
     g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same"))
-    buckets = [f"_rb{i}" for i in range(len(order))]
-    g = g.select("*", *[_coarse(x, k).alias(b) for k, b in zip(keys, buckets)])
+    # only the first key may choose the bucket: rows that differ in it a little
+    # share one, and there the exact keys decide
+    buckets = ["_rb0"]
+    g = g.select("*", _coarse(x, keys[0]).alias(buckets[0]))
     per = g.groupBy(*buckets).agg(F.sum("_same").alias("_n"))
     upto = Window.orderBy(*_direction(buckets, desc)).rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
     per = per.select(*[F.col(b).alias(f"{b}p") for b in buckets], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from surv.functions import codes as K
 from surv.functions import expr as X
 from surv.roles import Roles
-from surv.session import bounded_join, broadcast_if_bounded
+from surv.session import bounded_join
 
 # Dimensions are bounded by the number of municipalities / facilities; past
 # these row counts they are joined by shuffle instead of broadcast.
@@ -38,7 +38,7 @@ def notified(f: DataFrame, r: Roles) -> DataFrame:
 def class_in(f: DataFrame, r: Roles, cls: Sequence[str] | None) -> DataFrame:
     """All rows for an empty list, else normalised class in the list."""
     cls = norm_list(cls)
-    return f.filter(X.ni(r.c("class_raw")).isin(*cls)) if cls else f
+    return f.filter(_stored(f, "class_norm", X.ni(r.c("class_raw"))).isin(*cls)) if cls else f
 
 
 def since_date(f: DataFrame, r: Roles, since: str | None, role: str = "notified_on") -> DataFrame:
@@ -58,8 +58,27 @@ def base(f: DataFrame, r: Roles, cls: Sequence[str] | None = None, since: str |
     return class_in(since_date(notified(f, r), r, since), r, cls)
 
 
+# Normalised keys that a conformed fact stores, so that filters on them reach
+# the scan: state (C04), class (C02), 6-digit place code (I04), place text.
+STORED_KEYS = ("state_norm", "class_norm", "code6_norm", "place_norm")
+
+
+def with_stored_keys(f: DataFrame, r: Roles) -> DataFrame:
+    """The fact with its normalised keys as columns, to be written."""
+    return f.withColumns({"state_norm": X.ni(r.c("state_raw")), "class_norm": X.ni(r.c("class_raw")),
+                          "code6_norm": X.place_code6(r.c("place_raw")), "place_norm": F.upper(F.trim(r.c("place_raw")))})
+
+
+def _stored(f: DataFrame, name: str, rule: Column) -> Column:
+    """The stored key, or its rule where the fact does not store it."""
+    return F.col(name) if name in f.columns else rule
+
+
 def state_scope(f: DataFrame, r: Roles, codes: Sequence[str] = K.FOCUS_STATE_CODES) -> DataFrame:
-    """Normalised state in the focus codes."""
+    """Normalised state in the focus codes (pushed down to the scan where
+    the fact stores it)."""
+    if "state_norm" in f.columns:
+        return f.filter(F.col("state_norm").isin(*codes))
     return f.filter(X.state_in_focus(r.c("state_raw"), codes))
 
 
@@ -93,39 +112,40 @@ def with_code6(f: DataFrame, r: Roles, trimmed: bool = False, name: str = "code6
     return f.withColumn(name, X.place_code6(src))
 
 
+def place_codes(territory: DataFrame, place: str) -> list[str]:
+    """Codes whose dimension name is ``place``: a probe of the dimension that
+    runs when a place query is built; a name has a handful of codes."""
+    hit = territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
+    return sorted(x[0] for x in hit.select("code6").distinct().collect() if x[0] is not None)
+
+
+def _in_place(f: DataFrame, r: Roles, territory: DataFrame, place: str) -> Column:
+    """D02 + C06: the resolved name or the raw text equals ``place``.
+    ``UPPER(COALESCE(d.name, TRIM(raw))) = P OR UPPER(TRIM(raw)) = P`` is
+    exactly ``code6 IN codes(P) OR UPPER(TRIM(raw)) = P``: no join, and both
+    sides are plain comparisons where the fact stores its keys."""
+    code = _stored(f, "code6_norm", X.place_code6(r.c("place_raw")))
+    name = _stored(f, "place_norm", F.upper(F.trim(r.c("place_raw"))))
+    return code.isin(place_codes(territory, place)) | (name == place.upper())
+
+
 def place_scope(f: DataFrame, r: Roles, territory: DataFrame, place: str,
                 state_codes: Sequence[str] | None = K.FOCUS_STATE_CODES) -> DataFrame:
-    """D02 + C06: state scope, then keep rows whose resolved municipality name
-    or raw place text equals ``place`` (case-insensitive).
-
-    Only the code keys whose dimension name matches are needed, so the join is
-    a broadcast of a handful of keys (distinct, so no fan-out) instead of the
-    whole dimension: ``UPPER(COALESCE(d.name, TRIM(raw))) = P OR
-    UPPER(TRIM(raw)) = P`` is exactly ``code6 IN keys(P) OR UPPER(TRIM(raw)) = P``.
-    """
+    """D02 + C06: state scope, then the rows of one municipality by resolved
+    name or raw text (case-insensitive)."""
     if state_codes:
         f = state_scope(f, r, state_codes)
-    keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
-            .select(F.col("code6").alias("_scope_code6")).distinct())
-    fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", size_of=territory)
-    hit = F.col("_scope_code6").isNotNull() | (F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)))
-    return j.filter(hit).drop("_fact_code6", "_scope_code6")
+    return f.filter(_in_place(f, r, territory, place))
 
 
 def with_place_flag(f: DataFrame, r: Roles, territory: DataFrame, place: str, name: str = "_in_place",
                     state_codes: Sequence[str] | None = K.FOCUS_STATE_CODES) -> DataFrame:
     """D02 + C04 + C06 as a boolean column instead of a filter, so one scan
     can feed several scopes (country, state, place) at once."""
-    keys = (territory.filter(F.upper(F.col("place_name")) == F.upper(F.lit(place)))
-            .select(F.col("code6").alias("_scope_code6")).distinct())
-    fk = f.withColumn("_fact_code6", X.place_code6(r.c("place_raw")))
-    j = bounded_join(fk, keys, "_fact_code6", "_scope_code6", "left", size_of=territory)
-    hit = F.col("_scope_code6").isNotNull() | F.coalesce(
-        F.upper(F.trim(r.c("place_raw"))) == F.upper(F.lit(place)), F.lit(False))
+    hit = F.coalesce(_in_place(f, r, territory, place), F.lit(False))
     if state_codes:
-        hit = hit & X.state_in_focus(r.c("state_raw"), state_codes)
-    return j.withColumn(name, hit).drop("_fact_code6", "_scope_code6")
+        hit = hit & _stored(f, "state_norm", X.ni(r.c("state_raw"))).isin(*state_codes)
+    return f.withColumn(name, hit)
 
 
 def scope_labels(f: DataFrame, r: Roles, territory: DataFrame, place: str,

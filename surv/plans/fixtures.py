@@ -144,16 +144,16 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
 
     Built once per session and source version as a Parquet table in the
     shared checkpoint folder (a lineage cut, like the reference's loaded fact
-    table), partitioned by notification year and sorted by notification date
-    within files, so date windows prune directories and row groups.  The range
-    partitioning is on (date, id): rows without a date spread by id.
+    table), partitioned by notification year and clustered by stored state and
+    place code within it, so date windows prune directories and place filters
+    skip row groups.
     ``materialize=False`` returns the lazy plan instead."""
     if not materialize:
         return cases_plan(spark, sf_dir)
     import hashlib
     import uuid
     from surv.session import checkpoint_dir
-    key = (sf_dir, source_key(spark, sf_dir), "by-year-v2", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
+    key = (sf_dir, source_key(spark, sf_dir), "by-year-state-v3", hashlib.sha1(repr(sorted(CASES_COLUMNS.items())).encode()).hexdigest())
     with _LOCK:
         path = _MATERIALIZED.get(key)
         if path is None:
@@ -165,12 +165,14 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
                 # builders (threads or processes) never write the same files,
                 # and a half-written table is never visible
                 tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-                # range on (date, id): rows without a date spread by id instead
-                # of piling into one partition
+                # clustered by (state, place code) inside the year; the id spreads
+                # rows that share all of them, also those without a date
+                from surv.operators.scope import with_stored_keys
+                from surv.roles import FIXTURE_ROLES
                 from surv.session import target_partitions
-                plan = cases_plan(spark, sf_dir).withColumn("notified_year", F.year("notified_on"))
-                (plan.repartitionByRange(target_partitions(plan), "notified_on", "case_id")
-                 .sortWithinPartitions("notified_on", "case_id")
+                plan = with_stored_keys(cases_plan(spark, sf_dir), FIXTURE_ROLES).withColumn("notified_year", F.year("notified_on"))
+                order = ("notified_year", "state_norm", "code6_norm", "notified_on", "case_id")
+                (plan.repartitionByRange(target_partitions(plan), *order).sortWithinPartitions(*order)
                  .write.mode("overwrite").partitionBy("notified_year").parquet(tmp))
                 jvm = spark.sparkContext._jvm
                 src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)

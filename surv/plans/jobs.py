@@ -23,6 +23,7 @@ from surv.operators import conform as B
 from surv.operators import counts as C
 from surv.operators import cubes as CU
 from surv.operators import quality as Q
+from surv.operators import scope as S
 from surv.roles import NATIVE_ROLES, Roles
 from surv.sources import readers as R
 from surv.sources import writers as W
@@ -43,7 +44,7 @@ def conform_batch(raw: DataFrame, source_year: int | None = None) -> DataFrame:
     source year when given (T28), else the notification year."""
     fact = B.conform_fact(B.default_clean(raw))
     year = F.lit(source_year) if source_year is not None else F.year("data_notificacao")
-    return fact.withColumn("year", year.cast("int"))
+    return S.with_stored_keys(fact, NATIVE_ROLES).withColumn("year", year.cast("int"))
 
 
 def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, pipeline: str = "notifications",
