@@ -38,8 +38,8 @@ class Rows:
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
         self.at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.idx = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), np.diff(self.at))
+        self.idx = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.idx], minlength=self.n)
@@ -87,7 +87,7 @@ def dual_descent(x: Rows, value: np.ndarray, scale: np.ndarray, y: np.ndarray, c
     ``value[feature] * scale[row]``, with one constant entry as intercept;
     ``y`` is -1 or 1, ``c`` the penalty per row."""
     w, b = np.zeros(len(value)), 0.0
-    v = value[x.idx] * scale[x.row]
+    v = (value[x.idx] * scale[x.row]).astype(np.float32)
     diag = np.bincount(x.row, weights=v * v, minlength=x.n) + 1.0
     alpha = np.zeros(x.n)
     cs = np.broadcast_to(np.asarray(c, float), (x.n,))

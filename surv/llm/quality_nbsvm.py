@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from surv.llm.linear import HASH_BITS, Rows, dual_descent, platt, sample_rows, sigmoid, slot
 from surv.llm.rows import add_columns, restore
 
-SAMPLE = 12_000
+SAMPLE = 9_000
 MIN_DF = 4
 PENALTY = 1.0
 BLEND = 0.25
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     keep = np.flatnonzero((df >= min(MIN_DF, max(1, len(y) // 50))) & (df < len(y)))
     number = np.full(1 << HASH_BITS, -1, np.int64)
     number[keep] = np.arange(len(keep))
+    number = number.astype(np.int32)
     rows = [(lambda n: n[n >= 0])(number[flat[at[i] - at[0]: at[i + 1] - at[0]]]) for i in range(len(y))]
     fold, margin = np.arange(len(y)) % FOLDS, np.zeros(len(y))
     for f in range(FOLDS):
