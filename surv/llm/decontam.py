@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surv.llm.joins import with_ids
+from surv.llm.joins import ROW, with_ids, with_row_keys
 from surv.llm.sqlwords import kgrams, words
 from surv.session import materialize
 
@@ -91,7 +91,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         raise ValueError(f"items of more than {LONGEST_ITEM} words overflow the counters")
     small = F.broadcast if size.n <= BROADCAST_GRAMS else (lambda x: x)
     grams = items.groupBy("h").agg(F.max("weight").alias("weight"))
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
+    # inside a struct a null id equals itself, so such rows are searched like all others
+    d = docs.select(F.struct(F.col(f"`{id_col}`").alias("v")).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
 
     g = d.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     g = g.select("id", "th", F.size("w").alias("nw"), F.posexplode(kgrams(F.col("w"), SHINGLE, whole=True)).alias("p", "h"))
@@ -136,13 +137,15 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # a shingle's weight is the same on both sides
     sim = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))
     good = shared.withColumn("similarity", sim).where(F.col("similarity") >= similarity)
-    w = Window.partitionBy("id", "item").orderBy(F.desc("similarity"), "p", "th", "text_hash")
+    w = Window.partitionBy("id", "th", "item").orderBy(F.desc("similarity"), "p", "text_hash")
     best = good.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("similarity").cast("double").alias("similarity"),
+    return best.select(F.col("id.v").alias(id_col), F.col("item").alias(item_col), F.col("similarity").cast("double").alias("similarity"),
                        F.col("p").cast("long").alias("start_word"), F.col("len").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item."""
-    bad = find(docs, benchmark, id_col=id_col, **kw).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, whatever
+    their ids."""
+    keyed = with_row_keys(docs)
+    bad = find(keyed, benchmark, id_col=ROW, text_col=text_col, **kw).select(ROW).distinct()
+    return keyed.join(bad, ROW, "left_anti").drop(ROW)

@@ -1,10 +1,13 @@
-"""A join that shuffles few of the left rows."""
+"""A join that shuffles few of the left rows, and keys that tell rows apart."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surv.session import materialize
+
+ROW = "_row_key"
 FILTER_BITS = 25   # 1,024 rows of 4 KB
 
 
@@ -20,3 +23,9 @@ def with_ids(docs: DataFrame, some: DataFrame) -> DataFrame:
     mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_bit").bitwiseAND(F.lit(7)) + 1).cast("int"))
     passed = low.join(F.broadcast(maps), "_bucket").where(byte.bitwiseAND(mask) != 0)
     return passed.drop("_bit", "_bucket", "_map").join(some, "id")
+
+
+def with_row_keys(docs: DataFrame, name: str = "keyed") -> DataFrame:
+    """``docs`` plus ``ROW``, a number of its own for every row.  Written before
+    use, so that every later read sees the same numbers."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)

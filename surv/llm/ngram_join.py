@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surv.llm.graph import ARRAY_SCHEMA, array_rows, components, sum_arrays
-from surv.llm.joins import with_ids
+from surv.llm.joins import ROW, with_ids, with_row_keys
 from surv.llm.words import SHINGLE, mix, shingle_sets
 from surv.session import materialize
 
@@ -434,8 +434,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """Rows of ``docs`` that represent their component (its smallest id);
-    rows with a null id stay."""
-    cls = similarity_classes(docs, id_col, text_col, **kw)
-    gone = cls.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One row of each component of ``docs``: that with the smallest id, of rows
+    that share it the one with the smallest text hash, of equal rows the first
+    as written.  Rows with a null id take part and come last."""
+    keyed = with_row_keys(docs)
+    cls = similarity_classes(keyed, ROW, text_col, **kw).select(ROW, "component_id")
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(ROW).alias("row"))
+    first = keyed.select(ROW, order.alias("_first")).join(cls, ROW).groupBy("component_id").agg(F.min("_first").alias("_first"))
+    return keyed.join(first.select(F.col("_first.row").alias(ROW)), ROW, "left_semi").drop(ROW)

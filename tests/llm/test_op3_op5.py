@@ -165,3 +165,16 @@ def test_multi_index_finds_all_within_radius(spark):
     met = {(x.k, x.k2) for x in left.join(right, ["pos", "col"]).where("k = k2").select("k", "k2").distinct().collect()}
     near = {(k, k) for (k, v), (_, u) in zip(a, b) if bin((v ^ u) & ((1 << 64) - 1)).count("1") <= radius}
     assert near <= met
+
+
+def test_stages_decide_by_row_not_by_id(spark):
+    a, b, q = (" ".join(f"{c}{i}" for i in range(40)) for c in "abq")
+    c = "something else that has nothing to do with any of the others here"
+    rows = [(1, a), (1, a), (2, a), (2, c), (None, a), (None, b), (None, b), (4, None), (4, None)]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = J.deduplicate(df)
+    assert kept.columns == df.columns
+    assert collections.Counter((x.doc_id, x.text) for x in kept.collect()) == {(1, a): 1, (2, c): 1, (None, b): 1, (4, None): 2}
+    rows = [(1, "x " + q + " y"), (1, c), (None, q), (None, c), (None, None)]
+    left = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, q)], "item_id long, text string"))
+    assert {(x.doc_id, x.text) for x in left.collect()} == {(1, c), (None, c), (None, None)}
