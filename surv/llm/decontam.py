@@ -5,12 +5,13 @@ Words are runs of letters and digits after lower-casing; shingles are 5 words
 that have it), rounded down, at most 8; a shingle of no item weighs most.
 
 1. Shingle hashes of all texts are joined with those of the benchmark; places
-   that meet none end there.  To reach weighted similarity 0.8 with an item, at
-   least 80 % of a window's shingles must be shingles of items of its length,
-   and sliding a window to its first such shingle never lowers its similarity.
-   So for every item length, windows of that many words from each place that
-   meets an item of the length, with enough such places inside, are all that
-   can match.
+   that meet none end there.  To reach weighted similarity 0.8 with an item, a
+   window must share 80 % of the item's weight, so it holds at least ``need``
+   places that meet the item: that share over the item's heaviest shingle.
+   For every item length and ``need``, all windows of that many words with so
+   many met places inside are taken, wherever they start: their first met place
+   says between which starts they lie.  A text shorter than the item is one
+   window, as a whole.
 2. Each window and each item of that length gets a 64-bit weighted SimHash.
 3. Fingerprints are cut into ``RADIUS + 1`` blocks; two within Hamming distance
    ``RADIUS`` agree in one block at least, so a join on (length, block, bits)
@@ -85,7 +86,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
          item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Rows ``(id, item, similarity, start, words, hamming)``, the best window
     of each text and item that reaches ``similarity``."""
-    items = materialize(item_grams(benchmark, item_col, item_text), "items")
+    each = Window.partitionBy("item", "text_hash")
+    fewest = F.ceil(F.lit(similarity) * F.sum("weight").over(each) / F.max("weight").over(each) - 1e-9)
+    items = materialize(item_grams(benchmark, item_col, item_text).withColumn("need", F.greatest(fewest, F.lit(1)).cast("int")), "items")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).first()
     if (size.longest or 0) > LONGEST_ITEM:
         raise ValueError(f"items of more than {LONGEST_ITEM} words overflow the counters")
@@ -96,20 +99,22 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     g = d.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     g = g.select("id", "th", F.size("w").alias("nw"), F.posexplode(kgrams(F.col("w"), SHINGLE, whole=True)).alias("p", "h"))
-    met = g.join(small(items.select("h", "len").distinct()), "h").where("len >= " + str(SHINGLE) + " OR nw = len").select("id", "th", "nw", "len", "p")
-    # met places of one text and item length; bounded by the text's words
-    at = met.groupBy("id", "th", "nw", "len").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-    need = F.ceil(F.lit(int(round(similarity * 100))) * n_shingles(F.col("len")) / 100).cast("int")
-
-    def window(i: Column) -> Column:
-        """The window from the i-th met place, if enough met places lie in it."""
-        p = F.get(F.col("ps"), i)
-        end = F.get(F.col("ps"), i + need - 1)
-        return F.when((end - p < n_shingles(F.col("len"))) & (F.col("nw") >= p + F.col("len")), F.struct(p.alias("p"), F.col("len").alias("len")))
-
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), window), lambda x: x.isNotNull())
-    wins = at.where(F.size("ps") >= need).select("id", "th", starts.alias("wins")).where(F.size("wins") > 0)
-    wins = materialize(wins.groupBy("id", "th").agg(F.flatten(F.collect_list("wins")).alias("wins")), "windows")
+    met = g.join(small(items.select("h", "len", "need").distinct()), "h").where("len >= " + str(SHINGLE) + " OR nw = len").select("id", "th", "nw", "len", "need", "p")
+    # met places of one text, item length and need; bounded by the text's words
+    at = met.groupBy("id", "th", "nw", "len", "need").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+
+    def windows(i: Column) -> Column:
+        """Windows whose first met place is the i-th, if enough met places lie in them."""
+        before = F.coalesce(F.get(F.col("ps"), i - 1), F.lit(-1))
+        end = F.get(F.col("ps"), i + F.col("need") - 1)
+        lo = F.greatest(before + 1, end - n_shingles(F.col("len")) + 1)
+        hi = F.least(F.get(F.col("ps"), i), F.greatest(F.col("nw") - F.col("len"), F.lit(0)))
+        some = F.transform(F.sequence(lo, hi), lambda p: F.struct(p.alias("p"), F.col("len").alias("len"), F.least("len", "nw").alias("n")))
+        return F.when(end.isNotNull() & (lo <= hi), some).otherwise(F.expr("cast(array() as array<struct<p:int,len:int,n:int>>)"))
+
+    starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), windows))
+    wins = at.where(F.size("ps") >= F.col("need")).select("id", "th", starts.alias("wins")).where(F.size("wins") > 0)
+    wins = materialize(wins.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "windows")
 
     # shingles of the windows, made again from the few texts that have any
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -118,29 +123,29 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ws = (again.select("id", "th", "wins", words(F.col("text")).alias("w")).dropDuplicates(["id", "th"])
           .select("id", "th", "wins", kgrams(F.col("w"), SHINGLE, whole=True).alias("hs"))
           .select("id", "th", "hs", F.explode("wins").alias("win"))
-          .select("id", "th", "win.p", "win.len", F.array_distinct(F.slice("hs", F.col("win.p") + 1, n_shingles(F.col("win.len")))).alias("hs")))
-    rows = ws.select("id", "th", "p", "len", F.explode("hs").alias("h"))
+          .select("id", "th", "win.p", "win.len", "win.n", F.array_distinct(F.slice("hs", F.col("win.p") + 1, n_shingles(F.col("win.len")))).alias("hs")))
+    rows = ws.select("id", "th", "p", "len", "n", F.explode("hs").alias("h"))
     heavy = max(1, min(HEAVIEST, 1 + (max(benchmark.count(), 1)).bit_length() - 1))
-    weighed = rows.join(small(grams), "h", "left").select("id", "th", "p", "len", "h", F.coalesce("weight", F.lit(heavy).cast("long")).alias("weight"))
-    prints = materialize(simhash(weighed, ["id", "th", "p", "len"]), "prints")
+    weighed = rows.join(small(grams), "h", "left").select("id", "th", "p", "len", "n", "h", F.coalesce("weight", F.lit(heavy).cast("long")).alias("weight"))
+    prints = materialize(simhash(weighed, ["id", "th", "p", "len", "n"]), "prints")
     iprints = simhash(items, ["item", "text_hash", "len"])
 
-    wb = prints.select("id", "th", "p", "len", "total", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))
+    wb = prints.select("id", "th", "p", "len", "n", "total", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))
     ib = iprints.select("item", "text_hash", "len", F.col("total").alias("item_total"), F.col("fp").alias("item_fp"), F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))
     dist = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = (wb.join(small(ib), ["len", "blk", "bits"]).withColumn("hamming", dist).where(F.col("hamming") <= radius)
-             .select("id", "th", "p", "len", "item", "text_hash", "total", "item_total", "hamming").distinct())
+             .select("id", "th", "p", "len", "n", "item", "text_hash", "total", "item_total", "hamming").distinct())
     # exact weighted Jaccard
-    shared = (pairs.join(weighed.select("id", "th", "p", "len", "h", "weight"), ["id", "th", "p", "len"])
+    shared = (pairs.join(weighed.select("id", "th", "p", "len", "n", "h", "weight"), ["id", "th", "p", "len", "n"])
               .join(small(items.select("item", "text_hash", "h")), ["item", "text_hash", "h"])
-              .groupBy("id", "th", "p", "len", "item", "text_hash", "total", "item_total", "hamming").agg(F.sum("weight").alias("common")))
+              .groupBy("id", "th", "p", "len", "n", "item", "text_hash", "total", "item_total", "hamming").agg(F.sum("weight").alias("common")))
     # a shingle's weight is the same on both sides
     sim = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))
     good = shared.withColumn("similarity", sim).where(F.col("similarity") >= similarity)
     w = Window.partitionBy("id", "th", "item").orderBy(F.desc("similarity"), "p", "text_hash")
     best = good.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return best.select(F.col("id.v").alias(id_col), F.col("item").alias(item_col), F.col("similarity").cast("double").alias("similarity"),
-                       F.col("p").cast("long").alias("start_word"), F.col("len").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"))
+                       F.col("p").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:

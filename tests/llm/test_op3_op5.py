@@ -178,3 +178,21 @@ def test_stages_decide_by_row_not_by_id(spark):
     rows = [(1, "x " + q + " y"), (1, c), (None, q), (None, c), (None, None)]
     left = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, q)], "item_id long, text string"))
     assert {(x.doc_id, x.text) for x in left.collect()} == {(1, c), (None, c), (None, None)}
+
+
+def test_item_cut_at_the_end_of_a_text_and_as_the_whole_text(spark):
+    q = [f"q{i}" for i in range(37)]
+    f = [f"f{i}" for i in range(60)]
+    # items that share a light beginning; a text with another light beginning keeps
+    # 20 of their 26 shingles, but 100 of the 124 of the weight
+    pre = [f"p{i}" for i in range(10)]
+    alt = [f"a{i}" for i in range(6)] + pre[6:]
+    items = ([(1, " ".join(q))] + [(10 + k, " ".join(pre + [f"own{k}x{i}" for i in range(20)])) for k in range(8)]
+             + [(20 + k, " ".join(alt + [f"other{k}x{i}" for i in range(25)])) for k in range(8)])
+    docs = [(1, f + q[:36]), (2, q[:36]), (3, q[1:]), (4, f + q[:35]), (5, q[1:] + f), (6, f + q[1:]), (7, q[:25]), (8, f + q[:36] + f), (9, f + alt + items[1][1].split()[10:] + f)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs] + [(None, " ".join(q))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i for i, k in got if k == 1} == {1, 2, 3, 4, 5, 6, 8, None}
+    assert abs(got[9, 10].similarity - 100 / 124) < 1e-9 and got[9, 10].start_word == 60
+    assert abs(got[1, 1].similarity - 32 / 34) < 1e-9 and (got[1, 1].start_word, got[1, 1].n_words) == (59, 37)
+    assert abs(got[2, 1].similarity - 32 / 33) < 1e-9 and (got[2, 1].start_word, got[2, 1].n_words) == (0, 36)
