@@ -28,6 +28,7 @@ from surv.llm.rows import add_columns, restore
 from surv.llm.words import Cache
 
 SAMPLE_CHARS = 24_000    # labelled text per language (the fit's bound)
+PIECE = 400              # characters of a piece of labelled text
 BLOCK = 400              # symbols parsed from one start
 LANES = 16_384           # blocks parsed side by side
 _SEEN = Cache()
@@ -185,31 +186,41 @@ def predict(model: Model, tables, texts: list[str | None]) -> tuple[list[str], l
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from ``labelled``.  Per language whole texts are taken in the order
-    of a hash of (id, text) until ``sample_chars`` symbols are reached; only
-    rows under a hash bound that holds about four times that amount come to
-    the driver."""
+    """Learn from ``labelled``.  Texts are cut into pieces of ``PIECE`` characters;
+    per language these are taken in the order of a hash of (id, text, place)
+    until ``sample_chars`` symbols are reached.  Only pieces under a hash bound
+    that holds about four times that amount come to the driver, runs without a
+    letter as one space; for a language that comes short the bound widens until
+    the sample is full or all its pieces are read."""
     d = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
                         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")).where("lang IS NOT NULL AND length(text) > 0")
     sums = {r.lang: r.n for r in d.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not sums:
-        return Model({})
-    # rows under a hash bound per language, in one pass
-    top = {k: min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 4.0 * sample_chars / n) * ((1 << 64) - 1))) for k, n in sums.items()}
-    bound = F.create_map(*[F.lit(x) for kv in top.items() for x in kv])
-    by: dict[str, list] = {}
-    for r in d.where(F.col("h") <= bound[F.col("lang")]).toLocalIterator():
-        by.setdefault(r.lang, []).append((r.h, r.text))
+    share = {k: min(1.0, 4.0 * sample_chars / n) for k, n in sums.items()}
     picked = {}
-    for lang, rows in by.items():
-        got, have = [], 0
-        for _, text in sorted(rows):
-            got.append(symbols(text))
-            have += len(got[-1])
-            if have >= sample_chars:
-                break
-        if any((s != 32).any() for s in got):
-            picked[lang] = np.concatenate(got)[:sample_chars]
+    while share:
+        # pieces under a hash bound per language, in one pass
+        top = {k: min((1 << 63) - 1, int(-(1 << 63) + x * ((1 << 64) - 1))) for k, x in share.items()}
+        bound = F.create_map(*[F.lit(x) for kv in top.items() for x in kv])
+        some = d.select("lang", "text", "h", F.floor((F.length("text") - 1) / PIECE).cast("int").alias("last"), bound[F.col("lang")].alias("top")).where("top IS NOT NULL")
+        places = F.filter(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct(i.alias("i"), F.xxhash64("h", i).alias("k"))), lambda x: x["k"] <= F.col("top"))
+        some = some.select("lang", "text", F.explode(places).alias("x"))
+        piece = F.regexp_replace(F.substring("text", F.col("x.i") * PIECE + 1, F.lit(PIECE)), r"[\s\p{N}\p{P}\p{S}]+", " ")
+        by: dict[str, list] = {}
+        for r in some.select("lang", F.col("x.k").alias("k"), piece.alias("piece")).where("piece <> ' '").distinct().toLocalIterator():
+            by.setdefault(r.lang, []).append((r.k, r.piece))
+        wider = {}
+        for lang, x in share.items():
+            got, have = [], 0
+            for _, text in sorted(by.get(lang, [])):
+                got.append(symbols(text))
+                have += len(got[-1])
+                if have >= sample_chars:
+                    break
+            if have < sample_chars and x < 1:
+                wider[lang] = min(1.0, 8 * x)
+            elif any((s != 32).any() for s in got):
+                picked[lang] = np.concatenate(got)[:sample_chars]
+        share = wider
     return Model(picked)
 
 

@@ -76,6 +76,20 @@ def test_language_of_awkward_texts(spark, docs):
     assert langid.identify(empty, langid.fit(docs)).count() == 0
 
 
+def test_language_of_few_long_or_mostly_letterless_texts(spark):
+    r = random.Random(5)
+    word = {k: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(400)] for k, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    text = lambda k, n: " ".join(r.choice(word[k]) for _ in range(n))
+    rows = [(i, text("aa", 120_000), "aa") for i in range(3)] + [(10, text("bb", 200_000), "bb")]
+    rows += [(20 + i, "0123456789 " * 3_000 + text("cc", 300), "cc") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for k in range(4):                             # other ids, other hashes
+        m = langid.fit(d.withColumn("doc_id", F.col("doc_id") + 1000 * k))
+        assert m.langs == ["aa", "bb", "cc"] and (2 ** m.bits > 0.99 * langid.SAMPLE_CHARS).all()
+    got = langid.identify(spark.createDataFrame([(k, text(k, 40)) for k in word], "lang string, text string"), m).collect()
+    assert all(x.lang == x.lang_pred for x in got)
+
+
 # --- linear models, quality, toxicity -----------------------------------------
 def test_linear_solvers_separate():
     rng = np.random.RandomState(0)
