@@ -6,10 +6,16 @@ before and after it, and four marks of where it stands: inside an article or
 main element; inside a navigation, header, footer, aside, form or hidden
 element; inside an element whose class, id or role names such a part; whether
 it is a heading.  A decision tree, grown on the labelled table ``LABELLED``,
-says which blocks are main text.
+says which blocks are main text.  The names of an article or main element do not
+count, nor do names that say what a page has or is about (``has-sidebar``,
+``tag-spark``).  A name outside the outermost article or main element ends
+there, unless it is one of parts that hold articles of their own (comments,
+related texts, a sidebar).
 
 Comments, scripts, styles and other non-text elements are dropped whole, also
-when they are not closed.  Character references are decoded once, after the
+when they are not closed; a self-closed ``svg`` or ``math`` and an ``option``
+without its end tag drop no more than themselves.  End tags that HTML lets
+authors leave out are added.  Character references are decoded once, after the
 tags are gone.  White space in a block (a ``<br>`` counts as such) becomes one
 space.  Blocks without text vanish; those kept are joined by a line feed.
 Null, empty and textless pages give an empty string.  Pages are read whole.
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from surv.llm.rows import add_columns
 
 # --- fixed values: element names of HTML -----------------------------------
-DROPPED = "script style noscript template svg math iframe object canvas audio video select option textarea button title".split()
+DROPPED = "script style noscript template svg math iframe object canvas audio video select textarea button title".split()
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +43,13 @@ HINTS = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|p
 sidebar|side|menu|nav\w*|breadcrumbs?|toolbar|footer|header|masthead|comments?|respond|replies|reply|disqus|discussion|share|sharing|social|related|
 recommend\w*|newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|tags?|copyright|legal|disclaimer|skip|complementary|
 contentinfo|navigation)(?:$|[\s_-])""".replace("\n", ""), re.I)
+# names that say what an element has or is about, not what it is
+ABOUT = re.compile(r"(?:has|with|without|no|hide|is|category|cat|tag(?!-(?:cloud|list|links?)(?:$|[\s_-])))-\S+", re.I)
+# parts whose entries are articles too
+OF_ARTICLES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|reply|disqus|discussion|related|recommend\w*)(?:$|[\s_-])|(?:^|\s)(?:sidebar|widgets?)(?:$|\s)", re.I)
+# end tags that may be left out: open elements that a start tag ends
+ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+ENDED |= {t: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for t in ("thead", "tbody", "tfoot")}
 
 # --- labelled blocks ---------------------------------------------------------
 # words, link density | same of the block before | of the block after |
@@ -161,6 +174,8 @@ def decide(tree: Tree, x) -> int:
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<option\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?=</?(?:option|optgroup|select|datalist|" + "|".join(sorted(BLOCK)) + r")\b|\Z)"
     r"|<(?P<drop>" + "|".join(DROPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=drop)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)|</[^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
@@ -172,7 +187,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
     """Text, words, link density, in article, in side element, named part,
     heading; in page order."""
     out, parts, linked = [], [], []
-    stack: list[tuple[str, int, int, int]] = []   # open block elements: name and marks
+    # open block elements: name and marks (named part: 2 if it holds articles of its own)
+    stack: list[tuple[str, int, int, int]] = []
     link, heading = 0, 0
 
     def flush():
@@ -182,7 +198,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
             if words:
                 lw = min(len(html.unescape(" ".join(linked)).split()), len(words)) if linked else 0
                 main, side, named = stack[-1][1:] if stack else (0, 0, 0)
-                out.append((" ".join(words), len(words), lw / len(words), main, side, named, heading))
+                out.append((" ".join(words), len(words), lw / len(words), main, side, int(named > 0), heading))
             parts, linked = [], []
 
     for m in _TOKEN.finditer(page):
@@ -214,13 +230,18 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
                 link = 0
             elif tag not in VOID:
                 heading = int(tag in HEADING)
-                if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()   # their end tags may be left out
+                while stack and (stack[-1][0] == "p" or stack[-1][0] in ENDED.get(tag, ())):
+                    stack.pop()
                 attr = m["attr"] or ""
                 names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attr))
                 main, side, named = stack[-1][1:] if stack else (0, 0, 0)
+                if tag in MAIN:
+                    named = named if main or tag == "article" and named == 2 else 0
+                elif tag not in ("html", "body", "head"):
+                    names = " ".join(x for x in names.split() if not ABOUT.fullmatch(x))
+                    if HINTS.search(names):
+                        named = max(named, 2 if OF_ARTICLES.search(names) else 1)
                 if tag not in ("html", "body", "head"):
-                    named = named or int(bool(names) and HINTS.search(names) is not None)
                     side = side or int(tag in SIDE or _HIDDEN.search(attr) is not None)
                 stack.append((tag, int(main or tag in MAIN), side, named))
     flush()

@@ -267,6 +267,33 @@ def test_extraction_of_the_given_pages(spark):
         assert r.text == "\n".join(x for x in b if x)
 
 
+@pytest.mark.parametrize("page", [
+    '<article class="post type-post category-news tag-spark">{}</article>',
+    '<div class="page has-sidebar"><article>{}</article></div>',
+    '<div class="page has-sidebar no-comments">{}</div>',
+    '<div class="content sidebar-right"><article class="header legal">{}</article></div>',
+    '<div id="search"><main class="search">{}</main></div>',
+    '<svg viewBox="0 0 1 1" /><article>{}</article>',
+    '<article><math/>{}<svg width=1 height=1 /></article>',
+    '<datalist><option value=1><option value=2>two</datalist><article>{}</article>',
+    '<div><option>one<article>{}</article></div>',
+    '<table><tr><td class=sidebar>Links here<td>{}</table>',
+    '<dl><dd class=share>Share this<dd>{}</dl>',
+])
+def test_names_self_closed_elements_and_optional_end_tags(page):
+    text = ["A text of the page that is long enough to be seen as its main text by its words alone " * 3, "And then one more paragraph that belongs to the same text and says as much " * 3]
+    got = H.main_text("<html><body>" + page.format("".join(f"<p>{x}</p>" for x in text)) + "</body></html>", H.grow(H.labelled_rows()))
+    assert [x for x in got.split("\n") if len(x) > 50] == [x.strip() for x in text]
+
+
+def test_named_parts_stay_out():
+    tree, text = H.grow(H.labelled_rows()), "<article><p>" + "words of the text " * 20 + "</p></article>"
+    other = "<p>" + "words of another part " * 20 + "</p>"
+    for part in ('<div class="comments">{}</div>', '<div class="related-posts"><article>{}</article></div>', '<div id="tag-cloud">{}</div>', '<div class="site-header">{}</div>',
+                 '<main><div class="comments"><article class="comment-body">{}</article></div></main>', '<svg><text>{}</text></svg>', '<select><option>{}</select>'):
+        assert H.main_text(text + part.format(other), tree) == ("words of the text " * 20).strip()
+
+
 # --- language model ------------------------------------------------------------------------
 def test_lm_counts_and_scores(spark, docs):
     rows = make_docs()
