@@ -169,10 +169,10 @@ def cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
                 # rows that share all of them, also those without a date
                 from surv.operators.scope import with_stored_keys
                 from surv.roles import FIXTURE_ROLES
-                from surv.session import target_partitions
+                from surv.session import range_partitioned
                 plan = with_stored_keys(cases_plan(spark, sf_dir), FIXTURE_ROLES).withColumn("notified_year", F.year("notified_on"))
                 order = ("notified_year", "state_norm", "code6_norm", "notified_on", "case_id")
-                (plan.repartitionByRange(target_partitions(plan), *order).sortWithinPartitions(*order)
+                (range_partitioned(plan, *order)
                  .write.mode("overwrite").partitionBy("notified_year").parquet(tmp))
                 jvm = spark.sparkContext._jvm
                 src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)

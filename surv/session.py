@@ -77,32 +77,50 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def size_in_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job runs).  For a table read from
-    files it is the size of the files listed now."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate
-        return None
+def leaf_bytes(df: DataFrame) -> int | None:
+    """Bytes that the plan of ``df`` reads: the sizes of its leaf relations
+    added up (no job runs; for files, as they are listed now).  None where a
+    leaf has no known size.
+
+    Catalyst's estimate of a whole plan is no use here: without column
+    statistics that of a join is the product of its inputs."""
+    unknown = df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(x >= unknown for x in sizes) else sum(sizes)
 
 
 def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
     """Partition count for an explicit repartition: about
-    ``bytes_per_partition`` each, never fewer than
+    ``bytes_per_partition`` of what the plan reads each, never fewer than
     ``spark.sql.shuffle.partitions``."""
     floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    est = size_in_bytes(df)
+    est = leaf_bytes(df)
     return floor_n if est is None else max(floor_n, -(-est // bytes_per_partition))
 
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+def range_partitioned(df: DataFrame, *order, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and sorted inside.  The session's
+    number of shuffle partitions holds, without a fixed count, so that AQE
+    merges small ones; only where the plan reads more than they should hold is
+    a larger count asked for."""
+    n, floor_n = target_partitions(df, bytes_per_partition), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = df.repartitionByRange(n, *order) if n > floor_n else df.repartitionByRange(*order)
+    return parts.sortWithinPartitions(*order)
+
+
+# bound on a broadcast side in memory, and how much larger rows are there than
+# in compressed column files
+BROADCAST_BYTES = 256 * 1024 * 1024
+MEMORY_FACTOR = 4
 
 
 def within_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when the source ``df`` is at most ``max_bytes`` large.  Asked anew
-    at every call: a table that has grown since is seen as it is."""
-    est = size_in_bytes(df)
-    return est is not None and est <= max_bytes
+    """True when what the source ``df`` reads takes at most ``max_bytes`` in
+    memory.  Asked anew at every call: a table that has grown since is seen as
+    it is; a source of unknown size is not within any bound."""
+    est = leaf_bytes(df)
+    return est is not None and est * MEMORY_FACTOR <= max_bytes
 
 
 def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 aggregate, filled + blank = total, valid + invalid = filled, shares sum to
 100, the indicator table keeps every notified row."""
 
+import os
 import re
 
 import pytest
@@ -102,12 +103,27 @@ def test_shuffle_join_equals_broadcast_join(spark):
 def test_size_bound_follows_a_growing_table(spark, tmp):
     from surv import session as SS
     spark.range(5).write.parquet(f"{tmp}/t")
-    small = SS.size_in_bytes(spark.read.parquet(f"{tmp}/t"))
+    small = SS.leaf_bytes(spark.read.parquet(f"{tmp}/t")) * SS.MEMORY_FACTOR
     assert SS.within_bytes(spark.read.parquet(f"{tmp}/t"), small)
     spark.range(100_000).write.mode("append").parquet(f"{tmp}/t")
     assert not SS.within_bytes(spark.read.parquet(f"{tmp}/t"), small)
 
 
+def test_partition_count_adds_up_what_the_plan_reads(spark):
+    """A join's inputs count once each, not multiplied; the fact at sf0.01 is
+    few tasks and files."""
+    from surv import session as SS
+    from surv.plans import fixtures as FX
+    plan = FX.cases_plan(spark, "/root/testdata/sf0.01")
+    sizes = sum(os.path.getsize(f"/root/testdata/sf0.01/{t}.parquet") for t in ("orders", "customer", "nation"))
+    assert 0 < SS.leaf_bytes(plan) <= sizes
+    assert SS.target_partitions(plan) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert SS.target_partitions(plan, sizes // 50) <= 60
+    assert SS.target_partitions(spark.createDataFrame([(1,)], "a int").crossJoin(plan)) < 100
+    f = FX.cases(spark, "/root/testdata/sf0.01")
+    assert f.rdd.getNumPartitions() < 100 and len(f.inputFiles()) < 100
+
+
 def test_missing_checkpoint_folder_is_an_error_on_a_cluster(spark, monkeypatch):
     from surv import session as SS
 
