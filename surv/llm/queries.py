@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surv.llm import decontam, html_text, langid, licenses, lm_mix, ngram_join, packing, quality_nbsvm, quality_rules, toxicity
+from surv.llm import decontam, html_text, langid, licenses, lm_mix, merkle, ngram_join, oracles, packing, quality_nbsvm, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +100,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document, learnt where the remainder by 5 is not 1."""
     out = lm_mix.score(table(spark, sf_dir, "documents"), part_of(5) != 1)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and the check of the tampered version of every document."""
+    out = merkle.documents_manifest(table(spark, sf_dir, "documents")).audit()
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLE["op11_merkle_manifest"] = oracles.merkle_manifest(10)
