@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surv.llm import decontam, html_text, langid, licenses, lm_mix, merkle, ngram_join, oracles, packing, quality_nbsvm, quality_rules, toxicity
+from surv.llm import bpe, decontam, html_text, langid, licenses, lm_mix, merkle, ngram_join, oracles, packing, quality_nbsvm, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,4 +110,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    import public_tokenizers as vocabularies
+    ranks = bpe.read_ranks(vocabularies.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, vocabularies.PATTERN).drop("text"), ranks)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLE["op11_merkle_manifest"] = oracles.merkle_manifest(10)
