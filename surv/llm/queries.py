@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surv.llm import bpe, decontam, html_text, langid, licenses, lm_mix, merkle, ngram_join, oracles, packing, quality_nbsvm, quality_rules, toxicity
+from surv.llm import bpe, decontam, html_text, langid, licenses, lm_mix, merkle, ngram_join, oracles, packing, quality_nbsvm, quality_rules, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,4 +120,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, form and root."""
+    out = spelling.variants(table(spark, sf_dir, "documents"), drop_every=31)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 ORACLE["op11_merkle_manifest"] = oracles.merkle_manifest(10)
+ORACLE["op13_spelling_variants"] = oracles.spelling_variants()
