@@ -6,7 +6,7 @@
 executors.
 
 ``backfill_years``: per source year, read + validate, then replace that year
-atomically (dynamic partition overwrite), then rebuild the derived tables
+as one published version, then rebuild the derived tables
 from one fact scan and reconcile rows per year.
 """
 
@@ -27,15 +27,15 @@ from surv.operators import scope as S
 from surv.roles import NATIVE_ROLES, Roles
 from surv.sources import readers as R
 from surv.sources import writers as W
+from surv.sources.published import read_table, table_exists
 from surv.streaming import incremental as INC
 
 REQUIRED_FACT_COLUMNS = ("municipio", "data_notificacao", "classificacao_final")
 
 
 def _state(spark: SparkSession, path: str) -> DataFrame:
-    from surv.operators.cubes import path_exists
-    if path_exists(spark, path):
-        return spark.read.parquet(path)
+    if table_exists(spark, path):
+        return read_table(spark, path)
     return spark.createDataFrame([], INC.STATE_SCHEMA)
 
 
@@ -86,7 +86,7 @@ def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, p
                                 "pipeline string, source string, status string, last_success_date date, "
                                 "updated_at timestamp")
     new_state = INC.upsert_mark(_state(spark, state_path), upd)                           # J05
-    W.replace_path(spark, new_state, state_path)
+    W.replace_table(spark, new_state, state_path)
     if status == INC.RUN_FAILED:
         raise RuntimeError(f"run {run_id} failed: {msg}")
     return {"run_id": run_id, "rows": rows, "window_start": start.isoformat(), "max_date": max_date}
@@ -117,7 +117,7 @@ def backfill_years(spark: SparkSession, files: Sequence[tuple[int, str]], kind:
                 snaps.append(spark.read.parquet(W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, f"{year}-{uuid.uuid4().hex}")))
             batch = conform_batch(B.union_widening(snaps), source_year=year)
             INC.reload_years(spark, batch, fact_path, required=REQUIRED_FACT_COLUMNS)
-            loaded.append((year, spark.read.parquet(fact_path).filter(F.col("year") == year).count()))
+            loaded.append((year, read_table(spark, fact_path).filter(F.col("year") == year).count()))
         except Exception as e:  # noqa: BLE001 - listed for the caller, or raised
             if not continue_on_error:
                 raise
@@ -125,7 +125,7 @@ def backfill_years(spark: SparkSession, files: Sequence[tuple[int, str]], kind:
     out: dict = {"years": [y for y, _ in loaded], "failed": failed}
     if not loaded:
         return out
-    fact = spark.read.parquet(fact_path)
+    fact = read_table(spark, fact_path)
     if territory is not None:
         out["analytics"] = CU.build_analytics(fact, roles, territory, f"{warehouse}/analytics")
     log_rows = spark.createDataFrame(loaded, "year int, loaded_rows bigint")

@@ -14,6 +14,7 @@ from surv.plans import fixtures as FX
 from surv.plans.registry import register
 from surv.sources import readers as R
 from surv.sources import writers as W
+from surv.sources.published import read_table
 from surv.streaming import incremental as INC
 
 _CUST = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -99,7 +100,7 @@ def a13(spark, sf):
     new = o.filter((F.col("d") >= "1998-01-01") & (F.col("o_orderstatus") != "F")) \
            .withColumn("price", F.col("price") + 1).drop("o_orderstatus")
     INC.replace_date_window(spark, new, t, "d", "1998-01-01")
-    return spark.read.parquet(t).select("o_orderkey", "d", "year", "price")
+    return read_table(spark, t).select("o_orderkey", "d", "year", "price")
 
 
 @register("j07_reload_years", """
@@ -117,7 +118,7 @@ def j07(spark, sf):
     fix = (o.filter((F.col("year") == 1997) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
             .withColumn("price", F.col("price") * 2).drop("o_orderpriority"))
     INC.reload_years(spark, fix, t)
-    return spark.read.parquet(t).select("o_orderkey", "year", "price")
+    return read_table(spark, t).select("o_orderkey", "year", "price")
 
 
 @register("a19_year_from_file_name", """
@@ -163,7 +164,7 @@ def a12(spark, sf):
     cu = FX.table(spark, sf, "customer")
     W.refresh_dimension(spark, cu, t)
     W.refresh_dimension(spark, cu.filter(F.col("c_mktsegment") == "BUILDING"), t)
-    return spark.read.parquet(t)
+    return read_table(spark, t)
 
 
 # ---- loads that must not lose rows -------------------------------------------------------
@@ -182,7 +183,7 @@ def a13_null(spark, sf):
                                                        F.lit(None).cast("date").alias("d"), F.lit(None).cast("int").alias("year")))
     new = o.filter((F.col("d") >= "1998-01-01") & (F.col("o_orderkey") % 2 == 0)).drop("o_orderstatus").unionByName(undated)
     INC.replace_date_window(spark, new, t, "d", "1998-01-01")
-    return spark.read.parquet(t).select("o_orderkey", "d")
+    return read_table(spark, t).select("o_orderkey", "d")
 
 
 @register("j03_late_file_keeps_newer", """
@@ -200,7 +201,7 @@ def j03(spark, sf):
     for k, batch in enumerate((ev, ev.filter(F.col("d") == second).withColumn("kind", F.lit("late")))):
         batch.coalesce(1).write.parquet(f"{base}/land/{k}")
         stream_window_replace(spark, f"{base}/land/*", ev.schema, f"{base}/table", "d", name=name)
-    return spark.read.parquet(f"{base}/table").select("event_id", "d", "kind")
+    return read_table(spark, f"{base}/table").select("event_id", "d", "kind")
 
 
 @register("j07_backfill_two_files_per_year", """
@@ -311,4 +312,4 @@ def j06(spark, sf):
     INC.historical_load(spark, [o.limit(5)], t)
     lo, hi = o.agg(F.min("year"), F.max("year")).first()
     INC.historical_load_years(spark, lambda a, b: o.filter(F.col("year").between(a, b)), t, lo, hi)
-    return spark.read.parquet(t).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return read_table(spark, t).groupBy("year").agg(F.count(F.lit(1)).alias("n"))

@@ -55,48 +55,20 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
     df.write.option("batchsize", batchsize).jdbc(url, table, mode=WRITE_MODES[if_exists], properties=properties)
 
 
-def replace_path(spark: SparkSession, df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Truncate-then-load without reading and writing the same path:
-    write to a fresh sibling, then swap it in by renames.  A driver lost
-    between the two renames leaves ``<path>.__old_*``; the next call restores
-    it before doing anything else."""
-    recover_path(spark, path)
-    staging = f"{path.rstrip('/')}.__staging_{uuid.uuid4().hex}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(staging)
-    fs, p = _fs(spark, path)
-    _, s = _fs(spark, staging)
-    if fs.exists(p):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
-        fs.rename(p, old)
-        fs.rename(s, p)
-        fs.delete(old, True)
-    else:
-        fs.rename(s, p)
+def replace_table(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> str:
+    """Truncate-then-load as one published version (read it with
+    ``published.read_table``): there is no moment without a table, and ``df``
+    may read the rows it replaces."""
+    from surv.sources.published import ROWS, Change, TableGroup
+    TableGroup(spark, path).publish({ROWS: Change(df, partition_by)})
     return path
 
 
-def recover_path(spark: SparkSession, path: str) -> None:
-    """Undo a swap interrupted between its renames: if ``path`` is missing
-    and a ``.__old_*`` sibling exists, move it back."""
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        return
-    parent = p.getParent()
-    if parent is None or not fs.exists(parent):
-        return
-    prefix = p.getName() + ".__old_"
-    olds = [st.getPath() for st in fs.listStatus(parent) if st.getPath().getName().startswith(prefix)]
-    if olds:
-        fs.rename(olds[0], p)
-
-
 def refresh_dimension(spark: SparkSession, df: DataFrame, path: str) -> int:
     """Full refresh of a dimension; returns its row count."""
-    replace_path(spark, df, path)
-    return spark.read.parquet(path).count()
+    from surv.sources.published import read_table
+    replace_table(spark, df, path)
+    return read_table(spark, path).count()
 
 
 def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> str:

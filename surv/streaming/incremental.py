@@ -1,10 +1,10 @@
 """Incremental processing.
 
-State (high-water marks, run log) lives in small Parquet tables.  Data
-replacement is idempotent: the affected year partitions are recomputed into
-a staging folder under the shared checkpoint location and swapped in with
-dynamic partition overwrite, so a retried task or job converges to the same
-table and never reads the files it is replacing.
+State (high-water marks, run log) lives in small tables.  Data replacement is
+idempotent: the affected year partitions are written beside the table and
+published as one version (``sources.published``), so a retried task or job
+converges to the same table, a reader sees the old rows or the new ones, and a
+driver lost on the way has changed nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surv.sources import writers as W
+from surv.sources.published import ROWS, Change, TableGroup, part_key
 
 STATE_SCHEMA = "pipeline string, source string, last_success_date date, updated_at timestamp"
 RUN_LOG_SCHEMA = ("run_id string, pipeline string, source string, status string, started_at timestamp, "
@@ -26,10 +27,6 @@ RUN_RUNNING, RUN_SUCCESS, RUN_FAILED = "running", "success", "failed"
 
 
 # ---- A13 window replacement --------------------------------------------------------------
-JOURNAL = "_emptied_partitions"
-NULL_DIR = "__HIVE_DEFAULT_PARTITION__"
-
-
 def _window(date_col: str, d0: str, d1: str | None) -> Column:
     c = F.col(date_col)
     cond = c >= F.lit(d0).cast("date")
@@ -46,53 +43,45 @@ def _any_value(col: str, values: Sequence) -> Column:
     return cond
 
 
-def finish_replace(spark: SparkSession, table_path: str, part_col: str = "year") -> list[str]:
-    """Remove the partitions that an interrupted replacement had emptied (they
-    are named in the table's journal); returns their values."""
-    journal = f"{table_path.rstrip('/')}/{JOURNAL}"
-    fs, p = W._fs(spark, journal)
-    if not fs.exists(p):
-        return []
-    gone = [r.value for r in spark.read.text(journal).collect()]   # a handful of partition values
-    for v in gone:
-        W.delete_path(spark, f"{table_path.rstrip('/')}/{part_col}={v}")
-    W.delete_path(spark, journal)
-    return gone
+def window_hit(date_col: str, d0: str, d1: str | None = None):
+    """The rows that a window replacement drops, as a test on the old table."""
+    return lambda old: _window(date_col, d0, d1)
+
+
+def day_hit(new: DataFrame, date_col: str):
+    """The rows that a delivery of whole days drops: the days it carries
+    (bounded by the calendar, not by its rows)."""
+    days = [r[0] for r in new.select(F.col(date_col).cast("date")).distinct().collect() if r[0] is not None]
+    return lambda old: F.coalesce(F.col(date_col).cast("date").isin(days), F.lit(False)) if days else F.lit(False)
+
+
+def replaced_parts(old: DataFrame, new: DataFrame, part_col: str, hit: Column) -> list:
+    """Partition values (a handful of years) that lose or gain rows."""
+    touched = old.filter(hit).select(part_col).unionByName(new.select(part_col)).distinct()
+    return sorted((r[0] for r in touched.collect()), key=lambda v: (v is not None, v))
+
+
+def row_change(old: DataFrame, new: DataFrame, part_col: str, hit: Column, parts: list) -> Change:
+    """The rows of the partitions ``parts`` after dropping ``hit`` and adding
+    ``new``.  A delivery with extra fields widens the table (B17)."""
+    keep = old.filter(_any_value(part_col, parts) & ~hit)
+    return Change(keep.unionByName(new, allowMissingColumns=True), part_col, parts)
 
 
 def _replace_rows(spark: SparkSession, new: DataFrame, table_path: str, part_col: str, drop) -> dict[str, int]:
-    """Drop the rows of the table for which ``drop`` holds, then add ``new``.
-
-    The affected partitions are written once: dynamic partition overwrite
-    stages its files and moves them in at commit, so it may read the table it
-    writes, and a driver lost before the commit changes nothing.  Partitions
-    left without a row are named in a journal first; the next call removes
-    them if this one is cut short."""
-    finish_replace(spark, table_path, part_col)
-    exists = W.partition_dirs(spark, table_path, part_col) or _has_data(spark, table_path)
-    if not exists:
+    """Drop the rows of the table for which ``drop`` holds, then add ``new``, as
+    one published version that rewrites only the partitions it touches."""
+    table = TableGroup(spark, table_path)
+    if not table.has():
         if not new.isEmpty():
-            new.write.mode("overwrite").partitionBy(part_col).parquet(table_path)
+            table.publish({ROWS: Change(new, part_col)})
         return {"rewritten_partitions": 0}
-    old = spark.read.option("mergeSchema", True).parquet(table_path)
+    old = table.read()
     hit = drop(old)
-    # partition values are a handful of years: metadata, not data
-    state = (old.groupBy(part_col).agg(F.count_if(hit).alias("_out"), F.count_if(~hit).alias("_stay")).filter("_out > 0")
-             .unionByName(new.groupBy(part_col).agg(F.lit(0).cast("bigint").alias("_out"), F.count(F.lit(1)).alias("_stay"))))
-    rows = state.groupBy(part_col).agg(F.sum("_stay").alias("_stay")).collect()
-    if not rows:
-        return {"rewritten_partitions": 0}
-    emptied = [NULL_DIR if r[0] is None else str(r[0]) for r in rows if r["_stay"] == 0]
-    if emptied:
-        (spark.createDataFrame([(v,) for v in emptied], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{table_path.rstrip('/')}/{JOURNAL}"))
-    # A delivery with extra fields widens the table; partitions written
-    # earlier keep their files and read the new columns as NULL (mergeSchema)
-    keep = old.filter(_any_value(part_col, [r[0] for r in rows]) & ~hit)
-    (keep.unionByName(new, allowMissingColumns=True).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(table_path))
-    finish_replace(spark, table_path, part_col)
-    return {"rewritten_partitions": len(rows)}
+    parts = replaced_parts(old, new, part_col, hit)
+    if parts:
+        table.publish({ROWS: row_change(old, new, part_col, hit, parts)})
+    return {"rewritten_partitions": len(parts)}
 
 
 def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, date_col: str,
@@ -101,7 +90,7 @@ def replace_date_window(spark: SparkSession, new: DataFrame, table_path: str, da
     ``d1`` is None), then append ``new``.  Rows with a NULL date are never
     deleted (reference semantics, T27), whatever their partition.  The table
     is partitioned by ``part_col`` (the source year, T28)."""
-    return _replace_rows(spark, new, table_path, part_col, lambda old: _window(date_col, d0, d1))
+    return _replace_rows(spark, new, table_path, part_col, window_hit(date_col, d0, d1))
 
 
 def replace_days(spark: SparkSession, new: DataFrame, table_path: str, date_col: str,
@@ -111,32 +100,25 @@ def replace_days(spark: SparkSession, new: DataFrame, table_path: str, date_col:
     too.  Rows of the delivery without a date are added."""
     if since:
         new = new.filter(F.col(date_col).isNull() | (F.col(date_col) >= F.lit(since).cast("date")))
-    days = [r[0] for r in new.select(F.col(date_col).cast("date")).distinct().collect() if r[0] is not None]
-    # the days of one delivery: bounded by the calendar, not by its rows
-    hit = (lambda old: F.coalesce(F.col(date_col).cast("date").isin(days), F.lit(False))) if days else (lambda old: F.lit(False))
-    return _replace_rows(spark, new, table_path, part_col, hit)
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    from surv.operators.cubes import path_exists
-    return path_exists(spark, path)
+    return _replace_rows(spark, new, table_path, part_col, day_hit(new, date_col))
 
 
 def reload_years(spark: SparkSession, new: DataFrame, table_path: str, part_col: str = "year",
                  required: Sequence[str] = ()) -> list:
     """Validate first (non-empty, required columns), then replace the
-    years present in ``new`` atomically with dynamic partition overwrite --
-    no delete-before-load window, so no compensating delete is needed."""
+    years present in ``new`` as one published version: no moment without the
+    year, and no compensating delete."""
     from surv.operators.quality import require_columns, require_not_empty
     require_not_empty(new)
     require_columns(new, [part_col, *required])
     staging = W.staging_path(spark, "year-reload")
-    new.write.mode("errorifexists").partitionBy(part_col).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(part_col).parquet(table_path))
-    years = W.partition_dirs(spark, staging, part_col)
+    new.write.mode("errorifexists").parquet(staging)     # the source is read once
+    new = spark.read.parquet(staging)
+    years = [r[0] for r in new.select(part_col).distinct().collect()]
+    table = TableGroup(spark, table_path)
+    table.publish({ROWS: Change(new, part_col, years if table.has() else None)})
     W.delete_path(spark, staging)
-    return sorted(years)
+    return sorted(part_key(y) for y in years)
 
 
 def year_batches(y0: int, y1: int, size: int = 3) -> list[tuple[int, int]]:
@@ -148,14 +130,20 @@ def year_batches(y0: int, y1: int, size: int = 3) -> list[tuple[int, int]]:
 
 def historical_load(spark: SparkSession, batches: Sequence[DataFrame], table_path: str,
                     part_col: str = "year") -> int:
-    """Historical load.  The table is replaced by the first non-empty
-    batch (the truncate), later batches append; one partitioned write each."""
-    written = 0
+    """Historical load, one partitioned write for each non-empty batch.
+    The batches are written beside the table and published together at the end:
+    readers see the old history until the new one is whole, and a load that
+    fails half-way has changed nothing."""
+    from surv.sources.published import step
+    table, staged, written = TableGroup(spark, table_path), None, 0
     for b in batches:
         if b.isEmpty():
             continue
-        b.write.mode("overwrite" if written == 0 else "append").partitionBy(part_col).parquet(table_path)
+        staged = table.stage(ROWS, Change(b, part_col, append=staged is not None), staged)
         written += 1
+        step(f"batch {written} written")
+    if staged:
+        table.commit({ROWS: staged})
     return written
 
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from surv.operators import quality as Q
+from surv.sources import published as PB
+from surv.sources.published import read_table
 from surv.streaming import incremental as INC
 from surv.streaming import stream as STR
 from tests.conftest import SF_SMALL
@@ -27,10 +29,10 @@ def test_window_replace_idempotent_and_null_dates_kept(spark, tmp):
     INC.replace_date_window(spark, base, t, "d", "2024-01-01")
     new = rows(spark, [(5, D("2024-01-09"), 2024, "late"), (6, D("2024-01-12"), 2024, "new")])
     INC.replace_date_window(spark, new, t, "d", "2024-01-08")
-    first = sorted((r.id, r.v) for r in spark.read.parquet(t).collect())
+    first = sorted((r.id, r.v) for r in read_table(spark, t).collect())
     assert first == [(1, "a"), (3, "null-date"), (4, "old"), (5, "late"), (6, "new")]
     INC.replace_date_window(spark, new, t, "d", "2024-01-08")   # re-run: same table
-    assert sorted((r.id, r.v) for r in spark.read.parquet(t).collect()) == first
+    assert sorted((r.id, r.v) for r in read_table(spark, t).collect()) == first
 
 
 def test_window_replace_closed_window_and_emptied_partition(spark, tmp):
@@ -38,9 +40,9 @@ def test_window_replace_closed_window_and_emptied_partition(spark, tmp):
     base = rows(spark, [(1, D("2022-05-01"), 2022, "x"), (2, D("2023-05-01"), 2023, "y")])
     INC.replace_date_window(spark, base, t, "d", "2000-01-01")
     INC.replace_date_window(spark, rows(spark, []), t, "d", "2022-01-01", "2022-12-31")
-    got = spark.read.parquet(t).collect()
+    got = read_table(spark, t).collect()
     assert [r.id for r in got] == [2]
-    assert not os.path.exists(f"{t}/year=2022")
+    assert set(PB.TableGroup(spark, t).state()["tables"]["rows"]["parts"]) == {"2023"}
 
 
 def test_window_replace_keeps_null_partitions(spark, tmp):
@@ -48,16 +50,82 @@ def test_window_replace_keeps_null_partitions(spark, tmp):
     base = rows(spark, [(1, None, None, "keep"), (3, D("2024-01-01"), 2024, "a"), (4, D("2024-02-01"), 2024, "b")])
     INC.replace_date_window(spark, base, t, "d", "2024-01-01")
     INC.replace_date_window(spark, rows(spark, [(2, None, None, "new"), (5, D("2024-02-02"), 2024, "c")]), t, "d", "2024-02-01")
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 2, 3, 5]
-
-
-def test_interrupted_replacement_is_finished_by_the_next(spark, tmp):
-    t = f"{tmp}/fact_cut"
-    INC.replace_date_window(spark, rows(spark, [(1, D("2022-05-01"), 2022, "x"), (2, D("2023-05-01"), 2023, "y")]), t, "d", "2000-01-01")
-    # as if the driver was lost after the commit and before the empty partition went
-    spark.createDataFrame([("2022",)], "value string").coalesce(1).write.text(f"{t}/{INC.JOURNAL}")
-    INC.replace_date_window(spark, rows(spark, [(3, D("2023-06-01"), 2023, "z")]), t, "d", "2023-06-01")
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [2, 3] and not os.path.exists(f"{t}/{INC.JOURNAL}")
+    assert sorted(r.id for r in read_table(spark, t).collect()) == [1, 2, 3, 5]
+
+
+class Lost(Exception):
+    """A driver lost between two steps."""
+
+
+def stop_at(monkeypatch, k):
+    """Lose the driver at the k-th step from now; the list says which came."""
+    seen = []
+
+    def step(name):
+        seen.append(name)
+        if len(seen) == k:
+            raise Lost(name)
+
+    monkeypatch.setattr(PB, "step", step)
+    return seen
+
+
+WRITES = {
+    "window": lambda s, t: INC.replace_date_window(s, rows(s, [(3, D("2023-06-01"), 2023, "z")]), t, "d", "2022-03-01"),
+    "days": lambda s, t: INC.replace_days(s, rows(s, [(4, D("2022-05-01"), 2022, "y")]), t, "d"),
+    "reload": lambda s, t: INC.reload_years(s, rows(s, [(5, D("2023-05-01"), 2023, "r")]), t),
+    "history": lambda s, t: INC.historical_load(s, [rows(s, [(6, D("2020-05-01"), 2020, "h")]), rows(s, [(7, D("2021-05-01"), 2021, "i")])], t),
+    "truncate": lambda s, t: PB.TableGroup(s, t).publish({PB.ROWS: PB.Change(rows(s, [(8, D("2020-01-01"), 2020, "t")]), "year")}),
+}
+
+
+@pytest.mark.parametrize("kind", list(WRITES))
+def test_a_reader_sees_the_old_or_the_new_state_wherever_a_writer_stops(spark, tmp, monkeypatch, kind):
+    first = rows(spark, [(1, D("2022-05-01"), 2022, "x"), (2, D("2023-05-01"), 2023, "y")])
+    ids = lambda t: sorted(r.id for r in read_table(spark, t).collect())
+    INC.replace_date_window(spark, first, f"{tmp}/whole", "d", "2000-01-01")
+    steps = stop_at(monkeypatch, 0)
+    WRITES[kind](spark, f"{tmp}/whole")
+    want = ids(f"{tmp}/whole")
+    assert want != [1, 2] and len(steps) >= 3
+    for k in range(1, len(steps) + 1):
+        t = f"{tmp}/cut{k}"
+        stop_at(monkeypatch, 0)
+        INC.replace_date_window(spark, first, t, "d", "2000-01-01")
+        stop_at(monkeypatch, k)
+        with pytest.raises(Lost):
+            WRITES[kind](spark, t)
+        assert ids(t) == (want if steps[k - 1] == "pointer renamed" else [1, 2])
+        stop_at(monkeypatch, 0)
+        WRITES[kind](spark, t)               # the run is repeated
+        assert ids(t) == want
+        PB.TableGroup(spark, t).clean(keep=1)
+        assert ids(t) == want
+        files = sum(f.endswith(".parquet") for _, _, names in os.walk(t) for f in names)
+        state = PB.TableGroup(spark, t).state()
+        assert files and sum(len(g) for g in state["tables"]["rows"]["parts"].values()) == sum("gen=" in os.path.basename(d) for d, _, _ in os.walk(t))
+
+
+def test_tables_of_a_group_change_together(spark, tmp, monkeypatch):
+    g = PB.TableGroup(spark, f"{tmp}/group")
+    a, b = rows(spark, [(1, None, None, "a")]), spark.createDataFrame([(1, "x")], "k int, w string")
+    g.publish({"a": PB.Change(a, "year"), "b": PB.Change(b, facts={"n": 1})})
+    see = lambda: (g.read("a").count(), [r.w for r in g.read("b").collect()], g.facts("b"))
+    for k in (1, 2, 3):
+        stop_at(monkeypatch, k)
+        with pytest.raises(Lost):
+            g.publish({"a": PB.Change(a, "year", append=True), "b": PB.Change(b.withColumn("w", F.lit("new")), facts={"n": 2})})
+        assert see() == (1, ["x"], {"n": 1})
+    stop_at(monkeypatch, 0)
+    assert g.publish({"a": PB.Change(a, "year", append=True), "b": PB.Change(b.withColumn("w", F.lit("new")), facts={"n": 2})}) == 2
+    assert see() == (2, ["new"], {"n": 2}) and g.read("a", version=1).count() == 1
+    # a writer that read version 1 is told that there is a second one
+    with pytest.raises(PB.ConcurrentPublish):
+        g.commit({}, g.state(1))
+    g.publish({"a": PB.Change(a.limit(0), "year")})
+    assert g.read("a").columns == a.columns and g.read("a").count() == 0
+    with pytest.raises(ValueError):
+        g.publish({"a": PB.Change(rows(spark, [(1, None, 2020, "")]), "year", [2021])})
 
 
 def test_late_file_keeps_newer_rows(spark, tmp):
@@ -67,7 +135,7 @@ def test_late_file_keeps_newer_rows(spark, tmp):
                               [(4, D("2024-01-01"), 2024, "again"), (5, None, None, "no date"), (6, D("2020-01-01"), 2020, "too old")])):
         rows(spark, data).write.parquet(f"{land}/{k}")
         STR.stream_window_replace(spark, f"{land}/*", schema, t, "d", name=f"late-{os.getpid()}-{id(tmp)}", since="2023-12-30")
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [2, 3, 4, 5]
+    assert sorted(r.id for r in read_table(spark, t).collect()) == [2, 3, 4, 5]
 
 
 def test_year_batches():
@@ -79,10 +147,10 @@ def test_reload_years_validates_first(spark, tmp):
     t = f"{tmp}/fact3"
     INC.reload_years(spark, rows(spark, [(1, D("2022-01-01"), 2022, "a"), (2, D("2023-01-01"), 2023, "b")]), t)
     INC.reload_years(spark, rows(spark, [(3, D("2023-02-01"), 2023, "c")]), t)
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 3]
+    assert sorted(r.id for r in read_table(spark, t).collect()) == [1, 3]
     with pytest.raises(Q.ValidationError):
         INC.reload_years(spark, rows(spark, []), t)
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 3]
+    assert sorted(r.id for r in read_table(spark, t).collect()) == [1, 3]
 
 
 def test_historical_load_truncates_on_first_batch(spark, tmp):
@@ -90,7 +158,7 @@ def test_historical_load_truncates_on_first_batch(spark, tmp):
     INC.historical_load(spark, [rows(spark, [(9, D("2020-01-01"), 2020, "z")])], t)
     n = INC.historical_load(spark, [rows(spark, []), rows(spark, [(1, D("2021-01-01"), 2021, "a")]),
                                     rows(spark, [(2, D("2022-01-01"), 2022, "b")])], t)
-    assert n == 2 and sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 2]
+    assert n == 2 and sorted(r.id for r in read_table(spark, t).collect()) == [1, 2]
 
 
 def test_marks_and_run_log(spark, tmp):
@@ -144,7 +212,7 @@ def test_stream_window_replace(spark, tmp):
     STR.stream_window_replace(spark, f"{land}/*", ev.schema, t, "d", name=f"wr-{os.getpid()}-{id(tmp)}")
     ev.filter("d >= '2024-01-02'").write.parquet(f"{land}/b")   # overlaps one day
     STR.stream_window_replace(spark, f"{land}/*", ev.schema, t, "d", name=f"wr-{os.getpid()}-{id(tmp)}")
-    got = spark.read.parquet(t)
+    got = read_table(spark, t)
     assert got.count() == ev.count()
     assert got.groupBy("event_id").count().filter("count > 1").count() == 0
 
@@ -178,5 +246,5 @@ def test_window_replace_widens_schema(spark, tmp):
     new = spark.createDataFrame([(3, D("2024-01-06"), 2024, "c", "extra")],
                                 "id int, d date, year int, v string, new_field string")
     INC.replace_date_window(spark, new, t, "d", "2024-01-01")
-    got = {r.id: r.new_field for r in spark.read.option("mergeSchema", True).parquet(t).collect()}
+    got = {r.id: r.new_field for r in read_table(spark, t).collect()}
     assert got == {1: None, 3: "extra"}

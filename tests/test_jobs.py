@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from surv.operators import counts as C
 from surv.plans import fixtures as FX
 from surv.plans import jobs as J
+from surv.sources.published import read_table
 from surv.roles import FIXTURE_ROLES, NATIVE_ROLES
 from tests.conftest import SF_SMALL
 
@@ -25,7 +26,7 @@ def test_backfill_then_panels_equal_fixture(spark, tmp):
     out = J.backfill_years(spark, files, "json", f"{tmp}/wh", territory=FX.territory(spark, SF_SMALL),
                            multiline=False, normalize=False)
     assert out["years"] == [1995, 1996, 1997, 1998]
-    fact = spark.read.parquet(f"{tmp}/wh/fact")
+    fact = read_table(spark, f"{tmp}/wh/fact")
     got = C.cases_month_state(fact, NATIVE_ROLES)
     f = FX.cases(spark, SF_SMALL).filter(F.year("notified_on").between(1995, 1998))
     want = C.cases_month_state(f, FIXTURE_ROLES)
@@ -44,12 +45,12 @@ def test_incremental_runs_overlap_and_marks(spark, tmp):
     p2 = _extract(spark, tmp, "d2", (F.col("DT_NOTIFIC") >= "1995-12-01") & (F.col("DT_NOTIFIC") < "1997-01-01"))
     r2 = J.incremental_run(spark, "json", p2, wh, multiline=False, normalize=False)
     assert r2["window_start"] < str(r1["max_date"])
-    fact = spark.read.parquet(f"{wh}/fact")
+    fact = read_table(spark, f"{wh}/fact")
     n_want = FX.cases(spark, SF_SMALL).filter(F.col("notified_on") < "1997-01-01").count()
     assert fact.count() == n_want
     runs = spark.read.parquet(f"{wh}/_runs")
     assert runs.filter("status = 'success'").count() == 2
-    assert spark.read.parquet(f"{wh}/_state").first().last_success_date == r2["max_date"]
+    assert read_table(spark, f"{wh}/_state").first().last_success_date == r2["max_date"]
     assert os.path.isdir(f"{wh}/_raw/json")
 
 
@@ -62,8 +63,8 @@ def test_incremental_failure_keeps_mark(spark, tmp):
         J.incremental_run(spark, "xml-ish", p1, wh)          # unknown source kind -> failed run
     runs = spark.read.parquet(f"{wh}/_runs")
     assert runs.filter("status = 'failed'").count() == 1
-    assert spark.read.parquet(f"{wh}/_state").first().last_success_date == r1["max_date"]
-    assert spark.read.parquet(f"{wh}/fact").count() == r1["rows"]
+    assert read_table(spark, f"{wh}/_state").first().last_success_date == r1["max_date"]
+    assert read_table(spark, f"{wh}/fact").count() == r1["rows"]
 
 
 def test_panels_facade_routes_to_cubes(spark, tmp):
@@ -111,5 +112,5 @@ def test_dimension_load_jobs(spark, tmp):
     open(f"{base}/period=202401/a.csv", "wb").write("CNES;NOME\n1;Old\n".encode("latin1"))
     open(f"{base}/period=202403/b.csv", "wb").write("CO_CNES;NO_FANTASIA\n1;Nova Unidade\n2;Posto\n".encode("latin1"))
     assert J.load_facility_dimension(spark, base, f"{tmp}/dim_fac") == 2
-    got = {r.cnes: r.nome_fantasia for r in spark.read.parquet(f"{tmp}/dim_fac").collect()}
+    got = {r.cnes: r.nome_fantasia for r in read_table(spark, f"{tmp}/dim_fac").collect()}
     assert got == {"0000001": "Nova Unidade", "0000002": "Posto"}

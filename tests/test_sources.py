@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from surv.sources import readers as R
 from surv.sources import writers as W
+from surv.sources.published import read_table
 from tests.conftest import SF_SMALL
 
 
@@ -100,8 +101,9 @@ def test_writers(spark, tmp):
         W.write_table(df, f"{tmp}/t", if_exists="fail")
     W.write_table(df, f"{tmp}/t", if_exists="append")
     assert spark.read.parquet(f"{tmp}/t").count() == 10
-    W.replace_path(spark, spark.read.parquet(f"{tmp}/t").filter("r_regionkey < 2"), f"{tmp}/t")
-    assert spark.read.parquet(f"{tmp}/t").count() == 4
+    W.replace_table(spark, df, f"{tmp}/u")
+    W.replace_table(spark, read_table(spark, f"{tmp}/u").filter("r_regionkey < 2"), f"{tmp}/u")
+    assert read_table(spark, f"{tmp}/u").count() == 2
     assert W.refresh_dimension(spark, df, f"{tmp}/dim") == 5
     snap = W.save_raw_snapshot(df, f"{tmp}/raw", "json", "dengbr24", ts="20240101")
     assert snap.endswith("json/dengbr24_20240101") and spark.read.parquet(snap).count() == 5
@@ -118,13 +120,3 @@ def test_parameterized_sql_and_existence(spark):
     assert R.table_exists(spark, "nation_t") and not R.table_exists(spark, "nope_t")
     assert R.column_set(df) == set(df.columns)
 
-
-def test_replace_path_recovers_interrupted_swap(spark, tmp):
-    df = spark.read.parquet(f"{SF_SMALL}/region.parquet")
-    t = f"{tmp}/tbl"
-    W.replace_path(spark, df, t)
-    os.rename(t, f"{t}.__old_deadbeef")          # driver died after the first rename
-    W.recover_path(spark, t)
-    assert spark.read.parquet(t).count() == 5
-    W.replace_path(spark, df.limit(2), t)
-    assert spark.read.parquet(t).count() == 2
