@@ -199,8 +199,11 @@ def analytics_base(f: DataFrame, r: Roles) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cases")))
 
 
-def indicators_from_base(base: DataFrame, territory: DataFrame) -> DataFrame:
-    """E24 from the shared base aggregate (same rows as ``monthly_indicators``)."""
+INDICATOR_SUMS = ("cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations")
+
+
+def indicator_sums(base: DataFrame, territory: DataFrame) -> DataFrame:
+    """The additive part of E24 from the shared base aggregate."""
     cl, n = F.col("classification"), F.col("cases")
     cond = lambda p: F.sum(F.when(p, n).otherwise(0)).cast("bigint")
     agg1 = (base.groupBy("year", "month", "state", F.col("place_code").alias("place_raw"),
@@ -213,18 +216,23 @@ def indicators_from_base(base: DataFrame, territory: DataFrame) -> DataFrame:
                  cond(F.col("hospitalised")).alias("hospitalisations")))
     attrs = territory_attributes(territory)
     j = S.join_territory(agg1, territory, cols=("place_name", *attrs))
-    sums = [F.sum(c).cast("bigint").alias(c) for c in
-            ("cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations")]
-    g = (j.groupBy("year", "month", "state", F.coalesce("place_name", "place_raw").alias("place"),
-                   "code6", *attrs).agg(*sums))
-    return g.select(
-        "year", "month", "state", "place", "code6", *attrs,
-        "cases_total", "confirmed", "discarded", "investigating", "deaths", "hospitalisations",
-        X.guarded_ratio("confirmed", "population", K.PER_100K).alias("incidence_100k"),
+    return (j.groupBy("year", "month", "state", F.coalesce("place_name", "place_raw").alias("place"), "code6", *attrs)
+            .agg(*[F.sum(c).cast("bigint").alias(c) for c in INDICATOR_SUMS]))
+
+
+def with_indicator_rates(sums: DataFrame) -> DataFrame:
+    """E24's rates, which are not additive, from its sums."""
+    return sums.select(
+        "*", X.guarded_ratio("confirmed", "population", K.PER_100K).alias("incidence_100k"),
         X.guarded_ratio("deaths", "confirmed", K.PER_100).alias("lethality_pct"),
         X.guarded_ratio("hospitalisations", "confirmed", K.PER_100).alias("hosp_rate_pct"))
 
 
+def indicators_from_base(base: DataFrame, territory: DataFrame) -> DataFrame:
+    """E24 from the shared base aggregate (same rows as ``monthly_indicators``)."""
+    return with_indicator_rates(indicator_sums(base, territory))
+
+
 def cubes_from_base(base: DataFrame, territory: DataFrame) -> dict[str, DataFrame]:
     """E25-E27 as roll-ups of the shared base aggregate."""
     n = F.sum("cases").cast("bigint").alias("cases")
@@ -275,93 +283,103 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _lattice(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame | None, cubes, name: str | None = None):
+    """The cubes of a loader: a mapping by name, one cube (a frame or a path that
+    may not exist) under ``name``, or none."""
+    from surv.operators.lattice import Lattice
+    if isinstance(cubes, str):
+        cubes = {name: spark.read.parquet(cubes)} if path_exists(spark, cubes) else {}
+    elif isinstance(cubes, DataFrame):
+        cubes = {name: cubes}
+    return Lattice(f, r, territory, cubes or {})
+
+
+def _request(by, cls=None, since=None, place=None, focus=False, measures=("cases",)):
+    from surv.operators.lattice import Request
+    where = {"classification": S.norm_list(cls), "state": K.FOCUS_STATE_CODES if focus or place else ()}
+    return Request(tuple(by), tuple(measures), where, since, place)
+
+
+# The loaders below ask the lattice; where no cube can answer they read the fact
+# through the loader itself.  ``cube`` is a mapping of cubes, one frame or path, or
+# None.
+def route_cases_per_year(spark: SparkSession, f: DataFrame, r: Roles, cls: Sequence[str] | None = None, cube=None) -> DataFrame:
+    """K08 for E01."""
+    from surv.operators import counts as C
+    lat, q = _lattice(spark, f, r, None, cube), _request(["year"], cls)
+    return lat.answer(q).orderBy("year") if lat.choose(q) else C.cases_per_year(f, r, cls)
+
+
 def route_month_state(spark: SparkSession, f: DataFrame, r: Roles, cls: Sequence[str] | None = None,
-                      since: str | None = None, cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E02: the E25 cube rolled up when it exists, else the fact.
-    ``cube`` is a DataFrame, a Parquet path, or None.  Note T13: the cube
-    route filters ``month >= since``; use a month-start ``since`` for equal
-    results."""
+                      since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E02."""
     from surv.operators import counts as C
-    if isinstance(cube, str):
-        cube = spark.read.parquet(cube) if path_exists(spark, cube) else None
-    if cube is None:
-        return C.cases_month_state(f, r, cls, since)
-    c = cube_filter(cube, cls, since)
-    return rollup_cube(c, ["year", "month_start", "state"]).orderBy("month_start", "state")
-
-
-# ---- K08 cube routes of the place loaders (E07, E09, E12, E13, E16) ----------------
-def _pick(spark: SparkSession, cube: DataFrame | str | None) -> DataFrame | None:
-    if isinstance(cube, str):
-        return spark.read.parquet(cube) if path_exists(spark, cube) else None
-    return cube
+    lat, q = _lattice(spark, f, r, None, cube, "month_state_class"), _request(["year", "month_start", "state"], cls, since)
+    return lat.answer(q).orderBy("month_start", "state") if lat.choose(q) else C.cases_month_state(f, r, cls, since)
 
 
 def route_focus_monthly(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame, place: str,
-                        cls: Sequence[str] | None = None, since: str | None = None,
-                        cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E07: E26 cube filtered by resolved name (T14) and month >= since."""
+                        cls: Sequence[str] | None = None, since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E07."""
     from surv.operators import counts as C
-    c = _pick(spark, cube)
-    if c is None:
-        return C.focus_monthly(f, r, territory, place, cls, since)
-    return rollup_cube(cube_filter(c, cls, since, place), ["year", "month_start"]).orderBy("month_start")
+    lat, q = _lattice(spark, f, r, territory, cube, "month_place_class_outcome"), _request(["year", "month_start"], cls, since, place)
+    return lat.answer(q).orderBy("month_start") if lat.choose(q) else C.focus_monthly(f, r, territory, place, cls, since)
 
 
 def route_focus_status(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame, place: str,
-                       cls: Sequence[str] | None = None, since: str | None = None,
-                       cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E09 (month x classification x outcome) from the E26 cube."""
+                       cls: Sequence[str] | None = None, since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E09 (month x classification x outcome)."""
     from surv.operators import counts as C
-    c = _pick(spark, cube)
-    if c is None:
-        return C.focus_status(f, r, territory, place, cls, since)
-    return rollup_cube(cube_filter(c, cls, since, place),
-                       ["year", "month_start", "classification", "outcome"]).orderBy("month_start")
+    lat = _lattice(spark, f, r, territory, cube, "month_place_class_outcome")
+    q = _request(["year", "month_start", "classification", "outcome"], cls, since, place)
+    return lat.answer(q).orderBy("month_start") if lat.choose(q) else C.focus_status(f, r, territory, place, cls, since)
+
+
+def route_hospitalisations_monthly(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame, place: str,
+                                   cls: Sequence[str] | None = None, since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E18; only the base aggregate knows hospitalisations."""
+    from surv.operators import counts as C
+    lat, q = _lattice(spark, f, r, territory, cube, "base"), _request(["month_start"], cls, since, place, measures=["hospitalisations"])
+    return lat.answer(q).orderBy("month_start") if lat.choose(q) else C.hospitalisations_monthly(f, r, territory, place, cls, since)
+
+
+def _named(agg: DataFrame, facility: DataFrame | None) -> DataFrame:
+    return S.join_facility_name(agg, F.col("facility"), facility) if facility is not None else agg.withColumn("facility_name", F.lit(""))
 
 
 def route_top_facilities(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
                          facility: DataFrame | None, place: str, cls: Sequence[str] | None = None,
-                         top_n: int = 10, since: str | None = None,
-                         cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E12 from the E27 cube: roll up by facility, then attach names."""
+                         top_n: int = 10, since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E12: the cube by facility, then names."""
     from surv.operators import counts as C
-    c = _pick(spark, cube)
-    if c is None:
+    lat, q = _lattice(spark, f, r, territory, cube, "month_place_class_facility"), _request(["facility"], cls, since, place)
+    if not lat.choose(q):
         return C.top_facilities(f, r, territory, facility, place, cls, top_n, since)
-    agg = rollup_cube(cube_filter(c, cls, since, place), ["facility"])
-    named = S.join_facility_name(agg, F.col("facility"), facility) if facility is not None else \
-        agg.withColumn("facility_name", F.lit(""))
-    out = named.groupBy("facility", "facility_name").agg(F.sum("cases").cast("bigint").alias("cases"))
+    out = _named(lat.answer(q), facility).groupBy("facility", "facility_name").agg(F.sum("cases").cast("bigint").alias("cases"))
     return out.orderBy(F.desc("cases"), F.asc("facility")).limit(top_n)
 
 
 def route_facilities_monthly(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
                              facility: DataFrame | None, place: str, cls: Sequence[str] | None = None,
-                             since: str | None = None, cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E13 from the E27 cube."""
+                             since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E13."""
     from surv.operators import counts as C
-    c = _pick(spark, cube)
-    if c is None:
+    lat = _lattice(spark, f, r, territory, cube, "month_place_class_facility")
+    q = _request(["year", "month_start", "facility"], cls, since, place)
+    if not lat.choose(q):
         return C.facilities_monthly(f, r, territory, facility, place, cls, since)
-    agg = rollup_cube(cube_filter(c, cls, since, place), ["year", "month_start", "facility"])
-    named = S.join_facility_name(agg, F.col("facility"), facility) if facility is not None else \
-        agg.withColumn("facility_name", F.lit(""))
-    out = (named.groupBy("year", "month_start", "facility", "facility_name")
+    out = (_named(lat.answer(q), facility).groupBy("year", "month_start", "facility", "facility_name")
            .agg(F.sum("cases").cast("bigint").alias("cases")))
     return out.orderBy("month_start", F.desc("cases"), "facility")
 
 
 def route_state_places(spark: SparkSession, f: DataFrame, r: Roles, territory: DataFrame,
-                       cls: Sequence[str] | None = None, since: str | None = None,
-                       cube: DataFrame | str | None = None) -> DataFrame:
-    """K08 for E16 from the E26 cube: SUM of cases, MAX of population/area."""
+                       cls: Sequence[str] | None = None, since: str | None = None, cube=None) -> DataFrame:
+    """K08 for E16, with population, area and incidence."""
     from surv.operators import counts as C
-    from surv.functions import codes as KK
-    c = _pick(spark, cube)
-    if c is None:
+    lat = _lattice(spark, f, r, territory, cube, "month_place_class_outcome")
+    q = _request(["year", "month_start", "state", "place_code", "place_name", "population", "area_km2"], cls, since, focus=True)
+    if not lat.choose(q):
         return C.state_places_enriched(f, r, territory, cls, since)
-    g = rollup_cube(cube_filter(c, cls, since), ["year", "month_start", "state", "place_code", "place_name"],
-                    maxes=["population", "area_km2"])
-    return g.select("year", "month_start", "state", "place_code", "place_name", "cases", "population", "area_km2",
-                    X.guarded_ratio("cases", "population", KK.PER_100K).alias("incidence_100k"))
+    return lat.answer(q).select("year", "month_start", "state", "place_code", "place_name", "cases", "population", "area_km2",
+                                X.guarded_ratio("cases", "population", K.PER_100K).alias("incidence_100k"))

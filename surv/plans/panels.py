@@ -1,9 +1,9 @@
 """The dashboard's data loaders as one object.
 
 ``Panels`` binds a fact, its role map and the two dimensions, and exposes one
-method per loader of the five panels.  When ``cube_base`` points at the cubes
-written by ``cubes.refresh_cubes`` / ``build_analytics``, the loaders that
-have a cube route read the cubes (K08), otherwise the fact.  Every method
+method per loader of the five panels.  When ``cube_base`` points at cubes (a
+published warehouse, or the folders that ``cubes.refresh_cubes`` writes), a loader
+reads the smallest cube that can answer it (K08), otherwise the fact.  Every method
 returns a lazy DataFrame.
 """
 
@@ -29,10 +29,19 @@ class Panels:
     roles: Roles
     territory: DataFrame
     facility: DataFrame | None = None
-    cube_base: str | None = None      # folder holding the three cube tables
+    cube_base: str | None = None      # a published warehouse, or a folder of cube tables
 
-    def _cube(self, name: str) -> str | None:
-        return f"{self.cube_base.rstrip('/')}/{name}" if self.cube_base else None
+    @property
+    def _cubes(self):
+        """The cubes that exist now."""
+        from surv.operators.lattice import stored_cubes
+        return stored_cubes(self._spark, self.cube_base)
+
+    @property
+    def lattice(self):
+        """Any request over the cubes' dimensions, answered by the smallest cube that can."""
+        from surv.operators.lattice import Lattice
+        return Lattice(self.fact, self.roles, self.territory, self._cubes)
 
     @property
     def _spark(self):
@@ -40,21 +49,22 @@ class Panels:
 
     # ---- panel 1: situation ------------------------------------------------
     def cases_per_year(self, cls: Sequence[str] = ()) -> DataFrame:
-        return C.cases_per_year(self.fact, self.roles, cls)
+        return CU.route_cases_per_year(self._spark, self.fact, self.roles, cls, cube=self._cubes)
 
     def cases_month_state(self, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
-        return CU.route_month_state(self._spark, self.fact, self.roles, cls, since, cube=self._cube("month_state_class"))
+        return CU.route_month_state(self._spark, self.fact, self.roles, cls, since, cube=self._cubes)
 
     def focus_monthly(self, place: str, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return CU.route_focus_monthly(self._spark, self.fact, self.roles, self.territory, place, cls, since,
-                                      cube=self._cube("month_place_class_outcome"))
+                                      cube=self._cubes)
 
     def focus_status(self, place: str, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return CU.route_focus_status(self._spark, self.fact, self.roles, self.territory, place, cls, since,
-                                     cube=self._cube("month_place_class_outcome"))
+                                     cube=self._cubes)
 
     def hospitalisations_monthly(self, place: str, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
-        return C.hospitalisations_monthly(self.fact, self.roles, self.territory, place, cls, since)
+        return CU.route_hospitalisations_monthly(self._spark, self.fact, self.roles, self.territory, place, cls, since,
+                                                 cube=self._cubes)
 
     def population_refs(self, place: str) -> DataFrame:
         return C.population_refs(self.territory, place)
@@ -71,7 +81,7 @@ class Panels:
     # ---- panel 2: territory and risk ---------------------------------------
     def state_places(self, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return CU.route_state_places(self._spark, self.fact, self.roles, self.territory, cls, since,
-                                     cube=self._cube("month_place_class_outcome"))
+                                     cube=self._cubes)
 
     def country_places(self, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return C.country_places_enriched(self.fact, self.roles, self.territory, cls, since)
@@ -79,11 +89,11 @@ class Panels:
     def top_facilities(self, place: str, cls: Sequence[str] = (), top_n: int = 10,
                        since: str | None = None) -> DataFrame:
         return CU.route_top_facilities(self._spark, self.fact, self.roles, self.territory, self.facility, place,
-                                       cls, top_n, since, cube=self._cube("month_place_class_facility"))
+                                       cls, top_n, since, cube=self._cubes)
 
     def facilities_monthly(self, place: str, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return CU.route_facilities_monthly(self._spark, self.fact, self.roles, self.territory, self.facility,
-                                           place, cls, since, cube=self._cube("month_place_class_facility"))
+                                           place, cls, since, cube=self._cubes)
 
     def facility_risk(self, place: str, cls: Sequence[str] = (), since: str | None = None) -> DataFrame:
         return T.facility_risk(self.facilities_monthly(place, cls, since))

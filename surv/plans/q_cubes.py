@@ -282,3 +282,83 @@ def j08_e27(spark, sf):
 def e24_null_hosp(spark, sf):
     c = ctx(spark, sf)
     return CU.monthly_indicators(c.f, c.r, c.t, real_hosp=False)
+
+
+# ---- K04 / K05 / J08 after A13 and J03: cubes that follow three deliveries ----------
+def _union_of_tables(t: dict) -> object:
+    """The four derived tables, one under the other."""
+    text = lambda c: F.col(c).cast("string")
+    e24 = t["monthly_indicators"].select(F.lit("e24").alias("cube"), "year", "month", "state", "place", text("confirmed").alias("a"),
+                                         F.concat_ws("/", "deaths", "hospitalisations", "discarded", "investigating").alias("b"),
+                                         F.col("cases_total").alias("cases"), F.col("incidence_100k").alias("rate"))
+    none = F.lit(None).cast("double").alias("rate")
+    m = F.month("month_start").alias("month")
+    e25 = t["month_state_class"].select(F.lit("e25").alias("cube"), "year", m, "state", F.lit("").alias("place"), F.col("classification").alias("a"),
+                                        F.lit("").alias("b"), "cases", none)
+    e26 = t["month_place_class_outcome"].select(F.lit("e26").alias("cube"), "year", m, "state", F.col("place_name").alias("place"),
+                                                F.col("classification").alias("a"), F.concat_ws("/", "outcome", "place_code").alias("b"), "cases", none)
+    e27 = t["month_place_class_facility"].select(F.lit("e27").alias("cube"), "year", m, "state", F.col("place_name").alias("place"),
+                                                 F.col("classification").alias("a"), F.concat_ws("/", "facility", "place_code").alias("b"), "cases", none)
+    return e24.unionByName(e25).unionByName(e26).unionByName(e27)
+
+
+_NAMED = f"COALESCE(t.place_name, {NI('f.place_raw', 'Municipio nao informado')})"
+_DIMS = f"{YEAR('f.notified_on')} AS year, CAST(month(f.notified_on) AS INTEGER) AS month, {NI('f.state_raw')} AS state"
+_DATED = f"FROM cases f LEFT JOIN territory t ON ({CODE6('f.place_raw')}) = t.code6 WHERE f.notified_on IS NOT NULL"
+
+
+def _count_if(test: str) -> str:
+    return f"CAST(count(*) FILTER (WHERE {test}) AS VARCHAR)"
+
+
+@register("k04_k05_j08_maintained_after_deliveries", f"""
+SELECT 'e24' AS cube, {_DIMS}, {_NAMED} AS place, {_count_if(NI('class_raw') + ' IN ' + IN(CONF))} AS a,
+  {_count_if(NI('outcome_raw') + " = '2'")} || '/' || {_count_if(NI('hosp_raw') + " = '1'")} || '/' || {_count_if(NI('class_raw') + " = '2'")} || '/' ||
+  {_count_if(NI('class_raw') + " IN ('0', '8', '9', 'NI')")} AS b, count(*) AS cases,
+  CASE WHEN any_value(t.population) > 0 THEN CAST(count(*) FILTER (WHERE {NI('class_raw')} IN {IN(CONF)}) AS DOUBLE) / any_value(t.population) * 100000.0 END AS rate
+  {_DATED} GROUP BY year, month, state, place, {CODE6('f.place_raw')}
+UNION ALL SELECT 'e25', {_DIMS}, '' AS place, {NI('class_raw')} AS a, '' AS b, count(*), NULL {_DATED} GROUP BY year, month, state, a
+UNION ALL SELECT 'e26', {_DIMS}, {_NAMED} AS place, {NI('class_raw')} AS a, {NI('outcome_raw')} || '/' || {NI('f.place_raw', 'Municipio nao informado')} AS b, count(*), NULL
+  {_DATED} AND {NI('f.state_raw')} IN ('RJ', '33') GROUP BY year, month, state, place, a, b
+UNION ALL SELECT 'e27', {_DIMS}, {_NAMED} AS place, {NI('class_raw')} AS a, {NI('facility_raw')} || '/' || {NI('f.place_raw', 'Municipio nao informado')} AS b, count(*), NULL
+  {_DATED} AND {NI('f.state_raw')} IN ('RJ', '33') GROUP BY year, month, state, place, a, b""")
+def k05_maintained(spark, sf):
+    """A first load with wrong classes since 1997 and without the second half of
+    every month of 1996; then the window since 1997 again, the days of 1996 as
+    late files, and at last a window of days that turn out empty."""
+    from surv.sources.writers import staging_path
+    from surv.streaming.maintained import Warehouse
+    c = ctx(spark, sf)
+    f = c.f.withColumn("year", F.year("notified_on"))
+    w = Warehouse(spark, staging_path(spark, "k05"), c.r, c.t)
+    late = (F.col("year") == 1996) & (F.dayofmonth("notified_on") > 15)
+    ghost = f.filter("year = 1996").withColumn("notified_on", F.to_date(F.lit("2050-01-01"))).withColumn("year", F.lit(2050))
+    first = f.filter(~F.coalesce(late, F.lit(False))).withColumn("class_raw", F.when(F.col("year") >= 1997, F.lit("10")).otherwise(F.col("class_raw")))
+    w.replace_window(first.unionByName(ghost), "1900-01-01")
+    w.replace_window(f.filter("notified_on >= '1997-01-01'"), "1997-01-01", "2049-12-31")
+    w.replace_days(f.filter(late))
+    w.empty_days("2050-01-01", "2050-12-31")
+    return _union_of_tables({n: w.read(n) for n in ("monthly_indicators", "month_state_class", "month_place_class_outcome", "month_place_class_facility")})
+
+
+@register("k08_lattice_requests", f"""
+SELECT 'state_year' AS request, year, state, '' AS place, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(confirmed) AS BIGINT) AS confirmed
+  FROM (SELECT {_DIMS}, 1 AS cases, CASE WHEN {NI('class_raw')} IN {IN(CONF)} THEN 1 ELSE 0 END AS confirmed {_DATED}) GROUP BY ALL
+UNION ALL SELECT 'focus_place', 0, '', {_NAMED} AS p, count(*), count(*) FILTER (WHERE {NI('class_raw')} IN {IN(CONF)})
+  {_DATED} AND {NI('f.state_raw')} IN ('RJ', '33') AND {NI('outcome_raw')} = '2' GROUP BY p
+UNION ALL SELECT 'inside_a_month', 0, {NI('f.state_raw')} AS s, '', count(*), count(*) FILTER (WHERE {NI('class_raw')} IN {IN(CONF)})
+  {_DATED} AND f.notified_on >= DATE '1997-01-15' GROUP BY s""")
+def k08_lattice(spark, sf):
+    """Three requests: the smallest cube, the one cube with outcomes of places,
+    and one that only the fact can answer."""
+    from surv.operators.lattice import Lattice, Request
+    c = ctx(spark, sf)
+    lat = Lattice(c.f, c.r, c.t, {"month_state_class": CU.cube_month_state_class(c.f, c.r), "month_place_class_outcome": _cube26(c),
+                                  "month_place_class_facility": _cube27(c)})
+    m = ("cases", "confirmed")
+    a = lat.answer(Request(("year", "state"), m)).select(F.lit("state_year").alias("request"), "year", "state", F.lit("").alias("place"), *m)
+    b = lat.answer(Request(("place_name",), m, {"state": ("RJ", "33"), "outcome": ("2",)})).select(
+        F.lit("focus_place").alias("request"), F.lit(0).alias("year"), F.lit("").alias("state"), F.col("place_name").alias("place"), *m)
+    d = lat.answer(Request(("state",), m, since="1997-01-15")).select(
+        F.lit("inside_a_month").alias("request"), F.lit(0).alias("year"), "state", F.lit("").alias("place"), *m)
+    return a.unionByName(b).unionByName(d)
