@@ -39,6 +39,16 @@ def _state(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], INC.STATE_SCHEMA)
 
 
+def read_raw(spark: SparkSession, kind: str, path: str, **read_opts) -> DataFrame:
+    """A07 + A05: the records of an extract; a JSON document is cut into records
+    by block, whatever its size."""
+    if kind == "json" and read_opts.get("multiline", True):
+        raw = R.read_json_records(spark, path, schema=read_opts.get("schema"))
+        return R.flatten(raw) if read_opts.get("normalize", True) else raw
+    raw = R.read_source(spark, kind, path, **read_opts)
+    return R.json_records(raw) if kind == "json" else raw
+
+
 def conform_batch(raw: DataFrame, source_year: int | None = None) -> DataFrame:
     """Clean (B09) and conform (B10) a raw batch; the partition column is the
     source year when given (T28), else the notification year."""
@@ -59,9 +69,7 @@ def incremental_run(spark: SparkSession, kind: str, path: str, warehouse: str, p
     try:
         mark = INC.mark_value(_state(spark, state_path), pipeline, source)              # J01
         start = INC.overlap_start(mark, overlap_days, fallback_year)                      # J02
-        raw = R.read_source(spark, kind, path, **read_opts)                               # A07
-        if kind == "json":
-            raw = R.json_records(raw)                                                     # A05
+        raw = read_raw(spark, kind, path, **read_opts)                                    # A07, A05
         snap = W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, f"{source}-{run_id}")  # A08
         fact = conform_batch(spark.read.parquet(snap))       # the source is parsed once
         fact = fact.filter(F.col("data_notificacao") >= F.lit(start))                     # C13
@@ -111,9 +119,7 @@ def backfill_years(spark: SparkSession, files: Sequence[tuple[int, str]], kind:
         try:
             snaps = []
             for path in paths:
-                raw = R.read_source(spark, kind, path, **read_opts)
-                if kind == "json":
-                    raw = R.json_records(raw)
+                raw = read_raw(spark, kind, path, **read_opts)
                 snaps.append(spark.read.parquet(W.save_raw_snapshot(raw, f"{warehouse}/_raw", kind, f"{year}-{uuid.uuid4().hex}")))
             batch = conform_batch(B.union_widening(snaps), source_year=year)
             INC.reload_years(spark, batch, fact_path, required=REQUIRED_FACT_COLUMNS)

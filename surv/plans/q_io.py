@@ -280,6 +280,37 @@ def a05(spark, sf):
     return R.json_records(spark.read.json(p))
 
 
+def _one_document(spark, path, rows, head: str, tail: str) -> str:
+    """``rows`` (id, json) as one JSON document in one file without line ends."""
+    x = rows.select("id", F.concat(F.lit(", "), "json").alias("value"))
+    first = x.agg(F.min("id").alias("id")).crossJoin(spark.createDataFrame([(head,)], "value string"))       # two rows: head and tail
+    last = x.agg(F.max("id").alias("id")).crossJoin(spark.createDataFrame([(tail,)], "value string"))
+    lines = first.select("id", F.lit(0).alias("k"), "value").unionByName(x.select("id", F.lit(1).alias("k"), "value")).unionByName(last.select("id", F.lit(2).alias("k"), "value"))
+    lines.repartition(1).sortWithinPartitions("id", "k").select("value").write.option("lineSep", " ").text(path)
+    return path
+
+
+@register("a03_a05_split_array_document", """
+SELECT doc_id AS id, coalesce(text, '') || '"} ]{ \\ "parametros":[' AS t, lang FROM documents""", raw_sql=True)
+def a05_array(spark, sf):
+    """All documents as one array in one file without line ends; quotes, braces
+    and backslashes in every text."""
+    d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit('"} ]{ \\ "parametros":[')).alias("t"), "lang")
+    p = _one_document(spark, W.staging_path(spark, "a05-array"), d.select("id", F.to_json(F.struct("id", "t", "lang")).alias("json")), '[ 1', ', "}{"]')
+    return R.read_json_records(spark, p, schema="id bigint, t string, lang string")
+
+
+@register("a05_split_envelope_document", "SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS s, 0 AS n FROM orders", raw_sql=True)
+def a05_envelope(spark, sf):
+    """All orders inside the envelope of one document, between other keys that
+    hold arrays of objects too."""
+    o = FX.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_orderstatus").alias("s"))
+    js = F.to_json(F.struct("id", "s", F.array(F.struct(F.lit("]}").alias("x"))).alias("l")))
+    p = _one_document(spark, W.staging_path(spark, "a05-envelope"), o.select("id", js.alias("json")),
+                      '{"meta": [{"id": 0}], "parametros" : [ null', '], "after": {"parametros": [{"id": 5}]}}')
+    return R.read_json_records(spark, p).select("id", "s", F.lit(0).alias("n"))
+
+
 @register("a15_report_with_mark", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation", raw_sql=True)
 def a15(spark, sf):
     """A report written with its byte-order mark; the CSV reader takes it off."""

@@ -68,12 +68,13 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 def read_json(spark: SparkSession, path: str | Sequence[str], normalize: bool = True,
               multiline: bool = True, schema: T.StructType | str | None = None) -> DataFrame:
     """A whole JSON document (multi-line) or JSON lines, optionally
-    flattened (A04).  ``multiLine`` files are one task each; convert large
-    ones to Parquet once and work from that."""
-    r = spark.read.option("multiLine", multiline)
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.json(path)
+    flattened (A04).  A document's records are found by block (``json_split``),
+    so one huge file is read by many tasks."""
+    if multiline:
+        from surv.sources.json_split import read_json_split
+        df = read_json_split(spark, path, schema=schema)
+    else:
+        df = (spark.read.schema(schema) if schema is not None else spark.read).json(path)
     return flatten(df) if normalize else df
 
 
@@ -90,9 +91,12 @@ def json_records(df: DataFrame, envelope: str = "parametros") -> DataFrame:
     return df
 
 
-def read_json_records(spark: SparkSession, path: str | Sequence[str], envelope: str = "parametros") -> DataFrame:
-    """A05 from files."""
-    return json_records(spark.read.option("multiLine", True).json(path), envelope)
+def read_json_records(spark: SparkSession, path: str | Sequence[str], envelope: str = "parametros",
+                      schema: T.StructType | str | None = None) -> DataFrame:
+    """A05 from files, each read by as many tasks as it has blocks
+    (``json_split``), whatever its size and wherever its line ends are."""
+    from surv.sources.json_split import read_json_split
+    return read_json_split(spark, path, envelope, schema)
 
 
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType | str | None = None,
