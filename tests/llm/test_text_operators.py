@@ -334,3 +334,117 @@ def test_lm_on_empty_tables(spark, docs):
     assert lm_mix.score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     r = lm_mix.score(docs, F.lit(False), sample=100).collect()
     assert {x.train_tokens for x in r} == {0} and {x.n_known for x in r} == {0} and all(x.score < 0 for x in r)
+
+
+# --- extraction: the features decide ---------------------------------------------------------
+def given_pages():
+    import duckdb
+    return [r[0] for r in duckdb.sql(f"SELECT html FROM read_parquet('{SF_ORACLE}/pages.parquet') ORDER BY page_id").fetchall()]
+
+
+def article_blocks(page):
+    import html
+    a = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+    return [x for x in (" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?p>|</?h1>", a)) if x]
+
+
+def test_pages_without_any_mark_are_told_by_words_links_and_neighbours():
+    """No element or name says where the article is; and without the neighbours'
+    figures other blocks are kept."""
+    tree, found, extra, missed, changed = H.grow(H.labelled_rows()), 0, 0, 0, 0
+    for page in given_pages():
+        plain = re.sub(r"<(/?)(article|nav|footer|header)>", r"<\1div>", page).replace('class="ad"', "")
+        b, want = H.blocks(plain), collections.Counter(article_blocks(page))
+        assert not any(any(x[3:6]) for x in b)
+        got = collections.Counter(H.main_text(plain, tree).split("\n"))
+        found, extra, missed = found + (got & want).total(), extra + (got - want).total(), missed + (want - got).total()
+        for i in range(len(b)):
+            x = H.features(b, i)
+            changed += H.decide(tree, x) != H.decide(tree, (*x[:2], 0, 0, 0, 0, *x[6:]))
+    assert found >= 0.99 * (found + extra) and found >= 0.99 * (found + missed) and changed > 100
+
+
+def brute_blocks(page):
+    """Blocks of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.linked, self.a, self.skip = [], "", "", 0, 0
+
+        def flush(self):
+            w, k = self.now.split(), len(self.linked.split())
+            if w:
+                self.out.append((" ".join(w), len(w), min(k, len(w)) / len(w)))
+            self.now = self.linked = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "title")
+            self.a += tag == "a"
+            if tag in H.BLOCK:
+                self.flush()
+            if tag == "br":
+                self.now += " "
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "title")
+            self.a -= tag == "a"
+            if tag in H.BLOCK:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.now += data
+                self.linked += data if self.a else ""
+
+    p = P()
+    p.feed(page)
+    p.close()
+    p.flush()
+    return p.out
+
+
+def brute_decide(tree, x):
+    if len(tree) == 1:
+        return tree[0]
+    f, cut, low, high = tree
+    return brute_decide(low if x[f] <= cut else high, x)
+
+
+def test_blocks_and_tree_equal_brute_force():
+    tree = H.grow(H.labelled_rows())
+    for page in given_pages()[:60] + [PAGE]:
+        b = H.blocks(page)
+        if page is not PAGE:                      # PAGE leaves end tags out
+            assert [x[:3] for x in b] == brute_blocks(page)
+        kept = []
+        for i, x in enumerate(b):
+            f = [x[1], x[2], *(b[i - 1][1:3] if i else (0, 0)), *(b[i + 1][1:3] if i + 1 < len(b) else (0, 0)), *x[3:]]
+            kept += [x[0]] * brute_decide(tree, f)
+        assert H.main_text(page, tree) == "\n".join(kept)
+    # every labelled row gets its label, or that of equal rows
+    rows = H.labelled_rows()
+    wrong = [r for r in rows if H.decide(tree, r[:-1]) != r[-1]]
+    assert len(wrong) <= 0.02 * len(rows)
+
+
+TEXT = "".join(f"<p>{x}</p>" for x in ("words of the text " * 20, "short end of it", "more words of the text " * 10))
+
+
+@pytest.mark.parametrize("page", [
+    '<form id="aspnetForm"><article>{}</article></form>', '<form><header>Site</header><div>{}</div><footer>end</footer></form>',
+    '<div class="sidebar-layout">{}</div>', '<div class="comments-open single">{}</div>', '<div class="legal-news">{}</div>',
+    '<div class="social-democracy">{}</div>', '<noscript><article>{}</article></noscript>', '<noscript><div>{}</div></noscript>', '<div class="post-content">{}</div>',
+])
+def test_page_wide_wrappers_lose_no_text(page):
+    got = H.main_text("<html><body><nav><a href=1>One</a><p><a href=2>Two</a></nav>" + page.format(TEXT) + "</body></html>", H.grow(H.labelled_rows()))
+    assert [x for x in got.split("\n")] == [x.strip() for x in re.findall("<p>(.*?)</p>", TEXT)]
+
+
+def test_menus_in_an_article_and_real_forms_stay_out():
+    tree = H.grow(H.labelled_rows())
+    menu = "<ul><li><a href=1>Part one</a></li><li><a href=2>Part two</a></li><li><a href=3>Three</a></li></ul>"
+    got = H.main_text(f"<body><article>{TEXT}{menu}{TEXT}<form><p>{'say what you think of it ' * 6}</p></form></article></body>", tree)
+    assert "Part" not in got and "think" not in got and got.count("short end") == 2
+    assert H.main_text(f"<noscript>Please enable scripts to read the comments</noscript><article>{TEXT}</article>", tree).startswith("words of")
