@@ -68,13 +68,19 @@ def slots(found: set) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weight: dict[int, tuple[float, float]], bias: float, a: float, b: float):
-        self.weight, self.bias, self.a, self.b = weight, bias, a, b
+    """Slots in ascending order with their weight times scale and squared scale,
+    intercept, and the sigmoid's two numbers."""
 
-    def score(self, found_slots) -> float:
+    def __init__(self, slots: np.ndarray, dots: np.ndarray, norms: np.ndarray, bias: float, a: float, b: float):
+        self.slots, self.dots, self.norms, self.bias, self.a, self.b = slots, dots, norms, bias, a, b
+
+    def table(self) -> dict[int, tuple[float, float]]:
+        return dict(zip(self.slots.tolist(), zip(self.dots.tolist(), self.norms.tolist())))
+
+    def score(self, weight: dict, found_slots) -> float:
         dot = norm = 0.0
         for s in found_slots:
-            x = self.weight.get(s)
+            x = weight.get(s)
             if x:
                 dot += x[0]
                 norm += x[1]
@@ -94,28 +100,20 @@ def _solve(x: Rows, y: np.ndarray, width: int):
     return r, w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    lab = labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1))
+def constant(p: float) -> Model:
+    none = np.zeros(0)
+    return Model(none.astype(np.int64), none, none, 0.0, 1.0, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
 
-    def run(batches):
-        cache: dict = {}
-        for b in batches:
-            rows = [slots(indicators(t, cache)).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "x"])
 
-    got = (sample_rows(docs, lab, sample, id_col, text_col).select(F.col("_id").cast("string").alias("id"), "_text", F.col(f"_{label_col}").cast("int").alias("y"))
-           .mapInArrow(run, "id string, y int, x array<int>").toArrow().sort_by([("id", "ascending")]))
-    y = got["y"].to_numpy().astype(np.float64)
+def fit_rows(y: np.ndarray, flat: np.ndarray, at: np.ndarray) -> Model:
+    """The model of labels ``y`` and of the rows' slots ``flat``, row i from
+    ``at[i]`` to ``at[i + 1]``."""
     if len(y) == 0 or y.min() == y.max():
-        p = float(y.mean()) if len(y) else 0.5
-        return Model({}, 0.0, 1.0, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
-    col = got["x"].combine_chunks()
-    flat, at = col.flatten().to_numpy(), col.offsets.to_numpy()
+        return constant(float(y.mean()) if len(y) else 0.5)
     df = np.bincount(flat, minlength=1 << HASH_BITS)
     keep = np.flatnonzero((df >= min(MIN_DF, max(1, len(y) // 50))) & (df < len(y)))
-    number = np.full(1 << HASH_BITS, -1, np.int64)
-    number[keep] = np.arange(len(keep))
-    number = number.astype(np.int32)
+    number = np.full(1 << HASH_BITS, -1, np.int32)
+    number[keep] = np.arange(len(keep), dtype=np.int32)
     rows = [(lambda n: n[n >= 0])(number[flat[at[i] - at[0]: at[i + 1] - at[0]]]) for i in range(len(y))]
     fold, margin = np.arange(len(y)) % FOLDS, np.zeros(len(y))
     for f in range(FOLDS):
@@ -128,7 +126,35 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     a, off = platt(margin, y)
     r, w, b = _solve(Rows(rows), y, len(keep))
     use = np.flatnonzero(r != 0)
-    return Model({int(keep[i]): (float(r[i] * w[i]), float(r[i] * r[i])) for i in use}, b, a, off)
+    return Model(keep[use].astype(np.int64), (r * w)[use], (r * r)[use], float(b), float(a), float(off))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """The sample's slots are made where its texts are read, and the model is
+    solved in one task of an executor (the sample is bounded); the driver gets the
+    finished arrays."""
+    lab = labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1))
+
+    def run(batches):
+        cache: dict = {}
+        for b in batches:
+            rows = [slots(indicators(t, cache)).astype(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "x"])
+
+    def solve(batches):
+        got = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("y", pa.int32()), ("x", pa.list_(pa.int32()))])).sort_by([("id", "ascending")])
+        col = got["x"].combine_chunks()
+        m = fit_rows(got["y"].to_numpy().astype(np.float64), col.flatten().to_numpy(), col.offsets.to_numpy())
+        yield pa.RecordBatch.from_pydict({"slots": [m.slots.astype("<i8").tobytes()], "dots": [m.dots.astype("<f8").tobytes()],
+                                          "norms": [m.norms.astype("<f8").tobytes()], "rest": [[m.bias, m.a, m.b]]})
+
+    rows = (sample_rows(docs, lab, sample, id_col, text_col).select(F.col("_id").cast("string").alias("id"), "_text", F.col(f"_{label_col}").cast("int").alias("y"))
+            .mapInArrow(run, "id string, y int, x array<int>"))
+    got = rows.repartition(1).mapInArrow(solve, "slots binary, dots binary, norms binary, rest array<double>").toArrow()
+    if not got.num_rows:
+        return constant(0.5)
+    array = lambda name, kind: np.frombuffer(got[name][0].as_buffer(), kind)
+    return Model(array("slots", "<i8"), array("dots", "<f8"), array("norms", "<f8"), *got["rest"][0].as_py())
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", score_out: str = "score") -> DataFrame:
@@ -137,6 +163,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", score_out: s
 
     def task():
         shapes, known, m = {}, {}, restore(Model, sent.value)
+        weight = m.table()
 
         def score(texts):
             out = []
@@ -148,10 +175,10 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", score_out: s
                         if len(known) > CACHE_WORDS:
                             known.clear()
                         s = slot("\x1f".join(f))
-                        s = known[f] = s if s in m.weight else -1
+                        s = known[f] = s if s in weight else -1
                     if s >= 0:
                         hits.add(s)
-                out.append(m.score(hits))
+                out.append(m.score(weight, hits))
             return (out,)
 
         return score
