@@ -2,12 +2,15 @@
 
 Each text gives counts (words, characters, symbols, repeated lines, words in
 repeated 8-word windows).  Ratios of them go into KLL quantile sketches per
-(language, source); sketches merge into one per language and one for all, which
-serve groups of fewer than ``MIN_GROUP`` texts.  A text passes if every ratio
-lies inside its group's fence: upper quartile plus ``REACH`` interquartile
-ranges (lower quartile minus, for short words), each at least a small width
-beyond the quartile.  The fences are written before they are joined with the
-texts, so a task that runs again sees the same ones.
+(language, source); sketches merge into one per language.  A group's quantiles are
+those of its own sketch and of its language's, weighed by the number of its texts
+against ``PRIOR``, so a small group leans on its language and none is a case of its
+own.  A fence stands where the tail opens: in the middle of the widest step between
+neighbouring quantiles of the upper quarter (for short words also of the lower
+one), up to the ``FARTHEST`` quantile.  No value of a fence is fixed: where the tail
+is a second heap of texts, the step is the gap before it; where it thins out evenly,
+the steps grow outwards and the fence is far out.  The fences are written before
+they are joined with the texts, so a task that runs again sees the same ones.
 
 Two fixed base rules hold besides: fewer than 20 words, or more than 30 % of
 the words in repeated windows, fail.  Null text counts as empty.  Null language
@@ -19,22 +22,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surv.llm.words import BYTE_EXACT, IS_WORD, buffers, slices, span_hash, spans, windows_of
 from surv.session import materialize
 
 WINDOW = 8
-MIN_GROUP = 100
-REACH = 3.0
-# ratio: (its expression, least distance of a fence from the quartile, sides)
+PRIOR = 50                    # texts that the language's quantiles count for
+FARTHEST, STEP, STEPS = 0.995, 0.005, 49      # quantiles 0.75, 0.755, ... 0.995
+ROUNDING = 1e-9               # of the weighed quantiles
+SKETCH_K = 2000               # rank error about 0.2 %
+# ratio: (its expression, sides)
 RATIOS = {
-    "symbol_rate": ("n_symbols / n_words", 0.10, "upper"),
-    "dup_line_rate": ("n_dup_lines / n_lines", 0.30, "upper"),
-    "repeat_rate": ("n_repeat_words / n_words", 0.20, "upper"),
-    "word_length": ("word_chars / n_words", 3.0, "both"),
+    "symbol_rate": ("n_symbols / n_words", "upper"),
+    "dup_line_rate": ("n_dup_lines / n_lines", "upper"),
+    "repeat_rate": ("n_repeat_words / n_words", "upper"),
+    "word_length": ("word_chars / n_words", "both"),
 }
+LEVELS = [round(FARTHEST - STEP * (STEPS - i), 3) for i in range(STEPS + 1)]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _NOT_NL = np.ones(256, bool)
@@ -99,22 +105,30 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by:
     return d.mapInArrow(run, f"_id {d.schema['_id'].dataType.simpleString()}, " + ", ".join(f"_g{i} string" for i in range(len(by))) + ", " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def opening(q: Column) -> Column:
+    """The middle of the widest step of an ascending array (of equals the last)."""
+    steps = F.transform(F.sequence(F.lit(0), F.size(q) - 2), lambda i: F.struct((F.get(q, i + 1) - F.get(q, i)).alias("d"), i.alias("i")))
+    i = F.array_max(steps)["i"]
+    return (F.get(q, i) + F.get(q, i + 1)) / 2
+
+
 def fences(c: DataFrame, groups: list[str]) -> DataFrame:
     """Bounds per group: one row for each combination of the group columns."""
-    ok = c.where("n_words > 0").select(*groups, *[F.expr(e).cast("double").alias(n) for n, (e, _, _) in RATIOS.items()])
-    fine = ok.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(n).alias(n) for n in RATIOS])
+    ok = c.where("n_words > 0").select(*groups, *[F.expr(e).cast("double").alias(n) for n, (e, _) in RATIOS.items()])
+    fine = ok.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in RATIOS])
     fine = materialize(fine, "sketches")
-    mid = fine.groupBy(groups[0]).agg(F.sum("_n").alias("_n1"), *[F.kll_merge_agg_double(n).alias(f"{n}_1") for n in RATIOS])
-    top = fine.groupBy(F.lit(1).alias("_all")).agg(*[F.kll_merge_agg_double(n).alias(f"{n}_2") for n in RATIOS])
-    j = fine.join(mid.withColumnRenamed(groups[0], "_m"), F.col(groups[0]).eqNullSafe(F.col("_m"))).join(top, F.col("_all") == 1)  # one row
-    out = []
-    for n, (_, width, side) in RATIOS.items():
-        sk = F.when(F.col("_n") >= MIN_GROUP, F.col(n)).when(F.col("_n1") >= MIN_GROUP, F.col(f"{n}_1")).otherwise(F.col(f"{n}_2"))
-        q1, q3 = F.kll_sketch_get_quantile_double(sk, F.lit(0.25)), F.kll_sketch_get_quantile_double(sk, F.lit(0.75))
-        reach = F.greatest(F.lit(REACH) * (q3 - q1), F.lit(width))
-        out.append((q3 + reach).alias(f"{n}_max"))
-        out.append(((q1 - reach) if side == "both" else F.lit(None).cast("double")).alias(f"{n}_min"))
-    return j.select(*groups, "_n", *out)
+    mid = fine.groupBy(groups[0]).agg(*[F.kll_merge_agg_double(n, SKETCH_K).alias(f"{n}_1") for n in RATIOS])
+    j = fine.join(mid.withColumnRenamed(groups[0], "_m"), F.col(groups[0]).eqNullSafe(F.col("_m")))
+
+    def quantiles(name: str, levels: list[float]) -> Column:
+        own, wide = (F.kll_sketch_get_quantile_double(F.col(x), F.array(*[F.lit(v) for v in levels])) for x in (name, f"{name}_1"))
+        return F.zip_with(own, wide, lambda a, b: (F.col("_n") * a + PRIOR * b) / (F.col("_n") + PRIOR))
+
+    low = [round(1 - v, 3) for v in LEVELS]
+    qs = [quantiles(n, LEVELS).alias(f"{n}_up") for n in RATIOS] + [F.transform(quantiles(n, low), lambda v: -v).alias(f"{n}_low") for n, (_, side) in RATIOS.items() if side == "both"]
+    j = j.select(*groups, "_n", *qs)
+    return j.select(*groups, "_n", *[opening(F.col(f"{n}_up")).alias(f"{n}_max") for n in RATIOS],
+                    *[(-opening(F.col(f"{n}_low")) if side == "both" else F.lit(None).cast("double")).alias(f"{n}_min") for n, (_, side) in RATIOS.items()])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple = ("lang", "source")) -> DataFrame:
@@ -131,9 +145,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: t
     j = c.join(keyed, cond, "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rules = [F.when(base, F.lit("base"))]
-    for n, (e, _, _) in RATIOS.items():
+    for n, (e, _) in RATIOS.items():
         v = F.when(F.col("n_words") > 0, F.expr(e).cast("double"))
         j = j.withColumn(n, v)
-        rules.append(F.when((F.col(n) > F.col(f"{n}_max")) | (F.col(n) < F.col(f"{n}_min")), F.lit(n)))
+        rules.append(F.when((F.col(n) > F.col(f"{n}_max") + ROUNDING) | (F.col(n) < F.col(f"{n}_min") - ROUNDING), F.lit(n)))
     failed = F.array_compact(F.array(*rules))
     return j.select(F.col("_id").alias(id_col), *COUNTS, *RATIOS, base.alias("base_failed"), (F.size(failed) == 0).alias("kept"), failed.alias("failed_rules"))
