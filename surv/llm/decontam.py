@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surv.llm.joins import ROW, with_ids, with_row_keys
+from surv.llm.joins import ROW, maybe_in, with_ids, with_row_keys
 from surv.llm.sqlwords import kgrams, words
 from surv.session import materialize
 
@@ -40,28 +40,31 @@ SIMILARITY = 0.8
 RADIUS = 15
 HEAVIEST = 8
 BROADCAST_GRAMS = 200_000
-LANES = 16            # longs that hold four 16-bit counters each
-LONGEST_ITEM = 4_000  # HEAVIEST times this stays under 2**15
+LANE_WORDS = 4_000    # up to this length of an item, times HEAVIEST under 2**15, a long holds four 16-bit counters; beyond it one
 
 
 def n_shingles(length: Column) -> Column:
     return F.greatest(length - (SHINGLE - 1), F.lit(1))
 
 
-def _votes(h: Column, weight: Column, lane: int) -> Column:
-    """Weight in each of four counters whose bit of ``h`` is set."""
-    spread = F.array(*[F.lit(sum(((v >> b) & 1) << (16 * b) for b in range(4))) for v in range(16)])
-    return F.element_at(spread, (F.shiftrightunsigned(h, 4 * lane).bitwiseAND(F.lit(15)) + 1).cast("int")) * weight
+def _votes(h: Column, weight: Column, lane: int, each: int) -> Column:
+    """Weight in each of a lane's ``each`` counters whose bit of ``h`` is set."""
+    wide = 64 // each
+    spread = F.array(*[F.lit(sum(((v >> b) & 1) << (wide * b) for b in range(each))) for v in range(1 << each)])
+    return F.element_at(spread, (F.shiftrightunsigned(h, each * lane).bitwiseAND(F.lit((1 << each) - 1)) + 1).cast("int")) * weight
 
 
-def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Fingerprint ``fp`` and total weight ``total`` of rows ``(keys, h, weight)``."""
-    s = rows.groupBy(*keys).agg(F.sum("weight").alias("total"), *[F.sum(_votes(F.col("h"), F.col("weight"), i)).alias(f"v{i}") for i in range(LANES)])
+def simhash(rows: DataFrame, keys: list[str], each: int = 4) -> DataFrame:
+    """Fingerprint ``fp`` and total weight ``total`` of rows ``(keys, h, weight)``;
+    ``each`` counters share a long."""
+    wide = 64 // each
+    full = F.lit((1 << wide) - 1 if each > 1 else -1)
+    s = rows.groupBy(*keys).agg(F.sum("weight").alias("total"), *[F.sum(_votes(F.col("h"), F.col("weight"), i, each)).alias(f"v{i}") for i in range(64 // each)])
     fp = F.lit(0).cast("long")
-    for i in range(LANES):
-        for b in range(4):
-            count = F.shiftrightunsigned(F.col(f"v{i}"), 16 * b).bitwiseAND(F.lit(65535))
-            fp = fp.bitwiseOR(F.shiftleft((2 * count > F.col("total")).cast("long"), 4 * i + b))
+    for i in range(64 // each):
+        for b in range(each):
+            count = F.shiftrightunsigned(F.col(f"v{i}"), wide * b).bitwiseAND(full)
+            fp = fp.bitwiseOR(F.shiftleft((2 * count > F.col("total")).cast("long"), each * i + b))
     return s.select(*keys, "total", fp.alias("fp"))
 
 
@@ -86,12 +89,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
          item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Rows ``(id, item, similarity, start, words, hamming)``, the best window
     of each text and item that reaches ``similarity``."""
-    each = Window.partitionBy("item", "text_hash")
-    fewest = F.ceil(F.lit(similarity) * F.sum("weight").over(each) / F.max("weight").over(each) - 1e-9)
+    whole = Window.partitionBy("item", "text_hash")
+    fewest = F.ceil(F.lit(similarity) * F.sum("weight").over(whole) / F.max("weight").over(whole) - 1e-9)
     items = materialize(item_grams(benchmark, item_col, item_text).withColumn("need", F.greatest(fewest, F.lit(1)).cast("int")), "items")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).first()
-    if (size.longest or 0) > LONGEST_ITEM:
-        raise ValueError(f"items of more than {LONGEST_ITEM} words overflow the counters")
+    each = 4 if (size.longest or 0) <= LANE_WORDS else 1
     small = F.broadcast if size.n <= BROADCAST_GRAMS else (lambda x: x)
     grams = items.groupBy("h").agg(F.max("weight").alias("weight"))
     # inside a struct a null id equals itself, so such rows are searched like all others
@@ -99,6 +101,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     g = d.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     g = g.select("id", "th", F.size("w").alias("nw"), F.posexplode(kgrams(F.col("w"), SHINGLE, whole=True)).alias("p", "h"))
+    if size.n > BROADCAST_GRAMS:          # then the join is a shuffle: few shingles of other texts should reach it
+        g = maybe_in(g, F.col("h"), items, F.col("h"))
     met = g.join(small(items.select("h", "len", "need").distinct()), "h").where("len >= " + str(SHINGLE) + " OR nw = len").select("id", "th", "nw", "len", "need", "p")
     # met places of one text, item length and need; bounded by the text's words
     at = met.groupBy("id", "th", "nw", "len", "need").agg(F.sort_array(F.collect_set("p")).alias("ps"))
@@ -127,8 +131,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows = ws.select("id", "th", "p", "len", "n", F.explode("hs").alias("h"))
     heavy = max(1, min(HEAVIEST, 1 + (max(benchmark.count(), 1)).bit_length() - 1))
     weighed = rows.join(small(grams), "h", "left").select("id", "th", "p", "len", "n", "h", F.coalesce("weight", F.lit(heavy).cast("long")).alias("weight"))
-    prints = materialize(simhash(weighed, ["id", "th", "p", "len", "n"]), "prints")
-    iprints = simhash(items, ["item", "text_hash", "len"])
+    prints = materialize(simhash(weighed, ["id", "th", "p", "len", "n"], each), "prints")
+    iprints = simhash(items, ["item", "text_hash", "len"], each)
 
     wb = prints.select("id", "th", "p", "len", "n", "total", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))
     ib = iprints.select("item", "text_hash", "len", F.col("total").alias("item_total"), F.col("fp").alias("item_fp"), F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))

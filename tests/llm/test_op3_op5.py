@@ -143,6 +143,73 @@ def test_decontamination_against_all_windows(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def weighted_similarity(items, docs):
+    """(document, item): similarity of the best window, by all windows."""
+    total = len(items)
+    df = collections.Counter(g for _, t in items for g in grams(norm(t)))
+    weight = lambda g: max(1, min(8, 1 + int(np.floor(np.log2(total / df[g]))))) if g in df else min(8, total.bit_length())
+    sets = {k: grams(norm(t)) for k, t in items}
+    out = {}
+    for i, k, t in docs:
+        w, n = norm(t), len(norm(dict(items)[k]))
+        for p in range(max(len(w) - n, 0) + 1):
+            gw = grams(w[p:p + n])
+            out[i, k] = max(out.get((i, k), 0), sum(map(weight, gw & sets[k])) / sum(map(weight, gw | sets[k])))
+    return out
+
+
+def test_recall_near_the_threshold(spark):
+    """Planted pairs from 0.80 on, items of 12 to 90 words, whose shingles are
+    light (shared by many items) and heavy: at least 99 of 100 are found, and all
+    found are right."""
+    r = random.Random(21)
+    common = [[f"c{r.randrange(300)}" for _ in range(60)] for _ in range(6)]
+    items = []
+    for k in range(160):
+        n = r.choice([12, 16, 24, 40, 60, 90])
+        w = [f"w{r.randrange(4000)}" for _ in range(n)]
+        if k % 2:                                  # half of the item is a passage that many items share
+            c = common[k % 6][: n // 2]
+            w[: len(c)] = c
+        items.append((k, " ".join(w)))
+    docs = []
+    for i in range(900):
+        k = r.randrange(160)
+        w = dict(items)[k].split()
+        for _ in range(r.choice([1, 1, 2]) if len(w) >= 60 else 1 if len(w) >= 24 else 0):
+            w[r.choice([r.randrange(len(w)), 0, len(w) - 1, 1])] = "zz"
+        w = w[r.choice([0, 0, 1, 2]): len(w) - r.choice([0, 0, 1, 2])]
+        pre, post = ([f"v{r.randrange(900)}" for _ in range(r.choice([0, 3, 15]))] for _ in range(2))
+        docs.append((i, k, " ".join(pre + w + post)))
+    sim = weighted_similarity(items, docs)
+    want = {x for x, v in sim.items() if v >= 0.8}
+    near = {x for x in want if sim[x] < 0.87}
+    d = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")
+    found = {(x.doc_id, x.item_id): x.similarity for x in decontam.find(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    planted = {(i, k) for i, k, _ in docs}
+    got = {x for x in found if x in planted}
+    assert len(near) > 60 and len(want) > 300 and got <= want
+    assert len(got & want) >= 0.99 * len(want) and len(got & near) >= 0.97 * len(near)
+    assert all(found[x] <= sim[x] + 1e-9 for x in got)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 1])
+def test_long_items_and_many_grams(spark, monkeypatch, broadcast):
+    """An item beyond the small counters, and the way without a broadcast."""
+    monkeypatch.setattr(decontam, "BROADCAST_GRAMS", broadcast)
+    r = random.Random(2)
+    long = [f"w{r.randrange(5000)}" for _ in range(6_000)]
+    short = [f"s{r.randrange(500)}" for _ in range(30)]
+    items = [(1, " ".join(long)), (2, " ".join(short))]
+    changed = list(long)
+    for k in range(0, 6_000, 150):
+        changed[k] = "zz"
+    docs = [(1, " ".join(["a"] * 7 + long + ["b"] * 9)), (2, " ".join(changed)), (3, " ".join(long[:3_000])), (4, " ".join(["q"] + short)), (5, "x y z a b c")]
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sim = weighted_similarity(items, [(i, k, t) for i, t in docs for k in (1, 2) if i != 5])
+    assert set(got) == {x for x, v in sim.items() if v >= 0.8} and (2, 1) in got and all(abs(v - sim[x]) < 1e-9 for x, v in got.items())
+
+
 def test_decontamination_of_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
