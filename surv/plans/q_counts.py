@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from surv.operators import counts as C
 from surv.operators import scope as S
 from surv.plans.registry import (BASE, CLS, CODE6, FACILITY_KEY, FOCUS_FROM, IN, MONTH, NI, PLACE, PLACE_CODE7,
-                                 SINCE, YEAR, ctx, register)
+                                 SINCE, WEEK, YEAR, ctx, register)
 
 
 @register("e01_cases_per_year", f"""
@@ -113,8 +113,7 @@ def e11(spark, sf):
 _FAC_DIM = f"""
 , facility_labels AS (
   SELECT {FACILITY_KEY('facility_id')} AS label_key,
-         COALESCE(list_extract([n FOR n IN [max(NULLIF(trim(trade_name), '')), max(NULLIF(trim(company_name), '')),
-                                    max(NULLIF(trim(legal_name), ''))] IF n IS NOT NULL], 1), '') AS label
+         COALESCE(max(NULLIF(trim(trade_name), '')), max(NULLIF(trim(company_name), '')), max(NULLIF(trim(legal_name), '')), '') AS label
   FROM facility GROUP BY 1)
 """
 _FAC_JOIN = f"LEFT JOIN facility_labels ON label_key = {FACILITY_KEY('f.facility_raw')}"
@@ -147,9 +146,7 @@ def e13(spark, sf):
 
 
 @register("e14_c15_i07_mean_epi_week", f"""
-, b AS (SELECT CASE WHEN f.week_raw IS NULL THEN NULL ELSE CAST(right(lpad(regexp_replace(
-        CAST(f.week_raw AS VARCHAR), '[^0-9]', '', 'g'), 6, '0'), 2) AS INTEGER) END AS week
-        {FOCUS_FROM(CLS)})
+, b AS (SELECT {WEEK('f.week_raw')} AS week {FOCUS_FROM(CLS)})
 SELECT CAST(round(avg(week)) AS INTEGER) AS week_mean FROM b WHERE week BETWEEN 1 AND 53""")
 def e14(spark, sf):
     c = ctx(spark, sf)

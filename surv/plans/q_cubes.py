@@ -10,7 +10,7 @@ from surv.operators import counts as C
 from surv.operators import cubes as CU
 from surv.operators import quality as Q
 from surv.operators import scope as S
-from surv.plans.registry import (AGE, BAND, BASE, CODE6, FOCUS_FROM, IN, MONTH, NI, PLACE, SINCE, YEAR, ctx,
+from surv.plans.registry import (AGE, BAND, BASE, CODE6, FOCUS_FROM, IN, MONTH, NI, PLACE, SINCE, WEEK, YEAR, ctx,
                                  register)
 
 CONF = ("1", "3", "4", "5", "6", "10", "11", "12")
@@ -20,26 +20,21 @@ def _ratio(n, d, k):
     return f"CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) * {k}.0 END"
 
 
-# E24 oracle follows the reference plan: row-level analytic fact (join), then
-# aggregate, then join the dimension again -- it checks the reordered plan.
+_MONTH_PLACE = f"""{YEAR('f.notified_on')} AS year, CAST(month(f.notified_on) AS INTEGER) AS month, {NI('f.state_raw')} AS state,
+  COALESCE(t.place_name, {NI('f.place_raw', 'Municipio nao informado')}) AS place, {CODE6('f.place_raw')} AS code6, region_name, rgi, rgint, population"""
+
+
+# E24 by its definition: the six counts of a month and place, then the rates
 @register("e24_d05_monthly_indicators", f"""
-, af AS (SELECT {YEAR('f.notified_on')} AS year, CAST(month(f.notified_on) AS INTEGER) AS month,
-   {NI('f.state_raw')} AS state, COALESCE(t.place_name, {NI('f.place_raw', 'Municipio nao informado')}) AS place,
-   ({CODE6('f.place_raw')}) AS code6, f.class_raw, f.outcome_raw, f.hosp_raw
-   FROM cases f LEFT JOIN territory t ON ({CODE6('f.place_raw')}) = t.code6 WHERE f.notified_on IS NOT NULL),
-agg AS (SELECT year, month, state, place, code6, COUNT(*) AS cases_total,
-   COUNT(*) FILTER (WHERE {NI('class_raw')} IN {IN(CONF)}) AS confirmed,
-   COUNT(*) FILTER (WHERE {NI('class_raw')} = '2') AS discarded,
-   COUNT(*) FILTER (WHERE {NI('class_raw')} IN ('0', '8', '9', 'NI')) AS investigating,
-   COUNT(*) FILTER (WHERE {NI('outcome_raw')} = '2') AS deaths,
-   COUNT(*) FILTER (WHERE {NI('hosp_raw')} = '1') AS hospitalisations
-   FROM af GROUP BY 1, 2, 3, 4, 5)
-SELECT a.year, a.month, a.state, a.place, a.code6, t.region_name, t.rgi, t.rgint, t.population, a.cases_total, a.confirmed,
-   a.discarded, a.investigating, a.deaths, a.hospitalisations,
-   {_ratio('a.confirmed', 't.population', 100000)} AS incidence_100k,
-   {_ratio('a.deaths', 'a.confirmed', 100)} AS lethality_pct,
-   {_ratio('a.hospitalisations', 'a.confirmed', 100)} AS hosp_rate_pct
-FROM agg a LEFT JOIN territory t ON a.code6 = t.code6""")
+SELECT *, {_ratio('confirmed', 'population', 100000)} AS incidence_100k, {_ratio('deaths', 'confirmed', 100)} AS lethality_pct,
+  {_ratio('hospitalisations', 'confirmed', 100)} AS hosp_rate_pct
+FROM (SELECT {_MONTH_PLACE}, COUNT(*) AS cases_total,
+    COUNT(*) FILTER (WHERE {NI('class_raw')} IN {IN(CONF)}) AS confirmed,
+    COUNT(*) FILTER (WHERE {NI('class_raw')} = '2') AS discarded,
+    COUNT(*) FILTER (WHERE {NI('class_raw')} IN ('0', '8', '9', 'NI')) AS investigating,
+    COUNT(*) FILTER (WHERE {NI('outcome_raw')} = '2') AS deaths,
+    COUNT(*) FILTER (WHERE {NI('hosp_raw')} = '1') AS hospitalisations
+  FROM cases f LEFT JOIN territory t ON {CODE6('f.place_raw')} = t.code6 WHERE f.notified_on IS NOT NULL GROUP BY ALL)""")
 def e24(spark, sf):
     c = ctx(spark, sf)
     return CU.monthly_indicators(c.f, c.r, c.t)
@@ -53,20 +48,15 @@ def e25(spark, sf):
     return CU.cube_month_state_class(c.f, c.r)
 
 
-def _cube_sql(extra_sel: str, extra_name: str, attrs: bool) -> str:
-    pn = NI('f.place_raw', 'Municipio nao informado')
-    a_sel = "d.population, d.area_km2," if attrs else ""
-    a_grp = "d.population, d.area_km2," if attrs else ""
+def _cube_sql(extra: str, name: str, attributes: bool) -> str:
+    """Cases of the focus state by month, place, class and one more column."""
+    place = NI('f.place_raw', 'Municipio nao informado')
     return f"""
-, b AS (SELECT {YEAR('f.notified_on')} AS year, {MONTH('f.notified_on')} AS month_start, {NI('f.state_raw')} AS state,
-   {pn} AS place_code, {NI('f.class_raw')} AS classification, {extra_sel} AS {extra_name}
-   FROM cases f WHERE f.notified_on IS NOT NULL AND {NI('f.state_raw')} IN ('RJ', '33')),
-bn AS (SELECT *, {CODE6('place_code')} AS code6 FROM b)
-SELECT b.year, b.month_start, b.state, b.place_code, COALESCE(d.place_name, b.place_code) AS place_name, b.code6,
-   {a_sel} b.classification, b.{extra_name}, COUNT(*) AS cases
-FROM bn b LEFT JOIN territory d ON b.code6 = d.code6
-GROUP BY b.year, b.month_start, b.state, b.place_code, COALESCE(d.place_name, b.place_code), b.code6, {a_grp}
-   b.classification, b.{extra_name}"""
+SELECT {YEAR('f.notified_on')} AS year, {MONTH('f.notified_on')} AS month_start, {NI('f.state_raw')} AS state, {place} AS place_code,
+  COALESCE(d.place_name, {place}) AS place_name, {CODE6(place)} AS code6, {'d.population, d.area_km2,' if attributes else ''}
+  {NI('f.class_raw')} AS classification, {extra} AS {name}, COUNT(*) AS cases
+FROM cases f LEFT JOIN territory d ON {CODE6(place)} = d.code6
+WHERE f.notified_on IS NOT NULL AND {NI('f.state_raw')} IN ('RJ', '33') GROUP BY ALL"""
 
 
 @register("e26_cube_month_place_class_outcome", _cube_sql(NI('f.outcome_raw'), "outcome", True))
@@ -81,9 +71,8 @@ def e27(spark, sf):
     return CU.cube_month_place_class_facility(c.f, c.r, c.t)
 
 
-def _as_cte(text: str, name: str, marker: str = "\nSELECT b.year") -> str:
-    i = text.index(marker)
-    return text[:i] + f",\n{name} AS (" + text[i + 1:] + ")\n"
+def _as_cte(text: str, name: str) -> str:
+    return f", {name} AS ({text})\n"
 
 
 @register("e28_cube_rollup_place_month", _as_cte(_cube_sql(NI('f.outcome_raw'), "outcome", True), "cube") + """
@@ -120,15 +109,14 @@ def k08b(spark, sf):
 
 @register("b28_d01_l05_analytic_fact", f"""
 SELECT case_id, notified_on, onset_on, {YEAR('notified_on')} AS year, CAST(month(notified_on) AS INTEGER) AS month,
-  TRY_CAST(right(left(lpad(digits, CAST(greatest(6, length(digits)) AS INTEGER), '0'), 6), 2) AS INTEGER) AS epi_week,
+  {WEEK('week_raw')} AS epi_week,
   {NI('place_raw', 'Municipio nao informado')} AS place_raw, {NI('state_raw')} AS state, class_raw AS classification, outcome_raw AS outcome,
   hosp_raw AS hospitalisation, {AGE('age_raw')} AS age, sex_raw AS sex, race_raw AS race, school_raw AS schooling, closed_on,
   c.code6, fever AS symptom_fever, headache AS symptom_headache, myalgia AS symptom_myalgia, diabetes AS comorbidity_diabetes,
   hypertension AS comorbidity_hypertension, renal AS comorbidity_renal, ns1_result AS exam_ns1, pcr_result AS exam_pcr,
   ns1_on AS exam_ns1_on, pcr_on AS exam_pcr_on, CAST(NULL AS DATE) AS entered_on, {BAND(AGE('age_raw'))} AS age_band,
   region_name, rgi, rgint, population, COALESCE(place_name, {NI('place_raw', 'Municipio nao informado')}) AS place
-FROM (SELECT *, {CODE6('place_raw')} AS code6,
-        CASE WHEN week_raw IS NOT NULL THEN COALESCE(array_to_string(regexp_extract_all(week_raw, '[0-9]'), ''), '') END AS digits FROM cases) c
+FROM (SELECT *, {CODE6('place_raw')} AS code6 FROM cases) c
 LEFT JOIN territory t ON c.code6 = t.code6""")
 def b28(spark, sf):
     """Every column of the analytic fact, row by row."""

@@ -12,7 +12,7 @@ from surv.operators import counts as C
 from surv.operators import quality as Q
 from surv.operators import scope as S
 from surv.plans import fixtures as FX
-from surv.plans.registry import AGE, BAND, CODE6, MONTH, NI, YEAR, ctx, register
+from surv.plans.registry import AGE, BAND, CLASS_GROUP, CODE6, FACILITY_KEY, MONTH, NI, WEEK, YEAR, ctx, register
 from surv.sources import readers as R
 from surv.sources import writers as W
 from surv.streaming import incremental as INC
@@ -35,10 +35,8 @@ def i01(spark, sf):
                       X.days_between(d, c.r.c("onset_on")).alias("onset_days"))
 
 
-@register("i05_i06_i07_facility_key_and_week", """
-SELECT case_id, lpad(regexp_replace(COALESCE(NULLIF(trim(facility_raw), ''), '0'), '[^0-9]', '', 'g'), 7, '0') AS facility_key,
-  CASE WHEN week_raw IS NULL THEN NULL ELSE CAST(right(lpad(regexp_replace(week_raw, '[^0-9]', '', 'g'), 6, '0'), 2) AS INTEGER) END
-    AS epi_week,
+@register("i05_i06_i07_facility_key_and_week", f"""
+SELECT case_id, {FACILITY_KEY('facility_raw')} AS facility_key, {WEEK('week_raw')} AS epi_week,
   COALESCE(NULLIF(trim(facility_raw), ''), NULLIF(trim(place_raw), ''), '') AS first_name
 FROM cases""")
 def i05(spark, sf):
@@ -61,15 +59,10 @@ def i08(spark, sf):
                       X.yes_flag(F.col("headache"), K.YES_SYMPTOM).alias("headache_yes"))
 
 
-_GRP = ("CASE WHEN k IN (1, 3, 4, 5, 6, 10, 11, 12) THEN 'Confirmados' WHEN k = 2 THEN 'Descartados' "
-        "WHEN k = 8 THEN 'Inconclusivos' ELSE 'Em investigação' END")
-
-
 @register("i12_i13_class_group_and_exam", f"""
 SELECT case_id,
-  {_GRP.replace('k', "CAST(trunc(COALESCE(TRY_CAST(trim(class_raw) AS DOUBLE), -1)) AS BIGINT)")} AS group_numeric,
-  CASE WHEN trim(class_raw) IN ('1','3','4','5','6','10','11','12') THEN 'Confirmados' WHEN trim(class_raw) = '2'
-    THEN 'Descartados' WHEN trim(class_raw) = '8' THEN 'Inconclusivos' ELSE 'Em investigação' END AS group_text,
+  {CLASS_GROUP("CAST(CAST(trunc(COALESCE(TRY_CAST(trim(class_raw) AS DOUBLE), -1)) AS BIGINT) AS VARCHAR)")} AS group_numeric,
+  {CLASS_GROUP('trim(class_raw)')} AS group_text,
   CASE WHEN (trim(ns1_result) = '1' OR trim(pcr_result) = '1') IS TRUE THEN 'Positivo'
    WHEN (trim(ns1_result) = '2' OR trim(pcr_result) = '2') IS TRUE THEN 'Negativo'
    WHEN (trim(ns1_result) = '3' OR trim(pcr_result) = '3') IS TRUE THEN 'Inconclusivo'

@@ -66,36 +66,53 @@ def NI(x: str, d: str = "NI") -> str:
     return f"COALESCE(NULLIF(TRIM({x}), ''), '{d}')"
 
 
-def CODE6(x: str) -> str:
-    """All-digit text padded to six or cut to six; other text has no code."""
-    digits = f"NULLIF(regexp_extract({x}, '^[0-9]+$'), '')"
-    return f"left(lpad({digits}, CAST(greatest(6, length({x})) AS INTEGER), '0'), 6)"
+def DIGITS(x: str) -> str:
+    """The text if it is all digits, else NULL."""
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN {x} END"
 
 
-# years per unit of a coded age (first digit 1 to 4), as a divisor; hours and
-# days are no year whatever the count says
-_AGE_DIVISOR = "[1e9, 1e9, 12.0, 1.0]"
+def CODE6(x: str) -> str:
+    """All-digit text padded or cut to six."""
+    return f"lpad({DIGITS(x)}, 6, '0')"
 
 
 def AGE(x: str) -> str:
-    """Whole years of a coded age, NULL unless it is all digits and has a unit."""
-    code = f"NULLIF(regexp_extract({x}, '^[0-9]+$'), '')"
-    unit = f"TRY_CAST(left({code}, 1) AS INTEGER)"
-    amount = f"TRY_CAST(list_extract(['0', '0', '', ''], {unit}) || substring({code}, 2) AS DOUBLE)"
-    return f"TRY_CAST(floor({amount} / list_extract({_AGE_DIVISOR}, {unit})) AS INTEGER)"
+    """Whole years of a coded age: a unit, then how many of it."""
+    count = f"TRY_CAST(substring({x}, 2) AS INTEGER)"
+    return f"""CASE left({DIGITS(x)}, 1)
+  WHEN '4' THEN {count}
+  WHEN '3' THEN {count} // 12
+  WHEN '2' THEN 0
+  WHEN '1' THEN 0 END"""
 
 
 def BAND(age: str) -> str:
-    """Label of an age: its place among the lower ends of the bands."""
-    labels = ", ".join(f"'{b}'" for b in ("0 a 9", "10 a 19", "20 a 39", "40 a 59", "60+"))
-    place = f"1 + len([lo FOR lo IN [10, 20, 40, 60] IF lo <= ({age})])"
-    return f"COALESCE(list_extract([{labels}], CASE WHEN ({age}) IS NOT NULL THEN {place} END), 'Não informado')"
+    """Age band."""
+    return f"""CASE WHEN ({age}) < 10 THEN '0 a 9' WHEN ({age}) < 20 THEN '10 a 19' WHEN ({age}) < 40 THEN '20 a 39'
+  WHEN ({age}) < 60 THEN '40 a 59' WHEN ({age}) >= 60 THEN '60+' ELSE 'Não informado' END"""
+
+
+def ONLY_DIGITS(x: str) -> str:
+    return f"array_to_string(regexp_extract_all({x}, '[0-9]'), '')"
 
 
 def FACILITY_KEY(x: str) -> str:
     """The digits of an id (a blank id is 0), padded or cut to seven."""
-    digits = f"array_to_string(regexp_extract_all(COALESCE(NULLIF(trim({x}), ''), '0'), '[0-9]'), '')"
-    return f"left(lpad({digits}, CAST(greatest(7, length({digits})) AS INTEGER), '0'), 7)"
+    return f"lpad({ONLY_DIGITS(NI(x, '0'))}, 7, '0')"
+
+
+def WEEK(x: str) -> str:
+    """Week of a year-and-week text: its digits padded or cut to six, the last two."""
+    return f"TRY_CAST(right(lpad({ONLY_DIGITS(x)}, 6, '0'), 2) AS INTEGER)"
+
+
+CONFIRMED = ("1", "3", "4", "5", "6", "10", "11", "12")
+
+
+def CLASS_GROUP(x: str) -> str:
+    """Group of a class code given as text."""
+    return f"""CASE WHEN {x} IN {IN(CONFIRMED)} THEN 'Confirmados' WHEN {x} = '2' THEN 'Descartados'
+  WHEN {x} = '8' THEN 'Inconclusivos' ELSE 'Em investigação' END"""
 
 
 def YEAR(d: str) -> str:
