@@ -15,6 +15,7 @@ from surv.plans import fixtures as FX
 from surv.plans.registry import AGE, BAND, CLASS_GROUP, CODE6, FACILITY_KEY, MONTH, NI, WEEK, YEAR, ctx, register
 from surv.sources import readers as R
 from surv.sources import writers as W
+from surv.sources.writers import staging_path
 from surv.streaming import incremental as INC
 
 
@@ -415,3 +416,44 @@ def k07(spark, sf):
     used = sorted({w for e in FX.CASES_COLUMNS.values() for w in _re.findall(r"[a-z_]+", e) if w in src_cols})
     return Q.schema_coverage(spark, src_cols, used, list(FX.CASES_COLUMNS), c.f,
                              aliases={"o_orderdate": ["o_orderdate"]})
+
+
+@register("j12_closed_days", """
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value_sum
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""", raw_sql=True)
+def j12_closed(spark, sf):
+    """Days whose end the watermark (last event minus a day) has passed; days that
+    are open stay in the stream's state."""
+    import uuid
+    from surv.streaming.stream import run_closed_days
+    return run_closed_days(spark, sf, staging_path(spark, "closed-days"), name=f"closed-{uuid.uuid4().hex}", file_glob="events.parquet")[0]
+
+
+@register("j03_late_records_by_key", """
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, event_type, event_id % 4 AS file FROM events)
+SELECT event_id, day, CASE WHEN file = 2 THEN 'third ' WHEN file = 3 AND event_id % 3 = 0 THEN 'older ' ELSE '' END || event_type AS kind, 'kept' AS place FROM e
+WHERE NOT (file = 3 AND day < (SELECT max(day) FROM e WHERE file < 3) - 30)
+UNION ALL SELECT event_id, day, CASE WHEN event_id % 3 = 0 THEN 'older ' ELSE '' END || event_type, 'too late' FROM e
+WHERE file = 3 AND day < (SELECT max(day) FROM e WHERE file < 3) - 30""", raw_sql=True)
+def j03_by_key(spark, sf):
+    """Four deliveries, each a run of its own, in an order that is not that of the
+    days: two thirds of the keys; the third part in two versions (the newer first);
+    the last part, most of it from days that are closed by then."""
+    import uuid
+    from surv.streaming.stream import stream_upsert
+    base = staging_path(spark, "j03-key")
+    e = FX.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"), F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM").alias("month"),
+                                             (F.col("event_id") % 4).alias("file"))
+    third = e.filter("file = 2")
+    deliveries = [e.filter("file <= 1").withColumn("version", F.lit(1)),
+                  third.withColumn("kind", F.concat(F.lit("third "), "kind")).withColumn("version", F.lit(2)),
+                  third.withColumn("version", F.lit(1)).unionByName(e.filter("file = 0").withColumn("kind", F.lit("stale")).withColumn("version", F.lit(0))),
+                  e.filter("file = 3").withColumn("kind", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("older "), "kind")).otherwise(F.col("kind")))
+                  .withColumn("version", F.lit(1))]
+    name, lateness = f"j03-{uuid.uuid4().hex}", [20000, 20000, 20000, 30]
+    for k, (d, days) in enumerate(zip(deliveries, lateness)):
+        d = d.drop("file")
+        d.coalesce(2).write.parquet(f"{base}/land/{k}")
+        group = stream_upsert(spark, f"{base}/land/*", d.schema, f"{base}/table", ["event_id", "day"], "day", "version", "month", days, name=name)
+    cols = ["event_id", "day", "kind"]
+    return group.read("rows").select(*cols, F.lit("kept").alias("place")).unionByName(group.read("too_late").select(*cols, F.lit("too late").alias("place")))

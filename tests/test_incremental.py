@@ -248,3 +248,75 @@ def test_window_replace_widens_schema(spark, tmp):
     INC.replace_date_window(spark, new, t, "d", "2024-01-01")
     got = {r.id: r.new_field for r in read_table(spark, t).collect()}
     assert got == {1: None, 3: "extra"}
+
+
+def versions(seed, n=300):
+    """(id, day, month, version, v): several versions of each key, out of order."""
+    import random
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        d = dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(60))
+        out += [(i, d, d.strftime("%Y-%m"), k, f"v{i}.{k}") for k in range(r.randint(1, 4))]
+    r.shuffle(out)
+    return out
+
+
+UPSERT = "id int, day date, month string, version int, v string"
+
+
+def test_out_of_order_versions_over_restarts_equal_one_batch(spark, tmp, monkeypatch):
+    data = versions(3)
+    newest = {}
+    for x in data:
+        newest[x[0]] = max(newest.get(x[0], x), x, key=lambda y: y[3])
+    want = sorted(newest.values())
+    got = {}
+    for runs in (1, 5):
+        land, t, name = f"{tmp}/land{runs}", f"{tmp}/up{runs}", f"up-{os.getpid()}-{id(tmp)}-{runs}"
+        for k in range(runs):
+            spark.createDataFrame(data[k::runs], UPSERT).coalesce(1).write.parquet(f"{land}/{k}")
+            args = (spark, f"{land}/*", UPSERT, t, ["id"], "day", "version", "month", 400)
+            if k == 2:                       # the driver is lost after the rows, before the pointer; the run starts again
+                stop_at(monkeypatch, 1)
+                with pytest.raises(Exception):
+                    STR.stream_upsert(*args, name=name)
+                stop_at(monkeypatch, 0)
+            if k == 3:                       # lost after the pointer: the epoch is not applied twice
+                steps = stop_at(monkeypatch, 3)
+                with pytest.raises(Exception):
+                    STR.stream_upsert(*args, name=name)
+                stop_at(monkeypatch, 0)
+                assert steps[-1] in ("pointer renamed", "pointer written")
+            g = STR.stream_upsert(*args, name=name)
+        got[runs] = sorted(map(tuple, g.read("rows").select("id", "day", "month", "version", "v").collect()))
+        assert g.read("too_late").count() == 0
+    assert got[1] == got[5] == want
+
+
+def test_records_of_closed_days_are_kept_apart(spark, tmp):
+    land, t, name = f"{tmp}/lc", f"{tmp}/lct", f"lc-{os.getpid()}-{id(tmp)}"
+    for k, rows_ in enumerate(([(1, D("2024-02-10"), "2024-02", 1, "a")], [(2, D("2024-02-08"), "2024-02", 1, "in time"), (3, D("2024-02-07"), "2024-02", 1, "late"), (4, None, None, 1, "no day")],
+                               [(1, D("2024-02-10"), "2024-02", 0, "older version"), (3, D("2024-02-07"), "2024-02", 9, "late too")])):
+        spark.createDataFrame(rows_, UPSERT).write.parquet(f"{land}/{k}")
+        g = STR.stream_upsert(spark, f"{land}/*", UPSERT, t, ["id"], "day", "version", "month", 2, name=name)
+    assert sorted((r.id, r.v) for r in g.read("rows").collect()) == [(1, "a"), (2, "in time"), (4, "no day")]
+    assert sorted((r.id, r.v) for r in g.read("too_late").collect()) == [(3, "late"), (3, "late too")]
+
+
+def test_state_of_closed_days_is_bounded(spark, tmp):
+    src = f"{tmp}/ev"
+    days, kinds = 40, 3
+    for k in range(days):                      # one file a day, each also with a late event of the day before
+        d = dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+        data = [(d + dt.timedelta(hours=h), f"k{h % kinds}", 1.5) for h in range(0, 24, 2)] + [(d - dt.timedelta(hours=1), "k0", 2.0)]
+        spark.createDataFrame(data, "ts timestamp_ntz, event_type string, value double").coalesce(1).write.mode("append").parquet(src)
+        os.utime(max((os.path.join(src, f) for f in os.listdir(src) if f.endswith(".parquet")), key=os.path.getmtime), (1_700_000_000 + k, 1_700_000_000 + k))
+    out, held = STR.run_closed_days(spark, src, f"{tmp}/closed", name=f"cd-{os.getpid()}-{id(tmp)}", files_per_epoch=1)
+    assert len(held) >= days and max(held) <= 4 * kinds                  # two or three open days, whatever came before
+    batch = STR.daily_event_counts(spark.read.parquet(src))
+    last = spark.read.parquet(src).agg(F.max("ts")).first()[0] - dt.timedelta(days=1)
+    want = [tuple(r) for r in batch.collect() if r.day + dt.timedelta(days=1) <= last]
+    assert sorted(map(tuple, out.select("day", "event_type", "events", "value_sum").collect())) == sorted(want) and len(want) >= (days - 2) * kinds
+    again, _ = STR.run_closed_days(spark, src, f"{tmp}/closed", name=f"cd-{os.getpid()}-{id(tmp)}", files_per_epoch=1)
+    assert again.count() == len(want)
