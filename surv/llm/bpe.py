@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surv.llm.rows import bounded_batches
 from surv.llm.words import buffers, slices
 
 LEAF = 16
@@ -185,6 +186,7 @@ class Pieces(dict):
 def _task(docs: DataFrame, read: list[str], new: list[str], make):
     """``docs`` plus binary columns ``new`` from the columns ``read``, a few MB of
     rows at a time; ``make()`` gives the function of a task."""
+    bounded_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c not in new]
     kept = docs.select(*[F.col(f"`{c}`") for c in cols])
     at = [cols.index(c) for c in read]

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from surv.llm.graph import ARRAY_SCHEMA, array_rows, components, sum_arrays
 from surv.llm.joins import ROW, with_ids, with_row_keys
+from surv.llm.rows import bounded_batches
 from surv.llm.words import SHINGLE, mix, shingle_sets
 from surv.session import materialize
 
@@ -318,6 +319,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reachable by links) and ``n_links`` (rows it links with, copies included).
     The id column must be integral."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def count(batches):

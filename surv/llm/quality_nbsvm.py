@@ -30,7 +30,7 @@ MIN_DF = 4
 PENALTY = 1.0
 BLEND = 0.25
 FOLDS = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000      # remembered by a task, twice; no result depends on it
 
 
 

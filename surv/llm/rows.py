@@ -22,11 +22,23 @@ def restore(cls, state: dict):
     return x
 
 
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark) -> None:
+    """Batches between Spark and Python are bounded by rows, not bytes: with whole
+    texts in them the default of 10,000 holds tens of MB several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def add_columns(docs: DataFrame, text_col: str, new: dict[str, str], task: Callable[[], Callable[[list], tuple]]) -> DataFrame:
     """``docs`` plus the columns ``new`` (name: type).  ``task()`` is called once
     in each task and gives a function from a list of texts (None for null) to
     one list per new column.  A column of ``docs`` with a new column's name is
     replaced; the others are kept as they are."""
+    bounded_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c not in new]
     kept = docs.select(*[F.col(f"`{c}`") for c in cols])
     at, types = cols.index(text_col), [ARROW[t] for t in new.values()]
