@@ -1,15 +1,19 @@
 """Global ranks (F01-F03) without a single-task sort of the rows.
 
-Rows are first reduced to their distinct sort keys with a count.  A key falls
-into a bucket by a function that keeps the order (a coarse logarithm of a
-number, the first characters of a text), so every bucket lies wholly before
-the next one.  Three plain steps then give each key its place: rows per bucket,
-a running sum over buckets (one row each), and a running sum inside each
-bucket.  The result is joined back null-safe, since NULL is a key like any
-other (first when ascending, last when descending).
-
-There is one path for every size, nothing depends on how Spark happens to lay
-out partitions, and no job runs while a plan is built.
+Rows are first reduced to their distinct sort keys with a count, so a tie of any
+size is one key.  The keys are dealt to buckets by range: Spark draws a sample of
+them for the bounds, so buckets are even wherever the keys lie -- close together,
+with a common beginning, of any type.  The keys with their buckets are written (the
+bounds are drawn once), and three plain steps give each key its place: rows per
+bucket, a running sum over buckets (one row each), and a running sum inside each
+bucket.  The result is joined back null-safe, since NULL is a key like any other
+(first when ascending, last when descending).
+
+Positions also number the rows of a tie.  They are numbered in the parts of a
+written table, a tie in all parts that have rows of it at once, and the parts' counts
+are added up, so a tie of a third of all rows is no task of its own.
+
+There is one path for every size.
 """
 
 from __future__ import annotations
@@ -18,49 +22,37 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BUCKETS_PER_DOUBLING = 64
+from surv.session import materialize
 
-
-def _coarse(df: DataFrame, name: str) -> Column:
-    """Order-keeping bucket of a column (equal values share it)."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.NumericType):
-        v = c.cast("double")
-        size = F.floor(F.log2(1 + F.abs(v)) * BUCKETS_PER_DOUBLING)
-        return F.when(F.isnan(v), F.lit(1 << 20)).otherwise(F.signum(v) * size).cast("long")
-    if isinstance(kind, T.StringType):
-        return F.substring(c, 1, 2)
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(c)
-    return c
+BUCKETS_PER_PARTITION = 8     # buckets are dealt to tasks by hash: several each even out
 
 
 def _direction(cols: Sequence[str], desc: Sequence[bool]) -> list[Column]:
     return [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(cols, desc)]
 
 
+def key_buckets(g: DataFrame, keys: Sequence[str], desc: Sequence[bool]) -> DataFrame:
+    """Distinct keys (``_same`` rows each) with ``_bucket``: buckets of like size, in
+    the order of the keys; written."""
+    n = BUCKETS_PER_PARTITION * int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(g.repartitionByRange(n, *_direction(keys, desc)).withColumn("_bucket", F.spark_partition_id()), "rank-keys")
+
+
 def _places(df: DataFrame, order: Sequence[tuple[Column, bool]]) -> tuple[DataFrame, DataFrame, list[str]]:
     """``df`` with its keys as columns, and per distinct key: rows strictly
     before it (``_before``), rows with it (``_same``), rows in all (``_all``)."""
     keys, desc = [f"_rk{i}" for i in range(len(order))], [d for _, d in order]
     x = df.select("*", *[c.alias(k) for k, (c, _) in zip(keys, order)])
-    g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same"))
-    # only the first key may choose the bucket: rows that differ in it a little
-    # share one, and there the exact keys decide
-    buckets = ["_rb0"]
-    g = g.select("*", _coarse(x, keys[0]).alias(buckets[0]))
-    per = g.groupBy(*buckets).agg(F.sum("_same").alias("_n"))
-    upto = Window.orderBy(*_direction(buckets, desc)).rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
-    per = per.select(*[F.col(b).alias(f"{b}p") for b in buckets], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"),
+    g = key_buckets(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same")), keys, desc)
+    per = g.groupBy("_bucket").agg(F.sum("_same").alias("_n"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)      # one row per bucket
+    per = per.select(F.col("_bucket").alias("_bucketp"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"),
                      F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    inside = Window.partitionBy(*buckets).orderBy(*_direction(keys, desc)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_bucket").orderBy(*_direction(keys, desc)).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_in", F.coalesce(F.sum("_same").over(inside), F.lit(0)))
-    cond = F.lit(True)
-    for b in buckets:
-        cond = cond & F.col(b).eqNullSafe(F.col(f"{b}p"))
-    g = g.join(per, cond).select(*[F.col(k).alias(f"{k}p") for k in keys], "_same", (F.col("_off") + F.col("_in")).alias("_before"), "_all")
+    g = (g.join(per, F.col("_bucket") == F.col("_bucketp"))
+         .select(*[F.col(k).alias(f"{k}p") for k in keys], "_same", (F.col("_off") + F.col("_in")).alias("_before"), "_all"))
     return x, g, keys
 
 
@@ -78,8 +70,16 @@ def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str
     positions in no particular order; end the list with a unique key for a
     deterministic result."""
     j, keys = _joined(df, order)
-    nth = F.when(F.col("_same") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-    return j.withColumn(name, (F.col("_before") + nth).cast("bigint")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+    j = materialize(j.withColumn("_row", F.monotonically_increasing_id()), "positions").withColumn("_part", F.shiftright("_row", 33))
+    ties = j.filter("_same > 1")
+    # rows of a tie in the parts before this one: a row for each part that has any
+    key = Window.partitionBy("_before").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ties.groupBy("_before", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_skip", F.coalesce(F.sum("_n").over(key), F.lit(0)))
+    ties = ties.join(parts.drop("_n"), ["_before", "_part"])
+    nth = F.col("_skip") + F.row_number().over(Window.partitionBy("_before", "_part").orderBy("_row"))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    one = j.filter("_same = 1").select(*cols, (F.col("_before") + 1).cast("bigint").alias(name))
+    return one.union(ties.withColumn("_nth", nth).select(*cols, (F.col("_before") + F.col("_nth")).cast("bigint").alias(name)))
 
 
 def with_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
