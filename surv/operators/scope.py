@@ -218,13 +218,19 @@ def month_filter(f: DataFrame, months: Sequence[int] | None, col: str = "month_s
     return f.filter(F.month(col).isin(*months)) if months else f
 
 
-def last_months_window(f: DataFrame, n: int | None, col: str = "month_start") -> DataFrame:
+def last_months_window(f: DataFrame, n: int | None, col: str = "month_start", latest=None) -> DataFrame:
     """C11: keep the last ``n`` months counted back from the latest month
     present (``n=None``: year to date of the latest year).
 
     The latest month is a scalar subquery (one partial/final max aggregate),
-    evaluated once and never collected to Python.
+    evaluated once and never collected to Python -- or, where the latest date of
+    the table is known from metadata (``sources.metadata.latest_value``), a constant,
+    whose bound reaches the scan on the plain column.
     """
+    if latest is not None:
+        import datetime as _dt
+        first = latest.replace(day=1) if n is None else _dt.date((latest.year * 12 + latest.month - n) // 12, (latest.year * 12 + latest.month - n) % 12 + 1, 1)
+        return f.filter(F.col(col) >= F.lit(first.replace(month=1) if n is None else first))
     mx = f.select(F.max(F.trunc(col, "MM"))).scalar()
     if n is None:
         return f.filter(F.year(col) == F.year(mx))

@@ -457,3 +457,27 @@ def j03_by_key(spark, sf):
         group = stream_upsert(spark, f"{base}/land/*", d.schema, f"{base}/table", ["event_id", "day"], "day", "version", "month", days, name=name)
     cols = ["event_id", "day", "kind"]
     return group.read("rows").select(*cols, F.lit("kept").alias("place")).unionByName(group.read("too_late").select(*cols, F.lit("too late").alias("place")))
+
+
+# ---- answers from metadata ---------------------------------------------------------------
+@register("e29_e72_from_footers", """
+SELECT count(*) AS total, max(notified_on) AS max_notified_on, min(notified_on) AS min_notified_on, min(case_id) AS min_case_id FROM cases""")
+def e29_footers(spark, sf):
+    """Rows, first and last day and first id of the fact, from its footers."""
+    from surv.sources.metadata import footer_aggregates, table_root
+    c = ctx(spark, sf)
+    got = footer_aggregates(spark, table_root(c.f, "notified_year"), ["notified_on"], ["notified_on", "case_id"])
+    return spark.createDataFrame([tuple(got.values())], "total long, max_notified_on date, min_notified_on date, min_case_id long")
+
+
+@register("c11_last_months_from_metadata", """
+SELECT date_trunc('month', notified_on)::DATE AS month_start, count(*) AS cases FROM cases
+WHERE date_trunc('month', notified_on) >= date_trunc('month', (SELECT max(notified_on) FROM cases)) - INTERVAL 11 MONTH GROUP BY 1""")
+def c11_metadata(spark, sf):
+    """The last twelve months; the latest day comes from the footers of the
+    greatest year, so the window is a constant that prunes years and row groups."""
+    from surv.sources.metadata import latest_value, table_root
+    c = ctx(spark, sf)
+    latest = latest_value(spark, table_root(c.f, "notified_year"), "notified_on", "notified_year")
+    f = S.last_months_window(c.f.filter(F.col("notified_year") >= (latest.year - 1)), 12, "notified_on", latest)
+    return f.groupBy(F.trunc("notified_on", "MM").alias("month_start")).agg(F.count(F.lit(1)).alias("cases"))

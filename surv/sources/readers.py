@@ -138,13 +138,13 @@ def read_source(spark: SparkSession, kind: str, path: str | Sequence[str], **opt
 
 
 def latest_snapshot(spark: SparkSession, base: str, fmt: str = "csv", **opts) -> DataFrame:
-    """Rows of the greatest ``period=`` partition under ``base``.
-
-    Partition discovery gives the ``period`` column; the filter against its
-    maximum is a scalar subquery."""
-    df = spark.read.format(fmt).options(header=True, **opts).load(base)
-    mx = df.select(F.max("period")).scalar()
-    return df.filter(F.col("period") == mx)
+    """Rows of the greatest ``period=`` folder under ``base``.  The folder is
+    chosen from the listing; no other period's files are opened."""
+    from surv.sources.metadata import greatest_partition
+    period = greatest_partition(spark, base, "period")
+    if period is None:
+        raise ValueError(f"no period=... folders under {base}")
+    return spark.read.format(fmt).options(header=True, **opts).option("basePath", base).load(f"{base.rstrip('/')}/period={period}")
 
 
 def read_year_range(spark: SparkSession, base: str, y0: int, y1: int, fmt: str = "parquet",

@@ -120,3 +120,30 @@ def test_parameterized_sql_and_existence(spark):
     assert R.table_exists(spark, "nation_t") and not R.table_exists(spark, "nope_t")
     assert R.column_set(df) == set(df.columns)
 
+
+
+def test_answers_from_metadata(spark, tmp):
+    """The plan shows the pushed aggregate; the latest snapshot opens one folder."""
+    import datetime as dt
+    from surv.operators import scope as S
+    from surv.sources import metadata as MD
+    df = spark.range(1000).selectExpr("id", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS d").withColumn("y", F.year("d"))
+    df.unionByName(spark.createDataFrame([(5000, None, None)], "id long, d date, y int")).write.partitionBy("y").parquet(f"{tmp}/t")
+    plan = MD.pushed(spark, f"{tmp}/t", F.count(F.lit(1)), F.max("d"), F.min("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MAX(d), MIN(id)]" in plan.replace("`", "")
+    assert MD.footer_aggregates(spark, f"{tmp}/t", ["d"], ["id"]) == {"total": 1001, "max_d": dt.date(2022, 9, 26), "min_id": 0}
+    assert MD.footer_aggregates(spark, f"{tmp}/t/y=2021", ["d"], ["d"]) == {"total": 365, "max_d": dt.date(2021, 12, 31), "min_d": dt.date(2021, 1, 1)}
+    assert MD.latest_value(spark, f"{tmp}/t", "d", "y") == dt.date(2022, 9, 26)
+    t = spark.read.parquet(f"{tmp}/t")
+    for n in (1, 3, 12, None):
+        a, b = (sorted(r.id for r in S.last_months_window(t, n, "d", latest).collect()) for latest in (None, dt.date(2022, 9, 26)))
+        assert a == b and a
+    for p in (9, 10):
+        os.makedirs(f"{tmp}/s/period={p}")
+        open(f"{tmp}/s/period={p}/f.csv", "w").write(f"a,b\n{p},x\n")
+    open(f"{tmp}/s/period=9/f.csv", "wb").write(b"\xff\x00")
+    os.chmod(f"{tmp}/s/period=9/f.csv", 0)
+    snap = R.latest_snapshot(spark, f"{tmp}/s")
+    assert [tuple(r) for r in snap.collect()] == [("10", "x", 10)] and all("period=10" in f for f in snap.inputFiles())
+    with pytest.raises(ValueError):
+        R.latest_snapshot(spark, f"{tmp}/nothing")
