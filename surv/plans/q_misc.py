@@ -481,3 +481,40 @@ def c11_metadata(spark, sf):
     latest = latest_value(spark, table_root(c.f, "notified_year"), "notified_on", "notified_year")
     f = S.last_months_window(c.f.filter(F.col("notified_year") >= (latest.year - 1)), 12, "notified_on", latest)
     return f.groupBy(F.trunc("notified_on", "MM").alias("month_start")).agg(F.count(F.lit(1)).alias("cases"))
+
+
+# ---- digests and bitmaps -------------------------------------------------------------------
+@register("d10_snapshot_diff_by_digests", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'removed' WHEN o_orderkey % 13 = 0 THEN 'new' ELSE 'changed' END AS change FROM orders
+WHERE o_orderkey % 11 = 0 OR (o_orderkey % 13 = 0) OR (o_orderkey % 17 = 0)""", raw_sql=True)
+def d10_digests(spark, sf):
+    """Orders of yesterday and of today: one in 11 is gone, one in 13 is new, one in
+    17 has another price; the digests name the buckets to compare."""
+    o = FX.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    old = o.filter("o_orderkey % 11 = 0 OR o_orderkey % 13 <> 0")
+    new = o.filter("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 17 == 0, F.lit(-1.0)).otherwise(F.col("o_totalprice")))
+    dig = lambda d: INC.snapshot_digest(d, ["o_orderkey"], "o_totalprice")
+    return INC.snapshot_diff(old, new, ["o_orderkey"], "o_totalprice", dig(old), dig(new))
+
+
+@register("e71_e28_distinct_rollups", f"""
+SELECT 'facility' AS what, {YEAR('notified_on')} AS year, '' AS state, count(DISTINCT {NI('facility_raw')}) AS n FROM cases WHERE notified_on IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'facility', 0, {NI('state_raw')} AS s, count(DISTINCT {NI('facility_raw')}) FROM cases WHERE notified_on IS NOT NULL GROUP BY s
+UNION ALL SELECT 'place', {YEAR('notified_on')} AS y, {NI('state_raw')} AS s, count(DISTINCT place_raw) FROM cases WHERE notified_on IS NOT NULL GROUP BY y, s
+UNION ALL SELECT 'place', 0, '', count(DISTINCT place_raw) FROM cases WHERE notified_on IS NOT NULL""")
+def e71_rollups(spark, sf):
+    """Distinct facilities and places of months, states and classes, rolled up to
+    years, to states, to both and to all."""
+    from surv.operators.distinct import distinct_cube, distinct_rollup, value_numbers
+    c = ctx(spark, sf)
+    f = S.notified(c.f, c.r)
+    keys = [X.year_of(F.col("notified_on")).alias("year"), X.month_start(F.col("notified_on")).alias("month_start"), X.ni(c.r.c("state_raw")).alias("state"),
+            X.ni(c.r.c("class_raw")).alias("classification")]
+    fac, place = X.ni(c.r.c("facility_raw")), c.r.c("place_raw")
+    a, b = distinct_cube(f, keys, fac, value_numbers(f, fac)), distinct_cube(f, keys, place, value_numbers(f, place))
+
+    def part(cube, what, *by):
+        r = distinct_rollup(cube, list(by), "n")
+        return r.select(F.lit(what).alias("what"), F.col("year") if "year" in by else F.lit(0).alias("year"), F.col("state") if "state" in by else F.lit("").alias("state"), "n")
+
+    return part(a, "facility", "year").unionByName(part(a, "facility", "state")).unionByName(part(b, "place", "year", "state")).unionByName(part(b, "place"))

@@ -220,15 +220,41 @@ def run_status(log: DataFrame) -> DataFrame:
 
 
 # ---- D10 / D13 table diffs --------------------------------------------------------------------------
-def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], stamp: str) -> DataFrame:
+DIGEST_BUCKETS = 4096
+
+
+def _bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(buckets)).cast("int")
+
+
+def snapshot_digest(df: DataFrame, key: Sequence[str], stamp: str, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Order-free digest of a snapshot by bucket of its keys: rows, and sum and
+    exclusive or of a hash of key and stamp.  A small table, to be kept beside the
+    snapshot, that says which buckets another snapshot changes."""
+    h = F.xxhash64(*[F.col(c) for c in key], F.col(stamp), F.col(stamp).isNull())
+    return df.groupBy(_bucket(key, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], stamp: str, old_digest: DataFrame | None = None,
+                  new_digest: DataFrame | None = None, buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """Which entries are new (key absent before), changed (stamp differs)
-    or removed (key absent now).  Anti/semi joins shuffle on the key only."""
+    or removed (key absent now), in one full outer join on the key.  With the kept
+    digests of both snapshots only the buckets that differ are read and joined."""
     k = list(key)
-    added = new.join(old.select(*k), k, "left_anti").select(*k).withColumn("change", F.lit("new"))
-    removed = old.join(new.select(*k), k, "left_anti").select(*k).withColumn("change", F.lit("removed"))
-    both = new.select(*k, F.col(stamp).alias("_n")).join(old.select(*k, F.col(stamp).alias("_o")), k)
-    changed = both.filter(~F.col("_n").eqNullSafe(F.col("_o"))).select(*k).withColumn("change", F.lit("changed"))
-    return added.unionByName(changed).unionByName(removed)
+    if old_digest is not None and new_digest is not None:
+        o = old_digest.select("bucket", F.struct("n", "x", "s").alias("o"))
+        differ = (o.join(new_digest.select("bucket", F.struct("n", "x", "s").alias("w")), "bucket", "full")
+                  .filter(~F.col("o").eqNullSafe(F.col("w"))).select("bucket"))
+        changed = [r.bucket for r in differ.collect()]          # at most ``buckets`` numbers
+        if not changed:
+            return new.limit(0).select(*k).withColumn("change", F.lit(""))
+        if len(changed) < buckets:
+            old, new = (d.filter(_bucket(k, buckets).isin(changed)) for d in (old, new))
+    a = old.select(*k, F.col(stamp).alias("_o"), F.lit(True).alias("_old"))
+    b = new.select(*k, F.col(stamp).alias("_n"), F.lit(True).alias("_new"))
+    kind = (F.when(F.col("_old").isNull(), F.lit("new")).when(F.col("_new").isNull(), F.lit("removed"))
+            .when(~F.col("_n").eqNullSafe(F.col("_o")), F.lit("changed")))
+    return a.join(b, k, "full").withColumn("change", kind).filter("change IS NOT NULL").select(*k, "change")
 
 
 def upsert_keep_old(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -320,3 +320,23 @@ def test_state_of_closed_days_is_bounded(spark, tmp):
     assert sorted(map(tuple, out.select("day", "event_type", "events", "value_sum").collect())) == sorted(want) and len(want) >= (days - 2) * kinds
     again, _ = STR.run_closed_days(spark, src, f"{tmp}/closed", name=f"cd-{os.getpid()}-{id(tmp)}", files_per_epoch=1)
     assert again.count() == len(want)
+
+
+def test_snapshot_digests(spark, tmp):
+    """Digests do not depend on order or parts; an unchanged snapshot is not read."""
+    old = spark.createDataFrame([(i, f"s{i % 7}" if i % 5 else None) for i in range(3000)] + [(None, "x")], "k int, s string")
+    new = old.filter("k % 50 <> 3 OR k IS NULL").withColumn("s", F.when(F.col("k") % 40 == 1, F.lit("zz")).when(F.col("k") == 10, F.lit("now")).otherwise(F.col("s"))).unionByName(
+        spark.createDataFrame([(5000, None)], "k int, s string"))
+    dig = lambda d: INC.snapshot_digest(d, ["k"], "s", 64)
+    assert sorted(map(tuple, dig(old).collect())) == sorted(map(tuple, dig(old.repartition(5, "s")).collect()))
+    plain = sorted(map(tuple, INC.snapshot_diff(old, new, ["k"], "s").collect()), key=repr)
+    few = sorted(map(tuple, INC.snapshot_diff(old, new, ["k"], "s", dig(old), dig(new), 64).collect()), key=repr)
+    kinds = {k: sum(x[1] == k for x in plain) for k in ("new", "removed", "changed")}
+    assert [x for x in plain if x[0] is not None] == [x for x in few if x[0] is not None] and kinds["removed"] > 50 and kinds["changed"] > 50
+    old.write.parquet(f"{tmp}/snap")
+    kept = spark.read.parquet(f"{tmp}/snap")
+    d = spark.createDataFrame(dig(kept).collect(), dig(kept).schema)
+    for f in os.listdir(f"{tmp}/snap"):
+        if f.endswith(".parquet"):
+            open(f"{tmp}/snap/{f}", "wb").write(b"unreadable")
+    assert INC.snapshot_diff(kept, kept, ["k"], "s", d, d, 64).count() == 0
