@@ -8,7 +8,8 @@ one span; a span counts when the words that shared grams cover, against all
 words of span and template, reach ``SIMILARITY``.  A base phrase counts on a single diagonal
 that holds all of its grams, that is, where its words stand consecutively.
 
-The templates are a fixed table (some hundred grams) and broadcast; a caller's
+The templates (one-line notices here, whole texts and file headers in
+``license_texts``) are a fixed table of some two thousand grams and broadcast; a caller's
 own larger table is joined by key.  Grams of a text that meet no template end
 in the join; a marker gram keeps one row for every text, so one scan serves.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surv.llm.license_texts import TEXTS
 from surv.llm.sqlwords import kgrams, words
 
 K = 3
@@ -48,7 +50,7 @@ NOTICES = [
 ]
 
 
-def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
+def templates(spark: SparkSession, base=BASE, notices=NOTICES + TEXTS) -> DataFrame:
     """One row per gram: template number, label, kind, grams in all, position, hash."""
     rows = [(i, lab, "base", t) for i, (lab, t) in enumerate(base)] + [(len(base) + i, lab, "notice", t) for i, (lab, t) in enumerate(notices)]
     d = spark.createDataFrame(rows, "tid int, label string, kind string, text string").withColumn("w", words(F.col("text")))

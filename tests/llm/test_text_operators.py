@@ -165,6 +165,56 @@ def test_license_phrases_by_brute_force(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_spans(text, templates, k=3, gap=3):
+    """(label, first word, last word, similarity) of the spans of one text."""
+    w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    out = []
+    for kind, lab, t in templates:
+        q = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        where = collections.defaultdict(list)
+        for j in range(len(q) - k + 1):
+            where[tuple(q[j:j + k])].append(j)
+        diagonals = collections.defaultdict(list)
+        for i in range(len(w) - k + 1):
+            for j in where.get(tuple(w[i:i + k]), ()):
+                diagonals[i - j].append((i, j))
+        runs, last = [], None
+        for d in sorted(diagonals):
+            if kind == "base" or last is None or d - last > gap:
+                runs.append([])
+            runs[-1] += diagonals[d]
+            last = d
+        for r in runs:
+            qs, first, end = {j for _, j in r}, min(i for i, _ in r), max(i for i, _ in r)
+            covered = len({j + x for j in qs for x in range(k)})
+            sim = covered / (len(q) + (end - first + k) - covered)
+            if (kind == "base" and len(qs) == len(q) - k + 1) or (kind == "notice" and sim >= 0.8):
+                out.append((lab, first, end + k - 1, round(sim, 9)))
+    return sorted(out)
+
+
+def test_license_spans_equal_brute_force(spark):
+    """Whole texts, headers with words changed, put in and left out, two on one page."""
+    r = random.Random(6)
+    templates = [("base", a, b) for a, b in licenses.BASE] + [("notice", a, b) for a, b in licenses.NOTICES + licenses.TEXTS]
+    texts = ["", None, "no license at all"]
+    for _, lab, t in templates:
+        for edits in (0, 2, 6):
+            w = t.split()
+            for _ in range(min(edits, len(w) // 12)):
+                i = r.randrange(len(w))
+                w[i:i + 1] = r.choice([[], ["foo"], [w[i], "bar"]])
+            texts.append("intro words here " * r.randint(0, 3) + " ".join(w).upper() + " and more" * r.randint(0, 4))
+    texts.append(" filler " .join(t for _, _, t in templates[5:9]))
+    got = {x.doc_id: sorted((s.label, s.first, s.last, round(s.similarity, 9)) for s in x.spans if s) for x in
+           licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = set()
+    for i, t in enumerate(texts):
+        assert got[i] == brute_spans(t, templates), (i, t and t[:80])
+        found |= {x[0] for x in got[i]}
+    assert found == {lab for _, lab, _ in templates}
+
+
 # --- quality rules ---------------------------------------------------------------
 def brute_counts(t):
     t = t or ""
