@@ -65,9 +65,11 @@ ARRAY_SCHEMA = "which int, chunk int, data binary"
 
 
 def sum_arrays(parts: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """Sum of the arrays that tasks emitted by ``array_rows``.  Chunks of one
-    key are added one by one as they stream in; the result, of fixed size
-    (``sizes``), comes to the driver."""
+    """Sum of the arrays that tasks emitted by ``array_rows``, as a tree: a chunk's
+    parts are added up in as many tasks as there are shuffle partitions, each of
+    them taking the parts of some map tasks, then those sums.  Parts are added one
+    by one as they stream in; the result, of fixed size (``sizes``), comes to the
+    driver."""
     n = sum(-(-s // CHUNK) for s in sizes.values())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +81,14 @@ def sum_arrays(parts: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]
                     acc[w, c] += x
                 else:
                     acc[w, c] = x.astype(np.float64)
-        yield pa.RecordBatch.from_pydict({"which": pa.array([k[0] for k in acc], pa.int32()), "chunk": pa.array([k[1] for k in acc], pa.int32()),
-                                          "data": pa.array([v.astype("<f4").tobytes() for v in acc.values()], pa.binary())})
+        for (w, c), v in acc.items():
+            yield pa.RecordBatch.from_pydict({"which": pa.array([w], pa.int32()), "chunk": pa.array([c], pa.int32()), "data": pa.array([v.astype("<f4").tobytes()], pa.binary())})
 
     out = {k: np.zeros(s, np.float32) for k, s in sizes.items()}
-    for r in parts.repartition(min(n, 12), "which", "chunk").mapInArrow(add, ARRAY_SCHEMA).toLocalIterator():
+    branches = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = (parts.withColumn("_branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
+             .repartition(branches, "which", "chunk", "_branch").drop("_branch").mapInArrow(add, ARRAY_SCHEMA))
+    for r in first.repartition(min(n, 12), "which", "chunk").mapInArrow(add, ARRAY_SCHEMA).toLocalIterator():
         x = np.frombuffer(r.data, "<f4")
         out[r.which][r.chunk * CHUNK: r.chunk * CHUNK + len(x)] += x
     return out

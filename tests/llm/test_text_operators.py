@@ -424,6 +424,61 @@ def test_lm_is_a_probability_and_order_free(spark, docs):
     assert abs(one - two) < 1e-3 * abs(one)
 
 
+def brute_follow(ids):
+    out, run = [], 0
+    for i in range(len(ids)):
+        one = max([j + 1 for j in range(i - 1) if ids[j] == ids[i - 1]], default=-1) if i >= 1 else -1
+        two = max([j + 2 for j in range(i - 2) if ids[j:j + 2] == ids[i - 2:i]], default=-1) if i >= 2 else -1
+        told = two if two >= 0 else one
+        came = told >= 0 and ids[told] == ids[i]
+        agree = one >= 0 and two >= 0 and ids[one] == ids[two]
+        out.append((told, came, (2 * (two >= 0) + agree) * lm_mix.RUNS + min(run, lm_mix.RUNS - 1)))
+        run = run + 1 if came else 0
+    return out
+
+
+def test_lm_decisions_across_words():
+    r = random.Random(3)
+    for _ in range(200):
+        ids = [r.randrange(r.choice([2, 5, 30])) for _ in range(r.randint(0, 60))]
+        ids += ids[: r.randint(0, 40)]
+        got = list(zip(*(x.tolist() for x in lm_mix.follow(np.array(ids, np.int64))))) if ids else []
+        assert got == brute_follow(ids)
+
+
+def test_lm_scores_equal_brute_force_and_know_the_order(spark, docs):
+    """The score of a text is the sum of its decisions and of the spelling of the
+    tokens that were not foretold; the same words in another order score otherwise."""
+    rows = make_docs()
+    r = random.Random(1)
+    line = rows[2][1]
+    extra = [(500, " ".join([line] * 4), None, None), (505, " ".join(r.sample((line + " ") .split() * 4, 4 * len(line.split()))), None, None)]
+    table = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(extra, SCHEMA))
+    trained = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    counts = np.zeros((lm_mix.FOLLOW, 2))
+    toks = [(i, lm_mix.tokens((t or "").encode()) + [lm_mix.END]) for i, t, _, _ in rows + extra]
+    for i, tk in toks:
+        if trained(i):
+            for told, came, ctx in brute_follow(tk):
+                if told >= 0:
+                    counts[ctx, 1 - came] += 1
+    chance = lm_mix.follow_chances(counts)
+    for hot in (lm_mix.HOT, 15):
+        got = collections.defaultdict(list)
+        for x in lm_mix.score(table, ~held(5, 1), hot=hot, sample=2000).collect():
+            got[x.doc_id].append((x.n_tokens, x.score))
+        # tokens that stand in one text each give the spelling of a token away
+        alone = {tk[0]: got[i][0][1] for i, tk in toks if len(tk) == 2}
+        for i, tk in toks:
+            assert all(n == len(tk) for n, _ in got[i])
+            if set(tk) <= {*alone, lm_mix.END} and len(tk) > 2:
+                end = got[[j for j, t in toks if t == [lm_mix.END]][0]][0][1]
+                want = sum(math.log10(chance[c]) if came else (alone[t] - end if t != lm_mix.END else end) + (math.log10(1 - chance[c]) if told >= 0 else 0)
+                           for t, (told, came, c) in zip(tk, brute_follow(tk)))
+                assert abs(got[i][0][1] - want) < 0.02 * abs(want) + 0.5
+        assert got[500][0][1] > 0.6 * got[505][0][1] and abs(got[500][0][1] - got[505][0][1]) > 20
+
+
 def test_lm_on_empty_tables(spark, docs):
     assert lm_mix.score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     r = lm_mix.score(docs, F.lit(False), sample=100).collect()
