@@ -7,9 +7,9 @@ where dynamic programming chooses ``buckets`` upper bounds that make the total
 padding least.  Inside a bucket, pieces are numbered and fill batches of
 ``budget // bound`` pieces each, so no batch exceeds its token budget.
 
-Numbering is done in two steps: pieces are numbered inside (bucket, slice) and
-slices get offsets from their counts; a slice is a range of ids of about
-``SLICE_ROWS`` pieces, so a bucket with most of the rows is many tasks.
+Pieces are numbered by ``positioned``: a range partitioning by (bucket, id) of any
+type, written, and running sums over counts per partition, so a bucket with most of
+the rows is many tasks.
 
 Null and empty texts have length 0 and form no piece: they appear once with
 null bucket, batch and position.  Ties: equal ids are ordered by text hash,
@@ -20,15 +20,15 @@ Without any piece the result has only the unpacked rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surv.llm.merkle import positioned
 from surv.session import materialize
 
 MAX_TOKENS = 8192
 BUCKETS = 16
 BUDGET = 65_536
-SLICE_ROWS = 100_000
 
 
 def token_count(text: str = "text"):
@@ -69,7 +69,7 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
-         budget: int = BUDGET, slice_rows: int = SLICE_ROWS) -> DataFrame:
+         budget: int = BUDGET) -> DataFrame:
     """One row per piece: id, piece number, first token, tokens, bucket bound,
     batch number inside the bucket, position in the batch, padding."""
     if budget < max_tokens:
@@ -82,7 +82,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
                                  .otherwise(0).cast("int").alias("tokens")), "pieces")
     hist = sorted((r.tokens, r.n) for r in pieces.where("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     ends = bounds(np.array([x for x, _ in hist], np.int64), np.array([n for _, n in hist], np.int64), buckets)
-    total = sum(n for _, n in hist)
     real = pieces.where("tokens > 0")
     if not ends:
         real = real.withColumn("bound", F.lit(None).cast("int"))
@@ -91,21 +90,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
         for e in reversed(ends[:-1]):
             bound = F.when(F.col("tokens") <= e, F.lit(e)).otherwise(bound)
         real = real.withColumn("bound", bound.cast("int"))
-    # slices: ranges of ids that hold about slice_rows pieces
-    n = max(1, min(10_000, -(-total // slice_rows)))
-    if n > 1:
-        cuts = [c for c in real.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)] if dict(real.dtypes)["id"] in ("bigint", "int") else []
-        cuts = sorted(set(cuts))
-    else:
-        cuts = []
-    at = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("id")))
-    real = real.withColumn("slice", at)
-    counts = real.groupBy("bound", "slice").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("bound").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("bound", "slice", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("bound", "slice").orderBy("id", "h", "piece")
-    num = (real.withColumn("rn", F.row_number().over(inside) - 1).join(offs, ["bound", "slice"])
-           .withColumn("rank", F.col("rn") + F.col("off")).withColumn("size", F.floor(F.lit(budget) / F.col("bound"))))
+    num = (positioned(real.withColumn("g", F.col("bound").cast("string")), ["id", "h", "piece"], "packing")
+           .withColumnRenamed("pos", "rank").withColumn("size", F.floor(F.lit(budget) / F.col("bound"))))
     packed = num.select("id", "piece", (F.col("piece").cast("long") * max_tokens).alias("first_token"), "tokens", "bound",
                         F.floor(F.col("rank") / F.col("size")).cast("long").alias("batch"), F.pmod("rank", "size").cast("int").alias("position"),
                         (F.col("bound") - F.col("tokens")).cast("int").alias("padding"))

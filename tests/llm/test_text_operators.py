@@ -309,9 +309,9 @@ def test_bounds_are_optimal():
     assert packing.bounds(np.array([], np.int64), np.array([], np.int64), 4) == []
 
 
-@pytest.mark.parametrize("slice_rows", [100_000, 10])
-def test_packing_keeps_every_token(spark, docs, slice_rows):
-    got = packing.pack(docs, max_tokens=50, buckets=4, budget=200, slice_rows=slice_rows).collect()
+@pytest.mark.parametrize("parts", [1, 8])
+def test_packing_keeps_every_token(spark, docs, parts):
+    got = packing.pack(docs.repartition(parts), max_tokens=50, buckets=4, budget=200).collect()
     tokens = collections.Counter()
     for r in got:
         tokens[r.doc_id] += r.tokens
@@ -332,6 +332,24 @@ def test_packing_keeps_every_token(spark, docs, slice_rows):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_packing_numbers_ids_of_any_type(spark, docs):
+    """Text ids: batches as those of a numbering in one process; the same for
+    integral ids written as fixed-width text."""
+    text = docs.withColumn("doc_id", F.when(F.col("doc_id") % 9 != 0, F.format_string("k%05d", F.col("doc_id"))))
+    got = [x for x in packing.pack(text, max_tokens=50, buckets=4, budget=200).collect() if x.bound is not None]
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.bound].append(x)
+    for bound, rows in by.items():
+        rows.sort(key=lambda x: (x.batch, x.position))
+        assert [(x.batch, x.position) for x in rows] == [divmod(i, 200 // bound) for i in range(len(rows))]
+        ids = [(x.doc_id is not None, x.doc_id or "") for x in rows]
+        assert ids == sorted(ids)
+    plain = packing.pack(docs.withColumn("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id"))), max_tokens=50, buckets=4, budget=200).collect()
+    key = lambda rows, f: sorted((f(x.doc_id), x.piece or 0, x.bound or 0, x.batch or 0, x.position or 0) for x in rows)
+    assert key(plain, lambda i: "" if i is None else f"k{i:05d}") == key(packing.pack(text, max_tokens=50, buckets=4, budget=200).collect(), lambda i: i or "")
+
+
 # --- HTML ------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site</header>
 <div class="cookie-notice">We use cookies to make this site work as well as it can for everyone</div><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
