@@ -344,3 +344,20 @@ def j06(spark, sf):
     lo, hi = o.agg(F.min("year"), F.max("year")).first()
     INC.historical_load_years(spark, lambda a, b: o.filter(F.col("year").between(a, b)), t, lo, hi)
     return read_table(spark, t).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a06_xml_nodes_by_path", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0""", raw_sql=True)
+def a06_path(spark, sf):
+    """Orders two levels deep in a name space, in documents that bind it to
+    different prefixes, between elements of the same local name that are not meant."""
+    p = W.staging_path(spark, "a06-path")
+    o = FX.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    pre = F.when(F.col("o_orderkey") % 2 == 0, F.lit("a")).otherwise(F.lit("bb"))
+    ours = F.concat(F.lit("<"), pre, F.lit(":row><id> "), F.col("o_orderkey"), F.lit(" </id><status>"), F.col("o_orderstatus"), F.lit("</status></"), pre, F.lit(":row>"))
+    other = F.concat(F.lit("<row><id>"), F.col("o_orderkey"), F.lit("</id></row>"))
+    rows = o.select((F.col("o_orderkey") % 2).alias("doc"), F.when(F.col("o_orderkey") % 3 != 0, ours).otherwise(other).alias("x"), pre.alias("p"))
+    docs = rows.groupBy("doc", "p").agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
+    text = docs.select(F.concat(F.lit("<root xmlns:"), F.col("p"), F.lit('="urn:orders"><list>'), F.col("x"), F.lit("</list></root>")).alias("value"))
+    text.repartition(2).write.option("lineSep", "\n").text(p)
+    return R.read_xml_nodes(spark, p, "//o:row", {"o": "urn:orders"}).select("id", "status")

@@ -123,6 +123,56 @@ def read_xml(spark: SparkSession, path: str | Sequence[str], row_tag: str = "row
             .option("ignoreSurroundingSpaces", True).load(path))
 
 
+def namespace_prefixes(spark: SparkSession, path: str | Sequence[str], uri: str) -> list[str]:
+    """Prefixes that the documents bind to a name space ('' for the default one):
+    a scan of the text cut at ``>``, so a large file is many tasks."""
+    tags = spark.read.option("lineSep", ">").text(path).filter(F.col("value").contains("xmlns") & F.col("value").contains(uri))
+    bound = F.regexp_extract_all("value", F.lit(r"xmlns(:[\w.-]+)?\s*=\s*[\"']" + re.escape(uri) + r"[\"']"), 1)
+    return sorted(r[0].lstrip(":") for r in tags.select(F.explode(bound)).distinct().collect())
+
+
+def read_xml_nodes(spark: SparkSession, path: str | Sequence[str], node_path: str, namespaces: dict[str, str] | None = None) -> DataFrame:
+    """A06 by path: the child elements of every node that ``node_path`` selects.
+
+    ``//name`` selects at any depth, ``//a/name`` below any ``a``, ``root/a/name``
+    from the outermost element down.  With ``namespaces`` (prefix of the path to
+    URI), a prefixed step selects the elements of that name space whatever prefix a
+    document uses; without, steps compare local names.  The first step is the row
+    tag of Spark's reader, so nodes at any depth are read by block."""
+    steps = [x for x in node_path.lstrip(".").split("/") if x]
+    if not steps:
+        raise ValueError("an empty path selects nothing")
+
+    def names(step: str) -> list[str]:
+        prefix, _, local = step.rpartition(":")
+        if not namespaces or not prefix:
+            return [local if not namespaces else step]
+        return [f"{p}:{local}" if p else local for p in namespace_prefixes(spark, path, namespaces[prefix])]
+
+    def children(df: DataFrame, wanted: list[str]) -> list[DataFrame]:
+        out = []
+        for name in wanted:
+            if name not in df.columns:
+                continue
+            kind, col = df.schema[name].dataType, F.col(f"`{name}`")
+            x = df.select((F.explode(col) if isinstance(kind, T.ArrayType) else col).alias("_n")).filter("_n IS NOT NULL")
+            out.append(x.select("_n.*") if isinstance(x.schema["_n"].dataType, T.StructType) else x.select(F.col("_n").alias("_VALUE")))
+        return out
+
+    read = lambda tag: (spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).option("ignoreNamespace", not namespaces)
+                        .option("ignoreSurroundingSpaces", True).load(path))
+    found = [read(tag) for tag in names(steps[0])]
+    for step in steps[1:]:
+        wanted = names(step)
+        found = [c for df in found for c in children(df, wanted)]
+    out = None
+    for df in found:
+        plain = df.select(*[F.col(f"`{c}`").alias(c.rpartition(":")[2]) for c in df.columns if not c.startswith("_")])
+        if plain.columns:
+            out = plain if out is None else out.unionByName(plain, allowMissingColumns=True)
+    return spark.createDataFrame([], "value string") if out is None else out
+
+
 def read_source(spark: SparkSession, kind: str, path: str | Sequence[str], **opts) -> DataFrame:
     """Dispatch by source kind; unknown kinds are an error."""
     k = kind.lower()

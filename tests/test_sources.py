@@ -147,3 +147,21 @@ def test_answers_from_metadata(spark, tmp):
     assert [tuple(r) for r in snap.collect()] == [("10", "x", 10)] and all("period=10" in f for f in snap.inputFiles())
     with pytest.raises(ValueError):
         R.latest_snapshot(spark, f"{tmp}/nothing")
+
+
+def test_xml_nodes_by_path(spark, tmp):
+    doc = """<?xml version="1.0"?><root xmlns:{p}="urn:x" xmlns:o="urn:other"><meta><row><id>0</id></row></meta>
+<{p}:data><{p}:group name="g1"><{p}:row k="7"><id> 1 </id><v>a</v></{p}:row><{p}:row><id>2</id></{p}:row></{p}:group>
+<{p}:group><{p}:row><id>3</id><v>c</v></{p}:row><o:row><id>9</id></o:row></{p}:group></{p}:data></root>"""
+    for i, p in enumerate(("d", "other")):
+        open(f"{tmp}/{i}.xml", "w").write(doc.format(p=p))
+    ids = lambda *a, **k: sorted(r.id for r in R.read_xml_nodes(spark, [f"{tmp}/0.xml", f"{tmp}/1.xml"], *a, **k).collect())
+    ns = {"x": "urn:x", "q": "urn:other"}
+    assert R.namespace_prefixes(spark, [f"{tmp}/0.xml", f"{tmp}/1.xml"], "urn:x") == ["d", "other"]
+    assert ids("//row") == sorted("01239" * 2)
+    assert ids(".//x:row", namespaces=ns) == sorted("123" * 2) and ids("//q:row", namespaces=ns) == ["9", "9"]
+    assert ids("//group/row") == sorted("1239" * 2) and ids("root/meta/row") == ["0", "0"] and ids("root/data/group/row") == sorted("1239" * 2)
+    assert ids("root/x:data/x:group/x:row", namespaces=ns) == sorted("123" * 2)
+    got = {r.id: r.v for r in R.read_xml_nodes(spark, f"{tmp}/0.xml", "//x:row", ns).collect()}
+    assert got == {"1": "a", "2": None, "3": "c"}
+    assert R.read_xml_nodes(spark, f"{tmp}/0.xml", "root/nothing/row").count() == 0
