@@ -466,7 +466,7 @@ def e29_footers(spark, sf):
     """Rows, first and last day and first id of the fact, from its footers."""
     from surv.sources.metadata import footer_aggregates, table_root
     c = ctx(spark, sf)
-    got = footer_aggregates(spark, table_root(c.f, "notified_year"), ["notified_on"], ["notified_on", "case_id"])
+    got = footer_aggregates(spark, table_root(c.f, "notified_year"), ["notified_on"], ["notified_on", "case_id"], {"notified_on": "notified_year"})
     return spark.createDataFrame([tuple(got.values())], "total long, max_notified_on date, min_notified_on date, min_case_id long")
 
 

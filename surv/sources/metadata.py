@@ -22,21 +22,25 @@ def footer_session(spark: SparkSession) -> SparkSession:
     return s
 
 
-def pushed(spark: SparkSession, path: str, *aggregates) -> DataFrame:
-    """Aggregates of a table by the session that pushes them into its footers."""
-    return footer_session(spark).read.parquet(path).agg(*aggregates)
+def pushed(spark: SparkSession, path: str, *aggregates, part_col: str | None = None) -> DataFrame:
+    """Aggregates of a table by the session that pushes them into its footers; with
+    ``part_col`` without the partition of nulls."""
+    t = footer_session(spark).read.parquet(path)
+    return (t.filter(F.col(part_col).isNotNull()) if part_col else t).agg(*aggregates)
 
 
-def footer_aggregates(spark: SparkSession, path: str, greatest: Sequence[str] = (), least: Sequence[str] = ()) -> dict:
+def footer_aggregates(spark: SparkSession, path: str, greatest: Sequence[str] = (), least: Sequence[str] = (),
+                      part_of: dict[str, str] | None = None) -> dict:
     """``total`` rows, ``max_<c>`` and ``min_<c>`` of columns that footers have
-    statistics of (numbers, dates, booleans).  A file whose footer lacks them -- a
-    column of nulls only, as in the partition of rows without a date -- makes Spark
-    refuse; then that one column is read."""
+    statistics of (numbers, dates, booleans).  ``part_of`` names the partition column
+    that is made of a column (a year of a date): the partition of nulls has none of it.
+    Where another file's footer lacks statistics -- a column of nulls only -- Spark
+    refuses; then that one column is read."""
     out = {"total": pushed(spark, path, F.count(F.lit(1)).alias("total")).first().total}
     for name, fn, cols in (("max", F.max, greatest), ("min", F.min, least)):
         for c in cols:
             try:
-                out[f"{name}_{c}"] = pushed(spark, path, fn(c)).first()[0]
+                out[f"{name}_{c}"] = pushed(spark, path, fn(c), part_col=(part_of or {}).get(c)).first()[0]
             except Exception as e:  # noqa: BLE001 - only the refusal is handled
                 if "No min/max found" not in str(e):
                     raise

@@ -132,6 +132,8 @@ def test_answers_from_metadata(spark, tmp):
     plan = MD.pushed(spark, f"{tmp}/t", F.count(F.lit(1)), F.max("d"), F.min("id"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(*), MAX(d), MIN(id)]" in plan.replace("`", "")
     assert MD.footer_aggregates(spark, f"{tmp}/t", ["d"], ["id"]) == {"total": 1001, "max_d": dt.date(2022, 9, 26), "min_id": 0}
+    assert MD.footer_aggregates(spark, f"{tmp}/t", ["d"], ["d"], {"d": "y"}) == {"total": 1001, "max_d": dt.date(2022, 9, 26), "min_d": dt.date(2020, 1, 1)}
+    assert "PushedAggregation: [MAX(d)]" in MD.pushed(spark, f"{tmp}/t", F.max("d"), part_col="y")._jdf.queryExecution().executedPlan().toString()
     assert MD.footer_aggregates(spark, f"{tmp}/t/y=2021", ["d"], ["d"]) == {"total": 365, "max_d": dt.date(2021, 12, 31), "min_d": dt.date(2021, 1, 1)}
     assert MD.latest_value(spark, f"{tmp}/t", "d", "y") == dt.date(2022, 9, 26)
     t = spark.read.parquet(f"{tmp}/t")
