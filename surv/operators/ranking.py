@@ -13,7 +13,7 @@ Positions also number the rows of a tie.  They are numbered in the parts of a
 written table, a tie in all parts that have rows of it at once, and the parts' counts
 are added up, so a tie of a third of all rows is no task of its own.
 
-There is one path for every size.
+The steps are the same at every size; only the number of ranges differs.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surv.session import materialize
+from surv.session import leaf_bytes, materialize
 
+SMALL_BYTES = 256 * 1024 * 1024
 BUCKETS_PER_PARTITION = 8     # buckets are dealt to tasks by hash: several each even out
 
 
@@ -35,8 +36,12 @@ def _direction(cols: Sequence[str], desc: Sequence[bool]) -> list[Column]:
 def key_buckets(g: DataFrame, keys: Sequence[str], desc: Sequence[bool]) -> DataFrame:
     """Distinct keys (``_same`` rows each) with ``_bucket``: buckets of like size, in
     the order of the keys; written."""
+    by = _direction(keys, desc)
     n = BUCKETS_PER_PARTITION * int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(g.repartitionByRange(n, *_direction(keys, desc)).withColumn("_bucket", F.spark_partition_id()), "rank-keys")
+    known = leaf_bytes(g)
+    # what fits a few partitions is left to AQE, which merges small ranges
+    parts = g.repartitionByRange(*by) if known is not None and known <= SMALL_BYTES else g.repartitionByRange(n, *by)
+    return materialize(parts.withColumn("_bucket", F.spark_partition_id()), "rank-keys")
 
 
 def _places(df: DataFrame, order: Sequence[tuple[Column, bool]]) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from surv.functions import codes as K
 from surv.functions import expr as X
+from surv.session import materialize
 
 
 # ---- F01 / F02 / F03 ranks: see surv.operators.ranking ----------------------------
@@ -72,7 +73,8 @@ def risk_score(growth: DataFrame, key: str) -> DataFrame:
     """0.6 x volume percentile + 0.4 x growth percentile (growth floored
     at 0), rounded to 3 decimals (half-even), banded; sorted score then volume."""
     from surv.operators.ranking import with_pct_rank_average
-    g = growth.withColumn("_g0", F.greatest(F.col("growth_pct"), F.lit(0.0)))
+    # one row per key, read by both ranks: computed once
+    g = materialize(growth.withColumn("_g0", F.greatest(F.col("growth_pct"), F.lit(0.0))), "growth")
     g = with_pct_rank_average(with_pct_rank_average(g, "period_cases", "_vr"), "_g0", "_gr")
     score = F.bround(F.lit(K.RISK_VOLUME_WEIGHT) * F.col("_vr") + F.lit(K.RISK_GROWTH_WEIGHT) * F.col("_gr"), 3)
     g = g.withColumn("risk_score", score).withColumn("risk_band", risk_band(F.col("risk_score")))

@@ -166,12 +166,13 @@ def test_ranks_equal_windows_with_ties_nulls_and_payload(spark):
     assert abs(got[2] - want[2]) < 1e-6 * want[2]
 
 
-def test_ranks_are_even_over_close_keys_and_a_hot_tie(spark, tmp):
+def test_ranks_are_even_over_close_keys_and_a_hot_tie(spark, tmp, monkeypatch):
     """Three million rows, one tie of a third of them, the other keys within one
     per cent of each other: no bucket of keys and no part of the tie is four times
     the median; stamps and texts with a common beginning alike."""
     import statistics
     from surv.operators import ranking as RK
+    monkeypatch.setattr(RK, "SMALL_BYTES", 0)
     n = 3_000_000
     num = "CASE WHEN id % 3 = 0 THEN 1000000.0 ELSE 1000000 + CAST((id * 7919) % 1000003 AS DOUBLE) / 100 END"
     df = spark.range(0, n, numPartitions=16).selectExpr("id", f"{num} AS v", f"concat('http://host/common/beginning/', lpad(CAST(({num}) * 100 AS BIGINT), 12, '0')) AS s")
