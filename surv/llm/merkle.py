@@ -158,7 +158,8 @@ class Manifest:
 
     def __init__(self, leaf_rows: DataFrame, name: str = "manifest"):
         self.id_type = leaf_rows.schema["id"].dataType.simpleString()
-        self.leaves = positioned(leaf_rows, ["id", "leaf"], f"{name}-leaves")
+        # written first: the range partitioning draws its bounds from digests, not by hashing all texts once more
+        self.leaves = positioned(materialize(leaf_rows, f"{name}-digests"), ["id", "leaf"], f"{name}-leaves")
         nodes = self.leaves.select("g", "pos", "n", F.col("leaf").alias("digest"))
         self.groups = self._levels(nodes, name)
         tops = self.groups[-1].select(F.lit("").alias("g"), F.col("g").alias("group"), "digest")
