@@ -128,15 +128,21 @@ def _quality_fields(ext: DataFrame, r: Roles) -> list[tuple[str, str]]:
 
 
 def completeness_score(ext: DataFrame, r: Roles) -> DataFrame:
-    """Mean share of filled critical fields, in percent."""
+    """Mean share of filled critical fields, in percent (NULL where the
+    extract has none of them)."""
     qf = _quality_fields(ext, r)
+    if not qf:
+        return ext.agg(F.max(F.lit(None).cast("double")).alias("completeness_pct"))
     score = sum((X.as_int_flag(_filled(ext, c)) for _, c in qf), F.lit(0)).cast("double") / float(len(qf))
     return ext.agg((F.avg(score) * 100.0).alias("completeness_pct"))
 
 
 def missing_rates(ext: DataFrame, r: Roles, top_n: int = 10) -> DataFrame:
-    """Missing rate per field, worst first, top ``top_n``."""
+    """Missing rate per field, worst first, top ``top_n`` (no row where the
+    extract has none of the critical fields)."""
     qf = _quality_fields(ext, r)
+    if not qf:
+        return ext.sparkSession.createDataFrame([], "field string, label string, missing_pct double")
     a = ext.agg(*[F.avg(X.as_int_flag(~_filled(ext, c))).alias(f"_m{i}") for i, (_, c) in enumerate(qf)])
     arr = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(K.QUALITY_FIELD_LABELS.get(role, c)).alias("label"),
                              (F.col(f"_m{i}") * 100.0).alias("missing_pct"))
