@@ -11,7 +11,7 @@ from surv.sources import readers as R
 
 @pytest.fixture()
 def small_blocks(spark):
-    names = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "40",
+    names = {"spark.sql.files.maxPartitionBytes": "2500", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "10",
              "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
     old = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
