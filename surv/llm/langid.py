@@ -206,7 +206,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         some = some.select("lang", "text", F.explode(places).alias("x"))
         piece = F.regexp_replace(F.substring("text", F.col("x.i") * PIECE + 1, F.lit(PIECE)), r"[\s\p{N}\p{P}\p{S}]+", " ")
         by: dict[str, list] = {}
-        for r in some.select("lang", F.col("x.k").alias("k"), piece.alias("piece")).where("piece <> ' '").distinct().toLocalIterator():
+        for r in some.select("lang", F.col("x.k").alias("k"), piece.alias("piece")).where("piece <> ' '").distinct().coalesce(4).toLocalIterator():      # a job for each partition
             by.setdefault(r.lang, []).append((r.k, r.piece))
         wider = {}
         for lang, x in share.items():
