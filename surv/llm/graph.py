@@ -88,8 +88,8 @@ def sum_arrays(parts: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]
     branches = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = (parts.withColumn("_branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
              .repartition(branches, "which", "chunk", "_branch").drop("_branch").mapInArrow(add, ARRAY_SCHEMA))
-    # few partitions at the end: the iterator below is one job for each of them
-    for r in first.repartition(min(n, 12), "which", "chunk").mapInArrow(add, ARRAY_SCHEMA).coalesce(4).toLocalIterator():
+    # few partitions at the end, after the sums: the iterator is one job for each of them
+    for r in first.repartition(min(n, 12), "which", "chunk").mapInArrow(add, ARRAY_SCHEMA).repartition(4).toLocalIterator():
         x = np.frombuffer(r.data, "<f4")
         out[r.which][r.chunk * CHUNK: r.chunk * CHUNK + len(x)] += x
     return out
