@@ -36,3 +36,22 @@ def test_the_method_limit_is_put_back(spark):
     with split_methods(spark):
         assert spark.conf.get(name) == "8000"
     assert spark.conf.get(name) == before
+
+
+def test_only_the_fitting_date_format_is_tried(spark):
+    texts = ["2024-01-02", " 2024-1-2 3:4 ", "2024-01-02T10:30", "2024-01-02T10:30:05Z", "2024-01-02 10:30:05.123", "2024-01-02 junk", "2024-02-30 1:2:3", "2024-01-02 25:00", ":", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[1] for r in df.select("i", B.parse_date(F.col("t"))).orderBy("i").collect()]
+    d = dt.date(2024, 1, 2)
+    assert got == [d, d, None, d, d, d, None, None, None, None]
+    plan = df.select(B.parse_timestamp(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "coalesce(try_to_timestamp" not in plan
+
+
+def test_digits_of_text_with_space_and_tokens(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([" 33\t", "nan", "None", "", ".", None, "12345678", "a1b2"])], "i int, t string")
+    assert [r[1] for r in df.select("i", B.digits_or_null(F.col("t"), 7)).orderBy("i").collect()] == ["0000033", None, None, None, None, None, "12345678", "0000012"]
+    plain = [r[1] for r in df.select("i", B.digits_or_null(F.col("t"))).orderBy("i").collect()]
+    assert plain == ["33", None, None, None, None, None, "12345678", "12"]
+    assert [r[1] for r in df.select("i", B.strip_all(F.col("t"))).orderBy("i").collect()][:2] == ["33", "nan"]
+    assert "rlike" not in df.select(B.digits_or_null(F.col("t"), 7))._jdf.queryExecution().optimizedPlan().toString().lower()
