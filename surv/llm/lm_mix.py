@@ -12,9 +12,12 @@ probability of the token sequence.
    up over the whole vocabulary with its counts.
 3. Mixing: predictions are stretched and added with weights that a gate picks
    (how many contexts have been seen, how often the longest one, which bit).
-   The weights learn online, in small steps over a bounded sample of training
-   tokens, each with its own occurrence taken out of the counts.  A final table
-   per gate, adapted in the same pass, corrects the mixed probability.
+   The weights learn online, in small steps over all training tokens with their
+   whole counts, each with its own occurrence taken out of the counts.  Tokens are
+   dealt by hash to mixers of a bounded number of distinct tokens each, which learn
+   side by side; their weights are averaged per gate, by the decisions each has
+   seen there.  A final table per gate, of all mixers' occurrences counted in the
+   same pass, corrects the mixed probability.
 4. Every distinct token is scored once by these spelling predictors.  The ``HOT``
    most frequent tokens go to all tasks (a fixed bound); the rest of each text's
    tokens are joined by token.  So no frequent token is shuffled and no vocabulary
@@ -51,8 +54,9 @@ END = b"\n"
 ORDERS = (0, 1, 2, 3, 5, -1)            # bytes of context; -1: the whole beginning
 BITS = (12, 16, 19, 20, 21, 22)            # slots of each predictor, as powers of two
 HOT = 200_000                           # tokens sent to all tasks
-SAMPLE = 100_000                        # occurrences that the mixer learns from
+SAMPLE = 100_000                        # distinct tokens that one mixer learns from, about; there are as many mixers as that takes
 STEP_TOKENS = 256
+STEP = 2.0                              # length of a step
 FLUSH = 400_000
 LEVELS = 33                             # columns of the final table
 REACH = 12.0                            # stretched probabilities are kept within
@@ -142,6 +146,8 @@ class Mixer:
         self.w = np.full((GATES, len(ORDERS)), 0.25)
         self.w[:, -1] = 0.5
         self.t = np.tile(squash(np.linspace(-REACH, REACH, LEVELS)), (GATES, 1))
+        self.seen = np.zeros(GATES)          # bits learnt from
+        self.came = np.zeros((2, GATES * LEVELS))     # occurrences of the final table's cells, and of bit 1 among them
 
     def mixed(self, st, g):
         return np.clip((self.w[g] * st).sum(1), -REACH, REACH)
@@ -155,19 +161,28 @@ class Mixer:
         return np.clip(p, 1e-6, 1 - 1e-6), lo, f
 
     def learn(self, st, g, y, weight, rate):
-        """One online step over a few bits."""
+        """One online step over a few bits; the counts weigh the bits of a gate against
+        each other, so that a frequent token makes no longer step."""
         x = self.mixed(st, g)
         err = (y - squash(x)) * weight
-        k = np.bincount(g, minlength=GATES)[:, None] + 1.0
+        n = np.bincount(g, minlength=GATES)
+        k = n[:, None] + 1.0
+        mean = (n / np.maximum(np.bincount(g, weights=weight, minlength=GATES), 1e-9))[:, None]
         step = np.column_stack([np.bincount(g, weights=err * st[:, i], minlength=GATES) for i in range(st.shape[1])])
-        self.w += rate * step / np.sqrt(k)
+        self.w += rate * STEP * step * mean / np.sqrt(k)
+        self.seen += n
         _, lo, f = self.refined(x, g)
         for at, part in ((lo, 1 - f), (lo + 1, f)):
             cell = g * LEVELS + at
             n = np.bincount(cell, weights=part * weight, minlength=GATES * LEVELS)
             s = np.bincount(cell, weights=part * weight * y, minlength=GATES * LEVELS)
-            t = self.t.reshape(-1)
-            t += (s - n * t) / (n + 200.0)
+            self.came += n, s
+
+    def settle(self):
+        """The final table by the occurrences of its cells."""
+        n, s = self.came.reshape(2, GATES, LEVELS)
+        self.t = (s + 200.0 * self.t) / (n + 200.0)
+        return self
 
 
 class Model:
@@ -213,8 +228,8 @@ def train_mixer(tables: list[tuple[np.ndarray, np.ndarray]], toks: list[bytes],
                 a1 = np.maximum(n1[i] - (y == 1), 0)
                 st.append(predict(a0, a1, o)), ev.append(a0 + a1)
             sts.append(np.stack(st, 1).astype(np.float64)), gs.append(gate(ev[1:], ev[-1], j)), ys.append(y)
-        m.learn(np.concatenate(sts), np.concatenate(gs), np.concatenate(ys), np.minimum(np.tile(weight, 8), 8.0), rate)
-    return m
+        m.learn(np.concatenate(sts), np.concatenate(gs), np.concatenate(ys), np.tile(weight, 8), rate)
+    return m.settle()
 
 
 def last_with(key: np.ndarray) -> np.ndarray:
@@ -289,8 +304,30 @@ def vocabulary(docs: DataFrame, training: str, text_col: str = "text") -> DataFr
     return d.mapInArrow(run, "gate int, token binary, c long").groupBy("gate", "token").agg(F.sum("c").alias("c"))
 
 
-def fit(vocab: DataFrame, total: int, sample: int = SAMPLE) -> Model:
-    """Predictor tables over all of ``vocab``; mixer from a bounded sample."""
+def learn_all(vocab: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]], distinct: int, sample: int = SAMPLE) -> Mixer:
+    """Mixer learnt from all training tokens of ``vocab``: mixers of about ``sample``
+    distinct tokens each, dealt and ordered by the tokens alone, then averaged."""
+    spark, first = vocab.sparkSession, Mixer()
+    sent = spark.sparkContext.broadcast(tables)
+
+    def one(t: pa.Table) -> pa.Table:
+        got = sorted(zip(t.column("token").to_pylist(), t.column("c").to_pylist()))
+        m = train_mixer(sent.value, [x for x, _ in got], np.array([c for _, c in got], np.int64))
+        parts = {0: m.w * m.seen[:, None], 1: m.came, 2: m.seen}
+        return pa.Table.from_batches(list(array_rows({k: v.astype(np.float32).ravel() for k, v in parts.items()})))
+
+    groups = -(-distinct // sample) or 1
+    dealt = vocab.where("c > 0").withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups))).groupBy("g")
+    sums = sum_arrays(dealt.applyInArrow(lambda t: one(t), ARRAY_SCHEMA), {0: first.w.size, 1: first.came.size, 2: GATES})
+    sent.destroy()
+    n = sums[2].astype(np.float64)[:, None]
+    first.w = np.where(n > 0, sums[0].reshape(first.w.shape) / np.maximum(n, 1), first.w)
+    first.came = sums[1].reshape(first.came.shape).astype(np.float64)
+    return first.settle()
+
+
+def fit(vocab: DataFrame, distinct: int, sample: int = SAMPLE) -> Model:
+    """Predictor tables and mixer over all of ``vocab``."""
 
     def count(batches):
         acc = {i: np.zeros(2 << k, np.float32) for i, k in enumerate(BITS)}
@@ -312,10 +349,7 @@ def fit(vocab: DataFrame, total: int, sample: int = SAMPLE) -> Model:
 
     sums = sum_arrays(vocab.mapInArrow(count, ARRAY_SCHEMA), {i: 2 << k for i, k in enumerate(BITS)})
     tables = [(sums[i][0::2], sums[i][1::2]) for i in range(len(BITS))]
-    # draws in proportion to the counts, fixed by a hash of the token
-    want = F.col("c") * F.lit(sample / max(total, 1)) + F.pmod(F.xxhash64("token"), F.lit(1 << 20)) / float(1 << 20)
-    got = sorted((bytes(r.token), r.d) for r in vocab.where("c > 0").select("token", F.floor(want).cast("long").alias("d")).where("d > 0").toLocalIterator())
-    m = train_mixer(tables, [t for t, _ in got], np.array([d for _, d in got], np.int64)) if got else Mixer()
+    m = learn_all(vocab, tables, distinct, sample)
     st = [predict(a, b, o) for (a, b), o in zip(tables, ORDERS)]
     ev = [np.minimum(a + b, 255).astype(np.uint8) for a, b in tables]
     return Model(st, ev, m.w, m.t)
@@ -335,7 +369,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     chance = follow_chances(told.reshape(-1, 2))
     r = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = int(r.n or 0), int(r.v or 0)
-    model = fit(vocab, total, sample)
+    model = fit(vocab, distinct, sample)
     sent = spark.sparkContext.broadcast(vars(model))
 
     def score_tokens(batches):

@@ -442,6 +442,17 @@ def test_lm_is_a_probability_and_order_free(spark, docs):
     assert abs(one - two) < 1e-3 * abs(one)
 
 
+def test_lm_mixer_learns_from_every_token_with_its_count(spark):
+    vocab = spark.createDataFrame([(f"w{i}".encode(), 1 + i % 3) for i in range(700)] + [(b"the", 5000), (b"other", 0)], "token binary, c long")
+    tables = [(np.zeros(1 << k, np.float32), np.zeros(1 << k, np.float32)) for k in lm_mix.BITS]
+    said = 8 * sum((1 + i % 3) * (len(f"w{i}") + 1) for i in range(700)) + 8 * 4 * 5000
+    for per in (50, 10_000):
+        m = lm_mix.learn_all(vocab, tables, 701, per)
+        assert abs(m.came[0].sum() - said) < 1e-4 * said
+        assert abs(lm_mix.learn_all(vocab.repartition(5), tables, 701, per).w - m.w).max() < 1e-5
+    assert lm_mix.train_mixer(tables, [b"the", b"a"], np.array([5000, 1])).seen.sum() == 8 * 6
+
+
 def brute_follow(ids):
     out, run = [], 0
     for i in range(len(ids)):
