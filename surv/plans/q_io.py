@@ -7,6 +7,7 @@ where the format carries text)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from surv.operators import conform as B
@@ -186,6 +187,9 @@ def a13_null(spark, sf):
     return read_table(spark, t).select("o_orderkey", "d")
 
 
+LANDED_ROWS = 250_000        # rows of one landed file: a delivery is as many files as it takes
+
+
 @register("j03_late_file_keeps_newer", """
 SELECT event_id, CAST(ts AS DATE) AS d, CASE WHEN CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) + 1 FROM events) THEN 'late' ELSE event_type END AS kind
 FROM events""", raw_sql=True)
@@ -199,7 +203,7 @@ def j03(spark, sf):
     second = ev.select(F.date_add(F.min("d"), 1)).scalar()
     name = f"j03-{uuid.uuid4().hex}"
     for k, batch in enumerate((ev, ev.filter(F.col("d") == second).withColumn("kind", F.lit("late")))):
-        batch.coalesce(1).write.parquet(f"{base}/land/{k}")
+        batch.write.option("maxRecordsPerFile", LANDED_ROWS).parquet(f"{base}/land/{k}")
         stream_window_replace(spark, f"{base}/land/*", ev.schema, f"{base}/table", "d", name=name)
     return read_table(spark, f"{base}/table").select("event_id", "d", "kind")
 
@@ -280,33 +284,43 @@ def a05(spark, sf):
     return R.json_records(spark.read.json(p))
 
 
-def _one_document(spark, path, rows, head: str, tail: str) -> str:
-    """``rows`` (id, json) as one JSON document in one file without line ends."""
-    x = rows.select("id", F.concat(F.lit(", "), "json").alias("value"))
-    first = x.agg(F.min("id").alias("id")).crossJoin(spark.createDataFrame([(head,)], "value string"))       # two rows: head and tail
-    last = x.agg(F.max("id").alias("id")).crossJoin(spark.createDataFrame([(tail,)], "value string"))
-    lines = first.select("id", F.lit(0).alias("k"), "value").unionByName(x.select("id", F.lit(1).alias("k"), "value")).unionByName(last.select("id", F.lit(2).alias("k"), "value"))
-    lines.repartition(1).sortWithinPartitions("id", "k").select("value").write.option("lineSep", " ").text(path)
+DOCUMENT_BYTES = 256 * 1024 * 1024        # of JSON in one document, about: two blocks of the reader or more
+
+
+def _documents(spark, path, rows, head: str, tail: str, document_bytes: int = DOCUMENT_BYTES) -> str:
+    """``rows`` (id, json) as JSON documents of one file each, without line ends, in
+    the order of the ids: one document up to ``document_bytes``, then as many as hold
+    the rows, since a file is written by one task."""
+    size = rows.agg(F.sum(F.octet_length("json"))).first()[0] or 0
+
+    def frame(batches):
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        for b in batches:
+            yield b.select(["value"])
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    lines = rows.select("id", F.concat(F.lit(", "), "json").alias("value")).repartitionByRange(-(-size // document_bytes) or 1, "id").sortWithinPartitions("id")
+    lines.mapInArrow(lambda batches: frame(batches), "value string").write.option("lineSep", " ").text(path)
     return path
 
 
 @register("a03_a05_split_array_document", """
 SELECT doc_id AS id, coalesce(text, '') || '"} ]{ \\ "parametros":[' AS t, lang FROM documents""", raw_sql=True)
 def a05_array(spark, sf):
-    """All documents as one array in one file without line ends; quotes, braces
-    and backslashes in every text."""
+    """All documents as arrays in files without line ends, one array up to
+    ``DOCUMENT_BYTES``; quotes, braces and backslashes in every text."""
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit('"} ]{ \\ "parametros":[')).alias("t"), "lang")
-    p = _one_document(spark, W.staging_path(spark, "a05-array"), d.select("id", F.to_json(F.struct("id", "t", "lang")).alias("json")), '[ 1', ', "}{"]')
+    p = _documents(spark, W.staging_path(spark, "a05-array"), d.select("id", F.to_json(F.struct("id", "t", "lang")).alias("json")), '[ 1', ', "}{"]')
     return R.read_json_records(spark, p, schema="id bigint, t string, lang string")
 
 
 @register("a05_split_envelope_document", "SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS s, 0 AS n FROM orders", raw_sql=True)
 def a05_envelope(spark, sf):
-    """All orders inside the envelope of one document, between other keys that
-    hold arrays of objects too."""
+    """All orders inside the envelope of a document (of several beyond
+    ``DOCUMENT_BYTES``), between other keys that hold arrays of objects too."""
     o = FX.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_orderstatus").alias("s"))
     js = F.to_json(F.struct("id", "s", F.array(F.struct(F.lit("]}").alias("x"))).alias("l")))
-    p = _one_document(spark, W.staging_path(spark, "a05-envelope"), o.select("id", js.alias("json")),
+    p = _documents(spark, W.staging_path(spark, "a05-envelope"), o.select("id", js.alias("json")),
                       '{"meta": [{"id": 0}], "parametros" : [ null', '], "after": {"parametros": [{"id": 5}]}}')
     return R.read_json_records(spark, p).select("id", "s", F.lit(0).alias("n"))
 

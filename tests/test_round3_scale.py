@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surv.operators import conform as B
 from surv.plans import fixtures as FX
-from surv.session import checkpoint_dir, split_methods
+from surv.session import split_methods
 
 
 def _tables(spark, path, n=300):
@@ -55,3 +55,29 @@ def test_digits_of_text_with_space_and_tokens(spark):
     assert plain == ["33", None, None, None, None, None, "12345678", "12"]
     assert [r[1] for r in df.select("i", B.strip_all(F.col("t"))).orderBy("i").collect()][:2] == ["33", "nan"]
     assert "rlike" not in df.select(B.digits_or_null(F.col("t"), 7))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_large_array_is_several_documents(spark, tmp):
+    from surv.plans import q_io as Q
+    from surv.sources import readers as R
+    rows = spark.range(2000).select("id", F.to_json(F.struct("id", F.lit('"} ]{ "parametros":[').alias("t"))).alias("json"))
+    for size, files in ((1 << 30, 1), (20_000, 5)):
+        p = Q._documents(spark, f"{tmp}/{size}", rows, '{"meta": [{"id": 0}], "parametros" : [ null', '], "after": {"parametros": [{"id": 5}]}}', size)
+        got = [x for x in os.listdir(p) if x.startswith("part-")]
+        assert len(got) >= files and (files > 1 or len(got) == 1)
+        assert max(os.path.getsize(f"{p}/{x}") for x in got) < max(size, 200_000) and (files == 1 or max(os.path.getsize(f"{p}/{x}") for x in got) < 60_000)
+        assert sorted(r.id for r in R.read_json_records(spark, p).select("id").collect()) == list(range(2000))
+
+
+def test_a_delivery_lands_in_files_of_bounded_rows(spark, tmp, monkeypatch):
+    from surv.plans import q_io as Q
+    seen = {}
+    stage = Q.W.staging_path
+    monkeypatch.setattr(Q.W, "staging_path", lambda s, n: seen.setdefault(n, stage(s, n)))
+    monkeypatch.setattr(Q, "LANDED_ROWS", 50, raising=False)
+    (spark.range(400).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(CAST(id % 5 AS INT))").alias("ts"), F.lit("a").alias("event_type"))
+     .coalesce(1).write.parquet(f"{tmp}/events.parquet"))
+    got = Q.j03(spark, tmp).groupBy("kind").count().collect()
+    assert {r[0]: r[1] for r in got} == {"late": 80, "a": 320}
+    landed = [len(spark.read.parquet(f"{seen['j03']}/land/0/{x}").collect()) for x in os.listdir(f"{seen['j03']}/land/0") if x.startswith("part-")]
+    assert sum(landed) == 400 and max(landed) <= 50
