@@ -17,7 +17,8 @@ that have it), rounded down, at most 8; a shingle of no item weighs most.
    ``RADIUS`` agree in one block at least, so a join on (length, block, bits)
    finds all pairs within the radius, and the distance is then checked.
 4. Pairs are verified by the exact weighted Jaccard similarity of their shingle
-   sets.  Of each (text, item) the best window is returned.
+   sets, written with step 2's windows, so texts are read twice in all.  Of each
+   (text, item) the best window is returned.
 
 The benchmark's grams are broadcast up to ``BROADCAST_GRAMS`` rows, beyond that
 they are joined by key.  Null or empty texts and items match nothing; an item
@@ -128,10 +129,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
           .select("id", "th", "wins", kgrams(F.col("w"), SHINGLE, whole=True).alias("hs"))
           .select("id", "th", "hs", F.explode("wins").alias("win"))
           .select("id", "th", "win.p", "win.len", "win.n", F.array_distinct(F.slice("hs", F.col("win.p") + 1, n_shingles(F.col("win.len")))).alias("hs")))
+    # written once: fingerprints and the exact check below both read them
+    ws = materialize(ws, "shingles")
     rows = ws.select("id", "th", "p", "len", "n", F.explode("hs").alias("h"))
     heavy = max(1, min(HEAVIEST, 1 + (max(benchmark.count(), 1)).bit_length() - 1))
     weighed = rows.join(small(grams), "h", "left").select("id", "th", "p", "len", "n", "h", F.coalesce("weight", F.lit(heavy).cast("long")).alias("weight"))
-    prints = materialize(simhash(weighed, ["id", "th", "p", "len", "n"], each), "prints")
+    prints = simhash(weighed, ["id", "th", "p", "len", "n"], each)
     iprints = simhash(items, ["item", "text_hash", "len"], each)
 
     wb = prints.select("id", "th", "p", "len", "n", "total", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("blk", "bits"))
@@ -140,8 +143,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     pairs = (wb.join(small(ib), ["len", "blk", "bits"]).withColumn("hamming", dist).where(F.col("hamming") <= radius)
              .select("id", "th", "p", "len", "n", "item", "text_hash", "total", "item_total", "hamming").distinct())
     # exact weighted Jaccard
-    shared = (pairs.join(weighed.select("id", "th", "p", "len", "n", "h", "weight"), ["id", "th", "p", "len", "n"])
-              .join(small(items.select("item", "text_hash", "h")), ["item", "text_hash", "h"])
+    shared = (pairs.join(ws, ["id", "th", "p", "len", "n"])
+              .select("id", "th", "p", "len", "n", "item", "text_hash", "total", "item_total", "hamming", F.explode("hs").alias("h"))
+              .join(small(items.select("item", "text_hash", "h", "weight")), ["item", "text_hash", "h"])
               .groupBy("id", "th", "p", "len", "n", "item", "text_hash", "total", "item_total", "hamming").agg(F.sum("weight").alias("common")))
     # a shingle's weight is the same on both sides
     sim = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))

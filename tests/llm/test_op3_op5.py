@@ -143,6 +143,18 @@ def test_decontamination_against_all_windows(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_exact_check_reads_written_shingles(spark, tmp):
+    """The texts are read before the result is asked for; the result itself
+    comes from the written shingles and items, not from the texts again."""
+    item = " ".join(f"w{k}" for k in range(20))
+    spark.createDataFrame([(1, "x y " + item + " z"), (2, "nothing of it is here today"), (None, item), (4, None)],
+                          "doc_id long, text string").write.parquet(f"{tmp}/documents.parquet")
+    found = decontam.find(spark.read.parquet(f"{tmp}/documents.parquet"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert not [f for f in found.inputFiles() if f"{tmp}/documents.parquet" in f]
+    got = {(x.doc_id, x.item_id, x.similarity, x.start_word, x.n_words) for x in found.collect()}
+    assert got == {(1, 7, 1.0, 2, 20), (None, 7, 1.0, 0, 20)}
+
+
 def weighted_similarity(items, docs):
     """(document, item): similarity of the best window, by all windows."""
     total = len(items)
