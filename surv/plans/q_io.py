@@ -284,14 +284,15 @@ def a05(spark, sf):
     return R.json_records(spark.read.json(p))
 
 
-DOCUMENT_BYTES = 256 * 1024 * 1024        # of JSON in one document, about: two blocks of the reader or more
+DOCUMENT_BYTES = 256 * 1024 * 1024        # of rows in one document, about: two blocks of the reader or more
 
 
-def _documents(spark, path, rows, head: str, tail: str, document_bytes: int = DOCUMENT_BYTES) -> str:
-    """``rows`` (id, json) as JSON documents of one file each, without line ends, in
-    the order of the ids: one document up to ``document_bytes``, then as many as hold
-    the rows, since a file is written by one task."""
-    size = rows.agg(F.sum(F.octet_length("json"))).first()[0] or 0
+def _documents(spark, path, rows, head: str, tail: str, document_bytes: int = DOCUMENT_BYTES, before: str = ", ", sep: str = " ") -> str:
+    """``rows`` (id, text) as JSON or XML documents of one file each, ``before`` ahead of
+    every row and ``sep`` after it, in the order of the ids: one document up to
+    ``document_bytes``, then as many as hold the rows, since a file is written by one task."""
+    key, text = rows.columns
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
     def frame(batches):
         yield pa.RecordBatch.from_pydict({"value": [head]})
@@ -299,8 +300,8 @@ def _documents(spark, path, rows, head: str, tail: str, document_bytes: int = DO
             yield b.select(["value"])
         yield pa.RecordBatch.from_pydict({"value": [tail]})
 
-    lines = rows.select("id", F.concat(F.lit(", "), "json").alias("value")).repartitionByRange(-(-size // document_bytes) or 1, "id").sortWithinPartitions("id")
-    lines.mapInArrow(lambda batches: frame(batches), "value string").write.option("lineSep", " ").text(path)
+    lines = rows.select(key, F.concat(F.lit(before), text).alias("value")).repartitionByRange(-(-size // document_bytes) or 1, key).sortWithinPartitions(key)
+    lines.mapInArrow(lambda batches: frame(batches), "value string").write.option("lineSep", sep).text(path)
     return path
 
 
@@ -364,14 +365,14 @@ def j06(spark, sf):
 SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0""", raw_sql=True)
 def a06_path(spark, sf):
     """Orders two levels deep in a name space, in documents that bind it to
-    different prefixes, between elements of the same local name that are not meant."""
+    different prefixes (several of each beyond ``DOCUMENT_BYTES``), between elements
+    of the same local name that are not meant."""
     p = W.staging_path(spark, "a06-path")
     o = FX.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     pre = F.when(F.col("o_orderkey") % 2 == 0, F.lit("a")).otherwise(F.lit("bb"))
     ours = F.concat(F.lit("<"), pre, F.lit(":row><id> "), F.col("o_orderkey"), F.lit(" </id><status>"), F.col("o_orderstatus"), F.lit("</status></"), pre, F.lit(":row>"))
     other = F.concat(F.lit("<row><id>"), F.col("o_orderkey"), F.lit("</id></row>"))
-    rows = o.select((F.col("o_orderkey") % 2).alias("doc"), F.when(F.col("o_orderkey") % 3 != 0, ours).otherwise(other).alias("x"), pre.alias("p"))
-    docs = rows.groupBy("doc", "p").agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
-    text = docs.select(F.concat(F.lit("<root xmlns:"), F.col("p"), F.lit('="urn:orders"><list>'), F.col("x"), F.lit("</list></root>")).alias("value"))
-    text.repartition(2).write.option("lineSep", "\n").text(p)
-    return R.read_xml_nodes(spark, p, "//o:row", {"o": "urn:orders"}).select("id", "status")
+    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, ours).otherwise(other).alias("x"), pre.alias("p")).where("x IS NOT NULL")
+    files = [_documents(spark, f"{p}/{k}", rows.where(F.col("p") == k).select("o_orderkey", "x"), f'<root xmlns:{k}="urn:orders"><list>', "</list></root>",
+                        DOCUMENT_BYTES, before="", sep="\n") for k in ("a", "bb")]
+    return R.read_xml_nodes(spark, files, "//o:row", {"o": "urn:orders"}).select("id", "status")

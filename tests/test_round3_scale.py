@@ -81,3 +81,33 @@ def test_a_delivery_lands_in_files_of_bounded_rows(spark, tmp, monkeypatch):
     assert {r[0]: r[1] for r in got} == {"late": 80, "a": 320}
     landed = [len(spark.read.parquet(f"{seen['j03']}/land/0/{x}").collect()) for x in os.listdir(f"{seen['j03']}/land/0") if x.startswith("part-")]
     assert sum(landed) == 400 and max(landed) <= 50
+
+
+def _orders_by_path(spark, path, keys, monkeypatch, document_bytes):
+    from surv.plans import q_io as Q
+    seen = {}
+    stage = Q.W.staging_path
+    monkeypatch.setattr(Q.W, "staging_path", lambda s, n: seen.setdefault(n, stage(s, n)))
+    monkeypatch.setattr(Q, "DOCUMENT_BYTES", document_bytes)
+    keys.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.lit("F")).alias("o_orderstatus")).write.parquet(f"{path}/orders.parquet")
+    got = sorted((int(r.id), r.status) for r in Q.a06_path(spark, path).collect())
+    texts = [open(os.path.join(d, x)).read() for d, _, names in os.walk(seen["a06-path"]) for x in names if x.startswith("part-")]
+    return got, texts
+
+
+def test_xml_documents_are_written_by_several_tasks(spark, tmp, monkeypatch):
+    ids = spark.range(4000).select(F.col("id").alias("o_orderkey"))
+    keys = ids.union(ids.where("o_orderkey < 100")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got, texts = _orders_by_path(spark, tmp, keys, monkeypatch, 20_000)
+    want = [i for i in [*range(4000), *range(100)] if i % 3 and i % 5]
+    assert got == sorted((i, "F") for i in want)
+    assert len(texts) >= 8 and max(map(len, texts)) < 60_000
+    for p in ("a", "bb"):
+        assert sum(t.startswith(f'<root xmlns:{p}="urn:orders"><list>') for t in texts) >= 4
+    assert all(t.count("<root") == t.count("</root>") == 1 for t in texts)   # one document in a file
+
+
+def test_xml_documents_of_one_prefix_only(spark, tmp, monkeypatch):
+    got, texts = _orders_by_path(spark, tmp, spark.range(0, 400, 2).select(F.col("id").alias("o_orderkey")), monkeypatch, 1 << 30)
+    assert got == [(i, "F") for i in range(0, 400, 2) if i % 3 and i % 5]
+    assert len(texts) == 2 and sorted(t.count("<id>") for t in texts)[0] == 0
